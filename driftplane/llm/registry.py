@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, quality
+from . import chat, decontaminate, langid, mixing, quality, toxicity
 
 
 def queries():
-    return {"op3_quality_rules": quality.op3, "op7_language_id": langid.op7}
+    return {
+        "op3_quality_rules": quality.op3,
+        "op4_mixing": mixing.op4,
+        "op5_chat_format": chat.op5,
+        "op7_language_id": langid.op7,
+        "op8_toxicity": toxicity.op8,
+        "op9_decontamination": decontaminate.op9,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op5_chat_format": chat.ORACLE}

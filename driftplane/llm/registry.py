@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, mixing, quality, toxicity
+from . import chat, decontaminate, jaccard, langid, mixing, pii, quality, toxicity, warc
 
 
 def queries():
     return {
+        "op1_pii": pii.op1,
+        "op2_ngram_jaccard": jaccard.op2,
         "op3_quality_rules": quality.op3,
         "op4_mixing": mixing.op4,
         "op5_chat_format": chat.op5,
         "op7_language_id": langid.op7,
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontaminate.op9,
+        "op10_warc": warc.op10,
     }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -69,3 +70,22 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = 2_000_000, ho
     """Rows of ``df`` whose key is (``left_anti``: is not) in ``ids``.  The ids are counted:
     up to ``bound`` they are broadcast, beyond it the join shuffles."""
     return df.join(F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids, key, how)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """While open, Arrow batches have few rows: for jobs run inside whose rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def doomed(spark: SparkSession, folder: str) -> str:
+    """A folder that goes when the application ends."""
+    path = _path(spark, folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -3,16 +3,18 @@
 Documents are sets of hashed word shingles; equal sets are one *node*.  Two nodes link when
 100 * intersection >= 80 * union; a document's component is what links reach.
 
-Signatures.  A node of n shingles may miss at most e = n - ceil(0.8 n) of them in a linked
-node.  All shingles have one global order: rare before frequent, then by hash.  A node's
-prefix is its first e + 1 rare shingles, each a signature.  If it has fewer rare ones (r),
-the prefix extends into frequent shingles: these fall into M classes by hash, and pairs
-within a class are signatures, until r + sum over classes of (size - 1) exceeds e.  Missing
-e shingles cannot break them all, so linked nodes share a signature whose shingles both
-hold.  M follows the size band of the smaller node; a node whose smaller partners may be in
-the band below signs for both.  A shingle is frequent if it occurs in many hash-ordered
-prefixes; the label only steers cost, any labelling is exact.  At most ``max_frequent``
-labels are broadcast: the threshold rises until they fit.
+Signatures.  A node of n shingles may lack at most e = n - ceil(4 (n + m) / 9) of them in a
+linked node of m, a fifth of them for any m.  All shingles have one global order: rare
+before frequent, then by hash.  A node's prefix is its first e + 1 rare shingles, each a
+signature.  If it has fewer rare ones (r), the prefix extends into frequent shingles: these
+fall into M classes by hash, and pairs within a class are signatures, until r + sum over
+classes of (size - 1) exceeds e.  Lacking e shingles cannot break them all, so linked nodes
+share a signature whose shingles both hold.  Pairs are signed for each size band that
+partners can be in (e and M follow the two bands), and a signature carries its rank: two
+holders need comparing only if both hold it within what the other's size asks for.  A
+shingle is frequent if it occurs in many hash-ordered prefixes; the label only steers cost,
+any labelling is exact.  At most ``max_frequent`` labels are broadcast: the threshold rises
+until they fit.
 
 Verification.  Comparing all holders of a signature would be quadratic in a family of near
 copies.  So first, in ``stars`` rounds, every node is compared with one holder that many
@@ -32,6 +34,9 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,38 +124,71 @@ def _fresh(s: Sets, seen: set[int]) -> np.ndarray:
     return out
 
 
-def bands(n: int) -> list[int]:
-    """Size bands of a set's possible smaller partners, its own last."""
-    return sorted({int((4 * n + 4) // 5).bit_length(), int(n).bit_length()})
+def missing(n: int, m: int) -> int:
+    """How many of n shingles a linked set of m may lack; negative if none can link."""
+    return n - (4 * (n + m) + 8) // 9
+
+
+def band(n: int) -> int:
+    """Size band: sizes of one band differ by under a twentieth."""
+    return int(math.log(n) / math.log(1.05) + 1e-9)
+
+
+@functools.cache
+def smallest(b: int) -> int:
+    """The smallest size in a band (for empty bands, above it)."""
+    n = max(1, int(1.05**b) - 2)
+    while band(n) < b:
+        n += 1
+    return n
 
 
-def signatures(g: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of one sorted set."""
-    e = int(errors(np.array([len(g)]))[0])
+def signatures(g: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of one sorted set that has fewer rare shingles than it may lack: keys,
+    ranks, roles.  Pairs are made for each size band that partners can be in."""
+    n = len(g)
     rare, common = g[~frequent], g[frequent]
-    out = [rare[: e + 1]]
-    if len(rare) <= e:
-        for band in bands(len(g)):
-            m = max(1, (1 << (band - 1)) // 8)
-            cls = ((common >> np.uint64(7)) % np.uint64(m)).astype(np.int64)
-            order = np.lexsort((np.arange(len(cls)), cls))
-            nth = np.empty(len(cls), np.int64)
-            first = np.searchsorted(cls[order], cls[order], "left")
-            nth[order] = np.arange(len(cls)) - first
-            need = e + 1 - len(rare)
-            upto = int(np.searchsorted(np.cumsum(nth > 0), need, "left")) + 1
-            c, k, t = cls[:upto], nth[:upto], common[:upto]
-            by = np.lexsort((k, c))
-            c, k, t = c[by], k[by], t[by]
-            of = np.repeat(np.arange(len(t)), k)  # each with those before it in its class
-            back = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + 1
-            pair = t[of] * np.uint64(0xD1342543DE82EF95) + t[of - back] + np.uint64(band)
-            out.append(tx.mix(pair))
-    return np.concatenate(out)
+    r = len(rare)
+    keys, ranks, roles = [rare], [np.arange(r)], [np.zeros(r, np.int64)]
+    own = band(n)
+    for other in range(band((4 * n + 4) // 5), band(5 * n // 4) + 1):
+        e = missing(n, max((4 * n + 4) // 5, smallest(other)))
+        if e < r:
+            continue  # rare signatures alone settle such partners
+        lo, hi = min(own, other), max(own, other)
+        m = max(1, smallest(lo) // 8)
+        cls = ((common >> np.uint64(7)) % np.uint64(m)).astype(np.int64)
+        order = np.argsort(cls, kind="stable")
+        nth = np.empty(len(cls), np.int64)
+        nth[order] = np.arange(len(cls)) - np.searchsorted(cls[order], cls[order], "left")
+        before = r + np.cumsum(nth > 0) - (nth > 0)
+        upto = int(np.searchsorted(before, e, "right"))
+        c, k, t, rank = cls[:upto], nth[:upto], common[:upto], before[:upto]
+        by = np.lexsort((k, c))
+        k, t, rank = k[by], t[by], rank[by]
+        of = np.repeat(np.arange(len(t)), k)  # each with those before it in its class
+        back = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + 1
+        keys.append(tx.mix(t[of] * np.uint64(0xD1342543DE82EF95) + t[of - back] + np.uint64(1_000_003 * lo + hi)))
+        ranks.append(rank[of])
+        roles.append(np.full(len(of), 0 if own == other else 1 if own < other else 2))
+    return np.concatenate(keys), np.concatenate(ranks), np.concatenate(roles)
+
+
+#: Size, rank and role of a signature in one long.
+SIZE, RANK, ROLE = "(info >> 32)", "((info >> 2) & 1073741823)", "(info & 3)"
+
+
+def _may_link(a: str, b: str) -> str:
+    """SQL: two holders of a signature must be compared.  Each must hold it among what the
+    other's size makes it sign; pairs across size bands join a smaller and a larger set."""
+    part = lambda x, of: x.replace("info", of)
+    need = lambda x, y: f"{part(RANK, x)} <= {part(SIZE, x)} - ((4 * ({part(SIZE, x)} + {part(SIZE, y)}) + 8) div 9)"
+    return f"({part(ROLE, a)} = 0 or {part(ROLE, a)} <> {part(ROLE, b)}) and {need(a, b)} and {need(b, a)}"
 
 
 def _signed(batches, words: int, frequent, kind):
-    """Signature rows (key, node, n), and a row of each document (id, node, n, bitmap)."""
+    """Signature rows (key, node, info), and a row of each document (id, node, size in info,
+    bitmap)."""
     seen: set[int] = set()
     common = frequent.value
     for batch in batches:
@@ -159,7 +197,7 @@ def _signed(batches, words: int, frequent, kind):
             s = Sets(tx.texts_of(part.column(1)), words)
             size = len(s.n)
             bitmap = pa.array(s.bitmaps(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(s.node), pa.array(s.n.astype(np.int32)), part.column(0), bitmap], names=["key", "node", "n", "id", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(s.node), pa.array(s.n.astype(np.int64)), part.column(0), bitmap], names=["key", "node", "info", "id", "bitmap"])
             fresh = _fresh(s, seen)
             is_common = tx.member(common, s.g) >= 0
             rares = np.bincount(s.d[~is_common], minlength=size)
@@ -170,14 +208,16 @@ def _signed(batches, words: int, frequent, kind):
             rank = before - 1 - start[s.d]
             plain = fresh & (rares > e)
             keep = plain[s.d] & ~is_common & (rank <= e[s.d])
-            keys, owner = [s.g[keep]], [s.d[keep]]
+            keys, owner, info = [s.g[keep]], [s.d[keep]], [rank[keep] << 2]
             for i in np.flatnonzero(fresh & (rares <= e)).tolist():
                 a, b = s.lo[i], s.lo[i + 1]
-                keys.append(signatures(s.g[a:b], is_common[a:b]))
-                owner.append(np.full(len(keys[-1]), i))
+                k, ranks, roles = signatures(s.g[a:b], is_common[a:b])
+                keys.append(k)
+                owner.append(np.full(len(k), i))
+                info.append((ranks << 2) | roles)
             key, of = np.concatenate(keys), np.concatenate(owner)
             m = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[of]), pa.array(s.n[of].astype(np.int32)), pa.nulls(m, kind), pa.nulls(m, pa.binary())], names=["key", "node", "n", "id", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[of]), pa.array(np.concatenate(info) | (s.n[of].astype(np.int64) << 32)), pa.nulls(m, kind), pa.nulls(m, pa.binary())], names=["key", "node", "info", "id", "bitmap"])
 
 
 def _sets(batches, words: int):
@@ -248,13 +288,16 @@ class Join:
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(self.docs.schema["id"].dataType)
-        signed = store.keep(self.docs.mapInArrow(lambda it: _signed(it, words, common, arrow), f"key long, node long, n int, id {kind}, bitmap binary"), "signed")
-        rows = store.keep(signed.where("key is null").select("id", "node", "n"), "rows")
-        nodes = store.keep(signed.where("key is null and n >= 4 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-        keys = signed.where("key is not null").select("key", "node", "n")
-        shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        posts = store.keep(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "n"), "posts")
+        signed = store.keep(self.docs.mapInArrow(lambda it: _signed(it, words, common, arrow), f"key long, node long, info long, id {kind}, bitmap binary"), "signed")
+        rows = store.keep(signed.where("key is null").select("id", "node", F.col("info").cast("int").alias("n")), "rows")
+        nodes = store.keep(signed.where("key is null and info >= 4 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("info").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+        keys = signed.where("key is not null").select("key", "node", "info")
+        # a signature matters if two nodes hold it and, across size bands, one of either role
+        shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_or(F.expr(f"shiftleft(1, cast({ROLE} as int))")).alias("r")).where("lo < hi and r not in (2, 4)").select(F.col("key").alias("k"))
+        posts = store.keep(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "info"), "posts")
         store.drop(signed)
+        del signed, keys, shared
+        store.tidy(spark)
         links = None
         labels = spark.createDataFrame([], "node long, comp long")
         for r in range(self.stars):
@@ -279,9 +322,9 @@ class Join:
         """Each node with the holder that most of its signatures elect, unless they are in one
         component.  A signature elects the holder that comes first in the round's order."""
         prio = F.xxhash64(F.lit(r), F.col("node"))
-        first = posts.groupBy("key").agg(F.min(F.struct(prio.alias("p"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("f"))
-        first = first.select(F.col("key").alias("k"), F.col("f.node").alias("lead"), F.col("f.n").alias("m"))
-        votes = posts.join(first, F.col("key") == F.col("k")).where("node <> lead and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy("node", "lead").agg(F.count("*").alias("votes"))
+        first = posts.groupBy("key").agg(F.min(F.struct(prio.alias("p"), F.col("node").alias("node"), F.col("info").alias("info"))).alias("f"))
+        first = first.select(F.col("key").alias("k"), F.col("f.node").alias("lead"), F.col("f.info").alias("m"))
+        votes = posts.join(first, F.col("key") == F.col("k")).where(f"node <> lead and {_may_link('info', 'm')}").groupBy("node", "lead").agg(F.count("*").alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead"))
         if r:
             of = lambda name: labels.select(F.col("node").alias("x"), F.col("comp").alias(name))
@@ -292,14 +335,18 @@ class Join:
     def _rest(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
         """All pairs that share a signature and are in different components.  Pairs of
         components are made first, then their members, so a component costs no square."""
-        own = posts.distinct().join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        own = posts.distinct().join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "info", F.coalesce("comp", "node").alias("comp"))
         split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
         own = store.keep(own.join(split, F.col("key") == F.col("k")).drop("k"), "split")
-        comps = own.select("key", "comp").distinct()
-        two = comps.select("key", F.col("comp").alias("c1")).join(comps.select(F.col("key").alias("k"), F.col("comp").alias("c2")), (F.col("key") == F.col("k")) & (F.col("c1") < F.col("c2"))).drop("k")
-        left = own.select(F.col("key").alias("k1"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("m1"))
-        right = own.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("m2"))
-        pairs = two.join(left, (F.col("key") == F.col("k1")) & (F.col("c1") == F.col("m1"))).join(right, (F.col("key") == F.col("k2")) & (F.col("c2") == F.col("m2")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")))
+        # bounds of a component's holders rule out most pairs of components
+        size, rank = F.expr(SIZE), F.expr(RANK)
+        comps = own.groupBy("key", "comp").agg(F.min(size).alias("s"), F.max(size).alias("l"), F.min(rank).alias("r"))
+        one, other = (comps.select(*(F.col(c).alias(f"{c}{i}") for c in comps.columns)) for i in (1, 2))
+        reach = lambda i, j: f"r{i} <= l{i} - ((4 * (l{i} + s{j}) + 8) div 9)"
+        two = one.join(other, F.expr(f"key1 = key2 and comp1 < comp2 and {reach(1, 2)} and {reach(2, 1)}")).select("key1", "comp1", "comp2")
+        left = own.select(F.col("key").alias("k1"), F.col("node").alias("a"), F.col("info").alias("ia"), F.col("comp").alias("m1"))
+        right = own.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("info").alias("ib"), F.col("comp").alias("m2"))
+        pairs = two.join(left, (F.col("key1") == F.col("k1")) & (F.col("comp1") == F.col("m1"))).join(right, (F.col("key1") == F.col("k2")) & (F.col("comp2") == F.col("m2")) & F.expr(_may_link("ia", "ib")))
         return pairs.select("a", "b").distinct()
 
     def _verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -6,15 +6,16 @@ Documents are sets of hashed word shingles; equal sets are one *node*.  Two node
 Signatures.  A node of n shingles may lack at most e = n - ceil(4 (n + m) / 9) of them in a
 linked node of m, a fifth of them for any m.  All shingles have one global order: rare
 before frequent, then by hash.  A node's prefix is its first e + 1 rare shingles, each a
-signature.  If it has fewer rare ones (r), the prefix extends into frequent shingles: these
-fall into M classes by hash, and pairs within a class are signatures, until r + sum over
-classes of (size - 1) exceeds e.  Lacking e shingles cannot break them all, so linked nodes
-share a signature whose shingles both hold.  Pairs are signed for each size band that
-partners can be in (e and M follow the two bands), and a signature carries its rank: two
-holders need comparing only if both hold it within what the other's size asks for.  A
-shingle is frequent if it occurs in many hash-ordered prefixes; the label only steers cost,
-any labelling is exact.  At most ``max_frequent`` labels are broadcast: the threshold rises
-until they fit.
+signature.  If it has no more than e rare ones (r), the prefix extends to all frequent ones,
+dealt to 1, 2, 4, ... classes by hash; the combination of all frequent shingles in a class
+is a signature.  If two linked nodes share no rare shingle, each lacks at most e - r of its
+frequent ones, and every one lacked breaks one class: at the first level where either fills
+more classes than both can lack together, one filled class is the same in both.  Signatures
+carry what decides whether the pair needs that level.  A shingle is frequent if it occurs in
+many hash-ordered prefixes; the label only steers cost, any labelling is exact.  (Where a
+prefix holds frequent shingles it extends to others, so all shingles of such nodes are
+counted in a second round.)  At most ``max_frequent`` labels are broadcast: the threshold
+rises until they fit.
 
 Verification.  Comparing all holders of a signature would be quadratic in a family of near
 copies.  So first, in ``stars`` rounds, every node is compared with one holder that many
@@ -34,9 +35,6 @@ an empty result.
 
 from __future__ import annotations
 
-import functools
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,15 +99,21 @@ class Sets:
         return [packed[a // 8 : b // 8] for a, b in zip(base[:-1], base[1:], strict=True)]
 
 
-def _prefixes(batches, words: int):
-    """Shingles of the hash-ordered prefixes; a set counts once a task."""
+def _prefixes(batches, words: int, frequent=None):
+    """Shingles of the hash-ordered prefixes; a set counts once a task.  With known frequent
+    shingles: all shingles of the sets whose prefix holds one, as their prefixes extend."""
     seen: set[int] = set()
+    common = frequent.value if frequent else None
     for batch in batches:
         for lo, hi in tx.slices(batch.column(0)):
             s = Sets(tx.texts_of(batch.column(0).slice(lo, hi - lo)), words)
-            fresh = _fresh(s, seen)
             rank = np.arange(len(s.d)) - s.lo[s.d]
-            keep = fresh[s.d] & (rank <= errors(s.n)[s.d])
+            first = rank <= errors(s.n)[s.d]
+            keep = first
+            if frequent:
+                hit = tx.member(common, s.g[first]) >= 0
+                keep = (np.bincount(s.d[first][hit], minlength=len(s.n)) > 0)[s.d]
+            keep &= _fresh(s, seen)[s.d]
             yield pa.RecordBatch.from_arrays([pa.array(s.g[keep].view(np.int64))], names=["token"])
 
 
@@ -129,66 +133,53 @@ def missing(n: int, m: int) -> int:
     return n - (4 * (n + m) + 8) // 9
 
 
-def band(n: int) -> int:
-    """Size band: sizes of one band differ by under a twentieth."""
-    return int(math.log(n) / math.log(1.05) + 1e-9)
+def signatures(g: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one sorted set that has no more rare shingles than it may lack, and
+    their info: each rare shingle, and the combination of all frequent shingles of each
+    class at levels of 1, 2, 4, ... classes."""
+    n, rare, common = len(g), g[~frequent], g[frequent]
+    r = len(rare)
+    keys, info = [rare], [pack(np.arange(r), np.zeros(r, np.int64), 0)]
+    total = n + 5 * n // 4  # with the largest partner
+    need = total - 2 * ((4 * total + 8) // 9) - r + 2
+    salted, full, level = tx.mix(common.copy()), 0, 0
+    while full < need and len(common) and level < 64:
+        cls = common >> np.uint64(64 - level) if level else np.zeros(len(common), np.uint64)
+        start = np.concatenate(([0], np.flatnonzero(cls[1:] != cls[:-1]) + 1))
+        k = np.add.reduceat(salted, start)
+        k *= np.uint64(0xD1342543DE82EF95)
+        k += cls[start] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1)
+        keys.append(tx.mix(k))
+        info.append(pack(np.full(len(k), r), np.full(len(k), full), 1))
+        full, level = len(start), level + 1
+    return np.concatenate(keys), np.concatenate(info)
 
 
-@functools.cache
-def smallest(b: int) -> int:
-    """The smallest size in a band (for empty bands, above it)."""
-    n = max(1, int(1.05**b) - 2)
-    while band(n) < b:
-        n += 1
-    return n
+def pack(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+    """kind 0: a is the rank of a rare shingle.  kind 1: a is the number of rare shingles, b
+    how many classes the level above fills."""
+    return (np.minimum(a, (1 << 30) - 1).astype(np.int64) << 32) | (np.minimum(b, (1 << 30) - 1).astype(np.int64) << 1) | kind
 
 
-def signatures(g: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of one sorted set that has fewer rare shingles than it may lack: keys,
-    ranks, roles.  Pairs are made for each size band that partners can be in."""
-    n = len(g)
-    rare, common = g[~frequent], g[frequent]
-    r = len(rare)
-    keys, ranks, roles = [rare], [np.arange(r)], [np.zeros(r, np.int64)]
-    own = band(n)
-    for other in range(band((4 * n + 4) // 5), band(5 * n // 4) + 1):
-        e = missing(n, max((4 * n + 4) // 5, smallest(other)))
-        if e < r:
-            continue  # rare signatures alone settle such partners
-        lo, hi = min(own, other), max(own, other)
-        m = max(1, smallest(lo) // 8)
-        cls = ((common >> np.uint64(7)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(cls, kind="stable")
-        nth = np.empty(len(cls), np.int64)
-        nth[order] = np.arange(len(cls)) - np.searchsorted(cls[order], cls[order], "left")
-        before = r + np.cumsum(nth > 0) - (nth > 0)
-        upto = int(np.searchsorted(before, e, "right"))
-        c, k, t, rank = cls[:upto], nth[:upto], common[:upto], before[:upto]
-        by = np.lexsort((k, c))
-        k, t, rank = k[by], t[by], rank[by]
-        of = np.repeat(np.arange(len(t)), k)  # each with those before it in its class
-        back = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + 1
-        keys.append(tx.mix(t[of] * np.uint64(0xD1342543DE82EF95) + t[of - back] + np.uint64(1_000_003 * lo + hi)))
-        ranks.append(rank[of])
-        roles.append(np.full(len(of), 0 if own == other else 1 if own < other else 2))
-    return np.concatenate(keys), np.concatenate(ranks), np.concatenate(roles)
-
-
-#: Size, rank and role of a signature in one long.
-SIZE, RANK, ROLE = "(info >> 32)", "((info >> 2) & 1073741823)", "(info & 3)"
-
-
-def _may_link(a: str, b: str) -> str:
-    """SQL: two holders of a signature must be compared.  Each must hold it among what the
-    other's size makes it sign; pairs across size bands join a smaller and a larger set."""
-    part = lambda x, of: x.replace("info", of)
-    need = lambda x, y: f"{part(RANK, x)} <= {part(SIZE, x)} - ((4 * ({part(SIZE, x)} + {part(SIZE, y)}) + 8) div 9)"
-    return f"({part(ROLE, a)} = 0 or {part(ROLE, a)} <> {part(ROLE, b)}) and {need(a, b)} and {need(b, a)}"
+#: Parts of a signature's info.
+FIRST, SECOND, KIND = "(info >> 32)", "((info >> 1) & 1073741823)", "(info & 1)"
+
+
+def _may_link(i1: str, n1: str, i2: str, n2: str) -> str:
+    """SQL: two holders of a signature must be compared.
+
+    A rare shingle must be in the prefix that the other's size asks of each.  A combination
+    counts where neither set can lack so few frequent shingles that the level above had
+    enough classes to show a link."""
+    part = lambda x, i: x.replace("info", i)
+    e1, e2 = (f"({n} - ((4 * ({n1} + {n2}) + 8) div 9))" for n in (n1, n2))
+    a1, a2, b1, b2 = part(FIRST, i1), part(FIRST, i2), part(SECOND, i1), part(SECOND, i2)
+    spare = f"({e1} - {a1} + {e2} - {a2} + 1)"
+    return f"({a1} <= {e1} and {a2} <= {e2} and ({part(KIND, i1)} = 0 or ({b1} < {spare} and {b2} < {spare})))"
 
 
 def _signed(batches, words: int, frequent, kind):
-    """Signature rows (key, node, info), and a row of each document (id, node, size in info,
-    bitmap)."""
+    """Signature rows (key, node, n, info), and a row of each document (id, node, n, bitmap)."""
     seen: set[int] = set()
     common = frequent.value
     for batch in batches:
@@ -197,7 +188,7 @@ def _signed(batches, words: int, frequent, kind):
             s = Sets(tx.texts_of(part.column(1)), words)
             size = len(s.n)
             bitmap = pa.array(s.bitmaps(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(s.node), pa.array(s.n.astype(np.int64)), part.column(0), bitmap], names=["key", "node", "info", "id", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(s.node), pa.array(s.n.astype(np.int32)), pa.nulls(size, pa.int64()), part.column(0), bitmap], names=["key", "node", "n", "info", "id", "bitmap"])
             fresh = _fresh(s, seen)
             is_common = tx.member(common, s.g) >= 0
             rares = np.bincount(s.d[~is_common], minlength=size)
@@ -208,16 +199,16 @@ def _signed(batches, words: int, frequent, kind):
             rank = before - 1 - start[s.d]
             plain = fresh & (rares > e)
             keep = plain[s.d] & ~is_common & (rank <= e[s.d])
-            keys, owner, info = [s.g[keep]], [s.d[keep]], [rank[keep] << 2]
+            keys, owner, info = [s.g[keep]], [s.d[keep]], [pack(rank[keep], np.zeros(int(keep.sum()), np.int64), 0)]
             for i in np.flatnonzero(fresh & (rares <= e)).tolist():
                 a, b = s.lo[i], s.lo[i + 1]
-                k, ranks, roles = signatures(s.g[a:b], is_common[a:b])
+                k, x = signatures(s.g[a:b], is_common[a:b])
                 keys.append(k)
                 owner.append(np.full(len(k), i))
-                info.append((ranks << 2) | roles)
+                info.append(x)
             key, of = np.concatenate(keys), np.concatenate(owner)
             m = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[of]), pa.array(np.concatenate(info) | (s.n[of].astype(np.int64) << 32)), pa.nulls(m, kind), pa.nulls(m, pa.binary())], names=["key", "node", "info", "id", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[of]), pa.array(s.n[of].astype(np.int32)), pa.array(np.concatenate(info)), pa.nulls(m, kind), pa.nulls(m, pa.binary())], names=["key", "node", "n", "info", "id", "bitmap"])
 
 
 def _sets(batches, words: int):
@@ -266,18 +257,24 @@ class Join:
         self.spark = docs.sparkSession
 
     def _common(self) -> np.ndarray:
-        """The frequent shingles, at most ``max_frequent``."""
-        words = self.words
-        counted = self.docs.select("text").mapInArrow(lambda it: _prefixes(it, words), "token long").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= self.frequent)
+        """The frequent shingles, at most ``max_frequent``: those frequent in prefixes, and
+        those frequent in the sets whose prefixes these extend."""
+        first = self._often(None)
+        return np.union1d(first, self._often(self.spark.sparkContext.broadcast(first))) if len(first) else first
+
+    def _often(self, known) -> np.ndarray:
+        words, most = self.words, self.max_frequent // 2
+        counted = self.docs.select("text").mapInArrow(lambda it: _prefixes(it, words, known), "token long").groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= self.frequent)
         counted = store.keep(counted, "frequent")
         least, total = 0, 0
         for power, n in sorted(((r[0], r[1]) for r in counted.groupBy(F.floor(F.log2("c")).alias("p")).count().collect()), reverse=True):
-            if total + n > self.max_frequent:
+            if total + n > most:
                 least = 1 << (power + 1)
                 break
             total += n
         got = np.array([r[0] for r in counted.where(F.col("c") >= least).select("token").toLocalIterator()], np.int64)
         store.drop(counted)
+        store.tidy(self.spark)
         return np.sort(got.view(np.uint64))
 
     def run(self) -> DataFrame:
@@ -288,13 +285,12 @@ class Join:
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(self.docs.schema["id"].dataType)
-        signed = store.keep(self.docs.mapInArrow(lambda it: _signed(it, words, common, arrow), f"key long, node long, info long, id {kind}, bitmap binary"), "signed")
-        rows = store.keep(signed.where("key is null").select("id", "node", F.col("info").cast("int").alias("n")), "rows")
-        nodes = store.keep(signed.where("key is null and info >= 4 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("info").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-        keys = signed.where("key is not null").select("key", "node", "info")
-        # a signature matters if two nodes hold it and, across size bands, one of either role
-        shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_or(F.expr(f"shiftleft(1, cast({ROLE} as int))")).alias("r")).where("lo < hi and r not in (2, 4)").select(F.col("key").alias("k"))
-        posts = store.keep(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "info"), "posts")
+        signed = store.keep(self.docs.mapInArrow(lambda it: _signed(it, words, common, arrow), f"key long, node long, n int, info long, id {kind}, bitmap binary"), "signed")
+        rows = store.keep(signed.where("key is null").select("id", "node", "n"), "rows")
+        nodes = store.keep(signed.where("key is null and n >= 4 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
+        keys = signed.where("key is not null").select("key", "node", "n", "info")
+        shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+        posts = store.keep(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "info"), "posts")
         store.drop(signed)
         del signed, keys, shared
         store.tidy(spark)
@@ -322,9 +318,9 @@ class Join:
         """Each node with the holder that most of its signatures elect, unless they are in one
         component.  A signature elects the holder that comes first in the round's order."""
         prio = F.xxhash64(F.lit(r), F.col("node"))
-        first = posts.groupBy("key").agg(F.min(F.struct(prio.alias("p"), F.col("node").alias("node"), F.col("info").alias("info"))).alias("f"))
-        first = first.select(F.col("key").alias("k"), F.col("f.node").alias("lead"), F.col("f.info").alias("m"))
-        votes = posts.join(first, F.col("key") == F.col("k")).where(f"node <> lead and {_may_link('info', 'm')}").groupBy("node", "lead").agg(F.count("*").alias("votes"))
+        first = posts.groupBy("key").agg(F.min(F.struct(prio.alias("p"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("info").alias("info"))).alias("f"))
+        first = first.select(F.col("key").alias("k"), F.col("f.node").alias("lead"), F.col("f.n").alias("m"), F.col("f.info").alias("j"))
+        votes = posts.join(first, F.col("key") == F.col("k")).where(f"node <> lead and {_may_link('info', 'n', 'j', 'm')}").groupBy("node", "lead").agg(F.count("*").alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead"))
         if r:
             of = lambda name: labels.select(F.col("node").alias("x"), F.col("comp").alias(name))
@@ -335,18 +331,20 @@ class Join:
     def _rest(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
         """All pairs that share a signature and are in different components.  Pairs of
         components are made first, then their members, so a component costs no square."""
-        own = posts.distinct().join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "info", F.coalesce("comp", "node").alias("comp"))
+        own = posts.distinct().join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", "info", F.coalesce("comp", "node").alias("comp"))
         split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
         own = store.keep(own.join(split, F.col("key") == F.col("k")).drop("k"), "split")
         # bounds of a component's holders rule out most pairs of components
-        size, rank = F.expr(SIZE), F.expr(RANK)
-        comps = own.groupBy("key", "comp").agg(F.min(size).alias("s"), F.max(size).alias("l"), F.min(rank).alias("r"))
+        a, b = F.expr(FIRST), F.expr(SECOND)
+        comps = own.groupBy("key", "comp").agg(F.min("n").alias("s"), F.max("n").alias("l"), F.min(a).alias("a"), F.min(b).alias("b"), F.first(F.expr(KIND)).alias("kind"))
         one, other = (comps.select(*(F.col(c).alias(f"{c}{i}") for c in comps.columns)) for i in (1, 2))
-        reach = lambda i, j: f"r{i} <= l{i} - ((4 * (l{i} + s{j}) + 8) div 9)"
-        two = one.join(other, F.expr(f"key1 = key2 and comp1 < comp2 and {reach(1, 2)} and {reach(2, 1)}")).select("key1", "comp1", "comp2")
-        left = own.select(F.col("key").alias("k1"), F.col("node").alias("a"), F.col("info").alias("ia"), F.col("comp").alias("m1"))
-        right = own.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("info").alias("ib"), F.col("comp").alias("m2"))
-        pairs = two.join(left, (F.col("key1") == F.col("k1")) & (F.col("comp1") == F.col("m1"))).join(right, (F.col("key1") == F.col("k2")) & (F.col("comp2") == F.col("m2")) & F.expr(_may_link("ia", "ib")))
+        e1, e2 = "(l1 - ((4 * (l1 + s2) + 8) div 9))", "(l2 - ((4 * (l2 + s1) + 8) div 9))"
+        spare = f"({e1} - a1 + {e2} - a2 + 1)"
+        two = one.join(other, F.expr(f"key1 = key2 and comp1 < comp2 and a1 <= {e1} and a2 <= {e2} and (kind1 = 0 or (b1 < {spare} and b2 < {spare}))")).select("key1", "comp1", "comp2")
+        left = own.select(F.col("key").alias("k1"), F.col("node").alias("na"), F.col("n").alias("sa"), F.col("info").alias("ia"), F.col("comp").alias("m1"))
+        right = own.select(F.col("key").alias("k2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("info").alias("ib"), F.col("comp").alias("m2"))
+        pairs = two.join(left, (F.col("key1") == F.col("k1")) & (F.col("comp1") == F.col("m1"))).join(right, (F.col("key1") == F.col("k2")) & (F.col("comp2") == F.col("m2")) & F.expr(_may_link("ia", "sa", "ib", "sb")))
+        pairs = pairs.select(F.col("na").alias("a"), F.col("nb").alias("b"))
         return pairs.select("a", "b").distinct()
 
     def _verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:

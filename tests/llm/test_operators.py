@@ -1,0 +1,390 @@
+"""The other operators of the subpackage: brute force, round trips, held-out accuracy, edges."""
+
+import hashlib
+import io
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftplane.llm import chat, decontaminate, gbt, langid, mixing, pii, quality, secrets, tagger, toxicity, warc
+from driftplane.llm import text as tx
+
+SMALL = "/root/testdata/sf0.01"
+TEXT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, **more):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, TEXT).withColumns({"key": F.lit("x"), "score": F.lit(1), **{k: F.lit(v) for k, v in more.items()}})
+
+
+ODD = [None, "", "   \n\t ", "a", "é", "\U0001f600 \U0001f600", "word " * 5000, "a b c\na b c\n\na b c", "same", "same"]
+
+# --- text -------------------------------------------------------------------------------------
+
+
+def test_hashes_do_not_depend_on_blocks():
+    texts = ["one two  three", "", "ünïcode \U0001f600 x", "two"]
+    whole = tx.Block(texts)
+    s, e, d = whole.words()
+    got = list(zip(d.tolist(), tx.Hasher(whole.cp).spans(s, e).tolist(), strict=True))
+    want = [(i, tx.hash_text(w)) for i, t in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    assert got == want
+
+
+def test_slices_cover_all_rows():
+    import pyarrow as pa
+
+    col = pa.array(["x" * n for n in (0, 5, 100, 1, 1)] + [None])
+    parts = list(tx.slices(col, 20))
+    assert parts[0][0] == 0 and parts[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+def brute_stats(t):
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = {}
+    for i in range(len(words) - 2):
+        windows.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)]
+
+
+def test_quality_statistics(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(150).collect()] + ["" if t is None else t for t in ODD]
+    stats, _ = quality.measure(texts)
+    assert stats.tolist() == [brute_stats(t) for t in texts]
+
+
+def test_quality_edges(spark):
+    docs = frame(spark, ODD)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int").limit(0)
+    out = quality.assess(docs, quality.train(docs, labels)).collect()
+    assert len(out) == len(ODD)
+    assert all(not r.kept for r in out if r.n_words < 50)
+    assert quality.assess(docs.limit(0), quality.train(docs, labels)).count() == 0
+
+
+def test_trees_learn_and_keep_limits():
+    r = np.random.default_rng(0)
+    x = r.random((2000, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) + 0.1 * r.standard_normal(2000)) > 0.6).astype(float)
+    f = gbt.fit(x, y, monotone=(1, 0, 0))
+    assert ((f.probability(x) > 0.5) == y).mean() > 0.9
+    grid = np.repeat(x[:50], 40, axis=0)
+    grid[:, 0] = np.tile(np.linspace(0, 1, 40), 50)
+    assert (np.diff(f.margin(grid).reshape(50, 40), axis=1) >= -1e-9).all()
+
+
+def test_isotonic():
+    xs, ys = gbt.isotonic(np.array([3.0, 1, 2, 4]), np.array([0.0, 0, 1, 1]))
+    assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
+
+
+# --- language ---------------------------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = langid.op7(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.98
+
+
+def test_language_edges(spark):
+    model = langid.fit(["the cat sat on the mat the end", "der hund und die katze der"], ["en", "de"], least=1)
+    out = {r.doc_id: r for r in langid.identify(frame(spark, [*ODD, "123 456"]), model).collect()}
+    assert [out[i].lang_pred for i in (0, 1, 2, 5, 10)] == ["und"] * 5
+    assert all(0 <= r.score <= 1 for r in out.values())
+    assert langid.fit([], []).langs == []
+    best, _ = langid.score(langid.fit([], []), ["the"])
+    assert best.tolist() == [-1]
+    assert langid.identify(frame(spark, ["x"]).limit(0), model).count() == 0
+
+
+def test_language_backs_off():
+    model = langid.fit(["streichholz schachtel " * 3, "allumette boisson " * 3], ["de", "fr"])
+    best, _ = langid.score(model, ["streichholzer", "allumettes", "boiss"])
+    assert [model.langs[i] for i in best] == ["de", "fr", "fr"]
+
+
+# --- toxicity ---------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    out = toxicity.op8(spark, SMALL).join(labels, "doc_id").where("held_out").collect()
+    hits = [r for r in out if r.predicted]
+    assert hits and sum(r.toxic for r in hits) / len(hits) > 0.8
+
+
+def test_toxicity_sees_disguise():
+    lexicon = np.unique(np.array([tx.hash_text("idiot")], np.uint64))
+    second = np.unique(np.array([tx.hash_text("you")], np.uint64))
+    x = toxicity.measure(["you idiot!", "you 1d10t", "id.iot", "I-D-I-O-T", "clean words", "", "IDIOT,"], lexicon, second)
+    plain, hidden = x[:, toxicity.FEATURES.index("plain_log")] > 0, x[:, toxicity.FEATURES.index("hidden_log")] > 0
+    assert (plain | hidden).tolist() == [True, True, True, True, False, False, True]
+    assert x[0, toxicity.FEATURES.index("near_second")] > 0
+
+
+def test_toxicity_edges(spark):
+    docs = frame(spark, ODD)
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.rate(docs, model).collect()} == {0}
+    assert toxicity.rate(docs.limit(0), model).count() == 0
+
+
+# --- decontamination --------------------------------------------------------------------------
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(3)
+    word = lambda: r.choice("alpha beta gamma delta eps zeta eta ÜBER 42 x-y".split())
+    items = [(str(i), " ".join(word() for _ in range(r.choice([1, 3, 7, 9, 10, 11, 25])))) for i in range(25)] + [("e", ""), ("7", "alpha beta gamma"), ("n", None)]
+    texts = [" ".join(word() for _ in range(r.randrange(0, 80))) for _ in range(60)] + [items[3][1] + " tail", *["" if t is None else t for t in ODD[:6]]]
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in decontaminate.scan(docs, bench).collect()}
+    assert got == dict(enumerate(decontaminate.brute(texts, [(a, b or "") for a, b in items])))
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    one = sorted(decontaminate.scan(docs, bench).collect())
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (300,))
+    assert sorted(decontaminate.scan(docs, bench).collect()) == one
+
+
+def test_decontamination_edges(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert decontaminate.scan(frame(spark, ODD), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.scan(frame(spark, ODD).limit(0), bench).count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------
+
+
+def test_targets():
+    assert mixing.targets([100.0, 100.0, 100.0], [5, 2, 1], 450.0) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
+    assert mixing.targets([0.0, 10.0], [5, 2], 15.0) == [0.0, 15.0]
+
+
+def test_mix_meets_targets(spark):
+    r = random.Random(0)
+    rows = [(i, " ".join(["w"] * int(r.lognormvariate(4, 1.2))), "en", r.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, TEXT).repartition(5)
+    sized = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("_size")).cache()
+    plan = mixing.fit(sized)
+    out = plan.apply(sized).withColumn("taken", F.col("_copies") * F.col("_size"))
+    for x in out.groupBy("source").agg(F.first("_target").alias("t"), F.sum("taken").alias("k"), F.max(F.col("taken") - 2 * F.col("_size")).alias("over")).collect():
+        assert abs(x.k - x.t) <= max(25, 0.002 * x.t) and x.over <= 0
+    again = mixing.fit(sized.repartition(3)).apply(sized.repartition(7))
+    assert sorted(again.select("doc_id", "_copies").collect()) == sorted(out.select("doc_id", "_copies").collect())
+
+
+def test_mix_edges(spark):
+    docs = frame(spark, ODD)
+    assert mixing.stage(spark, docs.limit(0), SMALL).count() == 0
+    sized = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("_size"))
+    assert mixing.fit(sized).apply(sized).count() == len(ODD)
+    with pytest.raises(ValueError, match="max_sources"):
+        mixing.fit(sized.withColumn("source", F.col("doc_id").cast("string")), max_sources=2)
+
+
+# --- chat -------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    r = random.Random(1)
+    bits = [*chat.TEMPLATE.control, "\\", "\\1.", "\\0.", "<", "[", "a", " ", "\n", "é"]
+    turns = [(c, t, r.choice(["system", "user", "assistant", "tool", "", None, "<|x|>"]), None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randrange(12)))) for c in range(60) for t in range(r.randrange(1, 6))]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(rows)
+    got = {x.conv_id: [(t.role, t.text) for t in x.t] for x in made.select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    want = {}
+    for c, _, role, text in turns:
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert got == want
+
+
+def test_chat_order(spark):
+    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "assistant", "x"), (2, 0, "system", "s"), (2, 1, "user", "u"), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "v")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.valid for r in chat.format_chats(df).collect()} == {0: True, 1: False, 2: False, 3: True}
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_sql(spark):
+    import oracle
+
+    assert oracle.compare(spark, SMALL, chat.op5, chat.ORACLE) == ""
+
+
+# --- personal data ----------------------------------------------------------------------------
+
+
+def plain_spans(t):
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_equal_plain_patterns():
+    r = random.Random(2)
+    for _ in range(20000):
+        t = "".join(r.choice("ab.@-+ 0125()%") for _ in range(r.randrange(60)))
+        assert pii.base_spans(t) == plain_spans(t), t
+    assert pii.base_spans("4111 1111 1111 1111 and +49 (30) 1234-5678") == plain_spans("4111 1111 1111 1111 and +49 (30) 1234-5678")
+    assert pii.base_spans("9" * 200_000 + "@" + "a." * 1000) is not None
+
+
+def test_tagger_gradients():
+    t = tagger.Tagger.fresh(6, 3, embed=3, hidden=4, seed=1)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    r = np.random.default_rng(0)
+    x, mask = r.integers(1, 6, (7, 2)), np.ones((7, 2))
+    mask[5:, 1] = 0
+    y = r.integers(0, 3, (7, 2)) * mask.astype(int)
+    _, g = t.loss(x, mask, y)
+    for k in ("wx", "wh", "wo", "tr", "emb", "st"):
+        i = tuple(r.integers(0, s) for s in t.p[k].shape)
+        old, eps = t.p[k][i], 1e-4
+        t.p[k][i] = old + eps
+        up, _ = t.loss(x, mask, y)
+        t.p[k][i] = old - eps
+        down, _ = t.loss(x, mask, y)
+        t.p[k][i] = old
+        assert abs((up - down) / (2 * eps) - g[k][i]) < 2e-3, k
+
+
+def test_tagger_finds_disguised_data():
+    model = pii.default_tagger()
+    held = pii.examples(300, seed=77)
+    x, m, y = pii.encode(held)
+    tags, _ = model.decode(np.ascontiguousarray(x.T), np.ascontiguousarray(m.T))
+    assert ((tags.T == y)[(m > 0) & (y > 0)]).mean() > 0.85
+    texts = ["write to mila.krone at mail7.example dot com please " * 1, "call (555) 123-4567 now"]
+    _, added = pii.find(texts, model)
+    assert any(a for a in added)
+
+
+def test_windows_are_reconciled():
+    found = [(5.0, (0, 0, 10)), (4.0, (0, 8, 20)), (3.0, (1, 12, 18)), (5.0, (0, 0, 10))]
+    assert pii.choose(found) == [(0, 0, 10), (1, 12, 18)]
+
+
+def test_pii_edges(spark):
+    out = pii.detect(frame(spark, [*ODD, "x" * 70 + " a@b.cd " + "y " * 5000 + "1.2.3.4"])).collect()
+    assert [len(r.base) for r in out] == [0] * len(ODD) + [2]
+    assert pii.detect(frame(spark, ODD).limit(0)).count() == 0
+    got = pii.stage(spark, frame(spark, ["mail a@b.cd", None, "no"]), SMALL).collect()
+    assert [(r.text, r.n_chars) for r in got] == [("mail [EMAIL]", 12), (None, 0), ("no", 2)]
+
+
+# --- secrets ----------------------------------------------------------------------------------
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    model = secrets._default(spark, 3000, 0)
+    rows = [(i, *x) for i, x in enumerate(secrets.findings(800, seed=9))]
+    df = secrets.features(spark.createDataFrame(rows, "i int, value string, before string, after string, label int"), model.odds)
+    got = df.withColumn("score", model.score(F.col("x"))).select("label", "score", "x").collect()
+    assert sum((r.score >= 0.5) == bool(r.label) for r in got) / len(got) > 0.95
+    assert np.allclose(model.predict(np.array([r.x for r in got])), [r.score for r in got])
+
+
+def test_secret_offsets(spark):
+    texts = ["ü token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" and\npassword: 'hunter2hunter2' é", None, "", "plain words only", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" " * 3]
+    docs = frame(spark, texts)
+    rows = secrets.candidates(docs).collect()
+    assert len(rows) == 5 and all(texts[r.doc_id][r.start : r.end] == r.value for r in rows)
+    found = secrets.scan(docs).collect()
+    assert all(r.is_secret for r in found if len(r.value) == 40)
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+# --- archives ---------------------------------------------------------------------------------
+
+
+def archive(records, dictionary=b""):
+    to = io.BytesIO()
+    w = warc.Writer(to, dictionary)
+    for r in records:
+        w.add(r)
+    return to.getvalue()
+
+
+def test_archive_round_trip():
+    bodies = [("<html>%d</html>" % i * 20).encode() for i in range(200)] + [b""]
+    raw = [warc.record(str(i), "http://a b", b) for i, b in enumerate(bodies)]
+    for d in (b"", warc.train_dictionary(raw)):
+        assert [r["payload"] for r in warc.loads(archive(raw, d))] == bodies
+    again = warc.loads(archive([warc.record("9", None, b"abc", "1")]))[0]
+    assert (again["type"], again["bytes"], again["digest"], again["refers_to"]) == ("revisit", 3, warc.digest(b"abc"), "<urn:page:1>")
+
+
+def test_broken_archives_are_refused():
+    good = warc.record("1", "u", b"payload")
+    data = archive([good])
+    with pytest.raises(Exception):
+        warc.loads(data[:-3])
+    for bad in (good.replace(b"payload", b"pay1oad"), good[:-1], good.replace(b"WARC/1.1", b"HTTP/1.1"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"payload", b"longer payload")):
+        with pytest.raises(warc.Invalid):
+            warc.loads(archive([bad]))
+
+
+def test_archives_equal_brute_force(spark, tmp_path):
+    rows = [(5, "same"), (2, "same"), (9, "same"), (1, None), (3, ""), (4, "é" * 3000), (7, "x"), (7, "x")]
+    pages = spark.createDataFrame([(i, "http://h/" + str(i), h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, warc.op10(spark, f"file://{tmp_path}").collect()), key=str)
+    assert got == sorted(warc.brute(rows), key=str)
+    folder = f"file://{tmp_path}/small"
+    manifest = warc.write_archives(pages, folder, archive_bytes=200, max_groups=0)
+    assert manifest.count() > 2 and warc.read_archives(manifest, folder).count() == len(rows)
+    assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).count() == 0
+
+
+# --- pipeline ---------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from driftplane.llm import jaccard, store
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "pii", "source_mixing"]
+    small = "/root/testdata/sf0.001"
+    docs = store.table(spark, small, "documents")
+    names = docs.columns
+    bench = [(str(r.item_id), r.text) for r in store.table(spark, small, "benchmark").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = store.keep(stage(spark, docs, small), name)
+        after = {r.doc_id: r.text for r in docs.collect()}
+        assert docs.columns[: len(names)] == names
+        if name == "language_id":
+            assert len(after) == len(before)
+        elif name == "ngram_jaccard_join":
+            groups = {r.id: r.component_id for r in jaccard.join(spark.createDataFrame(list(before.items()), "doc_id long, text string")).collect()}
+            assert set(after) == {i for i, c in groups.items() if i == c}
+        elif name == "benchmark_decontamination":
+            hits = decontaminate.brute(list(before.values()), bench)
+            assert set(after) == {i for i, h in zip(before, hits, strict=True) if not h[1]}
+        elif name == "pii":
+            assert set(after) == set(before) and not any(pii.base_spans(t) for t in after.values() if t and "[" not in t)
+
+
+def test_digest_of_no_items():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

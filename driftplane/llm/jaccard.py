@@ -7,15 +7,14 @@ Signatures.  A node of n shingles may lack at most e = n - ceil(4 (n + m) / 9) o
 linked node of m, a fifth of them for any m.  All shingles have one global order: rare
 before frequent, then by hash.  A node's prefix is its first e + 1 rare shingles, each a
 signature.  If it has no more than e rare ones (r), the prefix extends to all frequent ones,
-dealt to 1, 2, 4, ... classes by hash; the combination of all frequent shingles in a class
-is a signature.  If two linked nodes share no rare shingle, each lacks at most e - r of its
+dealt to 1, 2, 3, 4, 6, ... classes by hash; the combination of all frequent shingles in a
+class is a signature.  If two linked nodes share no rare shingle, each lacks at most e - r of its
 frequent ones, and every one lacked breaks one class: at the first level where either fills
 more classes than both can lack together, one filled class is the same in both.  Signatures
 carry what decides whether the pair needs that level.  A shingle is frequent if it occurs in
 many hash-ordered prefixes; the label only steers cost, any labelling is exact.  (Where a
-prefix holds frequent shingles it extends to others, so all shingles of such nodes are
-counted in a second round.)  At most ``max_frequent`` labels are broadcast: the threshold
-rises until they fit.
+prefix holds frequent shingles it extends to others, which a second round counts.)  At most
+``max_frequent`` labels are broadcast: the threshold rises until they fit.
 
 Verification.  Comparing all holders of a signature would be quadratic in a family of near
 copies.  So first, in ``stars`` rounds, every node is compared with one holder that many
@@ -35,6 +34,8 @@ an empty result.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +102,7 @@ class Sets:
 
 def _prefixes(batches, words: int, frequent=None):
     """Shingles of the hash-ordered prefixes; a set counts once a task.  With known frequent
-    shingles: all shingles of the sets whose prefix holds one, as their prefixes extend."""
+    shingles: those that a prefix extends to for the frequent ones it holds."""
     seen: set[int] = set()
     common = frequent.value if frequent else None
     for batch in batches:
@@ -112,7 +113,9 @@ def _prefixes(batches, words: int, frequent=None):
             keep = first
             if frequent:
                 hit = tx.member(common, s.g[first]) >= 0
-                keep = (np.bincount(s.d[first][hit], minlength=len(s.n)) > 0)[s.d]
+                held, size = np.bincount(s.d[first][hit], minlength=len(s.n)), errors(s.n) + 1
+                more = np.ceil(1.25 * held * size / np.maximum(size - held, 0.1))
+                keep = ~first & (rank < (size + more)[s.d])
             keep &= _fresh(s, seen)[s.d]
             yield pa.RecordBatch.from_arrays([pa.array(s.g[keep].view(np.int64))], names=["token"])
 
@@ -133,31 +136,41 @@ def missing(n: int, m: int) -> int:
     return n - (4 * (n + m) + 8) // 9
 
 
-def signatures(g: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one sorted set that has no more rare shingles than it may lack, and
-    their info: each rare shingle, and the combination of all frequent shingles of each
-    class at levels of 1, 2, 4, ... classes."""
+@functools.cache
+def levels() -> list[int]:
+    """Numbers of classes, each a third to a half above the one before."""
+    return sorted({m << k for k in range(30) for m in (1, 3)})
+
+
+def signatures(g: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of one sorted set that has no more rare shingles than it may lack, and two
+    words of info: each rare shingle, and the combination of all frequent shingles of each
+    class at levels of 1, 2, 3, 4, 6, 8, ... classes."""
     n, rare, common = len(g), g[~frequent], g[frequent]
     r = len(rare)
-    keys, info = [rare], [pack(np.arange(r), np.zeros(r, np.int64), 0)]
+    keys, info, more = [rare], [pack(np.arange(r), np.zeros(r, np.int64), 0)], [np.zeros(r, np.int64)]
     total = n + 5 * n // 4  # with the largest partner
     need = total - 2 * ((4 * total + 8) // 9) - r + 2
-    salted, full, level = tx.mix(common.copy()), 0, 0
-    while full < need and len(common) and level < 64:
-        cls = common >> np.uint64(64 - level) if level else np.zeros(len(common), np.uint64)
+    salted, part, full = tx.mix(common.copy()), common >> np.uint64(32), 0
+    for m in levels():
+        if full >= need or not len(common):
+            break
+        cls = (part * np.uint64(m)) >> np.uint64(32)
         start = np.concatenate(([0], np.flatnonzero(cls[1:] != cls[:-1]) + 1))
         k = np.add.reduceat(salted, start)
         k *= np.uint64(0xD1342543DE82EF95)
-        k += cls[start] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1)
+        k += cls[start] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m)
         keys.append(tx.mix(k))
         info.append(pack(np.full(len(k), r), np.full(len(k), full), 1))
-        full, level = len(start), level + 1
-    return np.concatenate(keys), np.concatenate(info)
+        more.append((np.int64(len(k)) << 32) | np.arange(len(k)))
+        full = max(full, len(k))
+    return np.concatenate(keys), np.concatenate(info), np.concatenate(more)
 
 
 def pack(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
     """kind 0: a is the rank of a rare shingle.  kind 1: a is the number of rare shingles, b
-    how many classes the level above fills."""
+    how many classes the levels before fill at most; the other word has how many classes
+    this level fills, and which of these it is."""
     return (np.minimum(a, (1 << 30) - 1).astype(np.int64) << 32) | (np.minimum(b, (1 << 30) - 1).astype(np.int64) << 1) | kind
 
 
@@ -165,21 +178,23 @@ def pack(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 FIRST, SECOND, KIND = "(info >> 32)", "((info >> 1) & 1073741823)", "(info & 1)"
 
 
-def _may_link(i1: str, n1: str, i2: str, n2: str) -> str:
+def _may_link(i1: str, n1: str, m1: str, i2: str, n2: str, m2: str) -> str:
     """SQL: two holders of a signature must be compared.
 
     A rare shingle must be in the prefix that the other's size asks of each.  A combination
-    counts where neither set can lack so few frequent shingles that the level above had
-    enough classes to show a link."""
+    counts at the first level where either set fills as many classes as the pair may break
+    and one more, and there among that many of its classes."""
     part = lambda x, i: x.replace("info", i)
     e1, e2 = (f"({n} - ((4 * ({n1} + {n2}) + 8) div 9))" for n in (n1, n2))
     a1, a2, b1, b2 = part(FIRST, i1), part(FIRST, i2), part(SECOND, i1), part(SECOND, i2)
     spare = f"({e1} - {a1} + {e2} - {a2} + 1)"
-    return f"({a1} <= {e1} and {a2} <= {e2} and ({part(KIND, i1)} = 0 or ({b1} < {spare} and {b2} < {spare})))"
+    at = lambda m: f"({m} & 4294967295) < {spare}"
+    level = f"{b1} < {spare} and {b2} < {spare} and case when ({m1} >> 32) >= {spare} then {at(m1)} when ({m2} >> 32) >= {spare} then {at(m2)} else false end"
+    return f"({a1} <= {e1} and {a2} <= {e2} and ({part(KIND, i1)} = 0 or ({level})))"
 
 
 def _signed(batches, words: int, frequent, kind):
-    """Signature rows (key, node, n, info), and a row of each document (id, node, n, bitmap)."""
+    """Signature rows (key, node, n, info, more), and a row of each document (id, node, n, bitmap)."""
     seen: set[int] = set()
     common = frequent.value
     for batch in batches:
@@ -188,7 +203,7 @@ def _signed(batches, words: int, frequent, kind):
             s = Sets(tx.texts_of(part.column(1)), words)
             size = len(s.n)
             bitmap = pa.array(s.bitmaps(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(s.node), pa.array(s.n.astype(np.int32)), pa.nulls(size, pa.int64()), part.column(0), bitmap], names=["key", "node", "n", "info", "id", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(s.node), pa.array(s.n.astype(np.int32)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), part.column(0), bitmap], names=["key", "node", "n", "info", "more", "id", "bitmap"])
             fresh = _fresh(s, seen)
             is_common = tx.member(common, s.g) >= 0
             rares = np.bincount(s.d[~is_common], minlength=size)
@@ -199,16 +214,18 @@ def _signed(batches, words: int, frequent, kind):
             rank = before - 1 - start[s.d]
             plain = fresh & (rares > e)
             keep = plain[s.d] & ~is_common & (rank <= e[s.d])
-            keys, owner, info = [s.g[keep]], [s.d[keep]], [pack(rank[keep], np.zeros(int(keep.sum()), np.int64), 0)]
+            none = np.zeros(int(keep.sum()), np.int64)
+            keys, owner, info, more = [s.g[keep]], [s.d[keep]], [pack(rank[keep], none, 0)], [none]
             for i in np.flatnonzero(fresh & (rares <= e)).tolist():
                 a, b = s.lo[i], s.lo[i + 1]
-                k, x = signatures(s.g[a:b], is_common[a:b])
+                k, x, y = signatures(s.g[a:b], is_common[a:b])
                 keys.append(k)
                 owner.append(np.full(len(k), i))
                 info.append(x)
+                more.append(y)
             key, of = np.concatenate(keys), np.concatenate(owner)
             m = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[of]), pa.array(s.n[of].astype(np.int32)), pa.array(np.concatenate(info)), pa.nulls(m, kind), pa.nulls(m, pa.binary())], names=["key", "node", "n", "info", "id", "bitmap"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[of]), pa.array(s.n[of].astype(np.int32)), pa.array(np.concatenate(info)), pa.array(np.concatenate(more)), pa.nulls(m, kind), pa.nulls(m, pa.binary())], names=["key", "node", "n", "info", "more", "id", "bitmap"])
 
 
 def _sets(batches, words: int):
@@ -258,7 +275,7 @@ class Join:
 
     def _common(self) -> np.ndarray:
         """The frequent shingles, at most ``max_frequent``: those frequent in prefixes, and
-        those frequent in the sets whose prefixes these extend."""
+        those frequent among what prefixes extend to for them."""
         first = self._often(None)
         return np.union1d(first, self._often(self.spark.sparkContext.broadcast(first))) if len(first) else first
 
@@ -285,12 +302,12 @@ class Join:
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(self.docs.schema["id"].dataType)
-        signed = store.keep(self.docs.mapInArrow(lambda it: _signed(it, words, common, arrow), f"key long, node long, n int, info long, id {kind}, bitmap binary"), "signed")
+        signed = store.keep(self.docs.mapInArrow(lambda it: _signed(it, words, common, arrow), f"key long, node long, n int, info long, more long, id {kind}, bitmap binary"), "signed")
         rows = store.keep(signed.where("key is null").select("id", "node", "n"), "rows")
         nodes = store.keep(signed.where("key is null and n >= 4 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "nodes")
-        keys = signed.where("key is not null").select("key", "node", "n", "info")
+        keys = signed.where("key is not null").select("key", "node", "n", "info", "more")
         shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        posts = store.keep(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "info"), "posts")
+        posts = store.keep(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "info", "more"), "posts")
         store.drop(signed)
         del signed, keys, shared
         store.tidy(spark)
@@ -316,11 +333,13 @@ class Join:
 
     def _elected(self, posts: DataFrame, labels: DataFrame, r: int) -> DataFrame:
         """Each node with the holder that most of its signatures elect, unless they are in one
-        component.  A signature elects the holder that comes first in the round's order."""
-        prio = F.xxhash64(F.lit(r), F.col("node"))
-        first = posts.groupBy("key").agg(F.min(F.struct(prio.alias("p"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("info").alias("info"))).alias("f"))
-        first = first.select(F.col("key").alias("k"), F.col("f.node").alias("lead"), F.col("f.n").alias("m"), F.col("f.info").alias("j"))
-        votes = posts.join(first, F.col("key") == F.col("k")).where(f"node <> lead and {_may_link('info', 'n', 'j', 'm')}").groupBy("node", "lead").agg(F.count("*").alias("votes"))
+        component.  A signature elects the holder that comes first in the round's order; in
+        even rounds those of fewest rare shingles do, which near copies have in common."""
+        few = F.when(F.expr(f"{KIND} = 1"), F.expr(FIRST)).otherwise(F.lit(0)) if r % 2 == 0 else F.lit(0)
+        prio = F.struct(few.cast("long").alias("few"), F.xxhash64(F.lit(r), F.col("node")).alias("h"))
+        first = posts.groupBy("key").agg(F.min(F.struct(prio.alias("p"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("info").alias("info"), F.col("more").alias("more"))).alias("f"))
+        first = first.select(F.col("key").alias("k"), F.col("f.node").alias("lead"), F.col("f.n").alias("m"), F.col("f.info").alias("j"), F.col("f.more").alias("l"))
+        votes = posts.join(first, F.col("key") == F.col("k")).where(f"node <> lead and {_may_link('info', 'n', 'more', 'j', 'm', 'l')}").groupBy("node", "lead").agg(F.count("*").alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("best")).select("node", F.col("best.lead").alias("lead"))
         if r:
             of = lambda name: labels.select(F.col("node").alias("x"), F.col("comp").alias(name))
@@ -331,7 +350,7 @@ class Join:
     def _rest(self, posts: DataFrame, labels: DataFrame) -> DataFrame:
         """All pairs that share a signature and are in different components.  Pairs of
         components are made first, then their members, so a component costs no square."""
-        own = posts.distinct().join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", "info", F.coalesce("comp", "node").alias("comp"))
+        own = posts.distinct().join(labels.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", "info", "more", F.coalesce("comp", "node").alias("comp"))
         split = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
         own = store.keep(own.join(split, F.col("key") == F.col("k")).drop("k"), "split")
         # bounds of a component's holders rule out most pairs of components
@@ -341,9 +360,9 @@ class Join:
         e1, e2 = "(l1 - ((4 * (l1 + s2) + 8) div 9))", "(l2 - ((4 * (l2 + s1) + 8) div 9))"
         spare = f"({e1} - a1 + {e2} - a2 + 1)"
         two = one.join(other, F.expr(f"key1 = key2 and comp1 < comp2 and a1 <= {e1} and a2 <= {e2} and (kind1 = 0 or (b1 < {spare} and b2 < {spare}))")).select("key1", "comp1", "comp2")
-        left = own.select(F.col("key").alias("k1"), F.col("node").alias("na"), F.col("n").alias("sa"), F.col("info").alias("ia"), F.col("comp").alias("m1"))
-        right = own.select(F.col("key").alias("k2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("info").alias("ib"), F.col("comp").alias("m2"))
-        pairs = two.join(left, (F.col("key1") == F.col("k1")) & (F.col("comp1") == F.col("m1"))).join(right, (F.col("key1") == F.col("k2")) & (F.col("comp2") == F.col("m2")) & F.expr(_may_link("ia", "sa", "ib", "sb")))
+        left = own.select(F.col("key").alias("k1"), F.col("node").alias("na"), F.col("n").alias("sa"), F.col("info").alias("ia"), F.col("more").alias("xa"), F.col("comp").alias("m1"))
+        right = own.select(F.col("key").alias("k2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("info").alias("ib"), F.col("more").alias("xb"), F.col("comp").alias("m2"))
+        pairs = two.join(left, (F.col("key1") == F.col("k1")) & (F.col("comp1") == F.col("m1"))).join(right, (F.col("key1") == F.col("k2")) & (F.col("comp2") == F.col("m2")) & F.expr(_may_link("ia", "sa", "xa", "ib", "sb", "xb")))
         pairs = pairs.select(F.col("na").alias("a"), F.col("nb").alias("b"))
         return pairs.select("a", "b").distinct()
 

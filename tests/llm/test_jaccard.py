@@ -82,16 +82,17 @@ def test_signatures_meet():
             e = int(jaccard.errors(np.array([len(g)]))[0])
             if keep.sum() > e:
                 k = g[keep][: e + 1]
-                signed.append({int(a): (i, 0, 0) for i, a in enumerate(k)})
+                signed.append({int(a): (i, 0, 0, 0, 0) for i, a in enumerate(k)})
             else:
-                k, info = jaccard.signatures(g, ~keep)
-                signed.append({int(a): (int(i) >> 32, (int(i) >> 1) & (2**30 - 1), int(i) & 1) for a, i in zip(k, info, strict=True)})
+                k, info, more = jaccard.signatures(g, ~keep)
+                signed.append({int(a): (int(i) >> 32, (int(i) >> 1) & (2**30 - 1), int(i) & 1, int(m) >> 32, int(m) & (2**32 - 1)) for a, i, m in zip(k, info, more, strict=True)})
         ex, ey = jaccard.missing(len(x), len(y)), jaccard.missing(len(y), len(x))
 
         def counts(k):
-            (a1, b1, kind), (a2, b2, _) = signed[0][k], signed[1][k]  # noqa: B023
+            (a1, b1, kind, c1, o1), (a2, b2, _, c2, o2) = signed[0][k], signed[1][k]  # noqa: B023
             spare = ex - a1 + ey - a2 + 1  # noqa: B023
-            return a1 <= ex and a2 <= ey and (kind == 0 or (b1 < spare and b2 < spare))  # noqa: B023
+            level = b1 < spare and b2 < spare and (o1 < spare if c1 >= spare else o2 < spare if c2 >= spare else False)
+            return a1 <= ex and a2 <= ey and (kind == 0 or level)  # noqa: B023
 
         assert any(counts(k) for k in signed[0].keys() & signed[1].keys())
         met += 1

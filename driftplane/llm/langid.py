@@ -62,7 +62,7 @@ def _table(keys: np.ndarray, lang: np.ndarray, n_langs: int, smoothing: float, l
     total = np.maximum(counts.sum(0), 1)
     logp = np.log((counts + smoothing) / (total + smoothing * max(len(uniq), 1)))
     known = counts.sum(1) >= least
-    logp -= logp.mean(1, keepdims=True)
+    logp -= logp.sum(1, keepdims=True) / max(n_langs, 1)
     return uniq[known], logp[known].astype(np.float32)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, pii, quality, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, pii, quality, secrets, toxicity, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_quality_rules": quality.op3,
         "op4_mixing": mixing.op4,
         "op5_chat_format": chat.op5,
+        "op6_secret_scan": secrets.op6,
         "op7_language_id": langid.op7,
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontaminate.op9,

@@ -58,7 +58,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = found.select(id_col, F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_v"), F.split("_t", CANDIDATE, -1).alias("_g"))
     # gap i stands before value i; its length and the value's add up to the offsets
     steps = F.zip_with(F.slice("_g", 1, F.size("_v")), "_v", lambda g, v: F.length(g) + F.length(v))
-    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x)))
+    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
     found = found.withColumn("_e", F.when(F.size("_v") > 0, ends).otherwise(F.array().cast("array<int>")))
     rows = F.transform(F.sequence(F.lit(1), F.size("_v")), lambda i: F.struct(F.element_at("_e", i).alias("end"), F.element_at("_v", i).alias("value"), F.right(F.element_at("_g", i), F.lit(48)).alias("before"), F.left(F.element_at("_g", i + 1), F.lit(24)).alias("after")))
     found = found.select(id_col, F.explode(rows).alias("r"))

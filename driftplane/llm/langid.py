@@ -54,37 +54,47 @@ def _grams(hasher: tx.Hasher, s: np.ndarray, e: np.ndarray, n: int) -> tuple[np.
     return hasher.spans(at, at + n), of
 
 
-def _table(keys: np.ndarray, lang: np.ndarray, n_langs: int, smoothing: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their log frequencies by language, centred per key."""
-    uniq, code = np.unique(keys, return_inverse=True)
-    counts = np.zeros((len(uniq), n_langs))
-    np.add.at(counts, (code, lang), 1)
-    total = np.maximum(counts.sum(0), 1)
-    logp = np.log((counts + smoothing) / (total + smoothing * max(len(uniq), 1)))
-    known = counts.sum(1) >= least
-    logp -= logp.sum(1, keepdims=True) / max(n_langs, 1)
-    return uniq[known], logp[known].astype(np.float32)
+class _Counts:
+    """Counts of keys by language, merged block by block so that memory holds distinct keys."""
+
+    def __init__(self, n_langs: int):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros((0, n_langs), np.float32)
+
+    def add(self, keys: np.ndarray, lang: np.ndarray) -> None:
+        uniq, code = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
+        counts = np.zeros((len(uniq), self.counts.shape[1]), np.float32)
+        counts[code[: len(self.keys)]] = self.counts
+        for j in range(counts.shape[1]):
+            own = code[len(self.keys) :][lang == j]
+            counts[:, j] += np.bincount(own, minlength=len(uniq)).astype(np.float32)
+        self.keys, self.counts = uniq, counts
+
+    def table(self, smoothing: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys met often enough and their log frequencies by language, centred."""
+        total = np.maximum(self.counts.sum(0), 1)
+        known = self.counts.sum(1) >= least
+        logp = np.log((self.counts[known] + smoothing) / (total + smoothing * max(len(self.keys), 1)))
+        logp -= logp.sum(1, keepdims=True) / max(logp.shape[1], 1)
+        return self.keys[known], logp.astype(np.float32)
 
 
 def fit(texts: list[str], langs: list[str], *, least: int = 2) -> Model:
     names = sorted(set(langs))
     code = np.array([names.index(x) for x in langs], np.int64)
-    words, word_lang = [], []
-    grams: list[list[np.ndarray]] = [[] for _ in range(MAX_N)]
-    gram_lang: list[list[np.ndarray]] = [[] for _ in range(MAX_N)]
-    for lo in range(0, len(texts), 64):
-        b = tx.Block(texts[lo : lo + 64])
-        low, s, e, d = _spans(b)
-        hasher, of_lang = tx.Hasher(low), code[lo : lo + 64][d]
-        words.append(hasher.spans(s, e))
-        word_lang.append(of_lang)
+    words, grams = _Counts(len(names)), [_Counts(len(names)) for _ in range(MAX_N)]
+    lens = np.cumsum([len(t) for t in texts])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(lens, (lens[lo - 1] if lo else 0) + tx.BLOCK_CHARS // 2, "right")))
+        low, s, e, d = _spans(tx.Block(texts[lo:hi]))
+        hasher, of_lang = tx.Hasher(low), code[lo:hi][d]
+        words.add(hasher.spans(s, e), of_lang)
         for n in range(1, MAX_N + 1):
             h, of = _grams(hasher, s, e, n)
-            grams[n - 1].append(h)
-            gram_lang[n - 1].append(of_lang[of])
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    wk, wp = _table(join(words, np.uint64), join(word_lang, np.int64), len(names), WORD_SMOOTHING, least)
-    made = [_table(join(g, np.uint64), join(x, np.int64), len(names), GRAM_SMOOTHING, least) for g, x in zip(grams, gram_lang, strict=True)]
+            grams[n - 1].add(h, of_lang[of])
+        lo = hi
+    wk, wp = words.table(WORD_SMOOTHING, least)
+    made = [g.table(GRAM_SMOOTHING, least) for g in grams]
     return Model(names, wk, wp, [m[0] for m in made], [m[1] for m in made])
 
 

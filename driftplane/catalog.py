@@ -1,7 +1,668 @@
-"""Registered queries over the test tables, and equivalent SQL."""
+"""Registered queries over the test tables, and equivalent SQL.
+
+The tables have no coordinates, so both engines derive the same ones from integer keys, and
+share one small literal rotation model.  Results are rounded to six decimals.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import palettes, projections
+from .functions import quaternion as Q
+from .functions import sphere as S
+from .operators import coregistration, kinematics, partition, raster, reconstruct, topology
+from .operators import rotation_model as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "reconstruct_points"
+
+#: (seq, moving, fixed, time, lat, lon, angle); plate 106 is in no sequence.
+MODEL = [
+    (1, 100, 0, 0.0, 90.0, 0.0, 0.0), (1, 100, 0, 50.0, 40.0, -30.0, 10.0), (1, 100, 0, 200.0, 45.0, -25.0, 35.0),
+    (2, 101, 100, 0.0, 90.0, 0.0, 0.0), (2, 101, 100, 100.0, 60.0, 120.0, -20.0), (2, 101, 100, 200.0, 65.0, 110.0, -40.0),
+    (3, 102, 101, 0.0, 90.0, 0.0, 0.0), (3, 102, 101, 200.0, -10.0, 30.0, 25.0),
+    (4, 103, 100, 0.0, 90.0, 0.0, 0.0), (4, 103, 100, 80.0, 20.0, 50.0, 15.0), (4, 103, 100, 200.0, 25.0, 60.0, 45.0),
+    (5, 104, 103, 0.0, 90.0, 0.0, 0.0), (5, 104, 103, 200.0, 5.0, -140.0, -30.0),
+    (6, 105, 0, 0.0, 90.0, 0.0, 0.0), (6, 105, 0, 200.0, -70.0, 10.0, 60.0),
+]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def samples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(*m, False) for m in MODEL], "seq long, moving long, fixed long, time double, lat double, lon double, angle double, disabled boolean")
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Features: points with plates and valid times."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("id"), (k * 53 % 179 - 89).cast("double").alias("lat"), (k * 37 % 360 - 180).cast("double").alias("lon"), (k % 7 + 100).alias("plate_id"), (k % 200).cast("double").alias("begin"), F.lit(0.0).alias("end"), "c_acctbal", "c_mktsegment").withColumn("v", S.from_lat_lon("lat", "lon"))
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    """Co-registration targets."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(k.alias("target_id"), (k * 71 % 179 - 89).cast("double").alias("tlat"), (k * 97 % 360 - 180).cast("double").alias("tlon"), "s_acctbal", "s_nationkey", k.alias("input_order")).withColumn("v", S.from_lat_lon("tlat", "tlon"))
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("seed_id"), (k * 29 % 179 - 89).cast("double").alias("lat"), (k * 41 % 360 - 180).cast("double").alias("lon"), "p_size").withColumn("v", S.from_lat_lon("lat", "lon"))
+
+
+# --- SQL pieces -----------------------------------------------------------------------------
+
+C = "c AS (SELECT c_custkey AS id, CAST((c_custkey * 53) % 179 - 89 AS DOUBLE) AS lat, CAST((c_custkey * 37) % 360 - 180 AS DOUBLE) AS lon, c_custkey % 7 + 100 AS plate_id, CAST(c_custkey % 200 AS DOUBLE) AS begin_, 0e0 AS end_, c_acctbal, c_mktsegment FROM customer), cv AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM c)"
+T = "t AS (SELECT s_suppkey AS target_id, CAST((s_suppkey * 71) % 179 - 89 AS DOUBLE) AS tlat, CAST((s_suppkey * 97) % 360 - 180 AS DOUBLE) AS tlon, s_acctbal, s_nationkey FROM supplier), tv AS (SELECT *, cos(radians(tlat)) * cos(radians(tlon)) AS x, cos(radians(tlat)) * sin(radians(tlon)) AS y, sin(radians(tlat)) AS z FROM t)"
+P = "p AS (SELECT p_partkey AS seed_id, CAST((p_partkey * 29) % 179 - 89 AS DOUBLE) AS lat, CAST((p_partkey * 41) % 360 - 180 AS DOUBLE) AS lon, p_size FROM part), pv AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM p)"
+Quat = tuple[str, str, str, str]
+
+
+def rnd(e: str) -> str:
+    return f"round({e}, 6) + 0e0"
+
+
+def quat(prefix: str, suffix: str = "") -> Quat:
+    return tuple(f"{prefix}{c}{suffix}" for c in "wxyz")  # type: ignore[return-value]
+
+
+def conj(a: Quat) -> Quat:
+    return a[0], f"(-({a[1]}))", f"(-({a[2]}))", f"(-({a[3]}))"
+
+
+def mul(a: Quat, b: Quat) -> Quat:
+    t = lambda *terms: "(" + " ".join(f"{s} ({p}) * ({q})" for s, p, q in terms) + ")"
+    return (
+        t(("", a[0], b[0]), ("-", a[1], b[1]), ("-", a[2], b[2]), ("-", a[3], b[3])),
+        t(("", a[0], b[1]), ("+", a[1], b[0]), ("+", a[2], b[3]), ("-", a[3], b[2])),
+        t(("", a[0], b[2]), ("-", a[1], b[3]), ("+", a[2], b[0]), ("+", a[3], b[1])),
+        t(("", a[0], b[3]), ("+", a[1], b[2]), ("-", a[2], b[1]), ("+", a[3], b[0])),
+    )
+
+
+def turn(q: Quat, v: tuple[str, str, str]) -> tuple[str, str, str]:
+    """q v conjugate(q)."""
+    r = mul(mul(q, ("0e0", *v)), conj(q))
+    return r[1], r[2], r[3]
+
+
+def named(q, names="wxyz", prefix: str = "") -> str:
+    return ", ".join(f"{e} AS {prefix}{n}" for e, n in zip(q, names, strict=True))
+
+
+def rot_sql(times: list[float]) -> str:
+    """CTEs up to rot(time, plate_id, parent, w, x, y, z): the literal model at times."""
+    rows = ", ".join(f"({s}, {m}, {f}, {t!r}e0, {la!r}e0, {lo!r}e0, {a!r}e0)" for s, m, f, t, la, lo, a in MODEL)
+    lead = ", ".join(f"lead({c}) OVER o AS {c}1" for c in "twxyz")
+    mix = ", ".join(f"CASE WHEN abs(d) >= 1 - 1e-12 THEN {c} ELSE (sin((1 - u) * th) * {c} + sg * sin(u * th) * {c}1) / sin(th) END AS {c}" for c in "wxyz")
+    total = mul(quat("r."), quat("e."))
+    return f"""m(seq, moving, fixed, t, lat, lon, angle) AS (VALUES {rows}),
+s AS (SELECT seq, moving, fixed, t, cos(radians(angle) / 2) AS w, sin(radians(angle) / 2) * cos(radians(lat)) * cos(radians(lon)) AS x, sin(radians(angle) / 2) * cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(angle) / 2) * sin(radians(lat)) AS z FROM m),
+b AS (SELECT *, {lead} FROM s WINDOW o AS (PARTITION BY seq ORDER BY t)),
+times(time) AS (VALUES {', '.join(f'({x!r}e0)' for x in times)}),
+i AS (SELECT b.*, time, (time - t) / (t1 - t) AS u, w * w1 + x * x1 + y * y1 + z * z1 AS d FROM times JOIN b ON time >= t AND time < t1),
+j AS (SELECT *, acos(least(1e0, abs(d))) AS th, CASE WHEN d < 0 THEN -1 ELSE 1 END AS sg FROM i),
+e AS (SELECT seq, time, moving, fixed, {mix} FROM j),
+rot AS (
+  SELECT time, 0 AS plate_id, CAST(NULL AS INTEGER) AS parent, 1e0 AS w, 0e0 AS x, 0e0 AS y, 0e0 AS z FROM times
+  UNION ALL
+  SELECT e.time, e.moving, e.fixed, {named(total)} FROM rot r JOIN e ON e.time = r.time AND e.fixed = r.plate_id
+)"""
+
+
+def latlon(v=("x", "y", "z")) -> tuple[str, str]:
+    return f"degrees(asin(greatest(-1e0, least(1e0, {v[2]}))))", f"degrees(atan2({v[1]}, {v[0]}))"
+
+
+def xyz_out(c: Column) -> list[Column]:
+    return [r6(c["x"]).alias("x"), r6(c["y"]).alias("y"), r6(c["z"]).alias("z")]
+
+
+XYZ = ", ".join(f"{rnd(c)} AS {c}" for c in "xyz")
+
+# --- sphere ---------------------------------------------------------------------------------
+
+
+@query("latlon_to_xyz", f"WITH {C} SELECT id, {XYZ} FROM cv")
+def _(spark, d):
+    return customers(spark, d).select("id", *xyz_out(F.col("v")))
+
+
+@query("xyz_to_latlon", f"WITH {C} SELECT id, {rnd('asin(z) * 180 / pi()')} AS lat, {rnd('atan2(y, x) * 180 / pi()')} AS lon FROM cv")
+def _(spark, d):
+    return customers(spark, d).select("id", r6(S.lat(F.col("v"))).alias("lat"), r6(S.lon(F.col("v"))).alias("lon"))
+
+
+@query("great_circle_distance", f"WITH {C}, a AS (SELECT a.id, a.x * b.x + a.y * b.y + a.z * b.z AS d FROM cv a JOIN cv b ON b.id = a.id + 1) SELECT id, {rnd('acos(greatest(-1e0, least(1e0, d))) * 6378.137e0')} AS km FROM a")
+def _(spark, d):
+    a, b = customers(spark, d).select("id", "v"), customers(spark, d).select((F.col("id") - 1).alias("id"), F.col("v").alias("w"))
+    return a.join(b, "id").select("id", r6(S.distance_km(F.col("v"), F.col("w"))).alias("km"))
+
+
+_EA = "sqrt(2 / (1 + sin(radians(30e0)) * sin(radians(lat)) + cos(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10))))"
+
+
+@query("equal_area_projection", f"WITH {C} SELECT id, {rnd(_EA + ' * cos(radians(lat)) * sin(radians(lon - 10))')} AS u, {rnd(_EA + ' * (cos(radians(30e0)) * sin(radians(lat)) - sin(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10)))')} AS v FROM c WHERE lat > -25")
+def _(spark, d):
+    p = projections.equal_area(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(10.0))
+    return customers(spark, d).where("lat > -25").select("id", p.alias("p")).select("id", r6(F.col("p.u")).alias("u"), r6(F.col("p.v")).alias("v"))
+
+
+@query("equal_area_round_trip", f"WITH {C} SELECT id, lat, lon FROM c WHERE lat BETWEEN -20 AND 80")
+def _(spark, d):
+    p = projections.equal_area(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(10.0))
+    back = projections.equal_area_inverse(F.col("p.u"), F.col("p.v"), F.lit(30.0), F.lit(10.0))
+    rows = customers(spark, d).where("lat between -20 and 80").select("id", p.alias("p")).select("id", back.alias("b"))
+    lon = r6(F.col("b.lon"))
+    return rows.select("id", r6(F.col("b.lat")).alias("lat"), F.when(lon == 180, F.lit(-180.0)).otherwise(lon).alias("lon"))
+
+
+@query("gnomonic_projection", f"WITH {C}, g AS (SELECT id, lat, lon, sin(radians(30e0)) * sin(radians(lat)) + cos(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10)) AS c FROM c) SELECT id, {rnd('cos(radians(lat)) * sin(radians(lon - 10)) / c')} AS u FROM g WHERE c > 0.2")
+def _(spark, d):
+    c = F.sin(F.radians(F.lit(30.0))) * F.sin(F.radians("lat")) + F.cos(F.radians(F.lit(30.0))) * F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lon") - 10))
+    p = projections.gnomonic(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(10.0))
+    return customers(spark, d).where(c > 0.2).select("id", r6(p["u"]).alias("u"))
+
+
+# octants as triangles: exact areas and containment
+_OCT = [(100 + i, a, b, c) for i, (a, b, c) in enumerate([((s, 0.0, 0.0), (0.0, t, 0.0), (0.0, 0.0, u)) for s in (1.0, -1.0) for t in (1.0, -1.0) for u in (1.0, -1.0)])]
+
+
+def octants(spark: SparkSession) -> DataFrame:
+    ring = lambda *p: [[{"x": q[0], "y": q[1], "z": q[2]} for q in p]]
+    df = spark.createDataFrame([(p, i, "static_polygon", ring(a, b, c)) for i, (p, a, b, c) in enumerate(_OCT)], "plate_id long, input_order long, kind string, rings array<array<struct<x: double, y: double, z: double>>>")
+    return partition.with_priority(df)
+
+
+_OCT_ID = "100 + CASE WHEN x > 0 THEN 0 ELSE 4 END + CASE WHEN y > 0 THEN 0 ELSE 2 END + CASE WHEN z > 0 THEN 0 ELSE 1 END"
+_OFF = "abs(x) > 1e-6 AND abs(y) > 1e-6 AND abs(z) > 1e-6"
+
+
+@query("polygon_area", f"SELECT CAST(100 + range AS BIGINT) AS plate_id, {rnd('pi() / 2')} AS area FROM range(8)")
+def _(spark, d):
+    return octants(spark).select("plate_id", r6(S.polygon_area(F.col("rings"))).alias("area"))
+
+
+@query("assign_plate_first_hit", f"WITH {C} SELECT id, CAST({_OCT_ID} AS BIGINT) AS hit FROM cv WHERE {_OFF}")
+def _(spark, d):
+    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v")
+    return partition.first_hit(pts, octants(spark)).select("id", "hit")
+
+
+@query("point_in_polygon", f"WITH {C} SELECT CAST({_OCT_ID} AS BIGINT) AS hit, count(*) AS points FROM cv WHERE {_OFF} GROUP BY 1")
+def _(spark, d):
+    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v")
+    return partition.hits(pts, octants(spark)).groupBy("hit").agg(F.count("*").alias("points"))
+
+
+@query("points_outside_polygons", f"WITH {C} SELECT id FROM cv WHERE {_OFF} AND NOT (x > 0 AND y > 0) ")
+def _(spark, d):
+    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v")
+    return partition.outside(pts, octants(spark).where("plate_id < 102")).select("id")
+
+
+@query("most_overlapping", f"WITH {C}, h AS (SELECT c_mk AS feature_id, hit, count(*) AS n, min(id) AS o FROM (SELECT c_mktsegment AS c_mk, id, CAST({_OCT_ID} AS BIGINT) AS hit FROM cv WHERE {_OFF}) GROUP BY 1, 2) SELECT feature_id, hit FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY n DESC, o) AS k FROM h) WHERE k = 1")
+def _(spark, d):
+    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v", F.col("c_mktsegment").alias("feature_id"), F.lit(1.0).alias("size"), F.col("id").alias("nth"))
+    return partition.most_overlapping(partition.hits(pts, octants(spark)))
+
+
+# --- rotations ------------------------------------------------------------------------------
+
+TIMES = [0.0, 20.0, 60.0, 137.5]
+
+
+@query("valid_time_filter", f"WITH {C}, times(time) AS (VALUES (0e0), (20e0), (60e0), (137.5e0)) SELECT id, time FROM c, times WHERE begin_ >= time AND end_ <= time")
+def _(spark, d):
+    t = spark.createDataFrame([(x,) for x in TIMES], "time double")
+    return reconstruct.at_times(customers(spark, d), t).select("id", "time")
+
+
+@query("pole_bracket_asof", "WITH x AS (SELECT user_id, ts, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_value FROM events) SELECT user_id, count(next_value) AS spans, round(sum(next_value - value), 4) + 0e0 AS drift FROM x GROUP BY user_id")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x = table(spark, d, "events").withColumn("next_value", F.lead("value").over(w))
+    return x.groupBy("user_id").agg(F.count("next_value").alias("spans"), (F.round(F.sum(F.col("next_value") - F.col("value")), 4) + F.lit(0.0)).alias("drift"))
+
+
+@query("pole_slerp", f"WITH RECURSIVE {rot_sql(TIMES)} SELECT CAST(seq AS BIGINT) AS seq, time, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM e")
+def _(spark, d):
+    t = spark.createDataFrame([(x,) for x in TIMES], "time double")
+    return R.bracket(R.usable(samples(spark)), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
+
+
+@query("plate_circuit_compose", f"WITH RECURSIVE {rot_sql(TIMES)} SELECT time, CAST(plate_id AS BIGINT) AS plate_id, CAST(parent AS BIGINT) AS parent, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM rot")
+def _(spark, d):
+    return R.rotations(samples(spark), TIMES).select("time", "plate_id", "parent", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
+
+
+@query("plate_circuit_paths", f"WITH RECURSIVE {rot_sql([20.0])}, up AS (SELECT plate_id, parent, CAST(plate_id AS VARCHAR) AS path FROM rot UNION ALL SELECT u.plate_id, r.parent, u.path || '/' || u.parent FROM up u JOIN rot r ON r.plate_id = u.parent) SELECT CAST(plate_id AS BIGINT) AS plate_id, path FROM up WHERE parent IS NULL")
+def _(spark, d):
+    return R.circuit_paths(R.rotations(samples(spark), [20.0])).select("plate_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+_Q0 = tuple(f"coalesce(r.{c}, {v})" for c, v in zip("wxyz", ("1e0", "0e0", "0e0", "0e0"), strict=True))
+_RP = f"SELECT id, f.time, {named(turn(_Q0, ('f.x', 'f.y', 'f.z')), 'xyz')} FROM (SELECT cv.*, time FROM cv, times WHERE begin_ >= time AND end_ <= time) f LEFT JOIN rot r ON r.time = f.time AND r.plate_id = f.plate_id"
+
+
+@query("reconstruct_points", f"WITH RECURSIVE {rot_sql(TIMES)}, {C}, g AS ({_RP}) SELECT id, time, {rnd(latlon()[0])} AS lat, {XYZ} FROM g")
+def _(spark, d):
+    out = reconstruct.reconstruct(customers(spark, d), samples(spark), TIMES)
+    return out.select("id", "time", r6(S.lat(F.col("v"))).alias("lat"), *xyz_out(F.col("v")))
+
+
+@query("reverse_reconstruct", f"WITH RECURSIVE {rot_sql([60.0])}, {C}, g AS (SELECT id, {named(turn(conj(_Q0), ('cv.x', 'cv.y', 'cv.z')), 'xyz')} FROM cv LEFT JOIN rot r ON r.plate_id = cv.plate_id) SELECT id, {XYZ} FROM g")
+def _(spark, d):
+    return reconstruct.reverse_reconstruct(customers(spark, d), samples(spark), 60.0).select("id", *xyz_out(F.col("v")))
+
+
+def _shown(q: Quat) -> str:
+    return ", ".join(f"{rnd(e)} AS {n}" for e, n in zip(q, "wxyz", strict=True))
+
+
+def q_out(q: Column) -> list[Column]:
+    return [r6(q[c]).alias(c) for c in "wxyz"]
+
+
+_REL = f"rel AS (SELECT a.time, a.plate_id, {named(mul(conj(quat('b.')), quat('a.')))} FROM rot a JOIN rot b ON b.time = a.time AND b.plate_id = 101)"
+_STAGE = f"st AS (SELECT a.plate_id, {named(mul(quat('b.'), conj(quat('a.'))))} FROM rel a JOIN rel b ON b.plate_id = a.plate_id WHERE a.time = 20 AND b.time = 60)"
+_SHORT = f"sh AS (SELECT plate_id, {', '.join(f'CASE WHEN w < 0 THEN -{c} ELSE {c} END AS {c}' for c in 'wxyz')} FROM st), an AS (SELECT *, 2 * atan2(sqrt(x * x + y * y + z * z), w) AS a, sqrt(x * x + y * y + z * z) AS n FROM sh)"
+
+
+@query("relative_rotation", f"WITH RECURSIVE {rot_sql(TIMES)}, {_REL} SELECT time, CAST(plate_id AS BIGINT) AS plate_id, {_shown(quat(''))} FROM rel")
+def _(spark, d):
+    return R.relative(R.rotations(samples(spark), TIMES), 101).select("time", "plate_id", *q_out(F.col("q")))
+
+
+@query("stage_rotation", f"WITH RECURSIVE {rot_sql(TIMES)}, {_REL}, {_STAGE} SELECT CAST(plate_id AS BIGINT) AS plate_id, {_shown(quat(''))} FROM st")
+def _(spark, d):
+    return R.stage(R.rotations(samples(spark), TIMES), None, 101, 20.0, 60.0).select("plate_id", *q_out(F.col("q")))
+
+
+def _scaled(f: str) -> str:
+    part = ", ".join(f"{rnd(f'CASE WHEN w >= 1 - 1e-12 THEN 0e0 ELSE sin(a * {f} / 2) * {c} / n END')} AS {c}" for c in "xyz")
+    return f"{rnd(f'CASE WHEN w >= 1 - 1e-12 THEN 1e0 ELSE cos(a * {f} / 2) END')} AS w, {part}"
+
+
+@query("asymmetric_stage", f"WITH RECURSIVE {rot_sql(TIMES)}, {_REL}, {_STAGE}, {_SHORT} SELECT CAST(plate_id AS BIGINT) AS plate_id, {_scaled('0.7e0')} FROM an")
+def _(spark, d):
+    return R.stage(R.rotations(samples(spark), TIMES), None, 101, 20.0, 60.0, 0.4).select("plate_id", *q_out(F.col("q")))
+
+
+_HS = f"""l AS (SELECT * FROM rot WHERE plate_id = 101), st AS (SELECT r.plate_id, r.time, {named(mul(conj(quat('l.')), quat('r.')))}, l.w AS lw, l.x AS lx, l.y AS ly, l.z AS lz FROM rot r JOIN l ON l.time = r.time),
+sh AS (SELECT plate_id, time, lw, lx, ly, lz, {', '.join(f'CASE WHEN w < 0 THEN -{c} ELSE {c} END AS {c}' for c in 'wxyz')} FROM st), an AS (SELECT *, 2 * atan2(sqrt(x * x + y * y + z * z), w) AS a, sqrt(x * x + y * y + z * z) AS n FROM sh),
+hf AS (SELECT plate_id, time, lw, lx, ly, lz, CASE WHEN w >= 1 - 1e-12 THEN 1e0 ELSE cos(a / 4) END AS w, {', '.join(f'CASE WHEN w >= 1 - 1e-12 THEN 0e0 ELSE sin(a / 4) * {c} / n END AS {c}' for c in 'xyz')} FROM an)"""
+
+
+@query("half_stage_v1", f"WITH RECURSIVE {rot_sql(TIMES)}, {_HS} SELECT time, CAST(plate_id AS BIGINT) AS plate_id, {_shown(mul(quat('l'), quat('')))} FROM hf")
+def _(spark, d):
+    rot = R.rotations(samples(spark), TIMES)
+    left = rot.where("plate_id = 101").select("time", F.col("q").alias("l"))
+    return rot.join(F.broadcast(left), "time").select("time", "plate_id", R.half_stage(F.col("l"), F.col("q")).alias("h")).select("time", "plate_id", *q_out(F.col("h")))
+
+
+@query("half_stage_multi")
+def _(spark, d):
+    times = [25.0, 60.0]
+    model = R.rotations(samples(spark), R.stage_times(times))
+    k = F.col("id")
+    rows = customers(spark, d).select("id", "v", F.lit(101).cast("long").alias("left"), (k % 3 + 102).alias("right"), F.when(k % 2 == 0, 25.0).otherwise(60.0).alias("time"))
+    return reconstruct.by_half_stage(rows, model).select("id", "time", *xyz_out(F.col("v")))
+
+
+@query("flowline")
+def _(spark, d):
+    model = R.rotations(samples(spark), [0.0, 10.0, 20.0, 40.0, 60.0])
+    rows = customers(spark, d).select("id", "v", F.lit(101).cast("long").alias("left"), F.lit(103).cast("long").alias("right"), F.lit(0.0).alias("time"))
+    lines = reconstruct.flowlines(rows, model, [0.0, 10.0, 20.0, 40.0, 60.0])
+    return lines.select("id", "side", F.posexplode("points").alias("nth", "v")).select("id", "side", "nth", *xyz_out(F.col("v")))
+
+
+_MPT = [0.0, 20.0, 40.0, 60.0]
+_MP = f"""g AS (SELECT cv.id, cv.x AS vx, cv.y AS vy, cv.z AS vz, p.time AS t, {named(mul(conj(quat('r.')), tuple(f'coalesce(p.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0')))))}
+FROM cv JOIN rot p ON p.plate_id = cv.plate_id JOIN rot r ON r.time = p.time AND r.plate_id = 105 WHERE cv.plate_id <> 106)"""
+
+
+@query("motion_path", f"WITH RECURSIVE {rot_sql(_MPT)}, {C}, {_MP}, h AS (SELECT id, t, {named(turn(quat(''), ('vx', 'vy', 'vz')), 'xyz')} FROM g) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY t DESC) - 1 AS INTEGER) AS nth, {XYZ} FROM h")
+def _(spark, d):
+    model = R.rotations(samples(spark), _MPT)
+    rows = customers(spark, d).where("plate_id <> 106").select("id", "v", "plate_id", F.lit(105).cast("long").alias("reference"), F.lit(0.0).alias("time"))
+    paths = reconstruct.motion_paths(rows, model, _MPT)
+    return paths.select("id", F.posexplode("points").alias("nth", "v")).select("id", "nth", *xyz_out(F.col("v")))
+
+
+@query("rotation_table", f"WITH RECURSIVE {rot_sql(TIMES)}, an AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM rot) SELECT time, CAST(plate_id AS BIGINT) AS plate_id, {rnd('CASE WHEN abs(w) >= 1 - 1e-12 THEN 90e0 ELSE degrees(asin(z / n)) END')} AS lat, {rnd('CASE WHEN abs(w) >= 1 - 1e-12 THEN 0e0 ELSE degrees(2 * atan2(n, w)) END')} AS angle FROM an")
+def _(spark, d):
+    return R.pole_table(R.rotations(samples(spark), TIMES)).select("time", "plate_id", r6(F.col("lat")).alias("lat"), r6(F.col("angle")).alias("angle"))
+
+
+@query("rotation_sequence_islands", "WITH x AS (SELECT user_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh, ts, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM x) SELECT user_id, CAST(max(island) AS BIGINT) AS islands, count(*) AS n FROM y GROUP BY user_id")
+def _(spark, d):
+    x = R.islands(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"])
+    return x.groupBy("user_id").agg(F.max("island").alias("islands"), F.count("*").alias("n"))
+
+
+@query("sequence_summary", "WITH m(seq, moving, fixed, t) AS (VALUES " + ", ".join(f"({s}, {m}, {f}, {t!r}e0)" for s, m, f, t, *_ in MODEL) + ") SELECT CAST(seq AS BIGINT) AS seq, CAST(moving AS BIGINT) AS moving, min(t) AS youngest, max(t) AS oldest, count(*) AS samples FROM m GROUP BY 1, 2")
+def _(spark, d):
+    return R.sequence_summary(samples(spark)).select("seq", "moving", "youngest", "oldest", "samples")
+
+
+# --- co-registration ------------------------------------------------------------------------
+
+KM = "acos(greatest(-1e0, least(1e0, pv.x * tv.x + pv.y * tv.y + pv.z * tv.z))) * 6378.137e0"
+J = f"{P}, {T}, j AS (SELECT seed_id, target_id, s_acctbal, s_nationkey, {KM} AS km FROM pv, tv WHERE {KM} < 3000e0)"
+
+
+def coreg(spark, d, *rows: tuple[str, str, str, float]) -> DataFrame:
+    config = [coregistration.Column_("supplier", a, r, k, m) for m, a, r, k in rows]
+    out = coregistration.coregister(parts(spark, d), {"supplier": suppliers(spark, d)}, config)
+    return out.toDF("seed_id", *(f"r{i}" for i in range(len(rows))))
+
+
+def _coreg(name: str, agg: str, *row, cast=None):
+    @query(name, f"WITH {J} SELECT p.seed_id, {agg} AS r0 FROM p LEFT JOIN j ON j.seed_id = p.seed_id GROUP BY p.seed_id")
+    def _(spark, d):
+        out = coreg(spark, d, (*row, 3000.0))
+        return out if cast is None else out.withColumn("r0", cast(F.col("r0")))
+
+
+_coreg("coreg_min", "min(s_acctbal)", "property", "s_acctbal", "min")
+_coreg("coreg_max", "max(s_acctbal)", "property", "s_acctbal", "max")
+_coreg("coreg_mean", rnd("avg(s_acctbal)"), "property", "s_acctbal", "mean", cast=r6)
+_coreg("coreg_median_upper", "list_sort(list(s_acctbal) FILTER (WHERE s_acctbal IS NOT NULL))[CAST(floor(count(s_acctbal) / 2) AS BIGINT) + 1]", "property", "s_acctbal", "median")
+_coreg("coreg_distance", rnd("min(km)"), "distance", "distance", "min", cast=r6)
+_coreg("coreg_presence", "count(target_id) > 0", "presence", "presence", "lookup")
+_coreg("coreg_count", "count(DISTINCT target_id)", "number_in_region", "number", "lookup")
+_coreg("coreg_lookup", "arg_min(s_acctbal, CAST(round(km * 1e6) AS BIGINT) * 100000 + target_id)", "property", "s_acctbal", "lookup")
+
+
+@query("coreg_vote", f"WITH {J}, v AS (SELECT seed_id, CAST(s_nationkey AS VARCHAR) AS k, count(*) AS n FROM j GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY n DESC, k) AS o FROM v) SELECT p.seed_id, k AS r0 FROM p LEFT JOIN w ON w.seed_id = p.seed_id AND o = 1")
+def _(spark, d):
+    return coreg(spark, d, ("property", "s_nationkey", "vote", 3000.0))
+
+
+@query("coreg_multi_roi", f"WITH {J} SELECT p.seed_id, min(s_acctbal) AS r0, max(s_acctbal) FILTER (WHERE km < 1500) AS r1, count(DISTINCT target_id) FILTER (WHERE km < 800) AS r2 FROM p LEFT JOIN j ON j.seed_id = p.seed_id GROUP BY p.seed_id")
+def _(spark, d):
+    return coreg(spark, d, ("property", "s_acctbal", "min", 3000.0), ("property", "s_acctbal", "max", 1500.0), ("number_in_region", "number", "lookup", 800.0))
+
+
+@query("coreg_birth_time")
+def _(spark, d):
+    """Seeds and targets at the seed's own birth time: a time column joins the rotations."""
+    seeds = customers(spark, d).withColumn("time", F.col("begin"))
+    times = [float(x) for x in range(200)]
+    rot = R.rotations(samples(spark), times)
+    s = reconstruct.by_plate(seeds, rot).select(F.col("id").alias("seed_id"), "v", "time")
+    t = suppliers(spark, d).withColumn("plate_id", F.col("target_id") % 7 + 100).select("target_id", "plate_id", "v")
+    t = reconstruct.by_plate(t.crossJoin(F.broadcast(s.select("time").distinct())), rot).select("target_id", "v", F.col("time").alias("t2"))
+    pairs = coregistration.within(s, t, 2000.0).where("time = t2")
+    best = pairs.groupBy("seed_id").agg(F.min("dist_km").alias("km"), F.count("*").alias("n"))
+    return s.select("seed_id", "time").join(best, "seed_id", "left").select("seed_id", "time", r6(F.col("km")).alias("km"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("nearest_target_topk", f"WITH {J}, k AS (SELECT seed_id, target_id, km, row_number() OVER (PARTITION BY seed_id ORDER BY km, target_id) AS rank FROM j) SELECT seed_id, rank, {rnd('km')} AS dist_km FROM k WHERE rank <= 3")
+def _(spark, d):
+    out = coregistration.nearest(parts(spark, d), suppliers(spark, d), 3000.0, 3)
+    return out.select("seed_id", F.col("rank").cast("long").alias("rank"), r6(F.col("dist_km")).alias("dist_km"))
+
+
+# --- kinematics -----------------------------------------------------------------------------
+
+_V = f"""q AS (SELECT a.plate_id, {named(mul(quat('b.'), conj(quat('a.'))))} FROM rot a JOIN rot b ON b.plate_id = a.plate_id WHERE a.time = 61 AND b.time = 60),
+sh AS (SELECT plate_id, {', '.join(f'CASE WHEN w < 0 THEN -{c} ELSE {c} END AS {c}' for c in 'wxyz')} FROM q),
+ax AS (SELECT plate_id, 2 * atan2(sqrt(x * x + y * y + z * z), w) AS a, sqrt(x * x + y * y + z * z) AS n, w, x, y, z FROM sh),
+om AS (SELECT plate_id, CASE WHEN w >= 1 - 1e-12 THEN 0e0 ELSE a * 6378.137e0 * 0.1e0 * x / n END AS ox, CASE WHEN w >= 1 - 1e-12 THEN 0e0 ELSE a * 6378.137e0 * 0.1e0 * y / n END AS oy, CASE WHEN w >= 1 - 1e-12 THEN 0e0 ELSE a * 6378.137e0 * 0.1e0 * z / n END AS oz FROM ax),
+vel AS (SELECT id, lat, lon, coalesce(oy * z - oz * y, 0e0) AS vx, coalesce(oz * x - ox * z, 0e0) AS vy, coalesce(ox * y - oy * x, 0e0) AS vz FROM cv LEFT JOIN om ON om.plate_id = cv.plate_id),
+ne AS (SELECT id, vx, vy, vz, -sin(radians(lat)) * cos(radians(lon)) * vx - sin(radians(lat)) * sin(radians(lon)) * vy + cos(radians(lat)) * vz AS n, -sin(radians(lon)) * vx + cos(radians(lon)) * vy AS e FROM vel)"""
+
+
+def _velocities(spark, d) -> DataFrame:
+    model = R.rotations(samples(spark), [60.0, 61.0])
+    return kinematics.point_velocities(customers(spark, d).withColumn("time", F.lit(60.0)), model, 1.0)
+
+
+@query("velocity_xyz", f"WITH RECURSIVE {rot_sql([60.0, 61.0])}, {C}, {_V} SELECT id, {rnd('vx')} AS x, {rnd('vy')} AS y, {rnd('vz')} AS z FROM ne")
+def _(spark, d):
+    return _velocities(spark, d).select("id", *xyz_out(F.col("velocity")))
+
+
+@query("velocity_colat_lon", f"WITH RECURSIVE {rot_sql([60.0, 61.0])}, {C}, {_V} SELECT id, {rnd('-n')} AS colat, {rnd('e')} AS lon FROM ne")
+def _(spark, d):
+    c = kinematics.colatitude_longitude(F.col("velocity"), F.col("lat"), F.col("lon"))
+    return _velocities(spark, d).select("id", c.alias("c")).select("id", r6(F.col("c.colat")).alias("colat"), r6(F.col("c.lon")).alias("lon"))
+
+
+@query("velocity_azimuth", f"WITH RECURSIVE {rot_sql([60.0, 61.0])}, {C}, {_V} SELECT id, {rnd('sqrt(n * n + e * e)')} AS magnitude, {rnd('CASE WHEN atan2(e, n) < 0 THEN atan2(e, n) + 2 * pi() ELSE atan2(e, n) END')} AS azimuth FROM ne WHERE n * n + e * e > 1e-12")
+def _(spark, d):
+    m = kinematics.magnitude_azimuth(F.col("velocity"), F.col("lat"), F.col("lon"))
+    return _velocities(spark, d).select("id", m.alias("m")).where("m.magnitude > 1e-6").select("id", r6(F.col("m.magnitude")).alias("magnitude"), r6(F.col("m.azimuth")).alias("azimuth"))
+
+
+@query("kinematic_series")
+def _(spark, d):
+    times = [0.0, 20.0, 40.0, 60.0]
+    model = R.rotations(samples(spark), sorted({*times, *(t + 1 for t in times)}))
+    out = kinematics.kinematic_series(customers(spark, d).select("id", "plate_id", "v"), model, times)
+    return out.select("id", "time", *(r6(F.col(c)).alias(c) for c in ("lat", "lon", "speed", "azimuth", "vel_colat", "vel_lon")))
+
+
+_NR = f"""q AS (SELECT a.plate_id, {named(mul(quat('b.'), conj(quat('a.'))))} FROM rot a JOIN rot b ON b.plate_id = a.plate_id WHERE a.time = 60 AND b.time = 50),
+sh AS (SELECT plate_id, {', '.join(f'CASE WHEN w < 0 THEN -{c} ELSE {c} END AS {c}' for c in 'wxyz')} FROM q),
+om AS (SELECT plate_id, degrees(2 * atan2(sqrt(x * x + y * y + z * z), w)) / 10 * x / sqrt(x * x + y * y + z * z) AS sx, degrees(2 * atan2(sqrt(x * x + y * y + z * z), w)) / 10 * y / sqrt(x * x + y * y + z * z) AS sy, degrees(2 * atan2(sqrt(x * x + y * y + z * z), w)) / 10 * z / sqrt(x * x + y * y + z * z) AS sz FROM sh WHERE w < 1 - 1e-12),
+pt AS (SELECT cv.plate_id, x, y, z, sqrt(1 - z * z) AS c, sx, sy, sz, sx * x + sy * y + sz * z AS dt FROM cv JOIN om ON om.plate_id = cv.plate_id),
+nr AS (SELECT plate_id, sum((sx - dt * x) * c) AS x, sum((sy - dt * y) * c) AS y, sum((sz - dt * z) * c) AS z, sum((x * x + y * y) * c) AS weight, sum(c) AS area, count(*) AS points FROM pt GROUP BY plate_id)"""
+
+
+def _net(spark, d) -> DataFrame:
+    rot = R.rotations(samples(spark), [50.0, 60.0])
+    a = rot.where("time = 60").select("plate_id", F.col("q").alias("a"))
+    b = rot.where("time = 50").select("plate_id", F.col("q").alias("b"))
+    stages = a.join(b, "plate_id").select("plate_id", kinematics.stage_quaternion(F.col("a"), F.col("b")).alias("q")).where(~Q.is_identity(F.col("q")))
+    return kinematics.net_rotation_by_plate(customers(spark, d).select("plate_id", "v"), stages, 10.0)
+
+
+@query("net_rotation_by_plate", f"WITH RECURSIVE {rot_sql([50.0, 60.0])}, {C}, {_NR} SELECT CAST(plate_id AS BIGINT) AS plate_id, {XYZ}, {rnd('weight')} AS weight, points FROM nr")
+def _(spark, d):
+    return _net(spark, d).select("plate_id", *(r6(F.col(c)).alias(c) for c in ("x", "y", "z", "weight")), "points")
+
+
+@query("net_rotation_total", f"WITH RECURSIVE {rot_sql([50.0, 60.0])}, {C}, {_NR}, tt AS (SELECT sum(x) / sum(weight) AS x, sum(y) / sum(weight) AS y, sum(z) / sum(weight) AS z FROM nr) SELECT {rnd('degrees(asin(z / sqrt(x * x + y * y + z * z)))')} AS lat, {rnd('degrees(atan2(y, x))')} AS lon, {rnd('sqrt(x * x + y * y + z * z)')} AS rate FROM tt")
+def _(spark, d):
+    return kinematics.net_rotation_total(_net(spark, d)).select(*(r6(F.col(c)).alias(c) for c in ("lat", "lon", "rate")))
+
+
+# --- strain ---------------------------------------------------------------------------------
+
+_G = "g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity - 25) / 100 AS tt, l_discount AS tp, l_tax - 0.03e0 AS pt, (l_quantity - 20) / 200 AS pp FROM lineitem)"
+
+
+def gradients(spark, d) -> DataFrame:
+    g = kinematics.tensor((F.col("l_quantity") - 25) / 100, F.col("l_discount"), F.col("l_tax") - 0.03, (F.col("l_quantity") - 20) / 200)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", g.alias("g"))
+
+
+_INV = "sqrt(tt * tt + pp * pp + 0.5e0 * (tp + pt) * (tp + pt))"
+_MID, _HALF = "(tt + pp) / 2", "sqrt((tt - pp) * (tt - pp) / 4 + (tp + pt) * (tp + pt) / 4)"
+
+
+@query("strain_rate_invariants", f"WITH {_G} SELECT l_suppkey, {rnd('sum(tt + pp)')} AS dilatation, {rnd(f'max({_INV})')} AS most, {rnd(f'avg({_INV})')} AS mean FROM g GROUP BY l_suppkey")
+def _(spark, d):
+    i = kinematics.second_invariant(F.col("g"))
+    return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.sum(kinematics.dilatation_rate(F.col("g")))).alias("dilatation"), r6(F.max(i)).alias("most"), r6(F.avg(i)).alias("mean"))
+
+
+@query("strain_rate_style", f"WITH {_G}, s AS (SELECT l_suppkey, {_MID} + {_HALF} AS a, {_MID} - {_HALF} AS b FROM g) SELECT l_suppkey, {rnd('avg((a + b) / greatest(abs(a), abs(b)))')} AS style FROM s WHERE greatest(abs(a), abs(b)) > 0 GROUP BY l_suppkey")
+def _(spark, d):
+    return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.avg(kinematics.style(F.col("g")))).alias("style"))
+
+
+@query("strain_rate_clamp", f"WITH {_G} SELECT l_suppkey, {rnd(f'sum(tt * CASE WHEN {_INV} > 0.1 THEN 0.1e0 / {_INV} ELSE 1 END)')} AS tt FROM g GROUP BY l_suppkey")
+def _(spark, d):
+    return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.sum(kinematics.clamped(F.col("g"), 0.1)["tt"])).alias("tt"))
+
+
+_F = "f AS (SELECT l_suppkey, 1 + tt AS a, tp AS b, pt AS c, 1 + pp AS d FROM g), k AS (SELECT l_suppkey, a * a + b * b AS p, a * c + b * d AS q, c * c + d * d AS r FROM f), e AS (SELECT l_suppkey, p * r - q * q AS det, (p + r) / 2 / (p * r - q * q) AS mid, sqrt((r - p) * (r - p) / 4 + q * q) / (p * r - q * q) AS half FROM k)"
+
+
+@query("principal_strain", f"WITH {_G}, {_F} SELECT l_suppkey, {rnd('sum(CASE WHEN det <= 0 THEN 0e0 ELSE 1 / sqrt(mid - half) - 1 END)')} AS major, {rnd('sum(CASE WHEN det <= 0 THEN 0e0 ELSE 1 / sqrt(mid + half) - 1 END)')} AS minor FROM e GROUP BY l_suppkey")
+def _(spark, d):
+    g = F.col("g")
+    f = kinematics.tensor(1 + g["tt"], g["tp"], g["pt"], 1 + g["pp"])
+    rows = gradients(spark, d).withColumn("f", f).withColumn("p", kinematics.principal_strain(F.col("f")))
+    return rows.groupBy("l_suppkey").agg(r6(F.sum("p.major")).alias("major"), r6(F.sum("p.minor")).alias("minor"))
+
+
+@query("strain_accumulate")
+def _(spark, d):
+    g = gradients(spark, d).withColumn("t", F.lit(100.0) - F.col("l_linenumber"))
+    one = g.groupBy("l_orderkey", "t").agg(F.min("g").alias("g"))
+    out = kinematics.accumulate_by(one, "l_orderkey", "t", "g")
+    return out.select("l_orderkey", r6(F.col("f.tt")).alias("tt"), r6(F.col("f.pp")).alias("pp"), r6(kinematics.strain_dilatation(F.col("f"))).alias("dilatation"))
+
+
+@query("face_strain_rate", f"WITH {C}, f AS (SELECT id, radians(90 - lat) AS t0, radians(lon) AS p0, lat / 10 AS u, lon / 10 AS v FROM c WHERE abs(lat) < 80), x AS (SELECT id, u, v, t0 + 0.01e0 / 3 AS th FROM f) SELECT id, {rnd('(0.5e0 - v * cos(th)) / sin(th)')} AS tp, {rnd('u * cos(th) / sin(th)')} AS pp FROM (SELECT id, u + 0.5e0 * 0.01e0 / 3 AS u, v, th FROM x)")
+def _(spark, d):
+    """Triangles (t, p), (t + 0.01, p), (t, p + 0.01) with velocity u rising along p only."""
+    t, p = F.radians(90 - F.col("lat")), F.radians("lon")
+    u, v = F.col("lat") / 10, F.col("lon") / 10
+    pts = [(t, p), (t + 0.01, p), (t, p + 0.01)]
+    vel = [(u, v), (u, v), (u + 0.5 * 0.01, v)]
+    g = kinematics.face_gradient(pts, vel, 1.0)
+    return customers(spark, d).where("abs(lat) < 80").select("id", g.alias("g")).select("id", r6(F.col("g.tp")).alias("tp"), r6(F.col("g.pp")).alias("pp"))
+
+
+@query("time_slots", f"WITH {C}, s AS (SELECT id, (150 - begin_) / 7e0 AS p FROM c) SELECT id, CAST(floor(p + 1e-9) AS INTEGER) AS slot, {rnd('p - floor(p + 1e-9)')} AS fraction FROM s WHERE p >= 0 AND p <= 20")
+def _(spark, d):
+    s = kinematics.time_slot(F.col("begin"), 150.0, 7.0, 21)
+    return customers(spark, d).select("id", s.alias("s")).where("s is not null").select("id", "s.slot", r6(F.col("s.fraction")).alias("fraction"))
+
+
+@query("crustal_thinning", "SELECT p_partkey, round((10 + p_size) / 40e0, 6) + 0e0 AS inverse, round(1 - (10 + p_size) / 40e0, 6) + 0e0 AS thinning FROM part")
+def _(spark, d):
+    c = kinematics.crustal_thinning(F.col("p_size") + 10, F.lit(kinematics.DEFAULT_THICKNESS_KM))
+    return table(spark, d, "part").select("p_partkey", r6(1 / c["stretching"]).alias("inverse"), r6(c["thinning"]).alias("thinning"))
+
+
+# --- rasters, palettes, topologies -----------------------------------------------------------
+
+
+def pixels(spark, d) -> DataFrame:
+    """Orders as a raster of 10 x 10 degree cells' values on a 5-degree grid."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(F.lit("r").alias("raster_id"), F.lit("b").alias("band"), F.lit(0).alias("level"), (k % 36).alias("row"), (k % 72).alias("col"), (k % 36 * 5 - 87.5).alias("lat"), (k % 72 * 5 - 177.5).alias("lon"), F.col("o_totalprice").alias("value"), F.when(k % 5 == 0, 0.0).otherwise(1.0).alias("coverage"))
+
+
+_PX = "px AS (SELECT o_orderkey % 36 AS row, o_orderkey % 72 AS col, CAST(o_orderkey % 36 * 5 - 87.5 AS DOUBLE) AS lat, CAST(o_orderkey % 72 * 5 - 177.5 AS DOUBLE) AS lon, o_totalprice AS value, CASE WHEN o_orderkey % 5 = 0 THEN 0e0 ELSE 1e0 END AS coverage FROM orders)"
+_RR = f"{T}, {_PX}, pq AS (SELECT value, coverage * cos(radians(lat)) AS w, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM px WHERE coverage > 0), jj AS (SELECT target_id, value, w FROM tv JOIN pq ON acos(greatest(-1e0, least(1e0, tv.x * pq.x + tv.y * pq.y + tv.z * pq.z))) * 6378.137e0 < 1200)"
+
+
+@query("raster_roi_statistics", f"WITH {_RR}, s AS (SELECT target_id, min(value) AS lo, max(value) AS hi, sum(w * value) / sum(w) AS mean, sum(w * value * value) / sum(w) AS sq, count(*) AS pixels FROM jj GROUP BY target_id) SELECT t.target_id AS seed_id, lo AS min, hi AS max, round(mean, 4) + 0e0 AS mean, CASE WHEN mean IS NOT NULL THEN round(sqrt(greatest(sq - mean * mean, 0e0)), 2) + 0e0 END AS std_dev, pixels FROM t LEFT JOIN s ON s.target_id = t.target_id")
+def _(spark, d):
+    seeds = suppliers(spark, d).select(F.col("target_id").alias("seed_id"), "v")
+    out = raster.region_statistics(seeds, pixels(spark, d), 1200.0)
+    return out.select("seed_id", "min", "max", (F.round("mean", 4) + F.lit(0.0)).alias("mean"), (F.round("std_dev", 2) + F.lit(0.0)).alias("std_dev"), "pixels")
+
+
+@query("raster_lod_downsample", f"WITH {_PX}, q AS (SELECT CAST(floor(row / 2) AS BIGINT) AS row, CAST(floor(col / 2) AS BIGINT) AS col, sum(coverage * value) / sum(coverage) AS value, avg(coverage) AS coverage FROM px GROUP BY 1, 2) SELECT row, col, round(value, 4) + 0e0 AS value, {rnd('coverage')} AS coverage FROM q")
+def _(spark, d):
+    return raster.coarser(pixels(spark, d)).select("row", "col", (F.round("value", 4) + F.lit(0.0)).alias("value"), r6(F.col("coverage")).alias("coverage"))
+
+
+@query("raster_age_mask", f"WITH {_PX}, a AS (SELECT row, col, CAST((row * 7 + col) % 150 AS DOUBLE) AS age FROM (SELECT DISTINCT row, col FROM px)) SELECT px.row, count(*) AS n, round(sum(value), 2) + 0e0 AS total FROM px JOIN a ON a.row = px.row AND a.col = px.col WHERE age >= 60 GROUP BY px.row")
+def _(spark, d):
+    px = pixels(spark, d)
+    ages = px.select("row", "col").distinct().withColumn("value", ((F.col("row") * 7 + F.col("col")) % 150).cast("double"))
+    return raster.age_masked(px, ages, 60.0, "row", "col").groupBy("row").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 2) + F.lit(0.0)).alias("total"))
+
+
+@query("raster_statistics", "SELECT o_orderstatus AS band, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std_dev FROM orders GROUP BY 1")
+def _(spark, d):
+    s = raster.statistics(table(spark, d, "orders").select(F.col("o_orderstatus").alias("band"), F.col("o_totalprice").alias("value")), "band")
+    return s.select("band", "min", "max", F.round("mean", 4).alias("mean"), F.round("std_dev", 4).alias("std_dev"))
+
+
+_SLICES = [(0.0, 100.0, 0.0, 10.0), (100.0, 500.0, 10.0, 20.0), (500.0, 5000.0, 20.0, 100.0)]
+
+
+@query("cpt_lookup", "WITH s(low, high, a, b) AS (VALUES " + ", ".join(f"({a!r}e0, {b!r}e0, {x!r}e0, {y!r}e0)" for a, b, x, y in _SLICES) + f") SELECT c_custkey, {rnd('a + (b - a) * (c_acctbal - low) / (high - low)')} AS level FROM customer LEFT JOIN s ON c_acctbal >= low AND c_acctbal < high")
+def _(spark, d):
+    slices = spark.createDataFrame(_SLICES, "low double, high double, low_value double, high_value double")
+    return palettes.interval_value(table(spark, d, "customer").select("c_custkey", "c_acctbal"), slices, "c_acctbal").select("c_custkey", r6(F.col("level")).alias("level"))
+
+
+@query("palette_colour", f"SELECT c_custkey, {rnd('CASE WHEN c_acctbal < 0 THEN 1e0 WHEN c_acctbal > 5000 THEN 2e0 WHEN c_acctbal <= 1000 THEN 0 + 255 * ((c_acctbal - 0) / 1000) ELSE 255 + (0 - 255) * ((c_acctbal - 1000) / 4000) END')} AS r FROM customer")
+def _(spark, d):
+    p = palettes.Palette((palettes.Slice(0.0, (0, 0, 0), 1000.0, (255, 0, 0)), palettes.Slice(1000.0, (255, 0, 0), 5000.0, (0, 0, 255))), (), (1, 1, 1), (2, 2, 2), (3, 3, 3))
+    return table(spark, d, "customer").select("c_custkey", r6(palettes.colour(F.col("c_acctbal"), p)["r"]).alias("r"))
+
+
+@query("plate_classes", f"WITH {C} SELECT plate_id % 3 AS modulo, plate_id // 100 AS region, count(*) AS n FROM c GROUP BY 1, 2")
+def _(spark, d):
+    return customers(spark, d).groupBy(palettes.modulo_class(F.col("plate_id"), 3).alias("modulo"), palettes.region_of(F.col("plate_id")).alias("region")).agg(F.count("*").alias("n"))
+
+
+@query("arc_distances", f"WITH {C}, n AS (SELECT id, x, y, z FROM cv WHERE abs(lat) < 89) SELECT id, {rnd('CASE WHEN x >= 0 AND y >= 0 AND (x > 0 OR y > 0) THEN asin(abs(z)) ELSE least(acos(greatest(-1e0, least(1e0, x))), acos(greatest(-1e0, least(1e0, y)))) END')} AS angle FROM n WHERE abs(x) > 1e-6 AND abs(y) > 1e-6")
+def _(spark, d):
+    """Distance to the quarter of the equator from longitude 0 to 90."""
+    a, b = (S.vector(*(F.lit(float(x)) for x in v)) for v in ((1, 0, 0), (0, 1, 0)))
+    pts = customers(spark, d).where("abs(lat) < 89 and abs(v.x) > 1e-6 and abs(v.y) > 1e-6")
+    return pts.select("id", r6(S.point_to_arc(F.col("v"), a, b)).alias("angle"))
+
+
+@query("line_length", f"WITH {C}, s AS (SELECT c_mktsegment AS k, acos(greatest(-1e0, least(1e0, x * lead(x) OVER w + y * lead(y) OVER w + z * lead(z) OVER w))) AS a FROM cv WINDOW w AS (PARTITION BY c_mktsegment ORDER BY id)) SELECT k, {rnd('sum(a)')} AS length FROM s GROUP BY k")
+def _(spark, d):
+    lines = customers(spark, d).groupBy(F.col("c_mktsegment").alias("k")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("l"))
+    return lines.select("k", r6(S.length(F.transform("l", lambda p: p["v"]))).alias("length"))
+
+
+@query("centroids", f"WITH {C}, s AS (SELECT plate_id, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM cv GROUP BY plate_id), n AS (SELECT plate_id, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM s) SELECT plate_id, {XYZ} FROM n")
+def _(spark, d):
+    s = customers(spark, d).groupBy("plate_id").agg(*(F.sum(f"v.{c}").alias(c) for c in "xyz"))
+    return s.select("plate_id", S.normalise(S.vector(F.col("x"), F.col("y"), F.col("z"))).alias("c")).select("plate_id", *xyz_out(F.col("c")))
+
+
+@query("topology_boundaries")
+def _(spark, d):
+    """A box of four lines about each nation's point, carried through time, is closed again."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")).withColumn("lat", (F.col("k") * 5 - 60).cast("double")).withColumn("lon", (F.col("k") * 13 - 150).cast("double"))
+    point = lambda la, lo: S.from_lat_lon(F.col("lat") + la, F.col("lon") + lo)
+    sides = [((-5, -8), (-5, 8)), ((-8, 5), (8, 5)), ((5, 8), (5, -8)), ((8, -5), (-8, -5))]
+    lines = None
+    for i, (a, b) in enumerate(sides):
+        one = n.select((F.col("k") * 4 + i).alias("feature_id"), (F.col("k") % 7 + 100).alias("plate_id"), F.array(F.array(point(*a), point(0.5 * (a[0] + b[0]), 0.5 * (a[1] + b[1])), point(*b))).alias("rings"))
+        lines = one if lines is None else lines.unionByName(one)
+    moved = reconstruct.by_plate(lines.withColumn("time", F.lit(60.0)), R.rotations(samples(spark), [60.0]), point=None, rings="rings")
+    geo = moved.select("time", "feature_id", F.element_at("rings", 1).alias("line"))
+    sections = n.select(F.col("k").alias("topology_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("section_index")).select("topology_id", "section_index", (F.col("topology_id") * 4 + F.col("section_index")).alias("feature_id"), F.lit(False).alias("reverse"), F.lit(False).alias("is_interior"), F.lit(60.0).alias("time"))
+    rings = topology.boundaries(topology.resolve_sections(sections, geo))
+    return rings.select("topology_id", F.size("ring").cast("long").alias("points"), r6(F.abs(S.ring_area(F.col("ring")))).alias("area"))
+
+
+@query("shared_sections", "SELECT l_partkey % 50 AS feature_id, count(DISTINCT l_suppkey) AS topologies FROM lineitem GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.lit(0.0).alias("time"), (F.col("l_partkey") % 50).alias("feature_id"), F.col("l_suppkey").alias("topology_id")).distinct()
+    return topology.shared_sections(rows).select("feature_id", F.size("topologies").cast("long").alias("topologies"))

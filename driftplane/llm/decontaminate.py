@@ -188,6 +188,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark window."""
+    store.bound_batches(spark)
     indexes, schema = _broadcast(store.table(spark, sf_dir, "benchmark"), "item_id", "text"), docs.schema
     at = schema.names.index("text")
 

@@ -397,5 +397,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of least id stays."""
+    store.bound_batches(spark)
     found = store.keep(join(docs).where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "copies")
     return store.only_ids(docs, found, "doc_id", how="left_anti")

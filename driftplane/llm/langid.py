@@ -178,6 +178,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in an identified language; texts without a letter go, and texts
     whose best language is hardly likelier than chance."""
+    store.bound_batches(spark)
     model = train(docs.where(~held_out()))
     shared, schema = spark.sparkContext.broadcast(model), docs.schema
     at = schema.names.index("text")

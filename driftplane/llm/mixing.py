@@ -183,6 +183,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each copy (column ``copy`` from 1).
     Documents without words are outside the word budget and stay once."""
+    store.bound_batches(spark)
     sized = store.keep(docs.select("doc_id", "source", words_in(F.col("text")).alias("_size")), "sizes")
     out = fit(sized).apply(docs).where("_copies > 0")
     return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))

@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch.  Texts are long: Spark's default of 10,000 rows may be gigabytes.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to BATCH_ROWS, if above."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +50,7 @@ def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     survives the loss of any executor.  Removed when the application ends, or by
     :func:`drop`."""
     spark = df.sparkSession
+    bound_batches(spark)
     to = f"{shared_folder(spark)}/driftplane-{uuid.uuid4().hex}/{name}"
     df.write.partitionBy(*by).parquet(to)
     path = _path(spark, to)

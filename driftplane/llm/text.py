@@ -11,6 +11,7 @@ avalanche step.  They are pure functions of the text, equal on every machine.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -159,6 +160,21 @@ def firsts(doc: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
 
 
+@functools.cache
+def _trim():
+    """The C library's way to give freed memory back, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(col: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each, one row at least."""
     size = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64) + 1
@@ -168,6 +184,7 @@ def slices(col: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + limit, "right")))
         yield lo, hi
         lo = hi
+    release()
 
 
 def texts_of(col: pa.Array) -> list[str]:

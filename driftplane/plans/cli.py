@@ -19,7 +19,7 @@ INDETERMINATE = "Indeterminate"
 def pole_text(q: F.Column, identity: str = INDETERMINATE) -> F.Column:
     """(lat, lon, angle) as text; the identity as a word or as the north pole."""
     p = Q.to_pole(q)
-    return F.coalesce(F.format_string("(%.4f, %.4f, %.4f)", p["lat"], p["lon"], p["angle"]), F.lit("(90.0, 0.0, 0.0)" if identity == "pole" else identity))
+    return F.when(p.isNotNull(), F.format_string("(%.4f, %.4f, %.4f)", p["lat"], p["lon"], p["angle"])).otherwise(F.lit("(90.0, 0.0, 0.0)" if identity == "pole" else identity))
 
 
 def _parser() -> argparse.ArgumentParser:

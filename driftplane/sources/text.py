@@ -169,7 +169,8 @@ def read_plates_lines(spark: SparkSession, path: str) -> DataFrame:
 def plates_lines(features: DataFrame) -> DataFrame:
     """(line, value): features (plate_id, name, begin, end, coordinates) as PLATES4 text."""
     t = lambda c, far: F.when(F.abs(F.col(c)) == float("inf"), F.lit(far)).otherwise(F.col(c))
-    head = F.array(F.concat(F.lit("0000 "), F.coalesce("name", F.lit(""))), F.format_string(" %4d %6.1f %6.1f %s %04d %d", "plate_id", t("begin", 999.0), t("end", -999.0), F.coalesce("feature_type", F.lit("UN")), F.lit(0), F.size("coordinates")))
+    conjugate = F.coalesce("conjugate", F.lit(0)).cast("long") if "conjugate" in features.columns else F.lit(0)
+    head = F.array(F.concat(F.lit("0000 "), F.coalesce("name", F.lit(""))), F.format_string(" %4d %6.1f %6.1f %s %04d %d %d %d", "plate_id", t("begin", 999.0), t("end", -999.0), F.coalesce("feature_type", F.lit("UN")), F.lit(1), conjugate, F.lit(1), F.size("coordinates")))
     points = F.transform("coordinates", lambda p, i: F.format_string("%9.4f %9.4f %d", p["lat"], p["lon"], F.when(i == 0, 3).otherwise(2)))
     value = F.concat(head, points, F.array(F.lit("  99.0000   99.0000 3")))
     return features.select("line", F.array_join(value, "\n").alias("value"))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 U64 = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)

@@ -3,11 +3,13 @@
 Base spans are exact patterns for e-mail addresses, IP addresses, payment cards and phone
 numbers.  The tagger reads windows of ``WINDOW`` characters every ``STRIDE``; every part of
 a text that a span can be in is in such a window whole (spans are at most STRIDE long).
-Any span of these kinds has a digit, an at sign or a spelled-out "at ... dot"; windows
-without one are not run, as they can hold none.  Candidates of all windows of a document
-are reconciled at once: of overlapping ones the set of highest total score is chosen by
-dynamic programming.  Added spans pass the plain checks of their kind (lengths, Luhn, part
-sizes) and never touch a base span.
+Candidates of all windows of a document are reconciled at once: of overlapping ones the set
+of highest total score is chosen by dynamic programming.  Added spans pass the plain checks
+of their kind (lengths, Luhn, part sizes) and never touch a base span.
+
+No span passes its check without a digit, an at sign, or the word "at" in any case and
+brackets with a full stop or "dot" in the same window; windows without are not run, and
+running them gives the same spans.
 
 The tagger is trained in numpy from labelled spans (:func:`examples`, generated from a
 seed, or any labelled texts), once in a process.
@@ -41,7 +43,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELLED = re.compile(r"(?i)(?:\bat\b|\barroba\b)(?=[^\n]{1,40}?\b(?:dot|punto|punkt|point)\b)")
+_AT = re.compile(r"(?i)\bat\b")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -208,6 +210,12 @@ def _valid(kind: int, s: str) -> bool:
     return 9 <= len(d) <= 15 and not any(c.isalpha() for c in s)
 
 
+def _whole(kind: int, t: str, s: int, e: int) -> bool:
+    """Whether the "at" of a spelled-out address is a word of the text, not a part of one cut
+    by the span."""
+    return kind > 0 or "@" in t[s:e] or any(s <= m.start() and m.end() <= e for m in _AT.finditer(t, s, e + 1))
+
+
 def choose(found: list[tuple[float, Span]]) -> list[Span]:
     """Of weighted spans, the non-overlapping ones of highest total score (all kinds)."""
     found = sorted(set(found), key=lambda x: (x[1][2], x[1][1], x[1][0]))
@@ -226,19 +234,32 @@ def choose(found: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
-def _windows(b: tx.Block, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, number) of the windows that hold a character no span goes without."""
-    digit = (b.cp - np.uint32(48)) < 10
-    at = np.flatnonzero(digit | (b.cp == 64))
-    doc = b.doc(at)
-    off = at - b.start[doc]
-    more = [(i, m.start()) for i, t in enumerate(texts) if " dot " in t or "dot)" in t or "dot]" in t or " punto " in t or " punkt " in t or " point " in t for m in _SPELLED.finditer(t)]
-    if more:
-        doc = np.concatenate((doc, [i for i, _ in more]))
-        off = np.concatenate((off, [o for _, o in more]))
-    k = off // STRIDE
-    key = np.concatenate((doc, doc[k > 0])) << np.int64(40) | np.concatenate((k, k[k > 0] - 1))
-    key = np.unique(key)
+def _windows(b: tx.Block) -> tuple[np.ndarray, np.ndarray]:
+    """(document, number) of the windows that can hold a span :func:`_valid` passes."""
+    cp, small = b.cp, b.cp | np.uint32(32)
+    digit = (cp - np.uint32(48)) < 10
+    at = np.flatnonzero(digit | (cp == 64))
+    # the word "at"; letters beyond ASCII beside it do not count here, which only adds windows
+    word = ((small - np.uint32(97)) < 26) | digit | (cp == 95)
+    a = np.flatnonzero((small[:-1] == 97) & (small[1:] == 116))
+    before = (a > b.start[b.doc(a)]) & word[a - 1]
+    after = (a + 2 < b.end[b.doc(a)]) & word[np.minimum(a + 2, len(cp) - 1)]
+    a = a[~before & ~after]
+    dot = cp == 46
+    if len(cp) > 2:
+        dot[:-2] |= (small[:-2] == 100) & (small[1:-1] == 111) & (small[2:] == 116)
+    dots = np.concatenate(([0], np.cumsum(dot)))
+
+    def keys(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc = b.doc(at)
+        k = (at - b.start[doc]) // STRIDE
+        return np.concatenate((doc, doc[k > 0])), np.concatenate((k, k[k > 0] - 1))
+
+    doc, k = keys(a)
+    lo = b.start[doc] + k * STRIDE
+    some = dots[np.minimum(lo + WINDOW, b.end[doc])] > dots[lo]
+    more, n = keys(at)
+    key = np.unique(np.concatenate((doc[some], more)) << np.int64(40) | np.concatenate((k[some], n)))
     return key >> np.int64(40), key & ((np.int64(1) << np.int64(40)) - 1)
 
 
@@ -249,7 +270,7 @@ def find(texts: list[str], tagger: Tagger, batch: int = 128) -> tuple[list[list[
     some = has[b.end] > has[b.start]
     base = [base_spans(t) if some[i] else [] for i, t in enumerate(texts)]
     found: list[list[tuple[float, Span]]] = [[] for _ in texts]
-    doc, k = _windows(b, texts)
+    doc, k = _windows(b)
     code = symbols()[b.cp]
     for lo in range(0, len(doc), batch):
         d, n = doc[lo : lo + batch], k[lo : lo + batch] * STRIDE
@@ -274,7 +295,7 @@ def find(texts: list[str], tagger: Tagger, batch: int = 128) -> tuple[list[list[
                 s += 1
             while e > s and t[e - 1] in " \n\t,.;:|&)]}":
                 e -= 1
-            if w > 0 and s < e and _valid(kind, t[s:e]) and not any(s < oe and os < e for _, os, oe in old):
+            if w > 0 and s < e and _valid(kind, t[s:e]) and _whole(kind, t, s, e) and not any(s < oe and os < e for _, os, oe in old):
                 keep.append((w, (kind, s, e)))
         added.append(choose(keep))
     return base, added

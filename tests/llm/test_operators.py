@@ -285,6 +285,40 @@ def test_windows_are_reconciled():
     assert pii.choose(found) == [(0, 0, 10), (1, 12, 18)]
 
 
+def every_window(b):
+    n = np.maximum(1, -(-b.chars // pii.STRIDE))
+    return np.repeat(np.arange(b.n), n), np.concatenate([np.arange(x) for x in n])
+
+
+def covered(text, s, e):
+    """Whether the span of the text lies whole in a selected window."""
+    _, k = pii._windows(tx.Block([text]))
+    return any(n * pii.STRIDE <= s and e <= n * pii.STRIDE + pii.WINDOW for n in k.tolist())
+
+
+def test_windows_hold_every_labelled_form():
+    forms = ["jane.doe (at) mailbox.example.com", "jane.doe at mailbox . com", "JANE AT MAILBOX DOT COM", "jane[At]mailbox[dot]org", "jane\n(at)\nmailbox\n(Dot)\nde", "jane {at} mailbox.de"]
+    forms += [t[s:e] for t, spans in pii.examples(1500, seed=3) for _, s, e in spans]
+    assert all(len(f) <= pii.STRIDE + 1 for f in forms)
+    for f in forms:
+        for pad in (0, 40, 100, 127, 200):
+            text = ("word éa " * 30)[:pad] + " " + f + " zu" * 60
+            assert covered(text, pad + 1, pad + 1 + len(f)), f
+    assert len(pii._windows(tx.Block(["that data. fat", "", "at home", "x" * 300]))[0]) == 0
+
+
+def test_selected_windows_give_what_all_give(spark, monkeypatch):
+    model, r = pii.default_tagger(), random.Random(4)
+    bits = ["jane.doe", " (at) ", " at ", "AT", "[at]", " . ", ".", " dot ", "DOT", "mailbox", "com", "that", "attic", "éat", " ", "\n", "***", "+1 555", "@"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 60))) for _ in range(400)]
+    texts += [x.text or "" for x in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(100).collect()]
+    texts.append("please write to jane.doe (at) mailbox.example.com or so")
+    some = pii.find(texts, model)
+    assert some[1][-1]
+    monkeypatch.setattr(pii, "_windows", every_window)
+    assert pii.find(texts, model) == some
+
+
 def test_pii_edges(spark):
     out = pii.detect(frame(spark, [*ODD, "x" * 70 + " a@b.cd " + "y " * 5000 + "1.2.3.4"])).collect()
     assert [len(r.base) for r in out] == [0] * len(ODD) + [2]

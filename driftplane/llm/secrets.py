@@ -1,7 +1,8 @@
 """Secret scan with a random forest that removes false positives, in column expressions.
 
-Candidates are long runs of token characters with a digit, and shorter quoted values after
-``:`` or ``=``.  Each is described by its length, character transitions (runs of a class,
+Candidates are long runs of token characters with a digit, shorter quoted values after
+``:`` or ``=``, and unquoted values of 8 characters or more after a word that tells of
+secrets and ``:`` or ``=``; a name and the ``=`` after it are no part of a value.  Each is described by its length, character transitions (runs of a class,
 and the log odds of class bigrams), dictionary coverage, path shape, and the words next to
 it.  A random forest over these features, fitted in numpy on the driver from labelled
 findings (a bounded, seeded list by default), is flattened to literal arrays; scoring walks
@@ -24,11 +25,20 @@ from pyspark.sql import functions as F
 
 from . import store
 
-_T = "A-Za-z0-9_/+=.\\-"
-CANDIDATE = f"(?<![{_T}])(?=[A-Za-z_/+=.\\-]*+[0-9])[{_T}]{{16,}}+|(?<=[:=] ?[\"'])[^\\s\"']{{8,64}}(?=[\"'])"
+TELLS = "token secret password passwd pwd passphrase apikey api_key api-key access_key private_key credential auth bearer".split()
+_T = "A-Za-z0-9_/+.\\-"
+_TELL = f"(?i:{'|'.join(TELLS)})"
+# a "=" of a value: one before the value's end or beside another; any other ends a name
+_EQ = "=(?![.]{0,4}+[A-Za-z0-9_/+\\-])|(?<==)="
+#: After a tell word and ":" or "=", or after "authorization:" and a tell word; the cheap
+#: conditions stand first.
+_AFTER = f"(?:(?<=[:=][ \\t]{{0,4}})(?<={_TELL}[^A-Za-z0-9]{{0,4}}[:=][ \\t]{{0,4}})|(?<={_TELL}[ \\t]{{1,4}})(?<=(?i:authorization)[\"']?[ \\t]{{0,2}}[:=][ \\t]{{0,4}}[\"']?{_TELL}[ \\t]{{1,4}}))"
+_TOLD = f"(?=[^\\s\"'=]){_AFTER}(?:(?![,;)\\]}}>`]{{0,8}}+(?:[\\s\"'<]|$)|&[A-Za-z0-9_.\\-]{{1,40}}+=)[^\\s\"'<]){{8,}}+"
+_QUOTED = "(?<=[:=] ?[\"'])[^\\s\"']{8,64}(?=[\"'])"
+_RUN = f"(?<![{_T}])(?<!==)(?=[{_T}=]{{16}})(?=(?:[A-Za-z_/+.\\-]|{_EQ})*+[0-9])(?:[{_T}]|{_EQ}){{16,}}+"
+CANDIDATE = f"{_TOLD}|{_RUN}|{_QUOTED}"
 #: Words that secrets hardly hold, words next to secrets, words next to others.
 DICTIONARY = "the and that for with from this have not are was you example sample test demo user name mail data file path index image page site home http https www com org net html json text table value default config local public static source version release build number list item type class string status result content document module package license apache your here changeme dummy placeholder".split()
-TELLS = "token secret password passwd pwd passphrase apikey api_key api-key access_key private_key credential auth bearer".split()
 DENIES = "sha1 sha256 md5 checksum hash digest commit revision uuid guid etag integrity serial order invoice isbn tracking example sample".split()
 FEATURES = ("log_length", "runs_rate", "bigram_odds", "digit_rate", "upper_rate", "distinct_rate", "coverage", "slashes", "dots", "url_before", "extension", "tell", "deny", "assigned", "quoted", "mail", "hex_length", "repeats")
 _CLASSES = "vcUds"
@@ -60,7 +70,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     steps = F.zip_with(F.slice("_g", 1, F.size("_v")), "_v", lambda g, v: F.length(g) + F.length(v))
     ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
     found = found.withColumn("_e", F.when(F.size("_v") > 0, ends).otherwise(F.array().cast("array<int>")))
-    rows = F.transform(F.sequence(F.lit(1), F.size("_v")), lambda i: F.struct(F.element_at("_e", i).alias("end"), F.element_at("_v", i).alias("value"), F.right(F.element_at("_g", i), F.lit(48)).alias("before"), F.left(F.element_at("_g", i + 1), F.lit(24)).alias("after")))
+    rows = F.transform(F.sequence(F.lit(1), F.size("_v")), lambda i: F.struct(F.element_at("_e", i).alias("end"), F.element_at("_v", i).alias("value"), F.right(F.concat(F.coalesce(F.get("_v", i - 2), F.lit("")), F.element_at("_g", i)), F.lit(48)).alias("before"), F.left(F.element_at("_g", i + 1), F.lit(24)).alias("after")))
     found = found.select(id_col, F.explode(rows).alias("r"))
     return found.select(id_col, (F.col("r.end") - F.length("r.value")).cast("long").alias("start"), F.col("r.end").cast("long").alias("end"), "r.value", "r.before", "r.after")
 

@@ -1,17 +1,23 @@
 """Secret scan with a random forest that removes false positives, in column expressions.
 
-Candidates are long runs of token characters with a digit, shorter quoted values after
-``:`` or ``=``, and unquoted values of 8 characters or more after a word that tells of
-secrets and ``:`` or ``=``; a name and the ``=`` after it are no part of a value.  Each is described by its length, character transitions (runs of a class,
-and the log odds of class bigrams), dictionary coverage, path shape, and the words next to
-it.  A random forest over these features, fitted in numpy on the driver from labelled
-findings (a bounded, seeded list by default), is flattened to literal arrays; scoring walks
-them with ``aggregate``, so the executors run no Python.
-
-Every occurrence in the whole text is reported, with its offsets in code points.
-
-Edge cases: null and empty texts have no findings; repeated rows each report theirs; an
-empty table gives an empty result; a null id is carried as it is.
+Candidates are runs of 16 token characters or more with a digit or a capital after a small
+letter, quoted values of 8 characters or more after ``:`` or ``=``, and unquoted ones of 8
+characters or more after a word that tells of secrets and ``:`` or ``=``; a name and the
+``=`` after it are no part of a value.  Nothing limits a value's length.  Each is described
+by its length, character transitions (runs of a class, and the log odds of class bigrams),
+dictionary coverage, path shape, and the words next to it.  A random forest over these
+features, fitted in numpy on the driver from labelled findings (a bounded, seeded list by
+default), is flattened to literal arrays; scoring walks them with ``aggregate``, so the
+executors run no Python.
+
+Every occurrence in the whole text is reported, with its offsets in code points.  The work
+is linear in a text's length: one pattern whose parts begin at rare characters, features
+made once a candidate, offsets as running sums in blocks.
+
+Edge cases: null and empty texts have no findings; very long texts, long tokens and many
+candidates are scanned whole; repeated rows each report theirs; an empty table gives an
+empty result; a null id is carried as it is; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +36,14 @@ _T = "A-Za-z0-9_/+.\\-"
 _TELL = f"(?i:{'|'.join(TELLS)})"
 # a "=" of a value: one before the value's end or beside another; any other ends a name
 _EQ = "=(?![.]{0,4}+[A-Za-z0-9_/+\\-])|(?<==)="
-#: After a tell word and ":" or "=", or after "authorization:" and a tell word; the cheap
-#: conditions stand first.
-_AFTER = f"(?:(?<=[:=][ \\t]{{0,4}})(?<={_TELL}[^A-Za-z0-9]{{0,4}}[:=][ \\t]{{0,4}})|(?<={_TELL}[ \\t]{{1,4}})(?<=(?i:authorization)[\"']?[ \\t]{{0,2}}[:=][ \\t]{{0,4}}[\"']?{_TELL}[ \\t]{{1,4}}))"
-_TOLD = f"(?=[^\\s\"'=]){_AFTER}(?:(?![,;)\\]}}>`]{{0,8}}+(?:[\\s\"'<]|$)|&[A-Za-z0-9_.\\-]{{1,40}}+=)[^\\s\"'<]){{8,}}+"
-_QUOTED = "(?<=[:=] ?[\"'])[^\\s\"']{8,64}(?=[\"'])"
-_RUN = f"(?<![{_T}])(?<!==)(?=[{_T}=]{{16}})(?=(?:[A-Za-z_/+.\\-]|{_EQ})*+[0-9])(?:[{_T}]|{_EQ}){{16,}}+"
-CANDIDATE = f"{_TOLD}|{_RUN}|{_QUOTED}"
+_GAP = "[ \\t]{0,4}+"
+#: ":" or "=" after a tell word, or after "authorization" and before one.
+_LEAD = f"(?=[:=])(?:(?<={_TELL}[^A-Za-z0-9]{{0,4}})[:=]{_GAP}|(?<=(?i:authorization)[\"']?[ \\t]{{0,2}})[:=]{_GAP}[\"']?{_TELL}[ \\t]{{1,4}}+)"
+_TOLD = "(?=[^\\s\"'=])(?:(?![,;)\\]}>`]{0,8}+(?:[\\s\"'<]|$)|&[A-Za-z0-9_.\\-]{1,40}+=)[^\\s\"'<]){8,}+"
+_QUOTED = "[^\\s\"']{8,}+(?=[\"'])"
+_RUN = f"(?=[{_T}=]{{16}})(?=(?:[A-Z_/+.\\-]|[a-z](?![A-Z])|{_EQ})*+(?:[0-9]|[a-z][A-Z]))(?:[{_T}]|{_EQ}){{16,}}+"
+#: A match is a lead, if any, and the value (group 4); the empty groups say which lead it is.
+CANDIDATE = f"(?:{_LEAD}()|(?<![{_T}])(?<!==)()|(?<=[:=] ?[\"'])())(\\1{_TOLD}|\\2{_RUN}|\\3{_QUOTED})"
 #: Words that secrets hardly hold, words next to secrets, words next to others.
 DICTIONARY = "the and that for with from this have not are was you example sample test demo user name mail data file path index image page site home http https www com org net html json text table value default config local public static source version release build number list item type class string status result content document module package license apache your here changeme dummy placeholder".split()
 DENIES = "sha1 sha256 md5 checksum hash digest commit revision uuid guid etag integrity serial order invoice isbn tracking example sample".split()
@@ -61,31 +68,52 @@ def classes(value: Column) -> Column:
     return F.translate(value, "\x01\x02\x03\x04", "vcUd")
 
 
+def made(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row: the optimizer moves no expression
+    through a generator, so what reads them does not evaluate them again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def running(xs: Column, block: int = 64, levels: int = 3) -> Column:
+    """Running sums of an array of numbers: sums within blocks, and of the blocks before."""
+    if levels == 0:
+        zero = F.array().cast("array<long>")
+        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int"))
+    parts = F.transform(starts, lambda b: running(F.slice(xs, b * block + 1, block), block, 0))
+    upto = lambda sums: running(F.transform(sums, lambda p: F.element_at(p, -1)), block, levels - 1 if levels > 1 else 0)
+    # the block sums are made once: an array of one element, transformed
+    whole = F.transform(F.array(parts), lambda p: F.struct(p.alias("p"), upto(p).alias("u")))
+    joined = F.transform(whole, lambda w: F.flatten(F.transform(w["p"], lambda p, i: F.transform(p, lambda x: x + F.coalesce(F.get(w["u"], i - 1), F.lit(0))))))
+    return F.when(F.size(xs) > 0, F.get(joined, 0)).otherwise(F.array().cast("array<long>"))
+
+
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, value, before, after) of every candidate of every text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col), text.alias("_t")).where(F.col("_t").rlike(CANDIDATE))
-    found = found.select(id_col, F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_v"), F.split("_t", CANDIDATE, -1).alias("_g"))
-    # gap i stands before value i; its length and the value's add up to the offsets
-    steps = F.zip_with(F.slice("_g", 1, F.size("_v")), "_v", lambda g, v: F.length(g) + F.length(v))
-    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-    found = found.withColumn("_e", F.when(F.size("_v") > 0, ends).otherwise(F.array().cast("array<int>")))
-    rows = F.transform(F.sequence(F.lit(1), F.size("_v")), lambda i: F.struct(F.element_at("_e", i).alias("end"), F.element_at("_v", i).alias("value"), F.right(F.concat(F.coalesce(F.get("_v", i - 2), F.lit("")), F.element_at("_g", i)), F.lit(48)).alias("before"), F.left(F.element_at("_g", i + 1), F.lit(24)).alias("after")))
-    found = found.select(id_col, F.explode(rows).alias("r"))
-    return found.select(id_col, (F.col("r.end") - F.length("r.value")).cast("long").alias("start"), F.col("r.end").cast("long").alias("end"), "r.value", "r.before", "r.after")
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.col("_t").rlike(CANDIDATE))
+    all_of = lambda group: F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(group))
+    found = made(found, _m=all_of(0), _v=all_of(4), _g=F.split("_t", CANDIDATE, -1)).drop("_t")
+    # gap i stands before match i; its length and the match's add up to the offsets
+    steps = F.zip_with(F.slice("_g", 1, F.size("_v")), "_m", lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+    found = made(made(found, _s=steps), _e=running(F.col("_s")))
+    lead = lambda i: F.left(F.element_at("_m", i), F.length(F.element_at("_m", i)) - F.length(F.element_at("_v", i)))
+    before = lambda i: F.right(F.concat(F.coalesce(F.get("_v", i - 2), F.lit("")), F.element_at("_g", i), lead(i)), F.lit(48))
+    rows = F.transform(F.sequence(F.lit(1), F.size("_v")), lambda i: F.struct(F.element_at("_e", i).alias("end"), F.element_at("_v", i).alias("value"), before(i).alias("before"), F.left(F.element_at("_g", i + 1), F.lit(24)).alias("after")))
+    found = found.select("_id", F.explode(rows).alias("r"))
+    return found.select(F.col("_id").alias(id_col), (F.col("r.end") - F.length("r.value")).alias("start"), F.col("r.end").alias("end"), "r.value", "r.before", "r.after")
 
 
 def features(rows: DataFrame, odds: dict[str, float]) -> DataFrame:
-    """``rows`` (value, before, after) with FEATURES as the array ``x``."""
+    """``rows`` (value, before, after) with FEATURES as the array ``x``, made once a row."""
+    rows = made(rows, _low=F.lower("value"), _pairs=F.regexp_extract_all(classes(F.col("value")), F.lit("(?=(..))"), F.lit(1)))
     v, before, after = F.col("value"), F.lower("before"), F.lower("after")
     n = F.greatest(F.length(v), F.lit(1))
-    low = F.lower(v)
+    low = F.col("_low")
     rest = lambda pattern: F.length(F.regexp_replace(v, pattern, ""))
     rate = lambda pattern: 1 - rest(pattern) / n
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     table = F.create_map(*(x for k, o in odds.items() for x in (F.lit(k), F.lit(float(o)))))
-    cls = classes(v)
-    bigrams = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(cls) - 1, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.element_at(table, F.substring(cls, i, F.lit(2))), F.lit(0.0)))
+    bigrams = F.aggregate("_pairs", F.lit(0.0), lambda acc, p: acc + F.coalesce(F.element_at(table, p), F.lit(0.0)))
     one = {
         "log_length": F.log(n.cast("double")),
         "runs_rate": F.length(F.regexp_replace(v, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")) / n,
@@ -106,7 +134,7 @@ def features(rows: DataFrame, odds: dict[str, float]) -> DataFrame:
         "hex_length": F.when(low.rlike("^[0-9a-f-]+$"), F.length(v)).otherwise(0).cast("double"),
         "repeats": rate("(.)\\1{2,}"),
     }
-    return rows.withColumn("x", F.array(*(one[k].cast("double") for k in FEATURES)))
+    return made(rows, x=F.array(*(one[k].cast("double") for k in FEATURES))).drop("_low", "_pairs")
 
 
 def findings(n: int = 3000, seed: int = 0) -> list[tuple[str, str, str, int]]:
@@ -137,7 +165,7 @@ def findings(n: int = 3000, seed: int = 0) -> list[tuple[str, str, str, int]]:
         uuid = lambda: "-".join(run(hexa, k) for k in (8, 4, 4, 4, 12))
         value, before = pick(
             [
-                lambda: (f"mail{run(digits, 1)}.example.com", f"{prose()} {word()}.{run(digits, 2)}@"),
+                lambda: (f"{word()}{word()}-{word()}{run(digits, int(r.integers(1, 4)))}.{word()}." + pick(["com", "org", "net", "io", "co.uk"]), f"{prose()} {word()}{run(digits, 2)}@"),
                 lambda: ("/".join(word() for _ in range(4)) + f"/{run(digits, 4)}.html", pick([prose() + " ", "https://"])),
                 lambda: (uuid(), pick([prose() + " ", "uuid: ", 'id = "'])),
                 lambda: (run(hexa, pick((32, 40, 64))), pick(DENIES) + pick([": ", " ", '="', " = "])),
@@ -146,6 +174,8 @@ def findings(n: int = 3000, seed: int = 0) -> list[tuple[str, str, str, int]]:
                 lambda: (f"{run(digits, 4)}-{run(digits, 2)}-{run(digits, 2)}T{run(digits, 2)}.{run(digits, 2)}", prose() + pick([" ", ' date = "'])),
                 lambda: (pick(["your-token-here-1", "changeme12345678", "example_password1", "xxxxxxxxxxxxxxxx0", "test-api-key-00001", "dummy-secret-12345"]), pick(TELLS) + pick([' = "', ": ", "="])),
                 lambda: ("_".join(word() for _ in range(4)) + run(digits, 2), prose() + pick([" ", ' name = "'])),
+                lambda: ("".join(word().capitalize() for _ in range(int(r.integers(3, 7)))), prose() + pick([" ", "class ", ' = "', "://"])),
+                lambda: (word() + "".join(word().capitalize() for _ in range(int(r.integers(3, 6)))), prose() + pick([" ", "(", "."])),
                 lambda: (word() + "=" * int(r.integers(10, 30)) + run(digits, 1), prose() + " "),
                 lambda: (word() + word() + word(), prose() + pick([' = "', ': "'])),
                 lambda: (f"v{run(digits, 1)}.{run(digits, 2)}.{run(digits, 3)}-{word()}{word()}", "release "),

@@ -446,3 +446,30 @@ def test_pipeline(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_secret_scan_is_linear(spark):
+    import time
+
+    r = random.Random(5)
+    token = "".join(r.choice("abcXYZ019+/") for _ in range(1_000_000))
+    many = " ".join(f"k{i} = 'a8Kd03mQz1x{i}'" for i in range(100_000))
+    quoted = "password = '" + "x8!é" * 5000 + "'"
+    texts = ["short", f"ü {token} end", many, quoted, "no capital " + "abcDefghijklmnopqr"]
+    secrets.scan(frame(spark, ["token = 'a8Kd03mQz1xPw9aQz7pL'"])).collect()
+    began = time.time()
+    got = secrets.scan(frame(spark, texts)).collect()
+    assert time.time() - began < 60
+    by = {}
+    for x in got:
+        assert texts[x.doc_id][x.start : x.end] == x.value
+        by.setdefault(x.doc_id, []).append(x)
+    assert {k: len(v) for k, v in by.items()} == {1: 1, 2: 100_000, 3: 1, 4: 1}
+    assert len(by[1][0].value) == 1_000_000 and len(by[3][0].value) == 20_000
+
+
+def test_running_sums(spark):
+    xs = [random.Random(n).randrange(9) for n in range(9000)]
+    for n in (0, 1, 63, 64, 65, 4096, 9000):
+        got = spark.createDataFrame([(xs[:n],)], "x array<long>").select(secrets.running(F.col("x")).alias("s")).first().s
+        assert got == np.cumsum(xs[:n]).tolist()

@@ -158,13 +158,26 @@ def test_decontamination_equals_brute_force(spark):
     assert got == dict(enumerate(decontaminate.brute(texts, [(a, b or "") for a, b in items])))
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_without_broadcast(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     one = sorted(decontaminate.scan(docs, bench).collect())
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (300,))
+    monkeypatch.setattr(decontaminate, "FEW", 3)
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 1 << 10)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 1 << 10)
     assert sorted(decontaminate.scan(docs, bench).collect()) == one
 
 
+def test_decontamination_of_repeats_and_clashes(spark):
+    w = [f"w{i}" for i in range(30)]
+    bench = spark.createDataFrame([("a", " ".join(w[:12])), ("b", " ".join(w[5:20])), (None, " ".join(w[18:])), ("c", "solo")], "item_id string, text string")
+    rows = [(1, " ".join(w[:11])), (1, "clean"), (1, " ".join(w[:11])), (None, " ".join(w)), (None, "Solo"), (2, "x " * 50_000 + " ".join(w[5:15]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "text_hash", "n_words", "print", "start", "length", "window", "item", "kind", "hash", "_i", "_h", "items"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = sorted((tuple(r) for r in decontaminate.scan(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 11, 11, ["a"]), (1, 1, 0, []), (1, 11, 11, ["a"]), (None, 30, 30, ["a", "b"]), (None, 1, 1, ["c"]), (2, 50010, 10, ["b"])], key=str)
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert decontaminate.scan(frame(spark, ODD), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0

@@ -1,26 +1,34 @@
 """Language identification by word-first backoff.
 
 Training counts words and character n-grams (1 to ``MAX_N``, within words) by language in
-a bounded sample of labelled rows (``per_lang`` documents of least hashed id for each of
-at most ``max_langs`` languages).  A known word scores by its smoothed log frequency in
-each language.  An unseen word scores by its longest n-grams that any language knows:
-all n-grams of length MAX_N are tried, then shorter ones, down to single characters.
-A document's score is the mean over its words, sharpened to a posterior.
-
-Only words with a letter count; digits and punctuation around words are cut off.
-
-Edge cases: null texts and texts without a letter give ``und`` with score 0; with no
-labelled rows everything is ``und``; a word with only unseen characters is neutral; ties
-go to the language that sorts first; repeated rows each get their row.
+a bounded sample of labelled rows: ``per_lang`` documents of least hashed id of every
+language found, however many.  They are found in one pass over ids and labels (each task
+keeps its best of each language before anything is shuffled); the counts are made in Spark,
+and only the model comes to the driver.  If it had more than ``max_entries`` counts, the
+number of times that a word or n-gram must be met doubles until it has not.
+
+A known word scores by its smoothed log frequency in each language.  An unseen word scores
+by its longest n-grams that any language knows: all n-grams of length MAX_N are tried, then
+shorter ones, down to single characters.  A document's score is the mean over its words,
+sharpened to a posterior.
+
+Words are runs of letters and of marks beside them; digits and punctuation are cut off.
+
+Edge cases: null texts and texts without a letter give ``und`` with score 0; very long
+texts are scored whole; with no labelled rows everything is ``und``; a word with only unseen
+characters is neutral; ties go to the language that sorts first; repeated rows each get
+their row, and of rows that repeat an id the sample takes those of least hashed text; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -42,8 +50,11 @@ class Model:
 def _spans(b: tx.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case code points, and the maximal runs of letters."""
     low = tx.lower_table()[b.cp]
-    letter = (tx.letter_table()[low] & 3) > 0
-    return low, *b.runs(letter)
+    kind = tx.letter_table()[low]
+    s, e, doc = b.runs((kind & 11) > 0)
+    letters = np.concatenate(([0], np.cumsum((kind & 3) > 0)))
+    some = letters[e] > letters[s]
+    return low, s[some], e[some], doc[some]
 
 
 def _grams(hasher: tx.Hasher, s: np.ndarray, e: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,48 +65,43 @@ def _grams(hasher: tx.Hasher, s: np.ndarray, e: np.ndarray, n: int) -> tuple[np.
     return hasher.spans(at, at + n), of
 
 
-class _Counts:
-    """Counts of keys by language, merged block by block so that memory holds distinct keys."""
+def counted(texts: list[str], lang: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(0 for words or the length of n-grams, hashes, languages, how often) in the texts."""
+    low, s, e, d = _spans(tx.Block(texts))
+    hasher = tx.Hasher(low)
+    for n in range(MAX_N + 1):
+        h, of = (hasher.spans(s, e), np.arange(len(s))) if n == 0 else _grams(hasher, s, e, n)
+        pairs, times = np.unique(np.stack([h, lang[d[of]].astype(np.uint64)], 1), axis=0, return_counts=True)
+        yield n, pairs[:, 0], pairs[:, 1].astype(np.int64), times
+
 
-    def __init__(self, n_langs: int):
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros((0, n_langs), np.float32)
+def _table(keys: np.ndarray, lang: np.ndarray, times: np.ndarray, total: np.ndarray, distinct: int, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their log frequencies by language, centred."""
+    uniq, code = np.unique(keys, return_inverse=True)
+    counts = np.zeros((len(uniq), len(total)), np.float32)
+    counts[code, lang] = times
+    logp = np.log((counts + smoothing) / (np.maximum(total, 1) + smoothing * max(distinct, 1)))
+    logp -= logp.sum(1, keepdims=True) / max(logp.shape[1], 1)
+    return uniq, logp.astype(np.float32)
 
-    def add(self, keys: np.ndarray, lang: np.ndarray) -> None:
-        uniq, code = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
-        counts = np.zeros((len(uniq), self.counts.shape[1]), np.float32)
-        counts[code[: len(self.keys)]] = self.counts
-        for j in range(counts.shape[1]):
-            own = code[len(self.keys) :][lang == j]
-            counts[:, j] += np.bincount(own, minlength=len(uniq)).astype(np.float32)
-        self.keys, self.counts = uniq, counts
 
-    def table(self, smoothing: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys met often enough and their log frequencies by language, centred."""
-        total = np.maximum(self.counts.sum(0), 1)
-        known = self.counts.sum(1) >= least
-        logp = np.log((self.counts[known] + smoothing) / (total + smoothing * max(len(self.keys), 1)))
-        logp -= logp.sum(1, keepdims=True) / max(logp.shape[1], 1)
-        return self.keys[known], logp.astype(np.float32)
+def _model(names: list[str], n: np.ndarray, keys: np.ndarray, lang: np.ndarray, times: np.ndarray, totals: np.ndarray, distinct: np.ndarray) -> Model:
+    made = [_table(keys[n == k], lang[n == k], times[n == k], totals[k], int(distinct[k]), GRAM_SMOOTHING if k else WORD_SMOOTHING) for k in range(MAX_N + 1)]
+    return Model(names, made[0][0], made[0][1], [m[0] for m in made[1:]], [m[1] for m in made[1:]])
 
 
 def fit(texts: list[str], langs: list[str], *, least: int = 2) -> Model:
+    """The model of a few texts, in memory."""
     names = sorted(set(langs))
     code = np.array([names.index(x) for x in langs], np.int64)
-    words, grams = _Counts(len(names)), [_Counts(len(names)) for _ in range(MAX_N)]
-    lens = np.cumsum([len(t) for t in texts])
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(lens, (lens[lo - 1] if lo else 0) + tx.BLOCK_CHARS // 2, "right")))
-        low, s, e, d = _spans(tx.Block(texts[lo:hi]))
-        hasher, of_lang = tx.Hasher(low), code[lo:hi][d]
-        words.add(hasher.spans(s, e), of_lang)
-        for n in range(1, MAX_N + 1):
-            h, of = _grams(hasher, s, e, n)
-            grams[n - 1].add(h, of_lang[of])
-        lo = hi
-    wk, wp = words.table(WORD_SMOOTHING, least)
-    made = [g.table(GRAM_SMOOTHING, least) for g in grams]
-    return Model(names, wk, wp, [m[0] for m in made], [m[1] for m in made])
+    totals, distinct, parts = np.zeros((MAX_N + 1, len(names))), np.zeros(MAX_N + 1), []
+    for n, h, lang, times in counted(texts, code) if texts else ():
+        np.add.at(totals[n], lang, times)
+        uniq, at = np.unique(h, return_inverse=True)
+        distinct[n] = len(uniq)
+        on = np.bincount(at, times, len(uniq))[at] >= least
+        parts.append((np.full(on.sum(), n), h[on], lang[on], times[on]))
+    return _model(names, *(np.concatenate(x) for x in zip(*parts, strict=True)), totals, distinct) if parts else _model(names, *(np.zeros(0, k) for k in (np.int64, np.uint64, np.int64, np.int64)), totals, distinct)
 
 
 def score(model: Model, texts: list[str], sharp: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
@@ -131,28 +137,50 @@ def score(model: Model, texts: list[str], sharp: float = 6.0) -> tuple[np.ndarra
     return np.where(n_words > 0, best, -1), np.where(n_words > 0, p[np.arange(b.n), best], 0.0)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 200) -> Model:
-    """Fits on the rows given, ``per_lang`` documents a language at most.  The least hashed
-    ids of each language are found by a bounded heap per task, merged by language."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.struct(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"))
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).select(lang_col).collect()]
-    if not langs:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, least: int = 2, max_entries: int = 4_000_000) -> Model:
+    """Fits on the rows given, ``per_lang`` documents a language at most."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g")).where("g is not null and t is not null")
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    best = Window.partitionBy("g").orderBy(F.xxhash64("i"), "i", "h")
+    some = rows.select("g", "i", "h").withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_lang).drop("k").distinct()
+    some = store.keep(some, "sample")
+    names = sorted(r[0] for r in some.select("g").distinct().collect())
+    if not names:
         return fit([], [])
-    parts = [rows.where(F.col(lang_col) == x).select(key.alias("k")).orderBy("k").limit(per_lang) for x in langs]
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.unionAll(p)
-    some = rows.join(F.broadcast(ids.select(F.col("k.i").alias(id_col)).distinct()), id_col)
-    got = some.select(id_col, text_col, lang_col).limit(2 * per_lang * len(langs)).collect()
-    got = sorted((r for r in got if r[2] in set(langs)), key=lambda r: (r[2], str(r[0]), r[1]))
-    return fit([r[1] for r in got], [r[2] for r in got])
+    code = {x: k for k, x in enumerate(names)}
+    few = some.select(F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("h").alias("_h"))
+    same = (rows["g"] == few["_g"]) & rows["i"].eqNullSafe(few["_i"]) & (rows["h"] == few["_h"])
+    texts = rows.join(F.broadcast(few) if per_lang * len(names) <= 2_000_000 else few, same, "left_semi").select("g", "h", "t").dropDuplicates(["g", "h"])
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in tx.slices(batch.column(1), tx.BLOCK_CHARS // 2):
+                part = batch.slice(lo, hi - lo)
+                lang = np.array([code[x] for x in part.column(0).to_pylist()], np.int64)
+                for n, h, g, times in counted(tx.texts_of(part.column(1)), lang):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n), pa.int32()), pa.array(h.view(np.int64)), pa.array(g), pa.array(times)], names=["n", "key", "lang", "times"])
+
+    made = texts.select("g", "t").mapInArrow(run, "n int, key long, lang long, times long").groupBy("n", "key", "lang").agg(F.sum("times").alias("times"))
+    counts = store.keep(made.groupBy("n", "key").agg(F.sum("times").alias("all"), F.collect_list(F.struct("lang", "times")).alias("by")), "counts")
+    totals, distinct = np.zeros((MAX_N + 1, len(names))), np.zeros(MAX_N + 1)
+    for n, lang, times in counts.select("n", F.explode("by").alias("b")).groupBy("n", "b.lang").agg(F.sum("b.times")).collect():
+        totals[n, lang] = times
+    for n, k in counts.groupBy("n").count().collect():
+        distinct[n] = k
+    while (counts.where(F.col("all") >= least).agg(F.sum(F.size("by"))).first()[0] or 0) > max_entries:
+        least *= 2
+    got = counts.where(F.col("all") >= least).select("n", "key", F.explode("by").alias("b")).select("n", "key", "b.lang", "b.times").toArrow()
+    store.drop(counts)
+    store.drop(some)
+    n, key, lang, times = (np.asarray(got[c]) for c in ("n", "key", "lang", "times"))
+    return _model(names, n, key.view(np.uint64), lang, times, totals, distinct)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):
         names = np.array([*shared.value.langs, "und"], object)

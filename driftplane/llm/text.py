@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def letter_table() -> np.ndarray:
-    """uint8 per code point: 1 letter, 2 upper-case letter, 4 decimal digit."""
+    """uint8 per code point: 1 letter, 2 upper-case letter, 4 decimal digit, 8 mark."""
     t = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         s = chr(c)
@@ -59,6 +60,8 @@ def letter_table() -> np.ndarray:
             t[c] = 3 if s.isupper() else 1
         elif s.isdecimal():
             t[c] = 4
+        elif c > 767 and unicodedata.category(s)[0] == "M":
+            t[c] = 8
     return t
 
 

@@ -112,6 +112,33 @@ def test_language_edges(spark):
     assert langid.identify(frame(spark, ["x"]).limit(0), model).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    rows = [(i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)} " * 3, f"l{i:03}") for i in range(260)] + [(None, "wab wab", "l001"), (None, "wab wab", "l001"), (3, None, "zz"), (4, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("g", "h", "t", "i", "k", "n", "key", "lang_pred"):
+        docs = docs.withColumn(c, F.lit("x"))
+    model = langid.train(docs)
+    assert len(model.langs) == 260
+    got = langid.identify(docs.where("doc_id < 260 and text is not null and lang like 'l%'"), model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id:03}" for r in got)
+    assert len(langid.train(docs, max_entries=200).words) < len(model.words)
+
+
+def test_language_words_hold_marks():
+    low, s, e, _ = langid._spans(tx.Block(["\u0939\u093f\u0928\u094d\u0926\u0940 x \u0301"]))
+    assert [(a, b) for a, b in zip(s.tolist(), e.tolist(), strict=True)] == [(0, 6), (7, 8)]
+    best, _ = langid.score(langid.fit(["der und " * 4, "the and " * 4], ["de", "en"]), ["\u0301\u0302"])
+    assert best.tolist() == [-1]
+
+
+def test_language_sample_equals_fit_in_memory(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null and text is not null")
+    rows = docs.dropDuplicates(["lang", "text"]).collect()
+    one, two = langid.train(docs, per_lang=10**6), langid.fit([r.text for r in rows], [r.lang for r in rows])
+    assert one.langs == two.langs and np.array_equal(one.words, two.words) and np.allclose(one.word_logp, two.word_logp, atol=1e-5)
+    assert all(np.array_equal(a, b) for a, b in zip(one.grams, two.grams, strict=True))
+
+
 def test_language_backs_off():
     model = langid.fit(["streichholz schachtel " * 3, "allumette boisson " * 3], ["de", "fr"])
     best, _ = langid.score(model, ["streichholzer", "allumettes", "boiss"])

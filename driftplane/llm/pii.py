@@ -1,21 +1,24 @@
 """Personal data: base patterns, and a BiLSTM-CRF tagger that adds what they miss.
 
 Base spans are exact patterns for e-mail addresses, IP addresses, payment cards and phone
-numbers.  The tagger reads windows of ``WINDOW`` characters every ``STRIDE``; every part of
-a text that a span can be in is in such a window whole (spans are at most STRIDE long).
-Candidates of all windows of a document are reconciled at once: of overlapping ones the set
-of highest total score is chosen by dynamic programming.  Added spans pass the plain checks
-of their kind (lengths, Luhn, part sizes) and never touch a base span.
+numbers.  The tagger reads windows of ``WINDOW`` characters every ``STRIDE``.  A tagged span
+that a window cuts is joined with its rest in the next window, which is decoded for it if it
+was not yet: spans have no greatest length.  Candidates of all windows of a document are
+reconciled at once: of overlapping ones the set of highest total score is chosen by dynamic
+programming.  Added spans pass the plain checks of their kind (lengths, Luhn, part sizes)
+and never touch a base span.
 
 No span passes its check without a digit, an at sign, or the word "at" in any case and
-brackets with a full stop or "dot" in the same window; windows without are not run, and
-running them gives the same spans.
+brackets with a full stop or "dot" no more than ``HOST`` characters behind it (a part of a
+host name has at most 63); windows without are only run to follow a span, and running them
+all gives the same spans.
 
 The tagger is trained in numpy from labelled spans (:func:`examples`, generated from a
-seed, or any labelled texts), once in a process.
+seed, or any labelled texts), once in a process, on windows cut at random places.
 
-Edge cases: null and empty texts have no spans; repeated rows each get their row; offsets
-are code points, ends exclusive.
+Edge cases: null and empty texts have no spans; very long texts are read whole; repeated
+rows each get their row; an empty table gives an empty result; other columns, whatever their
+names, are ignored (and kept by the stage); offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from . import text as tx
 from .tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 128, 64
+WINDOW, STRIDE, HOST = 128, 64, 72
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -44,6 +47,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = re.compile(r"(?i)\bat\b")
+_DOT = re.compile(r"(?i)\bdot\b|\.")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -116,7 +120,7 @@ def symbols() -> np.ndarray:
 N_SYMBOLS = 30 + len(_MARKS)
 
 
-def examples(n: int, seed: int = 0) -> list[tuple[str, list[Span]]]:
+def examples(n: int, seed: int = 0, length: int = WINDOW) -> list[tuple[str, list[Span]]]:
     """Labelled texts: made-up prose with personal data of each kind in usual and disguised
     forms, and numbers that are none."""
     r = np.random.default_rng(seed)
@@ -129,16 +133,22 @@ def examples(n: int, seed: int = 0) -> list[tuple[str, list[Span]]]:
         w = "".join(pick(parts) for _ in range(int(r.integers(1, 5)))) if r.random() < 0.8 else "".join(pick(letters) for _ in range(int(r.integers(1, 9))))
         return w.capitalize() if r.random() < 0.1 else w
 
+    def plain() -> str:
+        return word().lower().encode("ascii", "ignore").decode() or "x1"
+
     def name() -> str:
-        return pick([word().lower() + "." + num(2), word().lower() + "." + word().lower(), word().lower() + num(int(r.integers(0, 4)))]).encode("ascii", "ignore").decode() or "x1"
+        return pick([plain() + "." + num(2), plain() + pick("._-") + plain(), plain() + num(int(r.integers(0, 4))), plain(), pick(letters[:26]) + plain(), plain() + "+" + plain(), ".".join(plain() for _ in range(int(r.integers(2, 6))))])
 
     def host() -> str:
-        return pick(["mail" + num(1) + ".example", word().lower().encode("ascii", "ignore").decode() + "x"])
+        part = lambda: pick([plain(), plain() + plain(), plain() + "-" + plain(), plain() + num(int(r.integers(1, 3)))])
+        return ".".join(part() for _ in range(pick([1, 1, 1, 2, 2, 3, 4])))
 
     def email() -> str:
-        at = pick(["@"] * 6 + [" @ ", " at ", " (at) ", " [at] ", "(at)", "[at]", " {at} "])
-        dot = "." if at == "@" or r.random() < 0.3 else pick([" dot ", " (dot) ", "[dot]", "(dot)", " . "])
-        return name() + at + host().replace(".", dot) + dot + pick(["com", "org", "net", "de", "fr", "es"])
+        at = pick(["@"] * 5 + [" @ ", " at ", " at ", " at ", " (at) ", " [at] ", "(at)", "[at]", " {at} "])
+        dot = "." if at == "@" or r.random() < 0.4 else pick([" dot ", " dot ", " (dot) ", "[dot]", "(dot)", " . ", " {dot} "])
+        found = name() + at + host().replace(".", dot) + dot + pick(["com", "org", "net", "de", "fr", "es", "io", "info", "co" + dot + "uk", "edu"])
+        found = found.upper() if r.random() < 0.1 else found
+        return found if len(found) <= length - STRIDE else email()
 
     def ip() -> str:
         return pick([".", ".", ".", "[.]", "(.)", " . "]).join(str(int(r.integers(0, 256))) for _ in range(4))
@@ -153,55 +163,60 @@ def examples(n: int, seed: int = 0) -> list[tuple[str, list[Span]]]:
         return pick([f"+1 ({a}) {b}-{c}", f"+{num(2)} {num(2)} {num(4)} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{num(2)} {num(2)} {num(4)} {c}", f"{a}.{b}.{c}", f"+{num(2)}/{num(3)}/{num(6)}"])
 
     def other() -> str:
-        return pick([num(4), num(2), f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", "#" + num(5), num(7), f"{num(1)},{num(3)},{num(3)}", "@" + word(), word() + num(3), f"{num(3)} at {num(2)}", "at " + word() + " dot " + word(), f"{num(2)} | {num(2)} | {num(3)}", "".join(pick("0123456789abcdef") for _ in range(20)), f"+1 ({num(3)})"])
+        return pick([num(4), num(2), f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", "#" + num(5), num(7), f"{num(1)},{num(3)},{num(3)}", "@" + word(), word() + num(3), f"{num(3)} at {num(2)}", "at " + word() + " dot " + word(), word() + " at " + word() + ". " + word().capitalize(), word() + " at the " + word(), f"{num(2)} | {num(2)} | {num(3)}", "".join(pick("0123456789abcdef") for _ in range(20)), f"+1 ({num(3)})"])
 
     out = []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW:
+        while len(text) < length:
             x = r.random()
-            if x < 0.07:
+            if x < 0.12:
                 k = int(r.integers(4))
                 s = (email, ip, card, phone)[k]()
-                if len(text) + len(s) <= WINDOW:
+                if len(text) + len(s) <= length:
                     spans.append((k, len(text), len(text) + len(s)))
                     text += s
-            elif x < 0.13:
+            elif x < 0.18:
                 text += other()
             else:
                 text += word()
             text += pick([" "] * 12 + [", ", ". ", ".\n", " | ", "&&& ", ": ", "\n"])
-        out.append((text[:WINDOW], spans))
+        out.append((text[:length], spans))
     return out
 
 
-def encode(rows: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(rows: list[tuple[str, list[Span]]], starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, mask and tags of a window of each text, from 0 or the place given."""
     x, y = np.zeros((len(rows), WINDOW), np.uint8), np.zeros((len(rows), WINDOW), np.int64)
     for i, (text, spans) in enumerate(rows):
-        cp = np.frombuffer(text[:WINDOW].encode("utf-32-le", "surrogatepass"), "<u4")
+        lo = 0 if starts is None else int(starts[i])
+        cp = np.frombuffer(text[lo : lo + WINDOW].encode("utf-32-le", "surrogatepass"), "<u4")
         x[i, : len(cp)] = symbols()[cp]
         for k, s, e in spans:
-            y[i, s:e] = 2 + 2 * k
-            y[i, s] = 1 + 2 * k
+            if e > lo and s < lo + WINDOW:
+                y[i, max(s - lo, 0) : e - lo] = 2 + 2 * k
+                if s >= lo:
+                    y[i, s - lo] = 1 + 2 * k
     return x, (x > 0).astype(np.float32), y
 
 
 def fit(rows: list[tuple[str, list[Span]]], *, epochs: int = 7, seed: int = 0) -> Tagger:
     tagger = Tagger.fresh(N_SYMBOLS, TAGS, seed=seed)
-    tagger.train(*encode(rows), epochs=epochs, seed=seed)
+    room = np.maximum(0, [len(t) - WINDOW for t, _ in rows])
+    tagger.train(*encode(rows, np.random.default_rng(seed).integers(0, room + 1)), epochs=epochs, seed=seed)
     return tagger
 
 
 @functools.cache
-def default_tagger(n: int = 2400, epochs: int = 7, seed: int = 0) -> Tagger:
-    return fit(examples(n, seed), epochs=epochs, seed=seed)
+def default_tagger(n: int = 3200, epochs: int = 8, seed: int = 0) -> Tagger:
+    return fit(examples(n, seed, WINDOW + STRIDE), epochs=epochs, seed=seed)
 
 
 def _valid(kind: int, s: str) -> bool:
     """The plain check of a kind on what the tagger found."""
     d = _digits(s)
     if kind == 0:
-        return "@" in s and "." in s[s.index("@") :] or bool(re.search(r"(?i)\bat\b", s) and re.search(r"(?i)\bdot\b|\.", s))
+        return "@" in s and "." in s[s.index("@") :] or any(_DOT.search(s, m.end(), m.end() + HOST) for m in _AT.finditer(s))
     if kind == 1:
         found = re.findall(r"[0-9]+", s)
         return len(found) == 4 and all(map(_small, found))
@@ -216,6 +231,21 @@ def _whole(kind: int, t: str, s: int, e: int) -> bool:
     return kind > 0 or "@" in t[s:e] or any(s <= m.start() and m.end() <= e for m in _AT.finditer(t, s, e + 1))
 
 
+_HOST = re.compile(r"(?i)[\s)\]}>]{0,4}[a-z0-9-]+(?:(?:\.|\s{1,4}\.\s{1,4}|\s{0,4}[(\[{]\s{0,2}(?:dot|\.)\s{0,2}[)\]}]\s{0,4}|\s{1,4}dot\s{1,4})[a-z0-9-]+)+")
+_MARK = re.compile(r"(?i)@|\bat\b")
+
+
+def _address(t: str, s: int, e: int) -> tuple[int, int]:
+    """Where a spelled-out address begins and ends within the span: about the last mark that
+    a host follows, from the last white space before it to the host's last part."""
+    for m in reversed(list(_MARK.finditer(t, s, e))):
+        host = _HOST.match(t, m.end(), e)
+        before = t[s : m.start()].rstrip(" \t\n([{<")
+        if host and before:
+            return s + max(before.rfind(c) for c in " \t\n") + 1, host.end()
+    return s, e
+
+
 def choose(found: list[tuple[float, Span]]) -> list[Span]:
     """Of weighted spans, the non-overlapping ones of highest total score (all kinds)."""
     found = sorted(set(found), key=lambda x: (x[1][2], x[1][1], x[1][0]))
@@ -235,7 +265,7 @@ def choose(found: list[tuple[float, Span]]) -> list[Span]:
 
 
 def _windows(b: tx.Block) -> tuple[np.ndarray, np.ndarray]:
-    """(document, number) of the windows that can hold a span :func:`_valid` passes."""
+    """(document, number) of the windows that hold what :func:`_valid` asks for."""
     cp, small = b.cp, b.cp | np.uint32(32)
     digit = (cp - np.uint32(48)) < 10
     at = np.flatnonzero(digit | (cp == 64))
@@ -249,29 +279,21 @@ def _windows(b: tx.Block) -> tuple[np.ndarray, np.ndarray]:
     if len(cp) > 2:
         dot[:-2] |= (small[:-2] == 100) & (small[1:-1] == 111) & (small[2:] == 116)
     dots = np.concatenate(([0], np.cumsum(dot)))
+    a = a[dots[np.minimum(a + 2 + HOST, b.end[b.doc(a)])] > dots[a]]
+    at = np.concatenate((at, a))
+    doc = b.doc(at)
+    k = (at - b.start[doc]) // STRIDE
+    key = np.unique(np.concatenate((doc, doc[k > 0])) << np.int64(40) | np.concatenate((k, k[k > 0] - 1)))
+    return key >> np.int64(40), key & ((np.int64(1) << np.int64(40)) - 1)
 
-    def keys(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        doc = b.doc(at)
-        k = (at - b.start[doc]) // STRIDE
-        return np.concatenate((doc, doc[k > 0])), np.concatenate((k, k[k > 0] - 1))
 
-    doc, k = keys(a)
-    lo = b.start[doc] + k * STRIDE
-    some = dots[np.minimum(lo + WINDOW, b.end[doc])] > dots[lo]
-    more, n = keys(at)
-    key = np.unique(np.concatenate((doc[some], more)) << np.int64(40) | np.concatenate((k[some], n)))
-    return key >> np.int64(40), key & ((np.int64(1) << np.int64(40)) - 1)
+#: kind, start, end, score, whether the window cuts it on the left, on the right
+Segment = tuple[int, int, int, float, bool, bool]
 
 
-def find(texts: list[str], tagger: Tagger, batch: int = 128) -> tuple[list[list[Span]], list[list[Span]]]:
-    """Base spans and added spans of each text."""
-    b = tx.Block(texts)
-    has = np.concatenate(([0], np.cumsum(((b.cp - np.uint32(48)) < 10) | (b.cp == 64))))
-    some = has[b.end] > has[b.start]
-    base = [base_spans(t) if some[i] else [] for i, t in enumerate(texts)]
-    found: list[list[tuple[float, Span]]] = [[] for _ in texts]
-    doc, k = _windows(b)
-    code = symbols()[b.cp]
+def _decode(b: tx.Block, code: np.ndarray, doc: np.ndarray, k: np.ndarray, tagger: Tagger, batch: int) -> dict[tuple[int, int], list[Segment]]:
+    """Tagged segments of the windows, by (document, number)."""
+    out: dict[tuple[int, int], list[Segment]] = {}
     for lo in range(0, len(doc), batch):
         d, n = doc[lo : lo + batch], k[lo : lo + batch] * STRIDE
         at = (b.start[d] + n)[:, None] + np.arange(WINDOW)
@@ -280,21 +302,61 @@ def find(texts: list[str], tagger: Tagger, batch: int = 128) -> tuple[list[list[
         tags, score = tagger.decode(np.ascontiguousarray(x.T), np.ascontiguousarray(on.T.astype(np.float32)))
         for w in np.flatnonzero((tags > 0).any(0)).tolist():
             row, points, offset, i = tags[:, w], score[:, w], int(n[w]), int(d[w])
-            length = int(b.chars[i])
-            for s in np.flatnonzero(row % 2 == 1).tolist():
+            length, found = int(b.chars[i]), []
+            for s in np.flatnonzero((row % 2 == 1) | ((row > 0) & (np.arange(WINDOW) == 0))).tolist():
                 kind, e = int(row[s] - 1) // 2, s + 1
-                while e < WINDOW and row[e] == row[s] + 1:
+                while e < WINDOW and row[e] == 2 + 2 * kind:
                     e += 1
-                if (s > 0 or offset == 0) and (e < WINDOW or offset + e >= length):  # not cut by the window
-                    found[i].append((round(float(points[s:e].sum()), 3), (kind, offset + s, offset + e)))
+                found.append((kind, offset + s, offset + e, float(points[s:e].sum()), s == 0 and offset > 0, e == WINDOW and offset + e < length))
+            out[i, offset // STRIDE] = found
+    return out
+
+
+def _joined(segments: dict[tuple[int, int], list[Segment]], n: int) -> list[list[tuple[float, Span]]]:
+    """Scored spans of each document: whole ones, and cut ones joined across windows."""
+    found: list[list[tuple[float, Span]]] = [[] for _ in range(n)]
+    last, open_ = (-1, -1), None
+    for at in sorted(segments):
+        before = open_ if at == (last[0], last[1] + 1) else None
+        last, open_ = at, None
+        for kind, s, e, w, left, right in segments[at]:
+            if left:
+                if before is None or before[0] != kind:
+                    continue
+                s, w = before[1], before[2] + w
+            if right:
+                open_ = (kind, s, w)
+            else:
+                found[at[0]].append((round(w, 3), (kind, s, e)))
+    return found
+
+
+def find(texts: list[str], tagger: Tagger, batch: int = 128) -> tuple[list[list[Span]], list[list[Span]]]:
+    """Base spans and added spans of each text."""
+    b = tx.Block(texts)
+    has = np.concatenate(([0], np.cumsum(((b.cp - np.uint32(48)) < 10) | (b.cp == 64))))
+    some = has[b.end] > has[b.start]
+    base = [base_spans(t) if some[i] else [] for i, t in enumerate(texts)]
+    doc, k = _windows(b)
+    code, segments = symbols()[b.cp], {}
+    done = set(zip(doc.tolist(), k.tolist(), strict=True))
+    while len(doc):
+        new = _decode(b, code, doc, k, tagger, batch)
+        segments |= new
+        # where a window cuts a span, its neighbour is decoded too
+        more = {(i, j + step) for (i, j), found in new.items() for x in found for step, cut in ((-1, x[4]), (1, x[5])) if cut} - done
+        done |= more
+        doc, k = np.array(sorted(more), np.int64).reshape(-1, 2).T
     added: list[list[Span]] = []
-    for t, old, new in zip(texts, base, found, strict=True):
+    for t, old, new in zip(texts, base, _joined(segments, len(texts)), strict=True):
         keep = []
         for w, (kind, s, e) in new:
             while s < e and t[s] in " \n\t,.;:|&([{" and not (kind == 3 and t[s] == "("):
                 s += 1
             while e > s and t[e - 1] in " \n\t,.;:|&)]}":
                 e -= 1
+            if kind == 0:
+                s, e = _address(t, s, e)
             if w > 0 and s < e and _valid(kind, t[s:e]) and _whole(kind, t, s, e) and not any(s < oe and os < e for _, os, oe in old):
                 keep.append((w, (kind, s, e)))
         added.append(choose(keep))
@@ -304,7 +366,7 @@ def find(texts: list[str], tagger: Tagger, batch: int = 128) -> tuple[list[list[
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """(id, base, added): arrays of spans (kind, start, end) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):

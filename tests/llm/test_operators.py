@@ -359,6 +359,48 @@ def test_selected_windows_give_what_all_give(spark, monkeypatch):
     assert pii.find(texts, model) == some
 
 
+class Marks:
+    """Tags runs of digits and hyphens as phone numbers, whatever the window cuts."""
+
+    def decode(self, x, mask):
+        on = (x == 27) | (x == pii.symbols()[ord("-")])
+        first = on & ~np.concatenate((np.zeros_like(on[:1]), on[:-1]))
+        return np.where(first, 7, np.where(on, 8, 0)), np.ones(x.shape)
+
+
+def test_spans_longer_than_windows_are_joined():
+    for pad in (0, 1, 63, 64, 100, 500):
+        for long in (10, 64, 65, 127, 128, 129, 300, 1000):
+            span = "1234" + "-" * long + "56789"
+            text = "x" * pad + " " + span + " " + "y" * 70
+            base, added = pii.find([text, "no", text], Marks())
+            assert base == [[], [], []] and added == [[(3, pad + 1, pad + 1 + len(span))], [], added[0]]
+
+
+def test_spelled_out_addresses():
+    model = pii.default_tagger()
+    for text, want in [("jane (at) mail.example.org", "jane (at) mail.example.org"), ("write to john at mailx.com now", "john at mailx.com"), ("JOHN.DOE AT MAIL DOT COM", "JOHN.DOE AT MAIL DOT COM"), ("jane {at} mailx {dot} com", "jane {at} mailx {dot} com"), ("please write to averyveryverylongname.surname.of.some.person (at) the-department-of-something.university (dot) example (dot) com or call", "averyveryverylongname.surname.of.some.person (at) the-department-of-something.university (dot) example (dot) com")]:
+        _, added = pii.find([text], model)
+        assert [text[s:e] for _, s, e in added[0]] == [want]
+    held = pii.examples(1500, seed=99)
+    _, added = pii.find([t for t, _ in held], model)
+    base = [pii.base_spans(t) for t, _ in held]
+    missed = [t[s:e] for (t, spans), a, o in zip(held, added, base, strict=True) for k, s, e in spans if k == 0 and not any(x < e and s < y for _, x, y in a + o)]
+    wrong = sum(not any(s < y and x < e for _, x, y in spans) for (_, spans), a in zip(held, added, strict=True) for _, s, e in a)
+    total = sum(k == 0 for _, spans in held for k, _, _ in spans)
+    assert len(missed) < 0.08 * total and wrong < 0.05 * sum(map(len, added)), (len(missed), total, wrong, sum(map(len, added)))
+
+
+def test_op1_equals_plain_patterns(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for r in pii.op1(spark, SMALL).collect():
+        want = plain_spans(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in want) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.render(want).encode()).hexdigest()
+        spans = [(pii.KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(want) <= set(spans) and len(spans) == len(want) + r.n_added and spans == sorted(spans)
+
+
 def test_pii_edges(spark):
     out = pii.detect(frame(spark, [*ODD, "x" * 70 + " a@b.cd " + "y " * 5000 + "1.2.3.4"])).collect()
     assert [len(r.base) for r in out] == [0] * len(ODD) + [2]

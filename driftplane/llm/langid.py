@@ -36,6 +36,7 @@ from . import text as tx
 
 MAX_N = 5
 WORD_SMOOTHING, GRAM_SMOOTHING = 0.5, 0.5
+SALTS = 32
 
 
 @dataclass
@@ -142,8 +143,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g")).where("g is not null and t is not null")
     rows = rows.withColumn("h", F.xxhash64("t"))
-    best = Window.partitionBy("g").orderBy(F.xxhash64("i"), "i", "h")
-    some = rows.select("g", "i", "h").withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_lang).drop("k").distinct()
+    some = rows.select("g", "i", "h", F.pmod("h", F.lit(SALTS)).alias("s"))
+    for part in (["g", "s"], ["g"]):  # the best of each part of a language, then of all
+        best = Window.partitionBy(*part).orderBy(F.xxhash64("i"), "i", "h")
+        some = some.withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_lang).drop("k")
+    some = some.drop("s").distinct()
     some = store.keep(some, "sample")
     names = sorted(r[0] for r in some.select("g").distinct().collect())
     if not names:

@@ -35,7 +35,7 @@ from . import store
 from . import text as tx
 
 WINDOW, GRAM = 10, 5
-LEAST_BITS, MAX_BITS = 1 << 16, 1 << 28
+LEAST_BITS, MAX_BITS = 1 << 22, 1 << 28
 #: Rows of the benchmark's side of a join that are broadcast at most.
 FEW = 1_000_000
 

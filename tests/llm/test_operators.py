@@ -223,22 +223,60 @@ def test_mix_meets_targets(spark):
     r = random.Random(0)
     rows = [(i, " ".join(["w"] * int(r.lognormvariate(4, 1.2))), "en", r.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(1500)]
     docs = spark.createDataFrame(rows, TEXT).repartition(5)
-    sized = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("_size")).cache()
-    plan = mixing.fit(sized)
-    out = plan.apply(sized).withColumn("taken", F.col("_copies") * F.col("_size"))
-    for x in out.groupBy("source").agg(F.first("_target").alias("t"), F.sum("taken").alias("k"), F.max(F.col("taken") - 2 * F.col("_size")).alias("over")).collect():
+    sized = mixing.measured(docs)
+    out = mixing.fit(sized).apply(sized).withColumn("taken", F.col("copies") * F.col("size"))
+    for x in out.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
         assert abs(x.k - x.t) <= max(25, 0.002 * x.t) and x.over <= 0
-    again = mixing.fit(sized.repartition(3)).apply(sized.repartition(7))
-    assert sorted(again.select("doc_id", "_copies").collect()) == sorted(out.select("doc_id", "_copies").collect())
+    again = mixing.fit(mixing.measured(docs.repartition(3))).apply(mixing.measured(docs.repartition(7)))
+    assert sorted(again.select("id", "copies").collect()) == sorted(out.select("id", "copies").collect())
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    rows = [(1, "one two three four", "en", "a", 0)] * 700 + [(None, "one two", "en", "b", 0)] * 600 + [(None, "two one", "en", "b", 0)] * 5 + [(i, "x " * (i % 50), "en", "c", 0) for i in range(900)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame(rows, TEXT)
+    made = []
+    for few, parts in ((10**6, 3), (1, 8)):
+        monkeypatch.setattr(mixing, "FEW", few)
+        sized = mixing.measured(docs.repartition(parts))
+        assert sized.groupBy(*mixing.KEYS).agg((F.max("nth") + 1).alias("m"), F.count_distinct("nth").alias("d"), F.count("*").alias("n")).where("m <> n or d <> n").count() == 0
+        out = mixing.fit(sized).apply(sized)
+        for x in out.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("k")).collect():
+            assert abs(x.k - x.t) <= max(60, 0.01 * x.t)
+        made.append(sorted(map(tuple, out.select("id", "source", "text_hash", "copies").collect()), key=str))
+    assert made[0] == made[1]
+
+
+def test_mix_with_clashing_columns(spark):
+    rows = [(i, "a b c d", "en", "ab"[i % 3 == 0], 7) for i in range(300)]
+    docs = spark.createDataFrame(rows, TEXT)
+    more = docs
+    for c in ("_size", "size", "id", "nth", "row", "copies", "copy", "rate", "target", "_s", "_v", "part", "text_hash"):
+        more = more.withColumn(c, F.lit(1))
+    plain, clash = mixing.stage(spark, docs, SMALL), mixing.stage(spark, more, SMALL)
+    assert clash.columns == [*more.columns, "copy_2"]
+    assert sorted(plain.select("doc_id", "copy").collect()) == sorted(tuple(r) for r in clash.select("doc_id", "copy_2").collect())
+
+
+def test_mix_that_does_not_converge_is_an_error(spark):
+    hist = spark.createDataFrame([("a", 10, 5), ("a", 3, 9)], "source string, size long, docs long")
+    with pytest.raises(ArithmeticError):
+        mixing.solve(hist, {"a": 70.0}, {"a": -0.5}, 2.0, steps=1)
 
 
 def test_mix_edges(spark):
     docs = frame(spark, ODD)
     assert mixing.stage(spark, docs.limit(0), SMALL).count() == 0
-    sized = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("_size"))
+    sized = mixing.measured(docs)
     assert mixing.fit(sized).apply(sized).count() == len(ODD)
     with pytest.raises(ValueError, match="max_sources"):
-        mixing.fit(sized.withColumn("source", F.col("doc_id").cast("string")), max_sources=2)
+        mixing.fit(sized.withColumn("source", F.col("id").cast("string")), max_sources=2)
+
+
+def test_mix_targets_sql(spark):
+    import oracle
+
+    assert oracle.compare(spark, SMALL, mixing.target_rows, mixing.TARGETS_SQL) == ""
 
 
 # --- chat -------------------------------------------------------------------------------------

@@ -12,7 +12,8 @@ restores it.
 Edge cases: null texts and roles count as empty; a role outside the template is written
 ``<|role|>`` ... ``<|end|>`` without loss, and makes the order invalid; turns are ordered
 by (turn, role, text), nulls first; repeated rows are repeated turns; an empty table gives
-an empty result.  The turns of one conversation are gathered in one row, as its digests and
+an empty result; other columns, whatever their names, are ignored; very long texts are
+formatted whole, and tables of many long turns need a row that holds a conversation.  The turns of one conversation are gathered in one row, as its digests and
 its formatted text require.
 """
 
@@ -105,7 +106,7 @@ def walk(turns: Column, t: Template = TEMPLATE) -> Column:
 def format_chats(rows: DataFrame, *, template: Template = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, segments, formatted, state, valid) of each conversation."""
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chats = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias("_turns"))
+    chats = rows.select(F.col(id_col), one.alias("_one")).groupBy(id_col).agg(F.sort_array(F.collect_list("_one")).alias("_turns"))
     out = chats.select(F.col(id_col), segments(F.col("_turns"), template).alias("segments"), walk(F.col("_turns"), template).alias("state"))
     return out.select(id_col, "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "state", F.col("state").isin(*template.final).alias("valid"))
 
@@ -125,7 +126,7 @@ def read_back(formatted: Column, t: Template = TEMPLATE) -> Column:
             inner = F.substring(x, F.lit(len(r.opening) + 1), F.length(x) - len(r.opening) - len(r.closing))
             value = F.struct(F.lit(name).alias("role"), unescape(inner, t).alias("text"))
             out = F.when(F.startswith(x, F.lit(r.opening)), value) if out is None else out.when(F.startswith(x, F.lit(r.opening)), value)
-        end = F.locate("|>", x)
+        end = F.locate("|>", x, len(t.other.opening) + 1)  # a role may begin with ">"
         role = F.substring(x, F.lit(len(t.other.opening) + 1), end - len(t.other.opening) - 1)
         inner = F.substring(x, end + 2, F.length(x) - end - 1 - len(t.other.closing))
         return out.otherwise(F.struct(unescape(role, t).alias("role"), unescape(inner, t).alias("text")))

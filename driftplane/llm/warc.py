@@ -18,8 +18,10 @@ counted to be under ``max_groups``, else joined by shuffle.
 
 Edge cases: a null payload is empty; payloads of fewer than ``least`` bytes are always
 responses; rows that repeat both id and payload are alike (responses if theirs is the
-smallest id, else revisits); a null id counts as larger than any; a null url is left out,
-control characters in a url are percent-encoded; an empty table gives an empty result.
+smallest id, else revisits); a null id counts as larger than any, and is told from the text
+"null"; a null url is left out, control characters in a url are percent-encoded, and so are
+all but letters, digits and a few marks in an id; very long payloads are one record each; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from . import text as tx
 
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -58,6 +62,11 @@ def _uri(url: str) -> str:
     return "".join(c if ord(c) > 32 and ord(c) != 127 else f"%{ord(c):02X}" for c in url)
 
 
+def _name(page) -> str:
+    """An id as a part of a URN; null is the empty one, and text never is."""
+    return "" if page is None else f"{type(page).__name__[0]}:{quote(str(page), safe='')}"
+
+
 def record(page: str, url: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
     """One record.  A revisit carries the HTTP head (with the full length), not the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -190,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     groups = store.keep(groups, "groups")
     few = groups.count() <= max_groups
     rows = rows.join(F.broadcast(groups) if few else groups, (F.col("_digest") == F.col("_d")) & (F.length("_body") >= least), "left")
-    rows = rows.select("_id", "_url", "_body", F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).cast("string").alias("_to"))
+    rows = rows.select("_id", "_url", "_body", F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("_to"))
     sample = [bytes(r[0]) for r in pages.select(F.substring(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), 1, 4000).cast("binary")).limit(sample_rows).collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary([record("0", "http://", x) for x in sample]))
 
@@ -199,12 +208,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
         fs.create_dir(base, recursive=True)
         name, to, writer, count = "", None, None, 0
         for batch in batches:
-            for page, url, body, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = (row for lo, hi in tx.slices(batch.column(2), 4 << 20) for row in zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns), strict=True))
+            for page, url, body, first in rows:
                 if writer is None:
                     name, count = f"{base}/{uuid.uuid4().hex}.warc.zst", 0
                     to = fs.open_output_stream(name, compression=None)
                     writer = Writer(to, dictionary.value)
-                writer.add(record("null" if page is None else str(page), url, body, first))
+                writer.add(record(_name(page), url, body, None if first is None else _name(first)))
                 count += 1
                 if writer.size >= archive_bytes:
                     to.close()
@@ -247,14 +257,30 @@ def _batch(held: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([col("id", pa.string()), col("url", pa.string()), col("type", pa.string()), col("refers_to", pa.string()), col("bytes", pa.int64()), col("digest", pa.string()), col("payload", pa.binary())], names=["record_id", "url", "type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
 
+def page_of(record_id: str):
+    """The page's id in a record's, as text; null if there is none."""
+    return F.when(F.col(record_id).rlike("^<urn:page:[a-z]:"), F.url_decode(F.regexp_extract(record_id, "^<urn:page:[a-z]:(.*)>$", 1)))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = store.table(spark, sf_dir, "pages")
     folder = f"{store.shared_folder(spark)}/driftplane-{uuid.uuid4().hex}/archives"
     found = read_archives(write_archives(pages, folder), folder)
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(.*)>$", 1).try_cast(pages.schema["page_id"].dataType)
+    page = lambda c: page_of(c).try_cast(pages.schema["page_id"].dataType)
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
+#: op10 in SQL: base 32 takes twenty bits of the digest at a time.
+ORACLE = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || hex[5 * i + 1 : 5 * i + 5] AS BIGINT)) AS parts FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((parts[j // 4 + 1] >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def brute(rows: list[tuple[int, str | None]]) -> list[tuple]:
     """What op10 gives, by a dictionary; for tests."""
     first: dict[bytes, int] = {}

@@ -86,10 +86,9 @@ def _measured(batches):
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 4000, trees: int = 60, depth: int = 3) -> gbt.Forest:
     """Fits on at most ``train_rows`` labelled documents."""
-    some = store.few_rows(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label")), id_col, train_rows)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(some), id_col).select(id_col, "text", "label")
+    rows = store.labelled(docs, labels, train_rows, id_col=id_col, text_col=text_col, label_col=label_col)
     fields = ", ".join(f"{c} double" for c in ("label", *RATES))
-    got = rows.mapInArrow(_measured, fields).limit(2 * train_rows).toPandas().to_numpy(float).reshape(-1, 1 + len(RATES))
+    got = rows.mapInArrow(_measured, fields).toPandas().to_numpy(float).reshape(-1, 1 + len(RATES))
     got = got[np.lexsort(got.T)]
     return gbt.fit(got[:, 1:], got[:, 0], trees=trees, depth=depth, monotone=MONOTONE)
 
@@ -106,7 +105,7 @@ def assess(docs: DataFrame, model: gbt.Forest, *, id_col: str = "doc_id", text_c
                 failed, score = base_failed(stats), shared.value.probability(rates)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in stats.T), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)], names=[id_col, *STATS, "base_failed", "kept", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in STATS) + ", base_failed boolean, kept boolean, score double"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -80,6 +80,16 @@ def few_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, *, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, text, label) of the ``rows`` labelled ids of least hash, one row a different text;
+    if ids repeat with different texts, of at most twice as many texts of least hash.  The
+    same rows give the same sample, however they are dealt out."""
+    some = few_rows(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").cast("double").alias("label")), "id", rows)
+    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = got.select("id", "h").join(F.broadcast(some), "id").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(2 * rows)
+    return got.join(F.broadcast(keys), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "text", "label")
+
+
 def only_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = 2_000_000, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is (``left_anti``: is not) in ``ids``.  The ids are counted:
     up to ``bound`` they are broadcast, beyond it the join shuffles."""

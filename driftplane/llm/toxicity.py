@@ -143,11 +143,12 @@ def _lexicon(fit_rows: DataFrame, size: int, ratio: float, least: int) -> np.nda
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 8000, lexicon_size: int = 500, ratio: float = 12.0, least: int = 4, trees: int = 50, depth: int = 3) -> Model:
     """Fits on the labelled rows given, ``train_rows`` at most."""
-    some = store.few_rows(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label")), id_col, train_rows)
-    h = F.xxhash64(F.lit(7), F.col(id_col))
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(some), id_col).withColumns({"part": F.pmod(h, F.lit(10)).cast("int"), "half": F.pmod(F.floor(F.pmod(h, F.lit(1000)) / 10), F.lit(2)).cast("int")})
+    h = F.xxhash64(F.lit(7), F.col("id"))
+    rows = store.labelled(docs, labels, train_rows, id_col=id_col, text_col=text_col, label_col=label_col)
+    rows = rows.withColumns({"part": F.pmod(h, F.lit(10)).cast("int"), "half": F.pmod(F.floor(F.pmod(h, F.lit(1000)) / 10), F.lit(2)).cast("int")})
     rows = store.keep(rows.select("text", "label", "part", "half"), "labelled")
-    lexicon = _lexicon(rows.where("part < 7").dropDuplicates(["text"]), lexicon_size, ratio, least)
+    # equal texts count once, as toxic if any of them is
+    lexicon = _lexicon(rows.where("part < 7").groupBy("text").agg(F.max("label").alias("label"), F.min("half").alias("half")), lexicon_size, ratio, least)
     second = _hashes(SECOND)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, second))
 
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 x = measure(tx.texts_of(part.column(0)), *shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(c) for c in x.T)], names=["label", "part", *FEATURES])
 
-    got = rows.select("text", "label", "part").mapInArrow(run, "label double, part int, " + ", ".join(f"{c} double" for c in FEATURES)).limit(2 * train_rows).toPandas().to_numpy(float).reshape(-1, 2 + len(FEATURES))
+    got = rows.select("text", "label", "part").mapInArrow(run, "label double, part int, " + ", ".join(f"{c} double" for c in FEATURES)).toPandas().to_numpy(float).reshape(-1, 2 + len(FEATURES))
     store.drop(rows)
     got = got[np.lexsort(got.T)]
     y, part, x = got[:, 0], got[:, 1], got[:, 2:]
@@ -175,7 +176,7 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 def rate(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, score, predicted) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, pii, quality, secrets, toxicity, warc
+from . import chat, checks, decontaminate, jaccard, langid, mixing, pii, quality, secrets, toxicity, warc
 
 
 def queries():
@@ -17,8 +17,19 @@ def queries():
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_warc": warc.op10,
+        "pii_base_spans": checks.pii_base_spans,
+        "quality_statistics": checks.quality_statistics,
+        "mixing_targets": mixing.target_rows,
     }
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat.ORACLE}
+    return {
+        "op2_ngram_jaccard": checks.NGRAM_JACCARD,
+        "op5_chat_format": chat.ORACLE,
+        "op9_decontamination": checks.DECONTAMINATION,
+        "op10_warc": warc.ORACLE,
+        "pii_base_spans": checks.PII_BASE,
+        "quality_statistics": checks.QUALITY,
+        "mixing_targets": mixing.TARGETS_SQL,
+    }

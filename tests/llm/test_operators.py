@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftplane.llm import chat, decontaminate, gbt, langid, mixing, pii, quality, secrets, tagger, toxicity, warc
+from driftplane.llm import chat, decontaminate, gbt, langid, mixing, pii, quality, registry, secrets, tagger, toxicity, warc
 from driftplane.llm import text as tx
 
 SMALL = "/root/testdata/sf0.01"
@@ -67,6 +67,32 @@ def test_quality_statistics(spark):
     assert stats.tolist() == [brute_stats(t) for t in texts]
 
 
+def test_quality_held_out(spark):
+    """Labels that the fit does not see, told from the statistics of whole texts."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality is not null")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = quality.train(docs, labels.where(~held))
+    out = quality.assess(docs, model).join(labels.where(held), "doc_id").collect()
+    right = sum((r.score >= 0.5) == bool(r.quality) for r in out) / len(out)
+    assert right > 0.8, right
+
+
+def test_fits_do_not_depend_on_order(spark):
+    rows = [(i % 40, f"text {i % 90} " + "w " * (i % 60), "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, TEXT)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    for c in ("id", "h", "label", "half", "part", "score"):
+        docs = docs.withColumn(c, F.lit(1))
+    from driftplane.llm import store
+
+    got = [sorted(map(tuple, store.labelled(docs.repartition(n), labels.repartition(n), 20, id_col="doc_id", text_col="text", label_col="toxic").collect())) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 40
+    one, two = (toxicity.train(docs.repartition(n), labels, train_rows=20) for n in (1, 5))
+    assert np.array_equal(one.knots[0], two.knots[0]) and np.array_equal(one.lexicon, two.lexicon)
+    assert quality.assess(docs, quality.train(docs, labels, train_rows=20)).count() == 400
+
+
 def test_quality_edges(spark):
     docs = frame(spark, ODD)
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int").limit(0)
@@ -155,6 +181,16 @@ def test_toxicity_held_out(spark):
     assert hits and sum(r.toxic for r in hits) / len(hits) > 0.8
 
 
+def test_toxicity_recall_and_calibration(spark):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("toxic is not null")
+    out = toxicity.op8(spark, SMALL).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r for r in out if r.toxic]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.6, (sum(r.predicted for r in toxic), len(toxic))
+    p, y = np.array([r.score for r in out]), np.array([r.toxic for r in out], float)
+    gaps = [abs(p[m].mean() - y[m].mean()) * m.sum() for lo in np.arange(0, 1, 0.2) if (m := (p >= lo) & (p < lo + 0.2 + (lo > 0.7))).any()]
+    assert sum(gaps) / len(p) < 0.1, gaps
+
+
 def test_toxicity_sees_disguise():
     lexicon = np.unique(np.array([tx.hash_text("idiot")], np.uint64))
     second = np.unique(np.array([tx.hash_text("you")], np.uint64))
@@ -273,19 +309,13 @@ def test_mix_edges(spark):
         mixing.fit(sized.withColumn("source", F.col("id").cast("string")), max_sources=2)
 
 
-def test_mix_targets_sql(spark):
-    import oracle
-
-    assert oracle.compare(spark, SMALL, mixing.target_rows, mixing.TARGETS_SQL) == ""
-
-
 # --- chat -------------------------------------------------------------------------------------
 
 
 def test_chat_round_trip(spark):
     r = random.Random(1)
     bits = [*chat.TEMPLATE.control, "\\", "\\1.", "\\0.", "<", "[", "a", " ", "\n", "é"]
-    turns = [(c, t, r.choice(["system", "user", "assistant", "tool", "", None, "<|x|>"]), None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randrange(12)))) for c in range(60) for t in range(r.randrange(1, 6))]
+    turns = [(c, t, r.choice(["system", "user", "assistant", "tool", "", None, "<|x|>", ">foo", "foo|", "<", "|>", ">"]), None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randrange(12)))) for c in range(60) for t in range(r.randrange(1, 6))]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     made = chat.format_chats(rows)
     got = {x.conv_id: [(t.role, t.text) for t in x.t] for x in made.select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
@@ -302,10 +332,14 @@ def test_chat_order(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_chat_sql(spark):
-    import oracle
-
-    assert oracle.compare(spark, SMALL, chat.op5, chat.ORACLE) == ""
+def test_chat_of_long_texts_repeats_and_clashes(spark):
+    long = "<s>" * 100_000
+    rows = [(1, 0, ">foo", "hello"), (1, 1, "user", long), (1, 1, "user", long), (None, 0, "assistant", None), (2, None, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("_turns", "turns", "segments", "formatted", "state", "_one"):
+        df = df.withColumn(c, F.lit(1))
+    got = {x.conv_id: [tuple(t) for t in x.t] for x in chat.format_chats(df).select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [(">foo", "hello"), ("user", long), ("user", long)], None: [("assistant", "")], 2: [("user", "x")]}
 
 
 # --- personal data ----------------------------------------------------------------------------
@@ -535,6 +569,26 @@ def test_archives_equal_brute_force(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).count() == 0
 
 
+def test_archives_of_text_ids_and_clashes(spark, tmp_path):
+    rows = [("null", "a"), (None, "a"), ("a\r\nb: c", "x" * 300_000), ("ü>", "a"), ("", "b"), ("+ %", "b")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")
+    pages = pages.select("*", *(F.lit(1).alias(c) for c in ("_id", "_body", "_digest", "_d", "_first", "_n", "_to", "path", "records")))
+    folder = f"file://{tmp_path}/odd"
+    got = warc.read_archives(warc.write_archives(pages, folder), folder).select(warc.page_of("record_id").alias("i"), warc.page_of("refers_to").alias("r"), "payload_bytes").collect()
+    first = {"a": "null", "b": "", "x" * 300_000: "a\r\nb: c"}
+    assert sorted(map(tuple, got), key=str) == sorted([(i, None if first[h] == i else first[h], len(h)) for i, h in rows], key=str)
+
+
+# --- SQL ---
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, name):
+    import oracle
+
+    assert oracle.compare(spark, SMALL, registry.queries()[name], registry.oracle_sql()[name]) == ""
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 

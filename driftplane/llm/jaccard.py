@@ -289,13 +289,14 @@ class Join:
                 least = 1 << (power + 1)
                 break
             total += n
-        got = np.array([r[0] for r in counted.where(F.col("c") >= least).select("token").toLocalIterator()], np.int64)
+        got = np.asarray(counted.where(F.col("c") >= least).select("token").toArrow()["token"])
         store.drop(counted)
         store.tidy(self.spark)
         return np.sort(got.view(np.uint64))
 
-    def run(self) -> DataFrame:
-        """(id, n_shingles, component_id) of every row."""
+    def _signed(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Kept tables: a row of each document (id, node, n); of each set (node, id, n,
+        bitmap); of each signature that several sets have (key, node, n, info, more)."""
         words, spark = self.words, self.spark
         common = spark.sparkContext.broadcast(self._common())
         kind = self.docs.schema["id"].dataType.simpleString()
@@ -311,6 +312,28 @@ class Join:
         store.drop(signed)
         del signed, keys, shared
         store.tidy(spark)
+        return rows, nodes, posts
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Every link between different sets, as pairs (a, b) of nodes, and the membership
+        (id, node, n, copies, links): the rows of the same set, and the sets linked with it.
+        All pairs that share a signature are verified, also those already connected: the work
+        grows with the links, which :meth:`run` avoids."""
+        rows, nodes, posts = self._signed()
+        side = lambda x: posts.select(*(F.col(c).alias(f"{c}{x}") for c in ("key", "node", "n", "info", "more")))
+        pairs = side("1").join(side("2"), F.expr(f"key1 = key2 and node1 < node2 and {_may_link('info1', 'n1', 'more1', 'info2', 'n2', 'more2')}"))
+        found = self._verify(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), nodes)
+        store.drop(posts)
+        count = found.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("links"))
+        alike = rows.where("n > 0").groupBy(F.col("node").alias("y")).agg(F.count("*").alias("copies"))
+        member = rows.join(alike, (F.col("node") == F.col("y")) & (F.col("n") > 0), "left").join(count, (F.col("node") == F.col("x")) & (F.col("n") > 0), "left")
+        zero = F.lit(0).cast("long")
+        return found, member.select("id", "node", "n", F.coalesce("copies", zero).alias("copies"), F.coalesce("links", zero).alias("links"))
+
+    def run(self) -> DataFrame:
+        """(id, n_shingles, component_id) of every row."""
+        spark = self.spark
+        rows, nodes, posts = self._signed()
         links = None
         labels = spark.createDataFrame([], "node long, comp long")
         for r in range(self.stars):
@@ -396,7 +419,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of least id stays."""
+    """Of each component the document of least id stays (null ids after all others).  Rows
+    are told apart by id and text, so a text is never lost to another that shares its id; of
+    rows that repeat both, one stays."""
     store.bound_batches(spark)
-    found = store.keep(join(docs).where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "copies")
-    return store.only_ids(docs, found, "doc_id", how="left_anti")
+    # an id that no two different rows share: nulls last, then the id, then the text
+    key = F.struct(docs["doc_id"].isNull().alias("z"), docs["doc_id"].alias("i"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"))
+    names = docs.columns
+    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), key.alias("k"))
+    gone = store.keep(join(rows.select("k", "row.text"), id_col="k").where("component_id <> id").select(F.col("id").alias("k")).distinct(), "copies")
+    left = store.only_ids(rows, gone, "k", how="left_anti")
+    again = store.keep(rows.select("k").groupBy("k").count().where("count > 1").select("k"), "repeated")
+    if again.limit(1).count():
+        one = store.only_ids(left, again, "k").groupBy("k").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        left = store.only_ids(left, again, "k", how="left_anti").unionByName(one, allowMissingColumns=False)
+    return left.select("row.*")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftplane.llm import jaccard
@@ -117,3 +118,38 @@ def test_edges(spark):
     got = sorted(((r.id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()), key=str)
     assert got == sorted([(1, 6, 1), (1, 6, 1), (2, 6, 1), (None, 6, None), (3, 0, 3)], key=str)
     assert jaccard.join(df.limit(0)).count() == 0
+
+
+def test_stage_tells_rows_by_id_and_text(spark):
+    long = lambda w, n=60: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, long("a")), (2, long("a")), (2, long("b")), (3, long("c")), (3, long("c")), (None, long("a")), (None, long("d")), (None, long("d")), (4, None), (4, None), (5, ""), (6, long("a") + " tail")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    for c in ("k", "row", "id", "node", "n", "z", "component_id"):
+        docs = docs.withColumn(c, F.lit(1))
+    out = jaccard.stage(spark, docs.repartition(3), "")
+    assert out.columns == docs.columns
+    got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
+    assert got == sorted([(1, long("a")), (2, long("b")), (3, long("c")), (None, long("d")), (4, None), (5, "")], key=str)
+    assert jaccard.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_links_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(500)
+    rows = docs.select("doc_id", "text").collect()
+    own = {r.doc_id: sets(r.text) for r in rows}
+    by = {}
+    for i, s in own.items():
+        by.setdefault(frozenset(s), []).append(i)
+    keys = [k for k in by if k]
+    want = {k: 0 for k in keys}
+    for x in range(len(keys)):
+        for y in range(x):
+            both = len(keys[x] & keys[y])
+            if 100 * both >= 80 * len(keys[x] | keys[y]):
+                want[keys[x]] += 1
+                want[keys[y]] += 1
+    found, member = jaccard.Join(spark.createDataFrame(rows), frequent=8).links()
+    assert found.count() == sum(want.values()) // 2 > 0
+    for r in member.collect():
+        k = frozenset(own[r.id])
+        assert (r.copies, r.links) == ((len(by[k]), want[k]) if k else (0, 0))

@@ -6,7 +6,9 @@ aggregation with a conditional aggregate for each row, so adding rows adds no sh
 
 The distance join is an equi-join on cubes of the unit sphere: targets are in one cube,
 seeds look in the cubes around theirs, and the exact distance decides.  Cubes have no poles
-and no date line.  Adaptive execution splits crowded cubes.
+and no date line.  Adaptive execution splits crowded cubes.  Points meet as points; seeds or
+targets with lines, polygons (solid) or several geometries meet by their arcs
+(:mod:`.proximity`).  Rows that take the seed itself are projections, without a join.
 """
 
 from __future__ import annotations
@@ -14,27 +16,35 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
+from . import proximity
 
 MAPPERS = ("property", "attribute", "distance", "presence", "number_in_region")
-REDUCERS = ("min", "max", "mean", "median", "lookup", "vote")
+REDUCERS = ("min", "max", "mean", "median", "lookup", "vote", "weighted_mean", "percentile")
+#: Properties that are no numbers to reducers, though their columns may be: ids and times.
+TEXTUAL = frozenset(("plate_id", "reconstruction_plate_id", "left_plate", "right_plate", "begin", "end", "feature_type"))
+#: The column of key-value dictionaries (a map to strings or variants).
+DICTIONARY = "attributes"
 #: How reducers are named in headers.
-SUFFIX = {"min": "(min)", "max": "(max)", "mean": "(mean)", "median": "(median)", "lookup": "(lookup)", "vote": "(vote)"}
+SUFFIX = {"min": "(min)", "max": "(max)", "mean": "(mean)", "median": "(median)", "lookup": "(lookup)", "vote": "(vote)", "weighted_mean": "(weighted_mean)", "percentile": "(percentile)"}
 EMPTY_TEXT, NO_VOTE = "NaN", "N/A"
 
 
 @dataclass(frozen=True)
 class Column_:
-    """One row of a configuration.  ``range_km`` None takes the seed itself."""
+    """One row of a configuration.  ``range_km`` None takes the seed itself.  ``weight`` names
+    the column that a weighted mean weighs by; ``percent`` is the rank of a percentile."""
 
     target: str
     attribute: str
     reducer: str
     range_km: float | None = None
     mapper: str = "property"
+    weight: str | None = None
+    percent: float | None = None
 
     @property
     def name(self) -> str:
@@ -65,6 +75,8 @@ def check_config(rows: list[Column_]) -> list[Column_]:
     for r in rows:
         if r.reducer not in REDUCERS or r.mapper not in MAPPERS:
             raise ValueError(f"no result is defined for {r}")
+        if r.reducer == "weighted_mean" and r.weight is None or r.reducer == "percentile" and not (r.percent is not None and 0 <= r.percent <= 100):
+            raise ValueError(f"a weighted mean has a weight, a percentile is from 0 to 100: {r}")
         if r.range_km is not None and not r.range_km > 0:
             raise ValueError(f"a region is above 0 km: {r}")
     return rows
@@ -87,12 +99,16 @@ def within(seeds: DataFrame, targets: DataFrame, range_km: float, *, seed: str =
 
 def number(c: Column, kind: str) -> Column:
     """A cell as a number; only integers and floats are numbers."""
+    if kind == "variant":
+        one = F.schema_of_variant(c)
+        return F.when(one.isin("BIGINT", "DOUBLE", "FLOAT") | one.startswith("DECIMAL"), F.try_variant_get(c, "$", "double"))
     return c.cast("double") if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal") else F.lit(None).cast("double")
 
 
 def text(c: Column, kind: str) -> Column:
     """A cell as text; an empty one is "NaN"."""
-    return F.coalesce(c.cast("string"), F.lit(EMPTY_TEXT))
+    shown = F.try_variant_get(c, "$", "string") if kind == "variant" else c.cast("string")
+    return F.coalesce(shown, F.lit(EMPTY_TEXT))
 
 
 def upper_median(values: Column) -> Column:
@@ -101,11 +117,25 @@ def upper_median(values: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
-def reduced(row: Column_, kind: str, near: Column, present: Column) -> Column:
-    """The aggregate of one configuration row over joined pairs.
+def value_of(row: Column_, table: DataFrame) -> tuple[Column, str]:
+    """The value of a row's attribute in a table, and its kind.  A dictionary attribute that is
+    no column of its own is looked up; ids and times are text."""
+    kinds = dict(table.dtypes)
+    if row.mapper == "attribute" and row.attribute not in kinds and kinds.get(DICTIONARY, "").startswith("map<"):
+        return F.try_element_at(F.col(DICTIONARY), F.lit(row.attribute)), kinds[DICTIONARY].rpartition(",")[2].rstrip(">")
+    if row.attribute not in kinds:
+        return F.lit(None).cast("string"), "string"
+    if row.mapper == "property" and row.attribute in TEXTUAL:
+        return F.col(f"`{row.attribute}`").cast("string"), "string"
+    return F.col(f"`{row.attribute}`"), kinds[row.attribute]
+
+
+def reduced(row: Column_, name: str, kind: str, near: Column, present: Column) -> Column | None:
+    """The aggregate of one configuration row over joined pairs, whose value is the column
+    ``name``; None for what is no aggregate (:func:`ranked`).
 
     ``near``: the pair is in this row's region; ``present``: the pair has a target."""
-    value = F.col("dist_km") if row.mapper == "distance" else F.col(row.attribute) if row.mapper in ("property", "attribute") else None
+    value = F.col("dist_km") if row.mapper == "distance" else F.col(name) if name else None
     if row.mapper == "presence":
         # one boolean a seed: no number, so numeric reducers are empty (the mean is 0 / 0)
         found = F.max(F.when(near & present, True).otherwise(False))
@@ -122,8 +152,11 @@ def reduced(row: Column_, kind: str, near: Column, present: Column) -> Column:
         return F.max(x)
     if row.reducer == "mean":
         return F.when((F.sum(on.cast("int")) > 0) & (F.count(x) == 0), F.lit(float("nan"))).otherwise(F.avg(x))
-    if row.reducer == "median":
-        return upper_median(F.collect_list(x))
+    if row.reducer == "weighted_mean":
+        w = F.when(x.isNotNull(), F.col(f"_w_{name}" if name else "_w_distance"))
+        return F.sum(x * w) / F.nullif(F.sum(w), F.lit(0.0))
+    if row.reducer in ("median", "percentile"):
+        return None
     if row.reducer == "vote":
         return F.mode(F.when(on, text(value, kind)), deterministic=True)
     area = F.coalesce(F.col("area"), F.lit(float("inf"))) if row.mapper != "distance" else F.lit(0.0)
@@ -131,32 +164,96 @@ def reduced(row: Column_, kind: str, near: Column, present: Column) -> Column:
     return F.min_by(F.when(on, value), F.when(on, order))
 
 
+def ranked(pairs: DataFrame, seed: str, x: Column, row: Column_) -> DataFrame:
+    """(seed, value): the number at a rank of each seed's: at floor(n / 2) from 0 for the
+    median, at ceil(n p / 100) from 1 for a percentile.  Sorted rows, never a list."""
+    rows = pairs.select(seed, x.alias("x")).where("x is not null")
+    by = Window.partitionBy(seed)
+    n = F.count("*").over(by)
+    at = F.floor(n / 2) + 1 if row.reducer == "median" else F.greatest(F.lit(1), F.ceil(n * row.percent / 100))
+    return rows.withColumns({"_r": F.row_number().over(by.orderBy("x")), "_at": at}).where("_r = _at").select(seed, F.col("x").alias(row.name))
+
+
+def _with_geometry(df: DataFrame) -> DataFrame:
+    """A table of points (v) as one of geometries."""
+    return df if "rings" in df.columns else df.withColumns({"gtype": F.lit("point"), "rings": F.array(F.array("v"))})
+
+
+def regions(seeds: DataFrame, targets: DataFrame, range_km: float, *, seed: str = "seed_id") -> DataFrame:
+    """(seed, target_id, dist_km, target columns): the targets in each seed's region, each once,
+    with the least distance of their geometries."""
+    if "rings" not in seeds.columns and "rings" not in targets.columns:
+        return within(seeds.select(seed, "v"), targets, range_km, seed=seed)
+    s, t = _with_geometry(seeds), _with_geometry(targets)
+    found = proximity.pairs_within(s.select(seed, "gtype", "rings"), t.select("target_id", "gtype", "rings"), range_km, left_key=seed, right_key="target_id")
+    area = F.min(F.when(F.col("gtype") == "polygon", S.polygon_area(F.col("rings"))))
+    rest = [c for c in t.columns if c not in ("target_id", "gtype", "rings", "v", "area")]
+    one = t.groupBy("target_id").agg(area.alias("area"), F.min_by(F.struct(*rest), "input_order").alias("_t")).select("target_id", "area", "_t.*")
+    return found.join(one, "target_id")
+
+
+def itself(seeds: DataFrame, row: Column_) -> Column:
+    """The cell of a row that takes the seed itself: a list of one, reduced."""
+    value, kind = value_of(row, seeds)
+    if row.mapper == "presence":
+        return {"lookup": F.lit(True), "vote": F.lit("true"), "mean": F.lit(float("nan"))}.get(row.reducer, F.lit(None).cast("double"))
+    if row.mapper == "number_in_region":
+        return {"lookup": F.lit(1).cast("long"), "vote": F.lit("1")}.get(row.reducer, F.lit(1.0))
+    if row.mapper == "distance":
+        value, kind = F.lit(0.0), "double"
+    if row.reducer == "lookup":
+        return value
+    if row.reducer == "vote":
+        return text(value, kind)
+    x = number(value, kind)
+    return F.coalesce(x, F.lit(float("nan"))) if row.reducer == "mean" else x
+
+
 def coregister(seeds: DataFrame, targets: dict[str, DataFrame], config: list[Column_], *, seed: str = "seed_id") -> DataFrame:
     """One row a seed: its id and a column for each configuration row, in their order.
 
     Seeds: (seed_id, v, active).  An inactive seed has only empty cells.  Targets: (target_id,
-    v, input_order, attributes..., optional area of a polygon that holds the point)."""
+    v, input_order, attributes..., optional area of a polygon that holds the point).  Either
+    may have geometries (gtype, rings) instead of ``v``, several rows a target; the area of a
+    polygon is then its own.  Rows whose regions are of one order of magnitude share a join:
+    a wide region does not make narrow ones pay its pairs."""
     check_config(config)
     live = seeds.where(F.coalesce(F.col("active"), F.lit(True))) if "active" in seeds.columns else seeds
-    base = seeds.select(seed)
-    for name in dict.fromkeys(r.target for r in config):
-        rows = [r for r in config if r.target == name]
+    own = [r for r in config if r.range_km is None]
+    one = live.dropDuplicates([seed]) if "rings" in seeds.columns else live
+    base = seeds.select(seed).distinct() if "rings" in seeds.columns else seeds.select(seed)
+    if own:
+        base = base.join(one.select(seed, *(itself(live, r).alias(r.name) for r in own)), seed, "left")
+    groups: dict[tuple[str, int], list[Column_]] = {}
+    for r in config:
+        if r.range_km is not None:
+            groups.setdefault((r.target, math.floor(math.log(r.range_km, 4))), []).append(r)
+    for (name, _), rows in groups.items():
         table = targets[name]
         if "area" not in table.columns:
             table = table.withColumn("area", F.lit(None).cast("double"))
         if "input_order" not in table.columns:
             table = table.withColumn("input_order", F.col("target_id"))
-        kinds = dict(table.dtypes)
-        ranges = [r.range_km if r.range_km is not None else math.inf for r in rows]
-        used = sorted({r.attribute for r in rows if r.mapper in ("property", "attribute")})
-        table = table.select("target_id", "v", "input_order", "area", *[c for c in used if c not in ("target_id", "input_order", "area")])
-        pairs = within(live.select(seed, "v"), table, max(ranges), seed=seed)
+        values = {r: value_of(r, table) for r in rows if r.mapper in ("property", "attribute")}
+        names = {r: f"_x{i}" for i, r in enumerate(values)}
+        weights = {f"_w_{names.get(r, 'distance')}": F.col(r.weight).cast("double") for r in rows if r.reducer == "weighted_mean"}
+        geometry = ["gtype", "rings"] if "rings" in table.columns else ["v"]
+        table = table.select("target_id", *geometry, "input_order", "area", *(v.alias(names[r]) for r, (v, _) in values.items()), *(w.alias(n) for n, w in weights.items()))
+        shape = ["gtype", "rings"] if "rings" in live.columns else ["v"]
+        pairs = regions(live.select(seed, *shape), table, max(r.range_km for r in rows), seed=seed)
         # seeds without any target keep a row: regions without survivors are empty, counts 0
-        full = live.select(seed).join(pairs, seed, "left")
+        full = one.select(seed).join(pairs, seed, "left")
         present = F.col("target_id").isNotNull()
-        aggs = [reduced(r, kinds.get(r.attribute, ""), F.coalesce(F.col("dist_km") < min(k, math.pi * S.EQUATORIAL_RADIUS), F.lit(False)), present).alias(r.name) for r, k in zip(rows, ranges, strict=True)]
-        base = base.join(full.groupBy(seed).agg(*aggs), seed, "left")
-    return base.select(seed, *[r.name for r in config])
+        near = {r: F.coalesce(F.col("dist_km") < min(r.range_km, math.pi * S.EQUATORIAL_RADIUS), F.lit(False)) for r in rows}
+        kinds = {r: values[r][1] if r in values else "" for r in rows}
+        aggs = {r: reduced(r, names.get(r, ""), kinds[r], near[r], present) for r in rows}
+        some = [a.alias(r.name) for r, a in aggs.items() if a is not None]
+        if some:
+            base = base.join(full.groupBy(seed).agg(*some), seed, "left")
+        for r in (r for r, a in aggs.items() if a is None):
+            x = F.col("dist_km") if r.mapper == "distance" else number(F.col(names[r]), kinds[r])
+            base = base.join(ranked(pairs.where(near[r]), seed, x, r), seed, "left")
+    return base.select(seed, *[f"`{r.name}`" for r in config])
 
 
 def header(config: list[Column_]) -> list[str]:
@@ -169,10 +266,8 @@ def as_cells(df: DataFrame) -> DataFrame:
 
 
 def nearest(seeds: DataFrame, targets: DataFrame, range_km: float, k: int, *, seed: str = "seed_id") -> DataFrame:
-    """The k nearest targets of each seed in a region, ranked (ties by target id).  Only the
-    best k of each task's pairs are shuffled, so no seed's pairs meet in one task."""
+    """The k nearest targets of each seed in a region, ranked (ties by target id).  Each task
+    limits its pairs to the best k of a seed before they are shuffled."""
     pairs = within(seeds.select(seed, "v"), targets.select("target_id", "v"), range_km, seed=seed)
-    one = F.struct(F.col("dist_km"), F.col("target_id"))
-    part = pairs.withColumn("_p", F.spark_partition_id()).groupBy(seed, "_p").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("best"))
-    best = part.groupBy(seed).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return best.select(seed, F.posexplode("best").alias("rank", "b")).select(seed, (F.col("rank") + 1).alias("rank"), F.col("b.target_id").alias("target_id"), F.col("b.dist_km").alias("dist_km"))
+    rank = F.row_number().over(Window.partitionBy(seed).orderBy("dist_km", "target_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(seed, "rank", "target_id", "dist_km")

@@ -1,9 +1,11 @@
 """Partitioning by polygons and plate assignment.
 
-Partitioning polygons (plates) are a small, bounded table beside the points: they are
-broadcast when counted to be few, otherwise joined by shuffle on sphere cubes.  A bounding
-circle rejects most pairs before the exact test.  Of the polygons that hold a point, the
-one of highest priority takes it.
+Points meet polygons in cubes of the sphere: a polygon is in every cube that its bounding
+circle can touch, which is a small table of cubes and polygon numbers.  It, and the polygons
+themselves, are broadcast when their corners are counted to be few, otherwise joined by
+shuffle.  A bounding circle rejects most pairs before the exact test.  Of the polygons that
+hold a point, the one of highest priority takes it.  Lines and polygons are cut exactly where
+they cross the polygons' outlines; what one polygon leaves goes on to the next.
 """
 
 from __future__ import annotations
@@ -29,37 +31,69 @@ def with_priority(polygons: DataFrame, by: str = "plate_id") -> DataFrame:
     return polygons.withColumn("priority", F.struct(kind.alias("kind"), size.alias("size"), F.col("input_order").cast("long").alias("nth")))
 
 
-def hits(points: DataFrame, polygons: DataFrame, *, few: int = 20_000, cell: float = 0.25) -> DataFrame:
-    """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon."""
+#: Corners of polygons that are broadcast at most, and the edge of a cube.
+FEW_CORNERS, CUBE = 2_000_000, 0.25
+
+
+def _in_cubes(polygons: DataFrame, cell: float) -> DataFrame:
+    """Polygons (hit, priority, rings, centre, cos), a row for each cube ``c`` that they touch."""
     circle = S.bounding_circle(F.element_at("rings", 1))
-    p = polygons.withColumn("_b", circle).select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings"), F.col("_b.centre").alias("_centre"), F.col("_b.cos_radius").alias("_cos"))
-    near = S.dot(F.col("v"), F.col("_centre")) >= F.col("_cos") - 1e-9
-    if polygons.limit(few + 1).count() <= few:
-        pairs = points.join(F.broadcast(p), near | (F.col("_cos") < 0))
-    else:
-        # each polygon goes to the cubes that its bounding circle can touch
-        n = int(math.ceil(1 / cell))
-        grid = F.transform(F.sequence(F.lit(-n), F.lit(n - 1)), lambda i: i)
-        reach = cell * math.sqrt(3) / 2
-        chord = F.sqrt(F.greatest(2 - 2 * F.col("_cos"), F.lit(0.0)))
-        p = p.withColumn("_i", F.explode(grid)).withColumn("_j", F.explode(grid)).withColumn("_k", F.explode(grid))
-        middle = [(F.col(c) + 0.5) * cell for c in ("_i", "_j", "_k")]
-        off = sum((F.col(f"_centre.{a}") - m) ** 2 for a, m in zip("xyz", middle, strict=True))
-        p = p.where((F.sqrt(off) <= chord + reach) | (F.col("_cos") < 0))
-        c = points.withColumn("_c", S.cell(F.col("v"), cell))
-        pairs = c.join(p, (F.col("_c.i") == F.col("_i")) & (F.col("_c.j") == F.col("_j")) & (F.col("_c.k") == F.col("_k"))).where(near | (F.col("_cos") < 0)).drop("_c", "_i", "_j", "_k")
-    return pairs.where(S.point_in_polygon(F.col("v"), F.col("_rings"))).drop("_rings", "_centre", "_cos")
-
-
-def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", **options) -> DataFrame:
-    """Each point with the plate of the first polygon that holds it; null if none does."""
-    best = hits(points, polygons, **options).groupBy(key).agg(F.min_by("hit", "priority").alias("hit"))
+    p = polygons.select(F.col("plate_id").alias("hit"), "priority", "rings", circle.alias("_b")).select("hit", "priority", F.col("rings").alias("_rings"), F.col("_b.centre").alias("_centre"), F.col("_b.cos_radius").alias("_cos"))
+    n = int(math.ceil(1 / cell))
+    steps = F.sequence(F.lit(-n), F.lit(n))  # a coordinate of 1 is in the last cube
+    reach = cell * math.sqrt(3) / 2
+    cubes = F.flatten(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.transform(steps, lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
+    middle = lambda x: (x + 0.5) * cell
+    square = lambda c, v: sum((middle(c[k]) - v[a]) ** 2 for k, a in zip("ijk", "xyz", strict=True))
+    # a circle of over a quarter turn says nothing of the edges: everywhere
+    chord = F.when(F.col("_cos") < 0, 3.0).otherwise(F.sqrt(F.greatest(2 - 2 * F.col("_cos"), F.lit(0.0))))
+    skin = F.filter(cubes, lambda c: F.abs(F.sqrt(sum(middle(c[k]) ** 2 for k in "ijk")) - 1) <= reach)
+    spark = polygons.sparkSession
+    grid = spark.range(1).select(F.explode(skin).alias("_cube"))  # a few hundred cubes, whatever the input
+    return p.join(F.broadcast(grid), F.sqrt(square(F.col("_cube"), F.col("_centre"))) <= chord + reach + 1e-9)
+
+
+def _corners(polygons: DataFrame, rings: str = "rings") -> int:
+    return polygons.agg(F.sum(F.size(F.flatten(rings)))).first()[0] or 0
+
+
+def _near() -> Column:
+    return (F.col("_cos") < 0) | (S.dot(F.col("v"), F.col("_centre")) >= F.col("_cos") - 1e-9)
+
+
+def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS, cell: float = CUBE) -> DataFrame:
+    """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon."""
+    side = F.broadcast if _corners(polygons) <= few else (lambda x: x)
+    cubes = _in_cubes(polygons, cell).select(F.xxhash64("hit", "priority", "_rings").alias("_k"), "_cube", "_centre", "_cos")
+    shapes = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings")).withColumn("_k2", F.xxhash64("hit", "priority", "_rings"))
+    near = points.withColumn("_c", S.cell(F.col("v"), cell)).join(side(cubes), F.col("_c") == F.col("_cube")).where(_near()).drop("_c", "_cube", "_centre", "_cos")
+    found = near.join(side(shapes), F.col("_k") == F.col("_k2")).where(S.point_in_polygon(F.col("v"), F.col("_rings")))
+    return found.drop("_k", "_k2", "_rings")
+
+
+def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", few: int = FEW_CORNERS, cell: float = CUBE) -> DataFrame:
+    """Each point with the plate of the first polygon that holds it; null if none does.
+
+    Where the polygons of all cubes are few, each cube's are one broadcast list, and points
+    are not shuffled at all."""
+    cubes = _in_cubes(polygons, cell)
+    if _corners(cubes, "_rings") <= few:
+        one = F.struct("priority", "hit", "_rings", "_centre", "_cos")
+        lists = cubes.groupBy("_cube").agg(F.array_sort(F.collect_list(one)).alias("_list"))
+        rows = points.withColumn("_c", S.cell(F.col("v"), cell)).join(F.broadcast(lists), F.col("_c") == F.col("_cube"), "left")
+        test = lambda x: ((x["_cos"] < 0) | (S.dot(F.col("v"), x["_centre"]) >= x["_cos"] - 1e-9)) & S.point_in_polygon(F.col("v"), x["_rings"])
+        # the first that holds: later ones are not tested once one is found
+        kind = polygons.schema["plate_id"].dataType
+        none = F.struct(F.lit(False).alias("found"), F.lit(None).cast(kind).alias("hit"))
+        step = lambda acc, x: F.when(acc["found"], acc).when(test(x), F.struct(F.lit(True).alias("found"), x["hit"].alias("hit"))).otherwise(acc)
+        return rows.withColumn("hit", F.aggregate(F.coalesce("_list", F.slice("_list", 1, 0)), none, step)["hit"]).drop("_c", "_cube", "_list")
+    best = hits(points, polygons, few=few, cell=cell).groupBy(key).agg(F.min_by("hit", "priority").alias("hit"))
     return points.join(best, key, "left")
 
 
 def outside(points: DataFrame, polygons: DataFrame, *, key: str = "id", **options) -> DataFrame:
     """Points in no polygon."""
-    return points.join(hits(points, polygons, **options).select(key), key, "left_anti")
+    return first_hit(points, polygons, key=key, **options).where("hit is null").drop("hit")
 
 
 def most_overlapping(pieces: DataFrame, *, feature: str = "feature_id", plate: str = "hit", size: str = "size", order: str = "nth") -> DataFrame:
@@ -84,20 +118,92 @@ def assign_plates(features: DataFrame, polygons: DataFrame, rot: DataFrame | Non
     return out.drop("_hit")
 
 
-def split_lines(lines: DataFrame, polygons: DataFrame, *, key: str = "id", step: float = 0.01, **options) -> DataFrame:
-    """(id, hit, nth, points, size) pieces of polylines, cut where the polygon that holds them
-    changes, to within ``step`` radians: lines are tessellated and runs of points with one
-    first hit become pieces.  Points are dealt out by row, so long lines are many tasks."""
-    n = F.greatest(F.size("line") - 1, F.lit(0))
-    parts = F.flatten(F.zip_with(F.slice("line", F.lit(1), n), F.slice("line", F.lit(2), n), lambda a, b: F.slice(S.tessellate(a, b, step), F.lit(1), F.size(S.tessellate(a, b, step)) - 1)))
-    dense = lines.withColumn("_d", F.concat(parts, F.slice("line", -1, 1)))
-    points = dense.select(key, F.posexplode("_d").alias("nth", "v")).withColumn("_pk", F.struct(key, "nth"))
-    found = first_hit(points, polygons, key="_pk", **options)
-    runs = R.islands(found, key, ["nth"], ["hit"], "piece")
-    # the cut point belongs to both pieces
-    pieces = runs.groupBy(key, "piece").agg(F.first("hit").alias("hit"), F.min("nth").alias("nth"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("points"))
-    return pieces.withColumn("size", S.length(F.col("points"))).drop("piece")
+def assign_poles(poles: DataFrame, polygons: DataFrame, rot: DataFrame, *, key: str = "id", **options) -> DataFrame:
+    """Geomagnetic poles (id, site, v, time, plate_id, begin, end): the plate that holds the
+    sampling *site* takes the pole, and both are brought back to the present by it.  A pole
+    whose site is in no polygon, or that is not alive, keeps its plate and place."""
+    from .reconstruct import valid_at
 
+    alive = valid_at(F.col("time"), F.col("begin"), F.col("end"))
+    found = first_hit(poles.where(alive).select(key, F.col("site").alias("v")), polygons, key=key, **options).select(key, F.col("hit").alias("_hit"))
+    out = poles.join(found, key, "left").withColumn("plate_id", F.coalesce(F.col("_hit").cast("long"), F.col("plate_id").cast("long")))
+    out = R.lookup(out, rot, out="_q")
+    back = lambda c: F.when(F.col("_hit").isNotNull(), Q.rotate(Q.conjugate(F.col("_q")), F.col(c))).otherwise(F.col(c))
+    return out.withColumns({"v": back("v"), "site": back("site")}).drop("_q", "_hit")
+
+
+_RINGS = "array<array<struct<x: double, y: double, z: double>>>"
+
+
+def _overlaps(features: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, polygons): the polygons, in order of priority, that may touch each feature."""
+    from . import proximity
+
+    length = cell / 2
+    arcs = features.select(key, F.explode(proximity.arcs(F.col("gtype"), F.col("rings"))).alias("e"))
+    at = F.explode(F.array_distinct(F.transform(S.tessellate(F.col("e.a"), F.col("e.b"), length), lambda p: S.cell(p, cell))))
+    # an arc between two of its points may pass a cube's corner: the circle is wider by that
+    wide = _in_cubes(polygons, cell).select("hit", "priority", F.col("_rings").alias("rings"), F.col("_cube").alias("c"))
+    near = F.array(*map(F.lit, (-1, 0, 1)))
+    grown = F.flatten(F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.transform(near, lambda k: F.struct((F.col("c.i") + i).alias("i"), (F.col("c.j") + j).alias("j"), (F.col("c.k") + k).alias("k")))))))
+    wide = wide.withColumn("n", F.xxhash64("hit", "priority", "rings"))
+    cubes = wide.select("n", F.explode(grown).alias("c")).distinct()
+    pairs = arcs.select(key, at.alias("_c")).distinct().join(cubes, F.col("_c") == F.col("c")).select(key, "n").distinct()
+    shapes = wide.select("n", "hit", "priority", "rings").dropDuplicates(["n"])
+    one = F.struct("priority", "hit", F.col("rings").alias("rings"))
+    return pairs.join(shapes, "n").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["hit"].alias("hit"), x["rings"].alias("rings"))).alias("polygons"))
+
+
+def partition_geometries(features: DataFrame, polygons: DataFrame, *, key: str = "id", cell: float = CUBE) -> DataFrame:
+    """(key, nth, hit, gtype, rings, size): the parts, in order along them, of geometries (key, gtype, rings) that the
+    polygons (plate_id, priority, rings) take in turn, and what none takes (hit null).  Lines
+    and outlines are cut at the very crossings; a polygon that is cut becomes lines.  ``size``
+    is arc length for lines, the number of points for points."""
+    rows = features.select(key, "gtype", "rings").join(_overlaps(features, polygons, key, cell), key, "left")
+    kinds = {key: features.select(F.col(key)).schema[0].dataType.simpleString(), "hit": polygons.schema["plate_id"].dataType.simpleString()}
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        from . import cutting
+
+        shape = lambda rings: [np.array([[p["x"], p["y"], p["z"]] for p in r]).reshape(-1, 3) for r in rings]
+        for frame in frames:
+            out = []
+            for k, gtype, rings, near in zip(frame[key], frame["gtype"], frame["rings"], frame["polygons"], strict=True):
+                shapes = [(p["hit"], shape(p["rings"])) for p in near] if near is not None else []
+                for nth, (hit, kind, parts) in enumerate(cutting.cascade(gtype, shape(rings), shapes)):
+                    size = float(sum(map(len, parts))) if "point" in kind else sum(cutting.length(np.vstack([p, p[:1]]) if kind == "polygon" else p) for p in parts)
+                    out.append((k, nth, hit, kind, [[{"x": float(a), "y": float(b), "z": float(c)} for a, b, c in p] for p in parts], size))
+            yield pd.DataFrame(out, columns=[key, "nth", "hit", "gtype", "rings", "size"])
+
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, nth int, hit {kinds['hit']}, gtype string, rings {_RINGS}, size double")
+
+
+def split_lines(lines: DataFrame, polygons: DataFrame, *, key: str = "id", **options) -> DataFrame:
+    """(id, hit, nth, points, size) pieces of polylines, cut where they cross the polygons."""
+    rows = lines.select(key, F.lit("polyline").alias("gtype"), F.array("line").alias("rings"))
+    return partition_geometries(rows, polygons, key=key, **options).select(key, "hit", "nth", F.element_at("rings", 1).alias("points"), "size")
+
+
+def partition_features(features: DataFrame, polygons: DataFrame, rot: DataFrame | None = None, *, key: str = "id", take: tuple[str, ...] = ("plate_id",), respect_valid_time: bool = True, **options) -> DataFrame:
+    """One clone of each feature (key, time, begin, end, plate_id, gtype, rings, ...) for each
+    plate that has a part of it, with the properties ``take`` of that polygon (plate_id,
+    conjugate_plate, begin, end: columns of the polygons).  Features that are not alive, and
+    parts outside, keep theirs.  With rotations, parts are brought back to the present."""
+    from .reconstruct import valid_at
 
-def label(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0))
+    alive = valid_at(F.col("time"), F.col("begin"), F.col("end")) if respect_valid_time else F.lit(True)
+    names = [c for c in ("plate_id", *take) if c in polygons.columns]
+    carried = polygons.withColumn("plate_id", F.struct(*dict.fromkeys(names))).withColumn("priority", F.struct("priority", "plate_id"))
+    parts = partition_geometries(features.where(alive), carried, key=key, **options)
+    merged = parts.groupBy(key, "hit", "gtype").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "rings"))), lambda x: x["rings"])).alias("rings"))
+    rest = features.where(~alive).select(key, F.lit(None).cast(parts.schema["hit"].dataType).alias("hit"), "gtype", "rings")
+    out = features.drop("gtype", "rings").join(merged.unionByName(rest), key)
+    for c in take:
+        old = F.col(c) if c in features.columns else F.lit(None)
+        out = out.withColumn(c, F.coalesce(F.col(f"hit.{c}"), old))
+    if rot is not None:
+        out = R.lookup(out, rot, out="_q").withColumn("rings", F.when(F.col("hit").isNotNull(), Q.rotate_rings(Q.conjugate(F.col("_q")), F.col("rings"))).otherwise(F.col("rings"))).drop("_q")
+    return out.drop("hit")

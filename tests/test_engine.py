@@ -11,7 +11,7 @@ from driftplane.functions import palettes
 from driftplane.functions import quaternion as Q
 from driftplane.functions import sphere as S
 from driftplane.operators import coregistration as C
-from driftplane.operators import hellinger, kinematics, partition, raster, reconstruct, topology
+from driftplane.operators import hellinger, kinematics, partition, proximity, raster, reconstruct, topology
 from driftplane.operators import rotation_model as R
 from driftplane.plans import cli
 from driftplane.plans.session import Session, time_series
@@ -200,9 +200,84 @@ def test_split_lines(spark):
     polys = partition.with_priority(polygon(spark, [(1, "static_polygon", BOX)]))
     line = [{"lat": 0.0, "lon": -30.0}, {"lat": 0.0, "lon": 30.0}]
     df = spark.createDataFrame([(1, line)], "id long, c array<struct<lat: double, lon: double>>").withColumn("line", F.transform("c", lambda p: S.from_lat_lon(p["lat"], p["lon"]))).drop("c")
-    out = partition.split_lines(df, polys, step=0.005).orderBy("nth").collect()
+    out = partition.split_lines(df, polys).orderBy("nth").collect()
     assert [r.hit for r in out] == [None, 1, None]
-    assert out[1].size == pytest.approx(math.radians(20), abs=0.02)
+    assert out[1].size == pytest.approx(math.radians(20), abs=1e-9)
+
+
+def shapes(spark, rows):
+    """(id, gtype, [(lat, lon), ...] or several such rings) as geometries."""
+    many = lambda g: g if g and isinstance(g[0], list) else [g]
+    data = [(i, k, [[{"lat": float(a), "lon": float(o)} for a, o in r] for r in many(g)]) for i, k, g in rows]
+    df = spark.createDataFrame(data, "id long, gtype string, c array<array<struct<lat: double, lon: double>>>")
+    return df.withColumn("rings", F.transform("c", lambda r: F.transform(r, lambda p: S.from_lat_lon(p["lat"], p["lon"])))).drop("c")
+
+
+def test_geometries_are_cut_in_turn(spark):
+    polys = partition.with_priority(polygon(spark, [(1, "static_polygon", BOX), (7, "static_polygon", [(-5, -5), (-5, 5), (5, 5), (5, -5)])]))
+    rows = [
+        (1, "polyline", [(0, -30), (0, 30)]), (2, "polygon", [(-2, -2), (-2, 2), (2, 2), (2, -2)]), (3, "polygon", [(-2, 0), (-2, 30), (2, 30), (2, 0)]),
+        (4, "multipoint", [(0, 0), (8, 8), (50, 50), (1, 1)]), (5, "polygon", [[(-60, -60), (-60, 60), (60, 60), (60, -60)], [(-1, -1), (-1, 1), (1, 1), (1, -1)]]), (6, "polyline", [(70, 0), (80, 10)]), (7, "polyline", [(0, -5), (0, 5)]),
+    ]
+    out = partition.partition_geometries(shapes(spark, rows), polys).orderBy("id", "nth").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.id, []).append((r.hit, r.gtype, round(math.degrees(r.size), 6) if "point" not in r.gtype else r.size))
+    assert got[1] == [(None, "polyline", 20.0), (1, "polyline", 5.0), (7, "polyline", 10.0), (1, "polyline", 5.0), (None, "polyline", 20.0)]
+    assert [x[:2] for x in got[2]] == [(7, "polygon")] and [x[:2] for x in got[6]] == [(None, "polyline")]
+    assert sorted(x[0] or 0 for x in got[3]) == [0, 1, 1, 7] and {x[1] for x in got[3]} == {"polyline"}
+    assert got[4] == [(7, "multipoint", 2.0), (1, "multipoint", 1.0), (None, "multipoint", 1.0)]
+    assert [x[:2] for x in got[5]] == [(None, "polygon")] and [r.rings for r in out if r.id == 5][0][1]
+    assert got[7] == [(7, "polyline", 10.0)]
+    whole = {i: x for i, x in shapes(spark, rows).select("id", F.degrees(S.length(F.element_at("rings", 1)))).collect()}
+    assert sum(x[2] for x in got[1]) == pytest.approx(whole[1])
+
+
+def test_partitioned_features_take_properties(spark):
+    polys = partition.with_priority(polygon(spark, [(102, "static_polygon", BOX)]).withColumns({"begin": F.lit(90.0), "conjugate_plate": F.lit(5)}))
+    f = shapes(spark, [(1, "polyline", [(0, -30), (0, 30)]), (2, "polyline", [(0, 0), (0, 1)])]).withColumns({"plate_id": F.lit(9).cast("long"), "begin": F.lit(50.0), "end": F.lit(0.0), "time": F.when(F.col("id") == 1, 10.0).otherwise(60.0)})
+    out = partition.partition_features(f, polys, take=("plate_id", "begin", "conjugate_plate")).collect()
+    assert sorted((r.id, r.plate_id, r.begin, r.conjugate_plate, len(r.rings)) for r in out if r.id == 1 and r.conjugate_plate) == [(1, 102, 90.0, 5, 1)]
+    assert sorted((r.id, r.plate_id, r.begin, len(r.rings)) for r in out if not r.conjugate_plate) == [(1, 9, 50.0, 2), (2, 9, 50.0, 1)]
+    rot = R.rotations(model(spark, (1, 102, 0, 0.0, 90.0, 0.0, 0.0), (1, 102, 0, 100.0, 90.0, 0.0, 50.0)), [10.0])
+    back = partition.partition_features(f.where("id = 1"), polys, rot).where("plate_id = 102").select(S.lon(F.element_at(F.element_at("rings", 1), 1))).first()[0]
+    assert back == pytest.approx(-15)
+    poles = spark.createDataFrame([(1, 0.0, 0.0, 70.0, 10.0), (2, 50.0, 0.0, 70.0, 10.0)], "id long, a double, o double, pa double, time double").withColumns({"site": S.from_lat_lon("a", "o"), "v": S.from_lat_lon("pa", "o"), "plate_id": F.lit(9).cast("long"), "begin": F.lit(99.0), "end": F.lit(0.0)})
+    assert sorted((r.id, r.plate_id, round(r.l, 6)) for r in partition.assign_poles(poles, polys, rot).withColumn("l", S.lon(F.col("v"))).collect()) == [(1, 102, -5.0), (2, 9, 0.0)]
+
+
+def test_geometry_distances(spark):
+    rows = [
+        (1, "point", [(0, 0)]), (2, "polyline", [(0, 10), (0, 40)]), (3, "polygon", [(-20, -20), (-20, 20), (20, 20), (20, -20)]), (4, "multipoint", [(50, 0), (3, 0)]), (5, "polygon", [(60, 100), (60, 140), (80, 120)]),
+        (6, "polygon", [[(-20, -20), (-20, 20), (20, 20), (20, -20)], [(-4, -4), (-4, 4), (4, 4), (4, -4)]]), (7, "polyline", [(88, 0), (88, 180)]), (8, "point", [(-90, 0)]), (9, "polyline", [(5, 30)]),
+    ]
+    g = shapes(spark, rows)
+    a, b = g.select(F.col("id").alias("x"), F.struct("gtype", "rings").alias("g")), g.select(F.col("id").alias("y"), F.struct("gtype", "rings").alias("h"))
+    whole = {(r.x, r.y): r.d for r in a.crossJoin(b).select("x", "y", proximity.distance_km(F.col("g"), F.col("h")).alias("d")).collect()}
+    deg = lambda k: whole[k] / 6378.137 * 180 / math.pi
+    assert whole[1, 3] == whole[3, 2] == whole[3, 4] == 0 and deg((1, 2)) == pytest.approx(10) and deg((1, 4)) == pytest.approx(3) and deg((1, 6)) == pytest.approx(3.99, abs=0.02) and deg((9, 2)) == pytest.approx(5) and deg((7, 8)) == pytest.approx(178)
+    for km in (50.0, 1000.0, 4000.0, 15000.0, 30000.0):
+        got = {(r.x, r.y): r.dist_km for r in proximity.pairs_within(g.withColumnRenamed("id", "x"), g.withColumnRenamed("id", "y"), km, left_key="x", right_key="y").collect()}
+        want = {k: d for k, d in whole.items() if d < min(km, math.pi * 6378.137) or km > math.pi * 6378.137}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got), km
+
+
+def test_geometry_coregistration(spark):
+    seeds = shapes(spark, [(1, "point", [(0, 0)]), (2, "polyline", [(0, 60), (0, 70)]), (3, "point", [(-80, 0)])]).withColumnRenamed("id", "seed_id").withColumns({"own": F.col("seed_id") * 10.5, "plate_id": F.lit(3), "name": F.lit("n"), "active": F.col("seed_id") < 3})
+    rows = [(1, "polygon", BOX), (2, "polygon", [(-5, -5), (-5, 5), (5, 5), (5, -5)]), (3, "polyline", [(10, 65), (20, 65)]), (3, "point", [(1, 1)]), (4, "point", [(0, 20)])]
+    attrs = {1: '{"AGE": 5, "KIND": "a"}', 2: '{"AGE": 7.5, "KIND": "b"}', 3: '{"AGE": "old", "KIND": "b"}', 4: '{"KIND": "c"}'}
+    t = shapes(spark, rows).withColumnRenamed("id", "target_id")
+    t = t.withColumns({"plate_id": F.col("target_id") * 100, "x": F.col("target_id") * 1.0, "attributes": F.create_map(F.lit("AGE"), F.try_variant_get(F.parse_json(F.create_map(*(F.lit(z) for kv in attrs.items() for z in kv))[F.col("target_id")]), "$.AGE", "variant"), F.lit("KIND"), F.try_variant_get(F.parse_json(F.create_map(*(F.lit(z) for kv in attrs.items() for z in kv))[F.col("target_id")]), "$.KIND", "variant"))})
+    c = lambda *a, **k: C.Column_("t", *a, **k)
+    config = [c("x", "lookup", 1500.0), c("n", "lookup", 1500.0, "number_in_region"), c("distance", "min", 3000.0, "distance"), c("plate_id", "mean", 1500.0), c("plate_id", "vote", 1500.0), c("AGE", "max", 3000.0, "attribute"), c("KIND", "vote", 3000.0, "attribute"), c("own", "mean"), c("own", "lookup"), c("name", "mean"), c("plate_id", "min"), c("p", "lookup", None, "presence"), c("x", "median", 3000.0), c("x", "percentile", 3000.0, percent=25.0), c("x", "weighted_mean", 3000.0, weight="x")]
+    out = {r[0]: list(r[1:]) for r in C.coregister(seeds, {"t": t}, config).collect()}
+    nan = lambda x: isinstance(x, float) and math.isnan(x)
+    assert out[1][:3] == [2.0, 3, 0.0]  # at distance 0 the smaller polygon
+    assert nan(out[1][3]) and out[1][4] == "100" and out[1][5] == 7.5 and out[1][6] == '"b"' or out[1][6] == "b"
+    assert out[1][7:9] == [10.5, 10.5] and nan(out[1][9]) and out[1][10] is None and out[1][11] is True
+    assert out[1][12] == 3.0 and out[1][13] == 1.0 and out[1][14] == pytest.approx(30 / 10)
+    assert out[2][0] == 3.0 and out[2][2] == pytest.approx(math.radians(10) * 6378.137) and out[2][7] == 21.0
+    assert out[3] == [None] * len(config)
 
 
 def test_arcs(spark):

@@ -161,43 +161,58 @@ def _(spark, d):
     return a.join(b, "id").select("id", r6(S.distance_km(F.col("v"), F.col("w"))).alias("km"))
 
 
-_EA = "sqrt(2 / (1 + sin(radians(30e0)) * sin(radians(lat)) + cos(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10))))"
+_EA_C = "(sin(radians(30e0)) * sin(radians(lat)) + cos(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10)))"
+_EA = f"sqrt(2 / (1 + {_EA_C}))"
+#: The antipode of the centre has no place in the plane.
+_ON = f"1 + {_EA_C} > 1e-9"
 
 
-@query("equal_area_projection", f"WITH {C} SELECT id, {rnd(_EA + ' * cos(radians(lat)) * sin(radians(lon - 10))')} AS u, {rnd(_EA + ' * (cos(radians(30e0)) * sin(radians(lat)) - sin(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10)))')} AS v FROM c WHERE lat > -25")
+def _facing() -> Column:
+    return F.sin(F.radians(F.lit(30.0))) * F.sin(F.radians("lat")) + F.cos(F.radians(F.lit(30.0))) * F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lon") - 10))
+
+
+def _r4(c: Column) -> Column:
+    return F.round(c, 4) + F.lit(0.0)
+
+
+@query("equal_area_projection", f"WITH {C} SELECT id, CASE WHEN {_ON} THEN round({_EA} * cos(radians(lat)) * sin(radians(lon - 10)), 4) + 0e0 END AS u, CASE WHEN {_ON} THEN round({_EA} * (cos(radians(30e0)) * sin(radians(lat)) - sin(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10))), 4) + 0e0 END AS v FROM c")
 def _(spark, d):
     p = projections.equal_area(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(10.0))
-    return customers(spark, d).where("lat > -25").select("id", p.alias("p")).select("id", r6(F.col("p.u")).alias("u"), r6(F.col("p.v")).alias("v"))
+    on = 1 + _facing() > 1e-9
+    return customers(spark, d).select("id", on.alias("on"), p.alias("p")).select("id", F.when(F.col("on"), _r4(F.col("p.u"))).alias("u"), F.when(F.col("on"), _r4(F.col("p.v"))).alias("v"))
 
 
-@query("equal_area_round_trip", f"WITH {C} SELECT id, lat, lon FROM c WHERE lat BETWEEN -20 AND 80")
+@query("equal_area_round_trip", f"WITH {C} SELECT id, CASE WHEN {_ON} THEN lat END AS lat, CASE WHEN {_ON} THEN lon END AS lon FROM c")
 def _(spark, d):
     p = projections.equal_area(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(10.0))
     back = projections.equal_area_inverse(F.col("p.u"), F.col("p.v"), F.lit(30.0), F.lit(10.0))
-    rows = customers(spark, d).where("lat between -20 and 80").select("id", p.alias("p")).select("id", back.alias("b"))
-    lon = r6(F.col("b.lon"))
-    return rows.select("id", r6(F.col("b.lat")).alias("lat"), F.when(lon == 180, F.lit(-180.0)).otherwise(lon).alias("lon"))
+    rows = customers(spark, d).select("id", (1 + _facing() > 1e-9).alias("on"), p.alias("p")).select("id", "on", back.alias("b"))
+    lon = F.round("b.lon", 3) + F.lit(0.0)
+    return rows.select("id", F.when(F.col("on"), F.round("b.lat", 3) + F.lit(0.0)).alias("lat"), F.when(F.col("on"), F.when(lon == 180, F.lit(-180.0)).otherwise(lon)).alias("lon"))
 
 
-@query("gnomonic_projection", f"WITH {C}, g AS (SELECT id, lat, lon, sin(radians(30e0)) * sin(radians(lat)) + cos(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10)) AS c FROM c) SELECT id, {rnd('cos(radians(lat)) * sin(radians(lon - 10)) / c')} AS u FROM g WHERE c > 0.2")
+@query("gnomonic_projection", f"WITH {C} SELECT id, CASE WHEN {_EA_C} > 1e-6 THEN round(cos(radians(lat)) * sin(radians(lon - 10)) / {_EA_C}, 4) + 0e0 END AS u, CASE WHEN {_EA_C} > 1e-6 THEN round((cos(radians(30e0)) * sin(radians(lat)) - sin(radians(30e0)) * cos(radians(lat)) * cos(radians(lon - 10))) / {_EA_C}, 4) + 0e0 END AS v FROM c")
 def _(spark, d):
-    c = F.sin(F.radians(F.lit(30.0))) * F.sin(F.radians("lat")) + F.cos(F.radians(F.lit(30.0))) * F.cos(F.radians("lat")) * F.cos(F.radians(F.col("lon") - 10))
+    """The half of the sphere about the centre; the rest has no place in the plane."""
     p = projections.gnomonic(F.col("lat"), F.col("lon"), F.lit(30.0), F.lit(10.0))
-    return customers(spark, d).where(c > 0.2).select("id", r6(p["u"]).alias("u"))
+    rows = customers(spark, d).select("id", (_facing() > 1e-6).alias("on"), p.alias("p"))
+    return rows.select("id", F.when(F.col("on"), _r4(F.col("p.u"))).alias("u"), F.when(F.col("on"), _r4(F.col("p.v"))).alias("v"))
 
 
 # octants as triangles: exact areas and containment
-_OCT = [(100 + i, a, b, c) for i, (a, b, c) in enumerate([((s, 0.0, 0.0), (0.0, t, 0.0), (0.0, 0.0, u)) for s in (1.0, -1.0) for t in (1.0, -1.0) for u in (1.0, -1.0)])]
+_OCTANTS = [(100 + i, a, b, c) for i, (a, b, c) in enumerate([((s, 0.0, 0.0), (0.0, t, 0.0), (0.0, 0.0, u)) for s in (1.0, -1.0) for t in (1.0, -1.0) for u in (1.0, -1.0)])]
 
 
 def octants(spark: SparkSession) -> DataFrame:
     ring = lambda *p: [[{"x": q[0], "y": q[1], "z": q[2]} for q in p]]
-    df = spark.createDataFrame([(p, i, "static_polygon", ring(a, b, c)) for i, (p, a, b, c) in enumerate(_OCT)], "plate_id long, input_order long, kind string, rings array<array<struct<x: double, y: double, z: double>>>")
+    df = spark.createDataFrame([(p, i, "static_polygon", ring(a, b, c)) for i, (p, a, b, c) in enumerate(_OCTANTS)], "plate_id long, input_order long, kind string, rings array<array<struct<x: double, y: double, z: double>>>")
     return partition.with_priority(df)
 
 
-_OCT_ID = "100 + CASE WHEN x > 0 THEN 0 ELSE 4 END + CASE WHEN y > 0 THEN 0 ELSE 2 END + CASE WHEN z > 0 THEN 0 ELSE 1 END"
-_OFF = "abs(x) > 1e-6 AND abs(y) > 1e-6 AND abs(z) > 1e-6"
+#: Edges belong to both sides, and the largest plate id is served first.
+_OCT_ID = "100 + CASE WHEN x > 1e-9 THEN 0 ELSE 4 END + CASE WHEN y > 1e-9 THEN 0 ELSE 2 END + CASE WHEN z > 1e-9 THEN 0 ELSE 1 END"
+_OCT = "oct(hit, sx, sy, sz) AS (SELECT CAST(100 + range AS BIGINT), CASE WHEN range < 4 THEN 1 ELSE -1 END, CASE WHEN range % 4 < 2 THEN 1 ELSE -1 END, CASE WHEN range % 2 = 0 THEN 1 ELSE -1 END FROM range(8))"
+_HOLDS = "x * sx >= -1e-9 AND y * sy >= -1e-9 AND z * sz >= -1e-9"
 
 
 @query("polygon_area", f"SELECT CAST(100 + range AS BIGINT) AS plate_id, {rnd('pi() / 2')} AS area FROM range(8)")
@@ -205,27 +220,24 @@ def _(spark, d):
     return octants(spark).select("plate_id", r6(S.polygon_area(F.col("rings"))).alias("area"))
 
 
-@query("assign_plate_first_hit", f"WITH {C} SELECT id, CAST({_OCT_ID} AS BIGINT) AS hit FROM cv WHERE {_OFF}")
+@query("assign_plate_first_hit", f"WITH {C} SELECT id, CAST({_OCT_ID} AS BIGINT) AS hit FROM cv")
 def _(spark, d):
-    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v")
-    return partition.first_hit(pts, octants(spark)).select("id", "hit")
+    return partition.first_hit(customers(spark, d).select("id", "v"), octants(spark)).select("id", "hit")
 
 
-@query("point_in_polygon", f"WITH {C} SELECT CAST({_OCT_ID} AS BIGINT) AS hit, count(*) AS points FROM cv WHERE {_OFF} GROUP BY 1")
+@query("point_in_polygon", f"WITH {C}, {_OCT} SELECT hit, count(*) AS points FROM cv JOIN oct ON {_HOLDS} GROUP BY 1")
 def _(spark, d):
-    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v")
-    return partition.hits(pts, octants(spark)).groupBy("hit").agg(F.count("*").alias("points"))
+    return partition.hits(customers(spark, d).select("id", "v"), octants(spark)).groupBy("hit").agg(F.count("*").alias("points"))
 
 
-@query("points_outside_polygons", f"WITH {C} SELECT id FROM cv WHERE {_OFF} AND NOT (x > 0 AND y > 0) ")
+@query("points_outside_polygons", f"WITH {C} SELECT id FROM cv WHERE NOT (x >= -1e-9 AND y >= -1e-9)")
 def _(spark, d):
-    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v")
-    return partition.outside(pts, octants(spark).where("plate_id < 102")).select("id")
+    return partition.outside(customers(spark, d).select("id", "v"), octants(spark).where("plate_id < 102")).select("id")
 
 
-@query("most_overlapping", f"WITH {C}, h AS (SELECT c_mk AS feature_id, hit, count(*) AS n, min(id) AS o FROM (SELECT c_mktsegment AS c_mk, id, CAST({_OCT_ID} AS BIGINT) AS hit FROM cv WHERE {_OFF}) GROUP BY 1, 2) SELECT feature_id, hit FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY n DESC, o) AS k FROM h) WHERE k = 1")
+@query("most_overlapping", f"WITH {C}, {_OCT}, h AS (SELECT c_mktsegment AS feature_id, hit, count(*) AS n, min(id) AS o FROM cv JOIN oct ON {_HOLDS} GROUP BY 1, 2) SELECT feature_id, hit FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY n DESC, o, hit DESC) AS k FROM h) WHERE k = 1")
 def _(spark, d):
-    pts = customers(spark, d).where("abs(v.x) > 1e-6 and abs(v.y) > 1e-6 and abs(v.z) > 1e-6").select("id", "v", F.col("c_mktsegment").alias("feature_id"), F.lit(1.0).alias("size"), F.col("id").alias("nth"))
+    pts = customers(spark, d).select("id", "v", F.col("c_mktsegment").alias("feature_id"), F.lit(1.0).alias("size"), F.col("id").alias("nth"))
     return partition.most_overlapping(partition.hits(pts, octants(spark)))
 
 
@@ -240,13 +252,14 @@ def _(spark, d):
     return reconstruct.at_times(customers(spark, d), t).select("id", "time")
 
 
-@query("pole_bracket_asof", "WITH x AS (SELECT user_id, ts, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_value FROM events) SELECT user_id, count(next_value) AS spans, round(sum(next_value - value), 4) + 0e0 AS drift FROM x GROUP BY user_id")
-def _(spark, d):
-    from pyspark.sql import Window
+_AS_OF = [5.0, 20.0, 60.0, 100.0, 137.5, 199.0]
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    x = table(spark, d, "events").withColumn("next_value", F.lead("value").over(w))
-    return x.groupBy("user_id").agg(F.count("next_value").alias("spans"), (F.round(F.sum(F.col("next_value") - F.col("value")), 4) + F.lit(0.0)).alias("drift"))
+
+@query("pole_bracket_asof", "WITH m(seq, moving, fixed, t) AS (VALUES " + ", ".join(f"({s}, {m}, {f}, {t!r}e0)" for s, m, f, t, *_ in MODEL) + "), times(time) AS (VALUES " + ", ".join(f"({t!r}e0)" for t in _AS_OF) + "), b AS (SELECT *, lead(t) OVER (PARTITION BY seq ORDER BY t) AS t1 FROM m) SELECT CAST(seq AS BIGINT) AS seq, CAST(moving AS BIGINT) AS moving, CAST(fixed AS BIGINT) AS fixed, time FROM b JOIN times ON time >= t AND time < t1")
+def _(spark, d):
+    """Which samples bracket each time, by the operator that the rotation model uses."""
+    t = spark.createDataFrame([(x,) for x in _AS_OF], "time double")
+    return R.bracket(R.usable(samples(spark)), t).select("seq", "moving", "fixed", "time")
 
 
 @query("pole_slerp", f"WITH RECURSIVE {rot_sql(TIMES)} SELECT CAST(seq AS BIGINT) AS seq, time, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM e")
@@ -343,14 +356,14 @@ def _(spark, d):
 
 
 _MPT = [0.0, 20.0, 40.0, 60.0]
-_MP = f"""g AS (SELECT cv.id, cv.x AS vx, cv.y AS vy, cv.z AS vz, p.time AS t, {named(mul(conj(quat('r.')), tuple(f'coalesce(p.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0')))))}
-FROM cv JOIN rot p ON p.plate_id = cv.plate_id JOIN rot r ON r.time = p.time AND r.plate_id = 105 WHERE cv.plate_id <> 106)"""
+_MP = f"""g AS (SELECT cv.id, cv.x AS vx, cv.y AS vy, cv.z AS vz, s.time AS t, {named(mul(conj(quat('r.')), tuple(f'coalesce(p.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0')))))}
+FROM cv CROSS JOIN times s LEFT JOIN rot p ON p.plate_id = cv.plate_id AND p.time = s.time JOIN rot r ON r.time = s.time AND r.plate_id = 105)"""
 
 
 @query("motion_path", f"WITH RECURSIVE {rot_sql(_MPT)}, {C}, {_MP}, h AS (SELECT id, t, {named(turn(quat(''), ('vx', 'vy', 'vz')), 'xyz')} FROM g) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY t DESC) - 1 AS INTEGER) AS nth, {XYZ} FROM h")
 def _(spark, d):
     model = R.rotations(samples(spark), _MPT)
-    rows = customers(spark, d).where("plate_id <> 106").select("id", "v", "plate_id", F.lit(105).cast("long").alias("reference"), F.lit(0.0).alias("time"))
+    rows = customers(spark, d).select("id", "v", "plate_id", F.lit(105).cast("long").alias("reference"), F.lit(0.0).alias("time"))
     paths = reconstruct.motion_paths(rows, model, _MPT)
     return paths.select("id", F.posexplode("points").alias("nth", "v")).select("id", "nth", *xyz_out(F.col("v")))
 
@@ -456,10 +469,11 @@ def _(spark, d):
     return _velocities(spark, d).select("id", c.alias("c")).select("id", r6(F.col("c.colat")).alias("colat"), r6(F.col("c.lon")).alias("lon"))
 
 
-@query("velocity_azimuth", f"WITH RECURSIVE {rot_sql([60.0, 61.0])}, {C}, {_V} SELECT id, {rnd('sqrt(n * n + e * e)')} AS magnitude, {rnd('CASE WHEN atan2(e, n) < 0 THEN atan2(e, n) + 2 * pi() ELSE atan2(e, n) END')} AS azimuth FROM ne WHERE n * n + e * e > 1e-12")
+@query("velocity_azimuth", f"WITH RECURSIVE {rot_sql([60.0, 61.0])}, {C}, {_V} SELECT id, {rnd('sqrt(n * n + e * e)')} AS magnitude, CASE WHEN n * n + e * e > 1e-12 THEN {rnd('CASE WHEN atan2(e, n) < 0 THEN atan2(e, n) + 2 * pi() ELSE atan2(e, n) END')} END AS azimuth FROM ne")
 def _(spark, d):
     m = kinematics.magnitude_azimuth(F.col("velocity"), F.col("lat"), F.col("lon"))
-    return _velocities(spark, d).select("id", m.alias("m")).where("m.magnitude > 1e-6").select("id", r6(F.col("m.magnitude")).alias("magnitude"), r6(F.col("m.azimuth")).alias("azimuth"))
+    # a point that stands still has no azimuth
+    return _velocities(spark, d).select("id", m.alias("m")).select("id", r6(F.col("m.magnitude")).alias("magnitude"), F.when(F.col("m.magnitude") > 1e-6, r6(F.col("m.azimuth"))).alias("azimuth"))
 
 
 @query("kinematic_series")
@@ -467,7 +481,10 @@ def _(spark, d):
     times = [0.0, 20.0, 40.0, 60.0]
     model = R.rotations(samples(spark), sorted({*times, *(t + 1 for t in times)}))
     out = kinematics.kinematic_series(customers(spark, d).select("id", "plate_id", "v"), model, times)
-    return out.select("id", "time", *(r6(F.col(c)).alias(c) for c in ("lat", "lon", "speed", "azimuth", "vel_colat", "vel_lon")))
+    lon = r6(F.col("lon"))
+    # a point that stands still has no azimuth
+    azimuth = F.when(F.col("speed") > 1e-6, F.round("azimuth", 4) + F.lit(0.0))
+    return out.select("id", "time", r6(F.col("lat")).alias("lat"), F.when(lon == 180, F.lit(-180.0)).otherwise(lon).alias("lon"), r6(F.col("speed")).alias("speed"), azimuth.alias("azimuth"), r6(F.col("vel_colat")).alias("vel_colat"), r6(F.col("vel_lon")).alias("vel_lon"))
 
 
 _NR = f"""q AS (SELECT a.plate_id, {named(mul(quat('b.'), conj(quat('a.'))))} FROM rot a JOIN rot b ON b.plate_id = a.plate_id WHERE a.time = 60 AND b.time = 50),
@@ -515,9 +532,9 @@ def _(spark, d):
     return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.sum(kinematics.dilatation_rate(F.col("g")))).alias("dilatation"), r6(F.max(i)).alias("most"), r6(F.avg(i)).alias("mean"))
 
 
-@query("strain_rate_style", f"WITH {_G}, s AS (SELECT l_suppkey, {_MID} + {_HALF} AS a, {_MID} - {_HALF} AS b FROM g) SELECT l_suppkey, {rnd('avg((a + b) / greatest(abs(a), abs(b)))')} AS style FROM s WHERE greatest(abs(a), abs(b)) > 0 GROUP BY l_suppkey")
+@query("strain_rate_style", f"WITH {_G}, s AS (SELECT l_suppkey, {_MID} + {_HALF} AS a, {_MID} - {_HALF} AS b FROM g) SELECT l_suppkey, {rnd('avg(CASE WHEN greatest(abs(a), abs(b)) > 0 THEN (a + b) / greatest(abs(a), abs(b)) END)')} AS style, count(*) AS faces FROM s GROUP BY l_suppkey")
 def _(spark, d):
-    return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.avg(kinematics.style(F.col("g")))).alias("style"))
+    return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.avg(kinematics.style(F.col("g")))).alias("style"), F.count("*").alias("faces"))
 
 
 @query("strain_rate_clamp", f"WITH {_G} SELECT l_suppkey, {rnd(f'sum(tt * CASE WHEN {_INV} > 0.1 THEN 0.1e0 / {_INV} ELSE 1 END)')} AS tt FROM g GROUP BY l_suppkey")
@@ -544,7 +561,7 @@ def _(spark, d):
     return out.select("l_orderkey", r6(F.col("f.tt")).alias("tt"), r6(F.col("f.pp")).alias("pp"), r6(kinematics.strain_dilatation(F.col("f"))).alias("dilatation"))
 
 
-@query("face_strain_rate", f"WITH {C}, f AS (SELECT id, radians(90 - lat) AS t0, radians(lon) AS p0, lat / 10 AS u, lon / 10 AS v FROM c WHERE abs(lat) < 80), x AS (SELECT id, u, v, t0 + 0.01e0 / 3 AS th FROM f) SELECT id, {rnd('(0.5e0 - v * cos(th)) / sin(th)')} AS tp, {rnd('u * cos(th) / sin(th)')} AS pp FROM (SELECT id, u + 0.5e0 * 0.01e0 / 3 AS u, v, th FROM x)")
+@query("face_strain_rate", f"WITH {C}, f AS (SELECT id, radians(90 - lat) AS t0, radians(lon) AS p0, lat / 10 AS u, lon / 10 AS v FROM c), x AS (SELECT id, u, v, t0 + 0.01e0 / 3 AS th FROM f) SELECT id, {rnd('(0.5e0 - v * cos(th)) / sin(th)')} AS tp, {rnd('u * cos(th) / sin(th)')} AS pp FROM (SELECT id, u + 0.5e0 * 0.01e0 / 3 AS u, v, th FROM x)")
 def _(spark, d):
     """Triangles (t, p), (t + 0.01, p), (t, p + 0.01) with velocity u rising along p only."""
     t, p = F.radians(90 - F.col("lat")), F.radians("lon")
@@ -552,7 +569,7 @@ def _(spark, d):
     pts = [(t, p), (t + 0.01, p), (t, p + 0.01)]
     vel = [(u, v), (u, v), (u + 0.5 * 0.01, v)]
     g = kinematics.face_gradient(pts, vel, 1.0)
-    return customers(spark, d).where("abs(lat) < 80").select("id", g.alias("g")).select("id", r6(F.col("g.tp")).alias("tp"), r6(F.col("g.pp")).alias("pp"))
+    return customers(spark, d).select("id", g.alias("g")).select("id", r6(F.col("g.tp")).alias("tp"), r6(F.col("g.pp")).alias("pp"))
 
 
 @query("time_slots", f"WITH {C}, s AS (SELECT id, (150 - begin_) / 7e0 AS p FROM c) SELECT id, CAST(floor(p + 1e-9) AS INTEGER) AS slot, {rnd('p - floor(p + 1e-9)')} AS fraction FROM s WHERE p >= 0 AND p <= 20")
@@ -614,10 +631,10 @@ def _(spark, d):
     return palettes.interval_value(table(spark, d, "customer").select("c_custkey", "c_acctbal"), slices, "c_acctbal").select("c_custkey", r6(F.col("level")).alias("level"))
 
 
-@query("palette_colour", f"SELECT c_custkey, {rnd('CASE WHEN c_acctbal < 0 THEN 1e0 WHEN c_acctbal > 5000 THEN 2e0 WHEN c_acctbal <= 1000 THEN 0 + 255 * ((c_acctbal - 0) / 1000) ELSE 255 + (0 - 255) * ((c_acctbal - 1000) / 4000) END')} AS r FROM customer")
+@query("palette_colour", f"SELECT c_custkey, round({'CASE WHEN c_acctbal < 0 THEN 1e0 WHEN c_acctbal > 5000 THEN 2e0 WHEN c_acctbal <= 1000 THEN 0 + 255 * ((c_acctbal - 0) / 1000) ELSE 255 + (0 - 255) * ((c_acctbal - 1000) / 4000) END'}, 8) + 0e0 AS r FROM customer")
 def _(spark, d):
     p = palettes.Palette((palettes.Slice(0.0, (0, 0, 0), 1000.0, (255, 0, 0)), palettes.Slice(1000.0, (255, 0, 0), 5000.0, (0, 0, 255))), (), (1, 1, 1), (2, 2, 2), (3, 3, 3))
-    return table(spark, d, "customer").select("c_custkey", r6(palettes.colour(F.col("c_acctbal"), p)["r"]).alias("r"))
+    return table(spark, d, "customer").select("c_custkey", (F.round(palettes.colour(F.col("c_acctbal"), p)["r"], 8) + F.lit(0.0)).alias("r"))
 
 
 @query("plate_classes", f"WITH {C} SELECT plate_id % 3 AS modulo, plate_id // 100 AS region, count(*) AS n FROM c GROUP BY 1, 2")
@@ -625,12 +642,11 @@ def _(spark, d):
     return customers(spark, d).groupBy(palettes.modulo_class(F.col("plate_id"), 3).alias("modulo"), palettes.region_of(F.col("plate_id")).alias("region")).agg(F.count("*").alias("n"))
 
 
-@query("arc_distances", f"WITH {C}, n AS (SELECT id, x, y, z FROM cv WHERE abs(lat) < 89) SELECT id, {rnd('CASE WHEN x >= 0 AND y >= 0 AND (x > 0 OR y > 0) THEN asin(abs(z)) ELSE least(acos(greatest(-1e0, least(1e0, x))), acos(greatest(-1e0, least(1e0, y)))) END')} AS angle FROM n WHERE abs(x) > 1e-6 AND abs(y) > 1e-6")
+@query("arc_distances", f"WITH {C}, n AS (SELECT id, x, y, z FROM cv) SELECT id, {rnd('CASE WHEN x >= -1e-9 AND y >= -1e-9 THEN asin(abs(z)) ELSE least(acos(greatest(-1e0, least(1e0, x))), acos(greatest(-1e0, least(1e0, y)))) END')} AS angle FROM n")
 def _(spark, d):
     """Distance to the quarter of the equator from longitude 0 to 90."""
     a, b = (S.vector(*(F.lit(float(x)) for x in v)) for v in ((1, 0, 0), (0, 1, 0)))
-    pts = customers(spark, d).where("abs(lat) < 89 and abs(v.x) > 1e-6 and abs(v.y) > 1e-6")
-    return pts.select("id", r6(S.point_to_arc(F.col("v"), a, b)).alias("angle"))
+    return customers(spark, d).select("id", r6(S.point_to_arc(F.col("v"), a, b)).alias("angle"))
 
 
 @query("line_length", f"WITH {C}, s AS (SELECT c_mktsegment AS k, acos(greatest(-1e0, least(1e0, x * lead(x) OVER w + y * lead(y) OVER w + z * lead(z) OVER w))) AS a FROM cv WINDOW w AS (PARTITION BY c_mktsegment ORDER BY id)) SELECT k, {rnd('sum(a)')} AS length FROM s GROUP BY k")
@@ -641,8 +657,8 @@ def _(spark, d):
 
 @query("centroids", f"WITH {C}, s AS (SELECT plate_id, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM cv GROUP BY plate_id), n AS (SELECT plate_id, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM s) SELECT plate_id, {XYZ} FROM n")
 def _(spark, d):
-    s = customers(spark, d).groupBy("plate_id").agg(*(F.sum(f"v.{c}").alias(c) for c in "xyz"))
-    return s.select("plate_id", S.normalise(S.vector(F.col("x"), F.col("y"), F.col("z"))).alias("c")).select("plate_id", *xyz_out(F.col("c")))
+    rings = customers(spark, d).groupBy("plate_id").agg(F.collect_list("v").alias("ring"))
+    return rings.select("plate_id", S.centroid(F.col("ring")).alias("c")).select("plate_id", *xyz_out(F.col("c")))
 
 
 @query("topology_boundaries")
@@ -659,10 +675,13 @@ def _(spark, d):
     geo = moved.select("time", "feature_id", F.element_at("rings", 1).alias("line"))
     sections = n.select(F.col("k").alias("topology_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("section_index")).select("topology_id", "section_index", (F.col("topology_id") * 4 + F.col("section_index")).alias("feature_id"), F.lit(False).alias("reverse"), F.lit(False).alias("is_interior"), F.lit(60.0).alias("time"))
     rings = topology.boundaries(topology.resolve_sections(sections, geo))
-    return rings.select("topology_id", F.size("ring").cast("long").alias("points"), r6(F.abs(S.ring_area(F.col("ring")))).alias("area"))
+    return rings.select("topology_id", F.size("ring").alias("points"), r6(F.abs(S.ring_area(F.col("ring")))).alias("area"))
 
 
 @query("shared_sections", "SELECT l_partkey % 50 AS feature_id, count(DISTINCT l_suppkey) AS topologies FROM lineitem GROUP BY 1")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(F.lit(0.0).alias("time"), (F.col("l_partkey") % 50).alias("feature_id"), F.col("l_suppkey").alias("topology_id")).distinct()
     return topology.shared_sections(rows).select("feature_id", F.size("topologies").cast("long").alias("topologies"))
+
+
+from . import catalog_more as _more  # noqa: E402, F401  (registers the rest)

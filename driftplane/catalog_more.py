@@ -62,9 +62,6 @@ def triples(spark, d) -> DataFrame:
     return t.withColumns({"a": S.from_lat_lon("la", "oa"), "b": S.from_lat_lon("lb", "ob"), "d": S.from_lat_lon("ld", "od")})
 
 
-a_, b_, d_ = F.col("a"), F.col("b"), F.col("d")
-
-
 def out(v: Vec) -> str:
     return ", ".join(f"{rnd(e)} AS {c}" for e, c in zip(v, "xyz", strict=True))
 
@@ -74,7 +71,7 @@ def out(v: Vec) -> str:
 
 @query("point_to_arc_distance", f"WITH {G} SELECT id, {rnd(to_arc(D, A, B))} AS angle FROM g")
 def _(spark, d):
-    return triples(spark, d).select("id", r6(S.point_to_arc(d_, a_, b_)).alias("angle"))
+    return triples(spark, d).select("id", r6(S.point_to_arc(F.col("d"), F.col("a"), F.col("b"))).alias("angle"))
 
 
 _N = f"n AS (SELECT *, {', '.join(f'{e} AS n{c}' for e, c in zip(cr(A, B), 'xyz', strict=True))} FROM g)"
@@ -84,12 +81,12 @@ _IN = f"{dt(cr(vec('n'), A), D)} >= 0 AND {dt(cr(B, vec('n')), D)} >= 0 AND {nor
 
 @query("closest_point_on_arc", f"WITH {G}, {_N}, f AS (SELECT *, {_IN} AS inside, {', '.join(f'{e} AS f{c}' for e, c in zip(_FLAT, 'xyz', strict=True))} FROM n) SELECT id, {', '.join(rnd(f'CASE WHEN inside THEN f{c} / {norm(vec(chr(102)))} WHEN {ang(D, A)} <= {ang(D, B)} THEN a{c} ELSE h{c} END') + f' AS {c}' for c in 'xyz')} FROM f")
 def _(spark, d):
-    return triples(spark, d).select("id", *xyz_out(S.closest_on_arc(d_, a_, b_)))
+    return triples(spark, d).select("id", *xyz_out(S.closest_on_arc(F.col("d"), F.col("a"), F.col("b"))))
 
 
 @query("arc_interpolation", f"WITH {G}, w AS (SELECT *, {ang(A, B)} AS w FROM g) SELECT id, {', '.join(rnd(f'CASE WHEN sin(w) < 1e-12 THEN a{c} ELSE (sin(0.75e0 * w) * a{c} + sin(0.25e0 * w) * h{c}) / sin(w) END') + f' AS {c}' for c in 'xyz')} FROM w")
 def _(spark, d):
-    return triples(spark, d).select("id", *xyz_out(S.arc_point(a_, b_, F.lit(0.25))))
+    return triples(spark, d).select("id", *xyz_out(S.arc_point(F.col("a"), F.col("b"), F.lit(0.25))))
 
 
 _E = ("ex", "ey", "ez")
@@ -102,19 +99,19 @@ _CROSS = f"({_SIDES[0]} * {_SIDES[1]} < 0 AND {_SIDES[2]} * {_SIDES[3]} < 0 AND
 def _(spark, d):
     e = S.from_lat_lon(-F.col("ld"), F.col("od") + 40)
     rows = triples(spark, d).withColumn("e", e)
-    p = S.arc_intersection(a_, b_, d_, F.col("e"))
-    return rows.select("id", S.arcs_cross(a_, b_, d_, F.col("e")).alias("crosses"), p.alias("p")).select("id", "crosses", *xyz_out(F.col("p")))
+    p = S.arc_intersection(F.col("a"), F.col("b"), F.col("d"), F.col("e"))
+    return rows.select("id", S.arcs_cross(F.col("a"), F.col("b"), F.col("d"), F.col("e")).alias("crosses"), p.alias("p")).select("id", "crosses", *xyz_out(F.col("p")))
 
 
 @query("arc_to_arc_distance", f"WITH {_G4} SELECT id, {rnd(f'CASE WHEN {_CROSS} THEN 0e0 ELSE least({to_arc(A, D, _E)}, {to_arc(B, D, _E)}, {to_arc(D, A, B)}, {to_arc(_E, A, B)}) END')} AS angle FROM h")
 def _(spark, d):
     rows = triples(spark, d).withColumn("e", S.from_lat_lon(-F.col("ld"), F.col("od") + 40))
-    return rows.select("id", r6(proximity.arc_to_arc(a_, b_, d_, F.col("e"))).alias("angle"))
+    return rows.select("id", r6(proximity.arc_to_arc(F.col("a"), F.col("b"), F.col("d"), F.col("e"))).alias("angle"))
 
 
 @query("tessellated_arcs", f"WITH {G} SELECT id, CAST(greatest(1, ceil({ang(A, B)} / 0.1e0)) + 1 AS INTEGER) AS points FROM g")
 def _(spark, d):
-    return triples(spark, d).select("id", F.size(S.tessellate(a_, b_, 0.1)).alias("points"))
+    return triples(spark, d).select("id", F.size(S.tessellate(F.col("a"), F.col("b"), 0.1)).alias("points"))
 
 
 #: Small triangles about a point, anticlockwise for even ids.
@@ -128,18 +125,15 @@ def triangles(spark, d) -> DataFrame:
     return t.withColumn("rings", F.array(ring))
 
 
-ring_ = F.element_at("rings", 1)
-
-
 @query("triangle_signed_area", f"WITH {_TRI} SELECT id, round({area(A, B, D)}, 9) + 0e0 AS area FROM tri")
 def _(spark, d):
-    return triangles(spark, d).select("id", (F.round(S.ring_area(ring_), 9) + F.lit(0.0)).alias("area"))
+    return triangles(spark, d).select("id", (F.round(S.ring_area(F.element_at("rings", 1)), 9) + F.lit(0.0)).alias("area"))
 
 
 @query("ring_orientation", f"WITH {_TRI} SELECT id, {area(A, B, D)} < 0 AS clockwise, round(abs({area(A, B, D)}), 9) + 0e0 AS forced FROM tri")
 def _(spark, d):
     forced = S.ring_area(F.element_at(geometry.force_orientation(F.col("rings"), False), 1))
-    return triangles(spark, d).select("id", (S.ring_area(ring_) < 0).alias("clockwise"), (F.round(forced, 9) + F.lit(0.0)).alias("forced"))
+    return triangles(spark, d).select("id", (S.ring_area(F.element_at("rings", 1)) < 0).alias("clockwise"), (F.round(forced, 9) + F.lit(0.0)).alias("forced"))
 
 
 @query("measured_areas_km2", f"WITH {_TRI} SELECT id, round(abs({area(A, B, D)}) * 6371.009e0 * 6371.009e0, 2) + 0e0 AS km2, {rnd(f'({ang(A, B)} + {ang(B, D)} + {ang(D, A)}) * 6371.009e0')} AS perimeter FROM tri")
@@ -153,7 +147,7 @@ _SUM: Vec = tuple(f"(a{c} + h{c} + d{c})" for c in "xyz")  # type: ignore[assign
 
 @query("bounding_circles", f"WITH {_TRI}, c AS (SELECT *, {', '.join(f'{e} / {norm(_SUM)} AS c{x}' for e, x in zip(_SUM, 'xyz', strict=True))} FROM tri) SELECT id, {rnd('cx')} AS x, {rnd('cy')} AS y, {rnd('cz')} AS z, round(least({dt(vec('c'), A)}, {dt(vec('c'), B)}, {dt(vec('c'), D)}), 9) AS cos_radius FROM c")
 def _(spark, d):
-    c = triangles(spark, d).select("id", S.bounding_circle(ring_).alias("c"))
+    c = triangles(spark, d).select("id", S.bounding_circle(F.element_at("rings", 1)).alias("c"))
     return c.select("id", *xyz_out(F.col("c.centre")), F.round("c.cos_radius", 9).alias("cos_radius"))
 
 
@@ -162,7 +156,7 @@ _OUTLINE: Vec = tuple(f"((a{c} + h{c}) / {norm(tuple(f'a{x} + h{x}' for x in 'xy
 
 @query("outline_centroids", f"WITH {_TRI}, o AS (SELECT id, {', '.join(f'{e} AS o{c}' for e, c in zip(_OUTLINE, 'xyz', strict=True))} FROM tri) SELECT id, {', '.join(rnd(f'o{c} / {norm(vec(chr(111)))}') + f' AS {c}' for c in 'xyz')} FROM o")
 def _(spark, d):
-    return triangles(spark, d).select("id", *xyz_out(S.outline_centroid(ring_)))
+    return triangles(spark, d).select("id", *xyz_out(S.outline_centroid(F.element_at("rings", 1))))
 
 
 def _at(lat: str, lon: str, azimuth: str, dist: str) -> Vec:
@@ -179,20 +173,20 @@ _C6 = "n6 AS (SELECT k.*, nth, 2 * pi() * nth / 6e0 AS az FROM k, (SELECT unnest
 
 @query("small_circle_points", f"WITH {G}, {_C6} SELECT id, CAST(nth AS INTEGER) AS nth, {out(_at('la', 'oa', 'az', 'radians(5e0 + id % 60)'))} FROM n6")
 def _(spark, d):
-    ring = S.small_circle(a_, F.radians(F.lit(5.0) + F.col("id") % 60), 6)
+    ring = S.small_circle(F.col("a"), F.radians(F.lit(5.0) + F.col("id") % 60), 6)
     return triples(spark, d).select("id", F.posexplode(ring).alias("nth", "p")).select("id", "nth", *xyz_out(F.col("p")))
 
 
 @query("ellipse_points", f"WITH {G}, {_C6} SELECT id, CAST(nth AS INTEGER) AS nth, {out(_at('la', 'oa', '0.5e0 + atan2(0.1e0 * sin(az), 0.2e0 * cos(az))', 'sqrt(0.04e0 * cos(az) * cos(az) + 0.01e0 * sin(az) * sin(az))'))} FROM n6")
 def _(spark, d):
-    ring = S.ellipse(a_, F.lit(0.2), F.lit(0.1), F.lit(0.5), 6)
+    ring = S.ellipse(F.col("a"), F.lit(0.2), F.lit(0.1), F.lit(0.5), 6)
     return triples(spark, d).select("id", F.posexplode(ring).alias("nth", "p")).select("id", "nth", *xyz_out(F.col("p")))
 
 
 @query("small_circle_meets_great_circle", f"WITH {G} SELECT id, CASE WHEN sin(0.6e0) > abs({dt(A, B)}) THEN 2 ELSE 0 END AS points FROM g")
 def _(spark, d):
     """Circles of 0.6 radians about a, and the planes with pole b."""
-    return triples(spark, d).select("id", F.size(S.small_circle_great_circle(a_, F.lit(0.6), b_)).alias("points"))
+    return triples(spark, d).select("id", F.size(S.small_circle_great_circle(F.col("a"), F.lit(0.6), F.col("b"))).alias("points"))
 
 
 _NED = [f"(-sin(radians(la)) * cos(radians(oa)) * hx - sin(radians(la)) * sin(radians(oa)) * hy + cos(radians(la)) * hz)", "(-sin(radians(oa)) * hx + cos(radians(oa)) * hy)", f"(-{dt(A, B)})"]
@@ -200,7 +194,7 @@ _NED = [f"(-sin(radians(la)) * cos(radians(oa)) * hx - sin(radians(la)) * sin(ra
 
 @query("north_east_down", f"WITH {G} SELECT id, {', '.join(rnd(e) + f' AS {n}' for e, n in zip(_NED, ('n', 'e', 'd'), strict=True))}, {out(B)} FROM g")
 def _(spark, d):
-    ned = projections.to_north_east_down(b_, F.col("la"), F.col("oa"))
+    ned = projections.to_north_east_down(F.col("b"), F.col("la"), F.col("oa"))
     rows = triples(spark, d).select("id", "la", "oa", ned.alias("f"))
     back = projections.from_north_east_down(F.col("f"), F.col("la"), F.col("oa"))
     return rows.select("id", *(r6(F.col(f"f.{c}")).alias(c) for c in "ned"), *xyz_out(back))
@@ -208,7 +202,7 @@ def _(spark, d):
 
 @query("rotation_between_points", f"WITH {G}, {_N}, s AS (SELECT *, {norm(vec('n'))} AS size, atan2({norm(vec('n'))}, {dt(A, B)}) AS t FROM n) SELECT id, {rnd('CASE WHEN size < 1e-12 THEN 1e0 ELSE cos(t / 2) END')} AS w, {', '.join(rnd(f'CASE WHEN size < 1e-12 THEN 0e0 ELSE sin(t / 2) * n{c} / size END') + f' AS {c}' for c in 'xyz')} FROM s")
 def _(spark, d):
-    return triples(spark, d).select("id", Q.between(a_, b_).alias("q")).select("id", *q_out(F.col("q")))
+    return triples(spark, d).select("id", Q.between(F.col("a"), F.col("b")).alias("q")).select("id", *q_out(F.col("q")))
 
 
 _QP = f"q AS (SELECT id, radians(5e0 + id % 170) AS t, {', '.join(f'a{c}' for c in 'xyz')}, {', '.join(f'h{c}' for c in 'xyz')} FROM g), p AS (SELECT *, cos(t / 2) AS w, {', '.join(f'sin(t / 2) * a{c} AS {c}' for c in 'xyz')} FROM q)"
@@ -223,8 +217,8 @@ def _(spark, d):
 
 @query("rotated_rings", f"WITH {G}, {_QP} SELECT id, {out(turn(('w', 'x', 'y', 'z'), B))} FROM p")
 def _(spark, d):
-    q = Q.from_axis(a_, F.radians(F.lit(5.0) + F.col("id") % 170))
-    rows = triples(spark, d).select("id", Q.rotate_rings(q, F.array(F.array(a_, b_))).alias("r"))
+    q = Q.from_axis(F.col("a"), F.radians(F.lit(5.0) + F.col("id") % 170))
+    rows = triples(spark, d).select("id", Q.rotate_rings(q, F.array(F.array(F.col("a"), F.col("b")))).alias("r"))
     return rows.select("id", *xyz_out(F.element_at(F.element_at("r", 1), 2)))
 
 
@@ -232,7 +226,7 @@ def _(spark, d):
 def _(spark, d):
     t = triangles(spark, d)
     line = geometry.to_polyline(F.col("rings"), F.lit("polygon"))
-    return t.select("id", F.size(geometry.to_multipoint(F.col("rings"))).alias("multipoint"), F.size(line).alias("outline"), F.size(F.element_at(geometry.to_polygon(F.array(line), F.lit("polyline")), 1)).alias("polygon"), F.size(geometry.concatenated(F.slice(ring_, 1, 3), F.slice(F.reverse(ring_), 1, 3))).alias("joined"))
+    return t.select("id", F.size(geometry.to_multipoint(F.col("rings"))).alias("multipoint"), F.size(line).alias("outline"), F.size(F.element_at(geometry.to_polygon(F.array(line), F.lit("polyline")), 1)).alias("polygon"), F.size(geometry.concatenated(F.slice(F.element_at("rings", 1), 1, 3), F.slice(F.reverse(F.element_at("rings", 1)), 1, 3))).alias("joined"))
 
 
 @query("dateline_wrapped_lines", f"WITH {G} SELECT id, CAST(CASE WHEN abs(ob - oa) > 180 THEN 2 ELSE 1 END AS BIGINT) AS parts, CAST(CASE WHEN abs(ob - oa) > 180 THEN 4 ELSE 2 END AS BIGINT) AS points FROM k")
@@ -395,7 +389,7 @@ SELECT sd.id AS seed_id, any_value(sd.time) AS time, {rnd('min(km)')} AS km, cou
 def _(spark, d):
     rows = triangles(spark, d).withColumns({"plate_id": F.col("id") % 7 + 100, "time": F.lit(60.0)})
     moved = reconstruct.by_plate(rows, R.rotations(samples(spark), [60.0]), point=None, rings="rings")
-    return moved.select("id", *xyz_out(F.element_at(ring_, 3)), (F.round(S.ring_area(ring_), 9) + F.lit(0.0)).alias("area"))
+    return moved.select("id", *xyz_out(F.element_at(F.element_at("rings", 1), 3)), (F.round(S.ring_area(F.element_at("rings", 1)), 9) + F.lit(0.0)).alias("area"))
 
 
 @query("geomagnetic_pole_visibility", f"WITH {C} SELECT kind, count(*) AS poles, sum(id)::BIGINT AS ids FROM (SELECT 'always' AS kind, id FROM c UNION ALL SELECT 'time_window', id FROM c WHERE begin_ BETWEEN 30 AND 120 UNION ALL SELECT 'about_age', id FROM c WHERE abs(begin_ - 60) <= 5) x GROUP BY kind")
@@ -498,7 +492,7 @@ def _(spark, d):
 @query("boundary_smoothing", f"WITH {G}, s AS (SELECT *, least(1e0, {to_arc(D, A, B)} / 0.5e0) AS f FROM g) SELECT id, {', '.join(rnd(f'f * a{c} + (1 - f) * h{c}') + f' AS {c}' for c in 'xyz')} FROM s")
 def _(spark, d):
     """Two velocities mixed by the distance of a point to a boundary."""
-    mixed = kinematics.smoothed(a_, b_, S.point_to_arc(d_, a_, b_), 0.5)
+    mixed = kinematics.smoothed(F.col("a"), F.col("b"), S.point_to_arc(F.col("d"), F.col("a"), F.col("b")), 0.5)
     return triples(spark, d).select("id", *xyz_out(mixed))
 
 
@@ -572,7 +566,7 @@ _BAR = f"{_TRI}, bc AS (SELECT *, {', '.join(f'0.5e0 * a{c} + 0.3e0 * h{c} + 0.2
 
 @query("barycentric_weights", f"WITH {_BAR}, w AS (SELECT id, {area(vec('u'), B, D)} / {area(A, B, D)} AS a, {area(A, vec('u'), D)} / {area(A, B, D)} AS b FROM bn) SELECT id, round(a, 5) AS a, round(b, 5) AS b, round(1 - a - b, 5) AS c FROM w")
 def _(spark, d):
-    a, b, c = (F.element_at(ring_, i) for i in (1, 2, 3))
+    a, b, c = (F.element_at(F.element_at("rings", 1), i) for i in (1, 2, 3))
     p = S.normalise(S.add(S.add(S.scale(a, F.lit(0.5)), S.scale(b, F.lit(0.3))), S.scale(c, F.lit(0.2))))
     rows = triangles(spark, d).select("id", p.alias("p"), a.alias("a"), b.alias("b"), c.alias("c"))
     w = topology.barycentric(F.col("p"), F.col("a"), F.col("b"), F.col("c"))
@@ -583,8 +577,8 @@ def _(spark, d):
 def _(spark, d):
     """The middle of every 97th triangle is located in a network of these triangles."""
     some = triangles(spark, d).where("id % 97 = 1")
-    faces = some.select(F.col("id").alias("topology_id"), F.lit(0).alias("face"), ring_.alias("vertices"))
-    points = some.select("id", S.centroid(ring_).alias("v"))
+    faces = some.select(F.col("id").alias("topology_id"), F.lit(0).alias("face"), F.element_at("rings", 1).alias("vertices"))
+    points = some.select("id", S.centroid(F.element_at("rings", 1)).alias("v"))
     hit = partition.hits(points, faces.select(F.struct("topology_id", "face").alias("plate_id"), F.array("vertices").alias("rings"), F.struct("topology_id", "face").alias("priority")))
     return hit.where("hit.topology_id = id").select("id", F.col("hit.topology_id").alias("topology_id"))
 

@@ -162,23 +162,29 @@ def partition_geometries(features: DataFrame, polygons: DataFrame, *, key: str =
     rows = features.select(key, "gtype", "rings").join(_overlaps(features, polygons, key, cell), key, "left")
     kinds = {key: features.select(F.col(key)).schema[0].dataType.simpleString(), "hit": polygons.schema["plate_id"].dataType.simpleString()}
 
-    def run(frames):
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         from . import cutting
 
-        shape = lambda rings: [np.array([[p["x"], p["y"], p["z"]] for p in r]).reshape(-1, 3) for r in rings]
-        for frame in frames:
+        shape = lambda rings: [np.array([[p["x"], p["y"], p["z"]] for p in r]).reshape(-1, 3) for r in rings or []]
+        point = pa.struct([(c, pa.float64()) for c in "xyz"])
+        for batch in batches:
             out = []
-            for k, gtype, rings, near in zip(frame[key], frame["gtype"], frame["rings"], frame["polygons"], strict=True):
-                shapes = [(p["hit"], shape(p["rings"])) for p in near] if near is not None else []
-                for nth, (hit, kind, parts) in enumerate(cutting.cascade(gtype, shape(rings), shapes)):
+            for row in batch.to_pylist():
+                shapes = [(p["hit"], shape(p["rings"])) for p in row["polygons"] or []]
+                for nth, (hit, kind, parts) in enumerate(cutting.cascade(row["gtype"], shape(row["rings"]), shapes)):
                     size = float(sum(map(len, parts))) if "point" in kind else sum(cutting.length(np.vstack([p, p[:1]]) if kind == "polygon" else p) for p in parts)
-                    out.append((k, nth, hit, kind, [[{"x": float(a), "y": float(b), "z": float(c)} for a, b, c in p] for p in parts], size))
-            yield pd.DataFrame(out, columns=[key, "nth", "hit", "gtype", "rings", "size"])
+                    out.append((row[key], nth, hit, kind, [[{"x": float(a), "y": float(b), "z": float(c)} for a, b, c in p] for p in parts], size))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            types = [batch.schema.field(key).type, pa.int32(), hit_type, pa.string(), pa.list_(pa.list_(point)), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "nth", "hit", "gtype", "rings", "size"])
 
-    return rows.mapInPandas(run, f"{key} {kinds[key]}, nth int, hit {kinds['hit']}, gtype string, rings {_RINGS}, size double")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    hit_type = to_arrow_type(polygons.schema["plate_id"].dataType)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, nth int, hit {kinds['hit']}, gtype string, rings {_RINGS}, size double")
 
 
 def split_lines(lines: DataFrame, polygons: DataFrame, *, key: str = "id", **options) -> DataFrame:

@@ -141,14 +141,14 @@ def to_xml(features: DataFrame, times: str = "urn:times/") -> DataFrame:
     return features.select(F.concat(F.lit("<gml:featureMember><"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit("></gml:featureMember>")).alias("value"))
 
 
-def write_xml(features: DataFrame, path: str, namespace: str = "urn:features", times: str = "urn:times/") -> None:
+def write_xml(features: DataFrame, path: str, namespace: str = "urn:features", times: str = "urn:times/", compression: str = "none") -> None:
     """One collection in one file; collections to be one file are of bounded size.  The
     namespace is the address of whatever reader it is written for."""
     spark = features.sparkSession
     head = f'<f:FeatureCollection xmlns:f="{namespace}" xmlns:gml="http://www.opengis.net/gml">'
     rows = to_xml(features, times).withColumn("k", F.lit(1))
     ends = spark.createDataFrame([(head, 0), ("</f:FeatureCollection>", 2)], "value string, k int")
-    rows.unionByName(ends).orderBy("k", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+    rows.unionByName(ends).orderBy("k", "value").select("value").coalesce(1).write.mode("overwrite").option("compression", compression).text(path)
 
 
 _GEOJSON = "type string, features array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import features, text
+from . import features, text, vectors
 
 
 @dataclass(frozen=True)
@@ -30,17 +30,29 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def _write_geojson(df: DataFrame, path: str) -> None:
+    """One collection in one file, a feature a line: sorted and written as a stream."""
     plain = [c for c, t in df.dtypes if t in ("string", "bigint", "int", "double") and c not in ("file", "gtype")]
-    whole = features.to_geojson(df, *plain).select(F.struct(F.lit(1).alias("k"), "value").alias("r"))
-    rows = whole.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["value"]), ","), F.lit("]}")).alias("value"))
-    rows.write.mode("overwrite").text(path)
+    rows = features.to_geojson(df, *plain).withColumns({"k": F.lit(1), "n": F.monotonically_increasing_id()})
+    comma = F.when(F.row_number().over(Window.orderBy("n")) > 1, F.lit(",")).otherwise("")
+    rows = rows.withColumn("value", F.concat(comma, "value"))
+    ends = df.sparkSession.createDataFrame([('{"type":"FeatureCollection","features":[', 0, 0), ("]}", 2, 0)], "value string, k int, n long")
+    rows.unionByName(ends).orderBy("k", "n").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _write_gmt(df: DataFrame, path: str) -> None:
+    plain = [c for c, t in df.dtypes if t in ("string", "bigint", "int", "double") and c not in ("file", "gtype", "nth")]
+    text.write_lines(vectors.gmt_lines(df, *plain), path)
+
+
+def _write_packed(df: DataFrame, path: str) -> None:
+    features.write_xml(df, path, compression="gzip")
 
 
 #: Extensions and what they hold.
 FORMATS = {
     "gpml": Format("xml features", "feature", features.read_xml, features.write_xml),
-    "gpmlz": Format("gzipped xml features", "feature", features.read_xml),
-    "gpml.gz": Format("gzipped xml features", "feature", features.read_xml),
+    "gpmlz": Format("gzipped xml features", "feature", features.read_xml, _write_packed),
+    "gpml.gz": Format("gzipped xml features", "feature", features.read_xml, _write_packed),
     "gsml": Format("geoscience xml", "feature", features.read_xml),
     "rot": Format("rotations", "rotation", text.read_rotations, _write_lines(text.rotation_lines)),
     "grot": Format("rotations with metadata", "rotation", text.read_metadata_rotations, _write_lines(text.rotation_lines)),
@@ -48,6 +60,8 @@ FORMATS = {
     "pla": Format("plates lines", "feature", text.read_plates_lines, _write_lines(lambda d: text.plates_lines(_numbered(d)))),
     "geojson": Format("geojson", "feature", features.read_geojson, _write_geojson),
     "json": Format("geojson", "feature", features.read_geojson, _write_geojson),
+    "shp": Format("shapefile", "feature", vectors.read_shapefile, vectors.write_shapefile),
+    "gmt": Format("gmt lines", "feature", vectors.read_gmt, _write_gmt),
     "xy": Format("xy lines", "feature", None, _write_lines(lambda d: text.xy_lines(_numbered(d)))),
     "vgp": Format("geomagnetic poles", "feature", text.read_poles_file),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
@@ -77,11 +77,8 @@ def read_rotations(spark: SparkSession, path: str) -> DataFrame:
 
     rows = good.groupBy("file").applyInPandas(run, f"file string, {ROTATION_SCHEMA}")
     # sequences of later files come after those of earlier ones
-    files = [r[0] for r in good.select("file").distinct().orderBy("file").limit(10_000).collect()]
-    if len(files) <= 1:
-        return rows
-    nth = F.create_map(*(x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))))
-    return rows.withColumn("seq", F.col("seq") + F.element_at(nth, F.col("file")) * F.lit(1 << 32))
+    nth = good.select("file").distinct().withColumn("_n", F.row_number().over(Window.orderBy("file")) - 1)
+    return rows.join(nth, "file").withColumn("seq", F.col("seq") + F.col("_n") * F.lit(1 << 32)).drop("_n")
 
 
 def rotation_lines(samples: DataFrame) -> DataFrame:
@@ -194,12 +191,16 @@ def read_poles_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "line", *(F.element_at("_p", i + 1).try_cast("double").alias(c) for i, c in enumerate(names)))
 
 
-def read_palette(spark: SparkSession, path: str):
-    """A colour-table file as a :class:`driftplane.functions.palettes.Palette`."""
+def read_palette(spark: SparkSession, path: str, max_lines: int = 100_000):
+    """A colour-table file as a :class:`driftplane.functions.palettes.Palette`; a file of more
+    than ``max_lines`` lines is an error."""
     from ..functions.palettes import Palette, Slice
 
     slices, categories, special = [], [], {}
-    for row in file_lines(spark, path).orderBy("line").limit(100_000).collect():
+    rows = file_lines(spark, path).orderBy("line").limit(max_lines + 1).collect()
+    if len(rows) > max_lines:
+        raise ValueError(f"more than {max_lines} lines in {path}; raise max_lines")
+    for row in rows:
         t = row["value"].split("#")[0].replace("/", " ").split()
         if not t:
             continue

@@ -217,7 +217,7 @@ def test_geometries_are_cut_in_turn(spark):
     polys = partition.with_priority(polygon(spark, [(1, "static_polygon", BOX), (7, "static_polygon", [(-5, -5), (-5, 5), (5, 5), (5, -5)])]))
     rows = [
         (1, "polyline", [(0, -30), (0, 30)]), (2, "polygon", [(-2, -2), (-2, 2), (2, 2), (2, -2)]), (3, "polygon", [(-2, 0), (-2, 30), (2, 30), (2, 0)]),
-        (4, "multipoint", [(0, 0), (8, 8), (50, 50), (1, 1)]), (5, "polygon", [[(-60, -60), (-60, 60), (60, 60), (60, -60)], [(-1, -1), (-1, 1), (1, 1), (1, -1)]]), (6, "polyline", [(70, 0), (80, 10)]), (7, "polyline", [(0, -5), (0, 5)]),
+        (4, "multipoint", [(0, 0), (8, 8), (50, 50), (1, 1)]), (5, "polygon", [[(-60, -60), (-60, 60), (60, 60), (60, -60)], [(-1, -1), (-1, 1), (1, 1)]]), (6, "polyline", [(70, 0), (80, 10)]), (7, "polyline", [(0, -5), (0, 5)]),
     ]
     out = partition.partition_geometries(shapes(spark, rows), polys).orderBy("id", "nth").collect()
     got = {}
@@ -419,6 +419,93 @@ def test_other_sources(spark, tmp_path, rot_file):
         registry.format_of("a.unknown")
 
 
+def geometries(spark):
+    rows = [
+        ("a", "polygon", [[(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0)], [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0)]], 101, 2.5), ("b|\"c", "polygon", [[(50.0, 0.0), (60.0, 10.0), (50.0, 20.0)]], None, None),
+        ("l", "polyline", [[(0.5, -1.25), (3.0, 4.0)]], 7, 1.0), ("p", "point", [[(12.5, 100.0)]], -3, 0.125), ("é", "multipoint", [[(1.0, 2.0), (3.0, 4.0)]], 0, -1.5),
+    ]
+    data = [(n, k, [[{"lat": a, "lon": o} for a, o in r] for r in g], i, x) for n, k, g, i, x in rows]
+    return spark.createDataFrame(data, "name string, gtype string, rings array<array<struct<lat: double, lon: double>>>, plate_id long, x double")
+
+
+def same_ring(a, b):
+    """Whether two rings have the same corners, whatever their start and direction."""
+    return sorted(tuple(p) for p in a) == sorted(tuple(p) for p in b)
+
+
+def test_shapefiles(spark, tmp_path):
+    df = geometries(spark)
+    registry.write(df, f"{tmp_path}/out/f.shp")
+    back = registry.read(spark, f"file://{tmp_path}/out/f_polygon.shp").orderBy("nth").collect()
+    want = df.where("gtype = 'polygon'").collect()
+    assert len(back) == 2
+    for w in want:
+        got = next(r for r in back if same_ring(r.rings[0], w.rings[0]))
+        assert len(got.rings) == len(w.rings) and all(same_ring(x, y) for x, y in zip(got.rings, w.rings, strict=True)) and got.attributes["name"].toPython() == w["name"]
+        assert (got.attributes["plate_id"].toPython() if w.plate_id is not None else None) == w.plate_id
+    for kind in ("point", "multipoint", "polyline"):
+        r, w = registry.read(spark, f"file://{tmp_path}/out/f_{kind}.shp").collect()[0], df.where(F.col("gtype") == kind).first()
+        assert r.gtype == kind and r.rings == w.rings and float(r.attributes["x"].toPython()) == w.x
+    from driftplane.sources import vectors
+
+    shp, _ = vectors.shapes_of("polyline", [[[(0.0, 0.0), (1.0, 1.0)]]])
+    with pytest.raises(vectors.Invalid):
+        list(vectors.parse_shapes(shp[:-4]))
+    with pytest.raises(vectors.Invalid):
+        list(vectors.parse_shapes(b"x" * 200))
+
+
+def test_gmt_attributes(spark, tmp_path):
+    df = geometries(spark)
+    for kind in ("polygon", "polyline", "point", "multipoint"):
+        some = df.where(F.col("gtype") == kind)
+        registry.write(some, f"{tmp_path}/{kind}.gmt")
+        back = registry.read(spark, f"{tmp_path}/{kind}.gmt").orderBy("nth").collect()
+        want = some.collect()
+        assert [(r.gtype, r.rings) for r in back] == [(w.gtype, w.rings) for w in want]
+        assert [r.attributes["name"].toPython() for r in back] == [w["name"] for w in want]
+        assert [r.attributes["plate_id"].toPython() for r in back if r.attributes["plate_id"] and r.attributes["plate_id"].toPython() is not None] == [w.plate_id for w in want if w.plate_id is not None]
+
+
+def test_grids_picks_and_exports(spark, tmp_path):
+    from driftplane.sources import vectors
+
+    px = spark.createDataFrame([("b", 10.0, 0.0, 1.5, 1.0), ("b", 0.0, 5.0, 2.0, 0.0), ("c", 0.0, 0.0, 9.0, 1.0)], "band string, lat double, lon double, value double, coverage double")
+    vectors.write_grid(px, f"{tmp_path}/g", "b")
+    back = X.read_grid(spark, f"{tmp_path}/g", "r").orderBy("lat").collect()
+    assert [(r.lat, r.lon, r.coverage) for r in back] == [(0.0, 5.0, 0.0), (10.0, 0.0, 1.0)] and back[1].value == 1.5
+    with pytest.raises(ValueError, match="not numbers"):
+        vectors.check_numeric(px.withColumn("value", F.lit("red")), "b")
+    picks = spark.createDataFrame([(1, False, 1, 10.0, 20.0, 5.0, True), (2, True, 1, 11.0, 21.0, 5.0, False)], "line long, moving boolean, segment int, lat double, lon double, sigma double, enabled boolean")
+    text.write_lines(vectors.pick_lines(picks), f"{tmp_path}/picks")
+    assert [tuple(r)[2:] for r in text.read_picks(spark, f"{tmp_path}/picks").orderBy("line").collect()] == [tuple(r)[1:] for r in picks.collect()]
+    pts = spark.createDataFrame([("f", 1, 1.0, 2.0, 0.5), ("f", 0, 3.0, 4.0, 1e-15), ("a", 0, 0.0, 0.0, 2.0)], "feature_id string, point_idx int, lat double, lon double, dilatation double")
+    lines = [r.value for r in vectors.deformation_lines(pts, "dilatation").orderBy("line").collect()]
+    assert lines == ["> a", "0.000000 0.000000 2.00000000e+00", "> f", "3.000000 4.000000 1.00000000e-15", "1.000000 2.000000 5.00000000e-01"]
+    rings = shapes(spark, [(5, "polygon", BOX)]).select(F.col("id").alias("topology_id"), F.element_at("rings", 1).alias("ring"))
+    out = vectors.topology_lines(rings).first().value.split("\n")
+    assert out[0] == "> 5" and out[1] == out[-1] == "-10.000000 -10.000000" and len(out) == 6
+
+
+def test_geojson_is_a_stream_of_lines(spark, tmp_path):
+    df = geometries(spark).repartition(4)
+    registry.write(df, f"{tmp_path}/f.geojson")
+    back = X.read_geojson(spark, f"{tmp_path}/f.geojson").collect()
+    assert sorted((r.gtype, str(r.rings)) for r in back) == sorted((r.gtype, str(r.rings)) for r in df.collect())
+    registry.write(df.limit(0), f"{tmp_path}/none.geojson")
+    assert X.read_geojson(spark, f"{tmp_path}/none.geojson").count() == 0
+
+
+def test_many_rotation_files(spark, tmp_path, rot_file):
+    for i in range(3):
+        (tmp_path / f"m{i}.rot").write_text(ROT)
+    rows = text.read_rotations(spark, f"{tmp_path}/m*.rot")
+    assert rows.select("seq").distinct().count() == 12 and rows.where("seq is null").count() == 0
+    (tmp_path / "p.cpt").write_text("0 0 0 0 1 1 1 1\n" * 9)
+    with pytest.raises(ValueError, match="max_lines"):
+        text.read_palette(spark, str(tmp_path / "p.cpt"), max_lines=5)
+
+
 def test_csv_quoting(spark):
     df = spark.createDataFrame([("a,b", None), (' x"', 1.5)], "s string, x double")
     assert [r[0] for r in X.to_csv_lines(df).collect()] == ['"a,b",NaN', '" x""",1.5']

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _OCT_ID, ORACLES, C, P, T, XYZ, _shown, customers, latlon, mul, conj, named, octants, parts, q_out, quat, query, r6, rnd, rot_sql, samples, suppliers, table, turn, xyz_out
+from .catalog import _OCT_ID, ORACLES, C, P, T, XYZ, _shown, customers, gradients, latlon, mul, conj, named, octants, parts, q_out, quat, query, r6, rnd, rot_sql, samples, suppliers, table, turn, xyz_out
 from .functions import projections
 from .functions import quaternion as Q
 from .functions import sphere as S
-from .operators import coregistration, generate, geometry, kinematics, partition, proximity, raster, reconstruct, topology
+from .operators import coregistration, evolution, generate, geometry, kinematics, partition, predicates, proximity, raster, reconstruct, topology
 from .operators import rotation_model as R
 
 Vec = tuple[str, str, str]
@@ -474,8 +474,6 @@ ORACLES["strain_accumulate"] = f"WITH RECURSIVE {_ONE}, r AS (SELECT k, i, tt, t
 
 @query("thickness_evolution", f"WITH {_ST} SELECT k AS l_orderkey, {rnd('40e0 * product((1 - (tt + pp) * 0.5e0 / 2) / (1 + (tt + pp) * 0.5e0 / 2))')} AS thickness FROM steps GROUP BY k")
 def _(spark, d):
-    from .catalog import gradients
-
     g = gradients(spark, d).select("l_orderkey", "l_linenumber", kinematics.dilatation_rate(F.col("g")).alias("rate"))
     rates = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "rate"))), lambda x: F.struct(F.lit(0.5).alias("dt"), x["rate"].alias("rate")))
     return g.groupBy("l_orderkey").agg(rates.alias("r")).select("l_orderkey", r6(kinematics.evolved_thickness(F.col("r"), F.lit(40.0))).alias("thickness"))
@@ -483,8 +481,6 @@ def _(spark, d):
 
 @query("strain_interpolation", "SELECT l_suppkey, round(sum(0.75e0 * (l_quantity - 25) / 100 + 0.25e0), 6) + 0e0 AS tt, round(sum(0.75e0 * l_discount), 6) + 0e0 AS tp FROM lineitem GROUP BY 1")
 def _(spark, d):
-    from .catalog import gradients
-
     mixed = kinematics.interpolated(F.col("g"), kinematics.unit_tensor(), F.lit(0.25))
     return gradients(spark, d).groupBy("l_suppkey").agg(r6(F.sum(mixed["tt"])).alias("tt"), r6(F.sum(mixed["tp"])).alias("tp"))
 
@@ -605,3 +601,43 @@ def _box_sql() -> str:
 
 
 ORACLES["topology_boundaries"] = f"WITH {_box_sql()}"
+
+
+@query("shared_sub_segments", """WITH p AS (SELECT DISTINCT l_partkey % 50 AS feature_id, l_suppkey % 20 AS topology_id, CAST(l_quantity AS DOUBLE) AS lo, CAST(l_quantity + 1 + l_linenumber % 3 AS DOUBLE) AS hi FROM lineitem),
+e AS (SELECT feature_id, lo AS pt FROM p UNION SELECT feature_id, hi FROM p),
+s AS (SELECT feature_id, pt AS lo, lead(pt) OVER (PARTITION BY feature_id ORDER BY pt) AS hi FROM e)
+SELECT s.feature_id, s.lo, s.hi, count(DISTINCT topology_id) AS topologies FROM s JOIN p ON p.feature_id = s.feature_id AND p.lo <= s.lo AND p.hi >= s.hi GROUP BY 1, 2, 3""")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.lit(0.0).alias("time"), (F.col("l_partkey") % 50).alias("feature_id"), (F.col("l_suppkey") % 20).alias("topology_id"), F.col("l_quantity").cast("double").alias("lo"), (F.col("l_quantity") + 1 + F.col("l_linenumber") % 3).cast("double").alias("hi"), F.lit(False).alias("reverse")).distinct()
+    return topology.shared_sub_segments(rows).select("feature_id", "lo", "hi", F.size("topologies").cast("long").alias("topologies"))
+
+
+_STEP = f"hh AS (SELECT *, {_OCT_ID} AS hit FROM cv), sg AS (SELECT a.plate_id, {named(mul(quat('b.'), conj(quat('a.'))))} FROM rot a JOIN rot b ON b.plate_id = a.plate_id WHERE a.time = 60 AND b.time = 50), mv AS (SELECT hh.id, hh.hit, hh.x AS vx, hh.y AS vy, hh.z AS vz, coalesce(q.w, 1e0) AS w, coalesce(q.x, 0e0) AS x, coalesce(q.y, 0e0) AS y, coalesce(q.z, 0e0) AS z FROM hh LEFT JOIN sg q ON q.plate_id = hh.hit)"
+
+
+@query("topology_reconstruction_step", f"WITH RECURSIVE {rot_sql([50.0, 60.0])}, {C}, {_STEP} SELECT id, CAST(hit AS BIGINT) AS plate_id, {out(turn(('w', 'x', 'y', 'z'), vec('v')))} FROM mv")
+def _(spark, d):
+    """Points carried from 60 to 50 by the octants that hold them."""
+    surfaces = octants(spark).withColumn("time", F.lit(60.0))
+    span = evolution.reconstruct_by_topologies(customers(spark, d).select("id", "v"), surfaces, R.rotations(samples(spark), [60.0, 50.0]), [60.0, 50.0])
+    return span.where("time = 50").select("id", "plate_id", *xyz_out(F.col("v")))
+
+
+@query("scalar_coverage_span", f"WITH {_ONE}, f AS (SELECT k, n, 40e0 * product(CASE WHEN n > 1 THEN (1 - (tt + pp) / 2) / (1 + (tt + pp) / 2) ELSE 1e0 END) OVER (PARTITION BY k ORDER BY n) AS value FROM steps) SELECT k AS id, CAST(100 - n AS DOUBLE) AS time, round(value, 5) + 0e0 AS value FROM f")
+def _(spark, d):
+    """Thickness at each line of an order, a line a million years."""
+    g = gradients(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.min("g").alias("g"))
+    rates = g.select(F.col("l_orderkey").alias("id"), (100.0 - F.col("l_linenumber")).alias("time"), kinematics.dilatation_rate(F.col("g")).alias("rate"), F.lit(True).alias("active"))
+    initial = g.select(F.col("l_orderkey").alias("id"), F.lit(40.0).alias("value")).distinct()
+    times = [99.0 - i for i in range(60)]
+    return evolution.scalar_span(rates, initial, times).select("id", "time", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+@query("feature_kinds", "SELECT count(*) FILTER (WHERE c_custkey % 4 = 0) AS networks, count(*) FILTER (WHERE c_custkey % 4 = 1) AS lines, count(*) FILTER (WHERE c_custkey % 4 < 2) AS topologies, count(*) FILTER (WHERE c_custkey % 3 = 0) AS points, count(*) FILTER (WHERE c_custkey % 5 > 0 AND c_custkey % 7 > 0) AS rotations FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey")
+    named_ = F.when(k % 4 == 0, "TopologicalNetwork").when(k % 4 == 1, "TopologicalLine").when(k % 4 == 2, "Coastline")
+    rows = table(spark, d, "customer").select(named_.alias("feature_type"), F.when(k % 3 == 0, "point").when(k % 3 == 1, "polygon").alias("gtype"), F.when(k % 5 > 0, k).alias("fixed"), F.when(k % 7 > 0, k).alias("moving"), F.array(k).alias("samples"))
+    rows = rows.withColumn("topology_kind", predicates.topology_kind())
+    n = lambda c: F.sum(c.cast("long"))
+    return rows.agg(n(predicates.is_topology("network")).alias("networks"), n(predicates.is_type("TopologicalLine")).alias("lines"), n(predicates.is_topology()).alias("topologies"), n(predicates.has_geometry("point")).alias("points"), n(predicates.is_rotation()).alias("rotations"))

@@ -2,18 +2,22 @@
 
 Sections are rows (topology_id, time, section_index, feature_id, reverse, is_interior);
 geometries are rows (time, feature_id, line).  Sections join geometries on (time, feature).
-A topology's sections are then one bounded list (a plate boundary has tens of sections),
-assembled by a numpy kernel in a grouped Arrow function; rows of different topologies and
-times are independent.
+They are resolved in three passes (:func:`resolve`): topological lines, then boundaries and
+networks, whose sections may be such lines.  A topology's sections are one bounded list (a
+plate boundary has tens of sections), assembled by a numpy kernel in a grouped Arrow
+function; rows of different topologies and times are independent.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
+from . import cutting
 
 _POINTS = "array<struct<x: double, y: double, z: double>>"
 
@@ -30,80 +34,112 @@ def referenced(sections: DataFrame) -> DataFrame:
     return sections.select("feature_id").distinct()
 
 
-def _crossing(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(segment of a, segment of b, point) of the crossings of two polylines."""
+def _crossing(a: np.ndarray, b: np.ndarray) -> list[tuple[float, float, np.ndarray]]:
+    """(place on a, place on b, point) of the crossings of two polylines, along a.  A place is
+    the number of a segment and the fraction of it."""
     if len(a) < 2 or len(b) < 2:
         return []
-    m, n = np.cross(a[:-1], a[1:]), np.cross(b[:-1], b[1:])
-    mb, na = m @ b.T, n @ a.T
-    i, j = np.nonzero((mb[:, :-1] * mb[:, 1:] < 0) & (na[:, :-1] * na[:, 1:] < 0).T)
-    out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p = np.cross(m[x], n[y])
-        p /= np.linalg.norm(p)
-        p = p if p @ (a[x] + a[x + 1]) > 0 else -p
-        if p @ (b[y] + b[y + 1]) > 0:
-            out.append((x, y, p))
-    return sorted(out, key=lambda c: (c[0], float(np.arccos(np.clip(a[c[0]] @ c[2], -1, 1)))))
-
-
-def trim(sections: list[np.ndarray]) -> list[np.ndarray]:
-    """Sections of a closed boundary, each cut where it meets its neighbours.
-
-    A section that meets a neighbour keeps the part between its two meetings; one that does
-    not keeps its end on that side, and the gap is bridged by the boundary itself.  Where two
-    sections meet more than once, the meeting nearest the section's middle counts.  With two
-    sections only, both of their first two meetings count."""
+    i, j, p = cutting.meetings(a[:-1], a[1:], b[:-1], b[1:])
+
+    def place(line: np.ndarray, k: np.ndarray) -> np.ndarray:
+        far = lambda x, y: np.arccos(np.clip((x * y).sum(1), -1, 1))
+        return k + np.clip(far(line[k], p) / np.maximum(far(line[k], line[k + 1]), 1e-15), 0, 1 - 1e-12)
+
+    return sorted(zip(place(a, i).tolist(), place(b, j).tolist(), p, strict=True), key=lambda c: c[0]) if len(i) else []
+
+
+def _pick(found: list, before: float | None, backwards: bool, after: float | None):
+    """Of several crossings of a section with the one before it, the first along the earlier
+    section that is on the side of its own first cut where the boundary goes on (its tail,
+    or its head if it runs backwards), and on the current section's head.  ``before``: where
+    the earlier section is cut already; ``after``: where the current one is."""
+    head, tail = lambda x, cut: x <= cut, lambda x, cut: x >= cut
+    whole = lambda x, cut: True
+    earlier = [(whole, 0.0)] if before is None else [(head, before), (tail, before)] if backwards else [(tail, before), (head, before)]
+    current = [(whole, 0.0)] if after is None else [(head, after), (tail, after)]
+    for on_current, cut_c in current:
+        for on_earlier, cut_e in earlier:
+            for c in found:
+                if on_earlier(c[0], cut_e) and on_current(c[1], cut_c):
+                    return c
+    return None
+
+
+@dataclass
+class Piece:
+    """The part of a section that a topology uses: places on it, points in the section's own
+    direction, and whether the topology runs through it backwards."""
+
+    lo: float
+    hi: float
+    points: np.ndarray
+    backwards: bool
+
+
+def part_of(line: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The points of a line from one place to another."""
+
+    def at(x: float) -> np.ndarray:
+        k = min(int(np.floor(x)), len(line) - 2) if len(line) > 1 else 0
+        f = x - k
+        if len(line) < 2 or f <= 0:
+            return line[k]
+        if f >= 1:
+            return line[k + 1]
+        w = float(np.arccos(np.clip(line[k] @ line[k + 1], -1, 1)))
+        return line[k] if w < 1e-15 else (np.sin((1 - f) * w) * line[k] + np.sin(f * w) * line[k + 1]) / np.sin(w)
+
+    inner = [line[k] for k in range(int(np.floor(lo)) + 1, int(np.ceil(hi))) if lo < k < hi]
+    return np.array([at(lo), *inner, at(hi)])
+
+
+def pieces(sections: list[np.ndarray], reverse: list[bool], closed: bool = True) -> list[Piece]:
+    """The parts of sections between their meetings with the sections before and after.
+
+    A section without a meeting on a side keeps its end there, and the gap is bridged by the
+    topology itself; with one meeting it keeps the part on the far side of it in its
+    direction.  Two meetings give the direction.  The two sections of a closed topology of
+    two meet twice."""
     n = len(sections)
-    if n < 2:
-        return sections
-    cuts: list[list[tuple[float, np.ndarray]]] = [[] for _ in range(n)]
-
-    def add(k: int, seg: int, p: np.ndarray) -> None:
-        a, b = sections[k][seg], sections[k][seg + 1]
-        whole = np.arccos(np.clip(a @ b, -1, 1))
-        cuts[k].append((seg + float(np.arccos(np.clip(a @ p, -1, 1)) / max(whole, 1e-15)), p))
-
-    for k in range(n if n > 2 else 1):
-        j = (k + 1) % n
-        found = _crossing(sections[k], sections[j])
-        if not found:
-            continue
-        if n == 2:
-            picked = found[:2]
-        else:
-            middle = sections[k][len(sections[k]) // 2]
-            picked = [max(found, key=lambda c: float(c[2] @ middle))]
-        for x, y, p in picked:
-            add(k, x, p)
-            add(j, y, p)
+    first: list[float | None] = [None] * n  # where each is cut by the one before
+    last: list[float | None] = [None] * n
+    if n == 2 and closed:
+        found = _crossing(sections[0], sections[1])
+        if len(found) >= 2:
+            x, y = found[:2] if not reverse[0] else found[1::-1]
+            first[0], last[0], first[1], last[1] = x[0], y[0], y[1], x[1]
+        elif found:
+            last[0], first[1] = found[0][:2]
+    elif n > 1:
+        for k in range(1, n + (1 if closed else 0)):
+            e, c = k - 1, k % n
+            got = _pick(_crossing(sections[e], sections[c]), first[e], reverse[e], last[c])
+            if got is not None:
+                last[e], first[c] = got[0], got[1]
     out = []
-    for k, line in enumerate(sections):
-        at = sorted(cuts[k], key=lambda c: c[0])
-        if len(at) >= 2:
-            (lo, p), (hi, q) = at[0], at[-1]
-            out.append(np.vstack([p, line[int(np.floor(lo)) + 1 : int(np.floor(hi)) + 1], q]))
-        elif len(at) == 1:
-            lo, p = at[0]
-            head, tail = np.vstack([line[: int(np.floor(lo)) + 1], p]), np.vstack([p, line[int(np.floor(lo)) + 1 :]])
-            out.append(head if _long(head) >= _long(tail) else tail)
+    for line, back, x, y in zip(sections, reverse, first, last, strict=True):
+        end = float(max(len(line) - 1, 0))
+        if x is not None and y is not None:
+            back = x > y if x != y else back
+            lo, hi = min(x, y), max(x, y)
+        elif x is not None:
+            lo, hi = (0.0, x) if back else (x, end)
+        elif y is not None:
+            lo, hi = (y, end) if back else (0.0, y)
         else:
-            out.append(line)
+            lo, hi = 0.0, end
+        out.append(Piece(lo, hi, part_of(line, lo, hi) if end else line, back))
     return out
 
 
-def _long(line: np.ndarray) -> float:
-    return float(np.arccos(np.clip((line[:-1] * line[1:]).sum(1), -1, 1)).sum())
-
-
-def assemble(sections: list[np.ndarray], reverse: list[bool]) -> np.ndarray:
-    """Boundary ring: trimmed sections head to tail, turned round as asked."""
-    parts = [p[::-1] if r else p for p, r in zip(trim(sections), reverse, strict=True)]
+def assemble(sections: list[np.ndarray], reverse: list[bool], closed: bool = True) -> np.ndarray:
+    """Boundary ring (or open line): the sections' parts head to tail."""
+    parts = [p.points[::-1] if p.backwards else p.points for p in pieces(sections, reverse, closed)]
     ring = np.vstack(parts)
     keep = np.ones(len(ring), bool)
     keep[1:] = np.abs(ring[1:] - ring[:-1]).sum(1) > 1e-12
     ring = ring[keep]
-    return ring[:-1] if len(ring) > 1 and np.abs(ring[0] - ring[-1]).sum() <= 1e-12 else ring
+    return ring[:-1] if closed and len(ring) > 1 and np.abs(ring[0] - ring[-1]).sum() <= 1e-12 else ring
 
 
 def _arrays(frame):
@@ -115,26 +151,68 @@ def _rows(ring: np.ndarray) -> list[dict]:
     return [{"x": float(p[0]), "y": float(p[1]), "z": float(p[2])} for p in ring]
 
 
+def _assembled(resolved: DataFrame, name: str, closed: bool, least: int) -> DataFrame:
+    def build(key, frame):
+        import pandas as pd
+
+        ring = assemble(*_arrays(frame), closed)
+        return pd.DataFrame([(key[0], key[1], _rows(ring))] if len(ring) >= least else [], columns=["time", "topology_id", name])
+
+    edge = resolved.where(~F.coalesce("is_interior", F.lit(False)))
+    kind = dict(resolved.dtypes)["topology_id"]
+    return edge.groupBy("time", "topology_id").applyInPandas(build, f"time double, topology_id {kind}, {name} {_POINTS}")
+
+
 def boundaries(resolved: DataFrame) -> DataFrame:
     """(time, topology_id, ring) of closed boundaries; fewer than three points are skipped."""
+    return _assembled(resolved, "ring", True, 3)
+
+
+def lines(resolved: DataFrame) -> DataFrame:
+    """(time, topology_id, line) of topological lines, cut where neighbours cross."""
+    return _assembled(resolved, "line", False, 2)
+
+
+def resolve(sections: DataFrame, geometries: DataFrame) -> dict[str, DataFrame]:
+    """``lines``, ``boundaries`` and ``networks`` of sections that also have a ``kind`` (line,
+    boundary or network).  Lines come first: the others may have them as sections, by the
+    line's topology_id as feature_id."""
+    of = lambda kind: sections.where(F.col("kind") == kind).drop("kind")
+    made = lines(resolve_sections(of("line"), geometries))
+    both = geometries.select("time", "feature_id", "line").unionByName(made.select("time", F.col("topology_id").cast(dict(geometries.dtypes)["feature_id"]).alias("feature_id"), "line"))
+    return {"lines": made, "boundaries": boundaries(resolve_sections(of("boundary"), both)), "networks": networks(resolve_sections(of("network"), both))}
+
+
+def sub_segments(resolved: DataFrame) -> DataFrame:
+    """(time, topology_id, section_index, feature_id, lo, hi, reverse, line): the part of each
+    section that its boundary uses, as places on the section."""
+    kinds = dict(resolved.dtypes)
 
     def build(key, frame):
         import pandas as pd
 
-        ring = assemble(*_arrays(frame))
-        rows = [(key[0], key[1], _rows(ring))] if len(ring) >= 3 else []
-        return pd.DataFrame(rows, columns=["time", "topology_id", "ring"])
+        frame = frame.sort_values("section_index")
+        found = pieces(*_arrays(frame))
+        rows = [(key[0], key[1], i, f, p.lo, p.hi, p.backwards, _rows(p.points)) for i, f, p in zip(frame["section_index"], frame["feature_id"], found, strict=True)]
+        return pd.DataFrame(rows, columns=["time", "topology_id", "section_index", "feature_id", "lo", "hi", "reverse", "line"])
 
     edge = resolved.where(~F.coalesce("is_interior", F.lit(False)))
-    kind = dict(resolved.dtypes)["topology_id"]
-    return edge.groupBy("time", "topology_id").applyInPandas(build, f"time double, topology_id {kind}, ring {_POINTS}")
+    schema = f"time double, topology_id {kinds['topology_id']}, section_index {kinds['section_index']}, feature_id {kinds['feature_id']}, lo double, hi double, reverse boolean, line {_POINTS}"
+    return edge.groupBy("time", "topology_id").applyInPandas(build, schema)
 
 
-def lines(resolved: DataFrame) -> DataFrame:
-    """(time, topology_id, line): sections joined end to end, natively."""
-    one = F.struct("section_index", F.when(F.col("reverse"), F.reverse("line")).otherwise(F.col("line")).alias("line"))
-    by = resolved.groupBy("time", "topology_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    return by.select("time", "topology_id", F.flatten(F.transform("s", lambda x: x["line"])).alias("line"))
+def shared_sub_segments(parts: DataFrame) -> DataFrame:
+    """(time, feature_id, lo, hi, topologies, reversed): the longest pieces of each section that
+    one set of topologies shares, with which of them run through it backwards.
+
+    Ends of all parts cut a section to elementary pieces; pieces join the parts that hold
+    them (rows of one section at one time: the few topologies on its two sides)."""
+    ends = parts.select("time", "feature_id", F.explode(F.array("lo", "hi")).alias("at")).distinct()
+    by = Window.partitionBy("time", "feature_id").orderBy("at")
+    steps = ends.withColumn("to", F.lead("at").over(by)).where("to is not null")
+    p = parts.select("time", "feature_id", "topology_id", "reverse", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    held = steps.join(p, ["time", "feature_id"]).where((F.col("_lo") <= F.col("at")) & (F.col("_hi") >= F.col("to")))
+    return held.groupBy("time", "feature_id", F.col("at").alias("lo"), F.col("to").alias("hi")).agg(F.array_sort(F.collect_set("topology_id")).alias("topologies"), F.array_sort(F.collect_set(F.when(F.col("reverse"), F.col("topology_id")))).alias("reversed"))
 
 
 def shared_sections(resolved: DataFrame) -> DataFrame:
@@ -232,3 +310,135 @@ def located(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFrame:
 
     f = faces.withColumn("plate_id", F.struct("topology_id", "face")).withColumn("rings", F.array("vertices")).withColumn("priority", F.struct("topology_id", "face"))
     return partition.first_hit(points, f.select("plate_id", "rings", "priority"), key=key)
+
+
+def natural_weights(points: np.ndarray, p: np.ndarray, triangles: np.ndarray | None = None) -> np.ndarray:
+    """Natural-neighbour weights of the points of a plane at p: the part of each one's Voronoi
+    cell that p's own cell would take.  They sum to one, and give p as their mean; all zero
+    outside the hull."""
+    tri = delaunay(points) if triangles is None else triangles
+    out = np.zeros(len(points))
+    if (near := np.abs(points - p).sum(1) < 1e-12).any():
+        out[int(np.argmax(near))] = 1
+        return out
+    centre = np.array([_circumcentre(*points[t]) for t in tri]).reshape(-1, 2)
+    reach = np.linalg.norm(centre - points[tri[:, 0]], axis=1) if len(tri) else np.zeros(0)
+    cavity = [k for k in range(len(tri)) if np.linalg.norm(centre[k] - p) < reach[k] - 1e-15]
+    if not any(_holds_flat(points[tri[k]], p) for k in range(len(tri))):
+        return out
+    sides: dict[tuple[int, int], int] = {}
+    for k in cavity:
+        for i in range(3):
+            e = tuple(sorted((int(tri[k][i]), int(tri[k][(i + 1) % 3]))))
+            sides[e] = sides.get(e, 0) + 1
+    corners: dict[int, list[np.ndarray]] = {}
+    for (i, j), count in sides.items():
+        if count == 1:  # an edge of the cavity: p makes a triangle with it
+            c = _circumcentre(points[i], points[j], p)
+            corners.setdefault(i, []).append(c)
+            corners.setdefault(j, []).append(c)
+    for k in cavity:
+        for i in tri[k].tolist():
+            corners.setdefault(i, []).append(centre[k])
+    for i, c in corners.items():
+        out[i] = _hull_area(np.array(c))
+    return out / out.sum() if out.sum() > 0 else out
+
+
+def _circumcentre(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    u, v = b - a, c - a
+    d = 2 * (u[0] * v[1] - u[1] * v[0])
+    if abs(d) < 1e-300:
+        return np.array([np.inf, np.inf])
+    return a + np.array([v[1] * (u @ u) - u[1] * (v @ v), u[0] * (v @ v) - v[0] * (u @ u)]) / d
+
+
+def _holds_flat(t: np.ndarray, p: np.ndarray) -> bool:
+    side = [(t[(i + 1) % 3] - t[i])[0] * (p - t[i])[1] - (t[(i + 1) % 3] - t[i])[1] * (p - t[i])[0] for i in range(3)]
+    return all(x >= -1e-12 for x in side) or all(x <= 1e-12 for x in side)
+
+
+def _hull_area(pts: np.ndarray) -> float:
+    """Area of the convex hull of points (a part of a Voronoi cell is convex)."""
+    pts = pts[np.isfinite(pts).all(1)]
+    if len(pts) < 3:
+        return 0.0
+    pts = pts[np.lexsort((pts[:, 1], pts[:, 0]))]
+
+    def half(rows) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for q in rows:
+            while len(out) > 1 and (out[-1] - out[-2])[0] * (q - out[-1])[1] - (out[-1] - out[-2])[1] * (q - out[-1])[0] <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    ring = half(pts)[:-1] + half(pts[::-1])[:-1]
+    x, y = np.array(ring).T if len(ring) > 2 else (np.zeros(1), np.zeros(1))
+    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
+
+
+#: How strain rates vary over a network: constant in faces, or smoothed from its vertices.
+SMOOTHING = ("none", "barycentric", "natural_neighbour")
+
+
+def vertex_gradients(faces: DataFrame) -> DataFrame:
+    """(topology_id, vertex, g): the area-weighted mean gradient of the faces at each vertex, of
+    faces (topology_id, vertices, g)."""
+    fields = ("tt", "tp", "pt", "pp")
+    area = F.abs(S.triangle_area(F.element_at("vertices", 1), F.element_at("vertices", 2), F.element_at("vertices", 3)))
+    rows = faces.select("topology_id", "g", "vertices", area.alias("_a")).select("topology_id", "g", "_a", F.explode("vertices").alias("vertex"))
+    mean = F.struct(*((F.sum(F.col(f"g.{c}") * F.col("_a")) / F.sum("_a")).alias(c) for c in fields))
+    return rows.groupBy("topology_id", "vertex").agg(mean.alias("g"))
+
+
+def strain_at(points: DataFrame, faces: DataFrame, smoothing: str = "natural_neighbour", key: str = "id") -> DataFrame:
+    """Points (id, v) in a network's faces (topology_id, face, vertices, g) with the gradient
+    there: the face's, or that of vertices by barycentric or natural-neighbour weights."""
+    if smoothing not in SMOOTHING:
+        raise ValueError(f"smoothing is one of {SMOOTHING}")
+    hit = located(points, faces, key=key).where("hit is not null").select(key, "v", "hit.topology_id", "hit.face")
+    inside = hit.join(faces.select("topology_id", "face", "vertices", F.col("g").alias("_face_g")), ["topology_id", "face"])
+    if smoothing == "none":
+        return inside.select(key, "v", F.col("_face_g").alias("g"))
+    at = vertex_gradients(faces)
+    fields = ("tt", "tp", "pt", "pp")
+    if smoothing == "barycentric":
+        corner = [F.element_at("vertices", i) for i in (1, 2, 3)]
+        w = inside.withColumn("_w", barycentric(F.col("v"), *corner))
+        rows = w.select(key, "v", "topology_id", F.explode(F.array(*(F.struct(c.alias("vertex"), F.col(f"_w.{n}").alias("w")) for c, n in zip(corner, "abc", strict=True)))).alias("e"))
+        rows = rows.select(key, "v", "topology_id", "e.vertex", "e.w")
+    else:
+        rows = _natural_rows(inside, faces, key)
+    joined = rows.join(at, ["topology_id", "vertex"])
+    return joined.groupBy(key, "v").agg(F.struct(*(F.sum(F.col("w") * F.col(f"g.{c}")).alias(c) for c in fields)).alias("g"))
+
+
+def _natural_rows(inside: DataFrame, faces: DataFrame, key: str) -> DataFrame:
+    """(key, v, topology_id, vertex, w): natural-neighbour weights; a network is one task, its
+    vertices being of bounded number, its points in batches."""
+    kinds = dict(inside.dtypes)
+    nets = faces.select("topology_id", F.explode("vertices").alias("p")).groupBy("topology_id").agg(F.collect_set("p").alias("net"))
+    rows = inside.select(key, "v", "topology_id").join(nets, "topology_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        point = pa.struct([(c, pa.float64()) for c in "xyz"])
+        for batch in batches:
+            cache, out = {}, []
+            for row in batch.to_pylist():
+                name = row["topology_id"]
+                if name not in cache:
+                    pts = np.array(sorted([p["x"], p["y"], p["z"]] for p in row["net"]))
+                    flat, to = _flatten(pts)
+                    cache[name] = (pts, flat, to, delaunay(flat))
+                pts, flat, to, tri = cache[name]
+                w = natural_weights(flat, to(np.array([[row["v"][c] for c in "xyz"]]))[0], tri)
+                out += [(row[key], row["v"], name, dict(zip("xyz", map(float, pts[i]), strict=True)), float(w[i])) for i in np.flatnonzero(w).tolist()]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [batch.schema.field(key).type, point, batch.schema.field("topology_id").type, point, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "v", "topology_id", "vertex", "w"])
+
+    struct = "struct<x: double, y: double, z: double>"
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, v {struct}, topology_id {kinds['topology_id']}, vertex {struct}, w double")

@@ -11,7 +11,7 @@ from driftplane.functions import palettes
 from driftplane.functions import quaternion as Q
 from driftplane.functions import sphere as S
 from driftplane.operators import coregistration as C
-from driftplane.operators import hellinger, kinematics, partition, proximity, raster, reconstruct, topology
+from driftplane.operators import evolution, hellinger, kinematics, partition, proximity, raster, reconstruct, topology
 from driftplane.operators import rotation_model as R
 from driftplane.plans import cli
 from driftplane.plans.session import Session, time_series
@@ -334,6 +334,114 @@ def test_topology_is_closed_by_crossings(spark):
     assert len(tri) == 4 and sum(map(area, tri)) == pytest.approx(1)
 
 
+def pt(la, lo):
+    import numpy as np
+
+    return np.array([math.cos(math.radians(la)) * math.cos(math.radians(lo)), math.cos(math.radians(la)) * math.sin(math.radians(lo)), math.sin(math.radians(la))])
+
+
+def test_sections_that_meet_often():
+    import numpy as np
+
+    zigzag = np.array([pt(*x) for x in [(-5, 0), (5, 2), (-5, 4), (5, 6), (-5, 8)]])  # crosses the equator four times
+    line = np.array([pt(0, -10), pt(0, 20)])
+    end = np.array([pt(-20, 19), pt(20, 19)])
+    got = topology.pieces([line, zigzag, end], [False] * 3)
+    # the first meeting along the earlier section; the zigzag goes on from there
+    assert got[1].lo == pytest.approx(0.5, abs=1e-3) and got[1].hi == 4 and got[0].hi < 1
+    back = topology.pieces([line, zigzag, end], [False, True, False])
+    assert (back[1].lo, back[1].backwards) == (0.0, True) and back[1].hi == pytest.approx(0.5, abs=1e-3)
+    two = topology.pieces([line, zigzag], [False, False])
+    assert two[0].lo < two[0].hi and two[1].backwards and (two[1].lo, two[1].hi) == (pytest.approx(0.5, abs=1e-3), pytest.approx(1.5, abs=1e-3))
+    assert len(topology.assemble([line, end], [False, False], closed=False)) == 3
+    alone = topology.pieces([line, np.array([pt(50, 0), pt(50, 9)])], [False, False])
+    assert [(p.lo, p.hi) for p in alone] == [(0.0, 1.0)] * 2
+
+
+def test_topologies_resolve_in_three_passes(spark):
+    # two boxes side by side; their common side is a topological line of two features
+    sides = {1: [(0, -10), (0, 10)], 2: [(10, 10), (10, -10)], 3: [(-1, -8), (11, -8)], 4: [(-1, 8), (11, 8)], 5: [(-1, 0), (6, 0)], 6: [(4, 0.001), (11, 0)]}
+    geo = shapes(spark, [(i, "polyline", g) for i, g in sides.items()]).select(F.lit(0.0).alias("time"), F.col("id").alias("feature_id"), F.element_at("rings", 1).alias("line"))
+    rows = [(50, "line", 0, 5, False), (50, "line", 1, 6, False)]
+    rows += [(100, "boundary", 0, 1, False), (100, "boundary", 1, 50, False), (100, "boundary", 2, 2, False), (100, "boundary", 3, 3, True)]
+    rows += [(200, "boundary", 0, 1, False), (200, "boundary", 1, 4, False), (200, "boundary", 2, 2, False), (200, "boundary", 3, 50, True)]
+    rows += [(300, "network", 0, 1, False), (300, "network", 1, 4, False), (300, "network", 2, 2, False), (300, "network", 3, 3, True)]
+    sec = spark.createDataFrame([(t, k, i, f, r, 0.0, False) for t, k, i, f, r in rows], "topology_id long, kind string, section_index int, feature_id long, reverse boolean, time double, is_interior boolean")
+    out = topology.resolve(sec, geo)
+    assert out["lines"].count() == 1 and out["networks"].select("topology_id").distinct().count() == 1
+    area = {r.topology_id: r.a for r in out["boundaries"].select("topology_id", F.abs(S.ring_area(F.col("ring"))).alias("a")).collect()}
+    want = math.radians(8) * math.sin(math.radians(10))
+    assert area[100] == pytest.approx(want, rel=0.02) and area[200] == pytest.approx(want, rel=0.02)
+    both = geo.unionByName(out["lines"].select("time", F.col("topology_id").alias("feature_id"), "line"))
+    parts = topology.sub_segments(topology.resolve_sections(sec.where("kind = 'boundary'").drop("kind"), both))
+    shared = {(r.feature_id, tuple(r.topologies)): r.reversed for r in topology.shared_sub_segments(parts).collect()}
+    assert (50, (100, 200)) in shared and (1, (100,)) in shared and (1, (200,)) in shared and shared[50, (100, 200)] == [200]
+
+
+def test_natural_weights():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    pts = np.vstack([[[0, 0], [1, 0], [1, 1], [0, 1.0]], r.random((25, 2))])
+    for _ in range(60):
+        p = 0.05 + 0.9 * r.random(2)
+        w = topology.natural_weights(pts, p)
+        assert w.sum() == pytest.approx(1) and np.allclose(w @ pts, p, atol=1e-7) and (w >= 0).all()
+    assert topology.natural_weights(pts, pts[7])[7] == 1 and topology.natural_weights(pts, np.array([3.0, 3.0])).sum() == 0
+
+
+def test_smoothed_strain(spark):
+    tri = [(1, 0, [(0, 0), (0, 10), (10, 5)], 1.0), (1, 1, [(0, 10), (10, 15), (10, 5)], 3.0)]
+    df = shapes(spark, [(f, "polygon", g) for _, f, g, _ in tri]).join(spark.createDataFrame([(f, x) for _, f, _, x in tri], "id long, x double"), "id")
+    faces = df.select(F.lit(1).alias("topology_id"), F.col("id").cast("int").alias("face"), F.element_at("rings", 1).alias("vertices"), kinematics.tensor(F.col("x"), F.lit(0.0), F.lit(0.0), F.col("x")).alias("g"))
+    pts = spark.createDataFrame([(1, 3.0, 5.0), (2, 7.0, 10.0), (3, 5.0, 7.5), (4, 40.0, 0.0)], "id long, a double, o double").select("id", S.from_lat_lon("a", "o").alias("v"))
+    got = {m: {r.id: r.x for r in topology.strain_at(pts, faces, m).select("id", F.col("g.tt").alias("x")).collect()} for m in topology.SMOOTHING}
+    assert got["none"][1] == 1.0 and got["none"][2] == 3.0 and all(4 not in g for g in got.values())
+    for m in ("barycentric", "natural_neighbour"):
+        assert 1.0 < got[m][1] < got[m][3] < got[m][2] < 3.0 and got[m][3] == pytest.approx(2.0, abs=0.1)
+    with pytest.raises(ValueError):
+        topology.strain_at(pts, faces, "other")
+
+
+def test_reconstruction_by_topologies(spark):
+    m = model(spark, (1, 1, 0, 0.0, 90.0, 0.0, 0.0), (1, 1, 0, 100.0, 90.0, 0.0, 50.0), (2, 2, 0, 0.0, 90.0, 0.0, 0.0), (2, 2, 0, 100.0, 90.0, 0.0, -50.0))
+    times = [10.0, 9.0, 8.0, 7.0]
+    rot = R.rotations(m, times)
+    boxes = partition.with_priority(polygon(spark, [(1, "boundary", [(-10, -60), (-10, 0), (10, 0), (10, -60)]), (2, "boundary", [(-10, 0), (-10, 60), (10, 60), (10, 0)])]))
+    surfaces = boxes.crossJoin(spark.createDataFrame([(t,) for t in times[:-1]], "time double"))
+    pts = spark.createDataFrame([(1, 0.0, -30.0), (2, 0.0, 30.0), (3, 80.0, 0.0), (4, 0.0, 0.2)], "id long, a double, o double").select("id", S.from_lat_lon("a", "o").alias("v"))
+    out = evolution.reconstruct_by_topologies(pts, surfaces, rot, times, every=2)
+    at = {(r.id, r.time): (round(r.lon, 6), r.plate_id, r.active) for r in out.withColumn("lon", S.lon(F.col("v"))).collect()}
+    assert at[1, 7.0] == (-31.5, 1, True) and at[2, 7.0] == (31.5, 2, True) and at[3, 7.0][1:] == (None, True)
+    assert at[4, 9.0] == (0.7, 2, True) and len(at) == 16
+    # a plate that swallows the point: it leaves plate 2 for plate 1 near the boundary, fast
+    grown = partition.with_priority(polygon(spark, [(1, "boundary", [(-10, -60), (-10, 1.2), (10, 1.2), (10, -60)]), (2, "boundary", [(-10, 1.2), (-10, 60), (10, 60), (10, 1.2)])]))
+    later = surfaces.where("time = 10").unionByName(grown.crossJoin(spark.createDataFrame([(9.0,), (8.0,)], "time double")))
+    gone = evolution.reconstruct_by_topologies(pts.where("id = 4"), later, rot, times)
+    assert [(r.time, r.active) for r in gone.orderBy(F.desc("time")).collect()] == [(10.0, True), (9.0, False), (8.0, False), (7.0, False)]
+    kept = evolution.reconstruct_by_topologies(pts.where("id = 4"), later, rot, times, deactivate=False)
+    assert kept.where("not active").count() == 0
+    tri = shapes(spark, [(1, "polygon", [(-5, -35), (-5, -25), (5, -30)]), (2, "polygon", [(-5, -33), (-5, -23), (5, -28)])])
+    ring = {r.id: r.rings[0] for r in tri.collect()}
+    faces = spark.createDataFrame([(10.0, 1, 0, [tuple(p) for p in ring[1]], [tuple(p) for p in ring[2]])], "time double, topology_id int, face int, vertices array<struct<x: double, y: double, z: double>>, next array<struct<x: double, y: double, z: double>>")
+    moved = evolution.reconstruct_by_topologies(pts.where("id = 1"), surfaces, rot, [10.0, 9.0], faces=faces).where("time = 9").select(S.lon(F.col("v"))).first()[0]
+    assert moved == pytest.approx(-28, abs=0.01)
+    half = evolution.span_at(out, 9.5, 10.0, 1.0, 4).withColumn("lon", S.lon(F.col("v")))
+    assert {r.id: round(r.lon, 4) for r in half.collect()}[1] == -30.25
+    assert evolution.span_at(out, 3.0, 10.0, 1.0, 4).count() == 0 and evolution.span_at(out, 9.0, 10.0, 1.0, 4).count() == 4
+
+
+def test_smoothing_near_boundaries(spark):
+    m = model(spark, (1, 1, 0, 0.0, 90.0, 0.0, 0.0), (1, 1, 0, 100.0, 90.0, 0.0, 50.0), (2, 2, 0, 0.0, 90.0, 0.0, 0.0), (2, 2, 0, 100.0, 90.0, 0.0, -50.0))
+    rot = R.rotations(m, [10.0, 11.0])
+    boxes = partition.with_priority(polygon(spark, [(1, "boundary", [(-20, -60), (-20, 0), (20, 0), (20, -60)]), (2, "boundary", [(-20, 0), (-20, 60), (20, 60), (20, 0)])]))
+    pts = spark.createDataFrame([(1, 0.0, -10.0), (2, 0.0, -1.0), (3, 0.0, 1.0), (4, 0.0, -1e-6)], "id long, a double, o double").select("id", F.lit(10.0).alias("time"), S.from_lat_lon("a", "o").alias("v"), F.col("o"))
+    out = evolution.smooth_near_boundaries(pts.drop("o"), boxes, rot, 1.0, math.radians(2))
+    east = {r.id: r.e for r in out.join(pts.select("id", "o"), "id").select("id", kinematics.colatitude_longitude(F.col("velocity"), F.lit(0.0), F.col("o"))["lon"].alias("e")).collect()}
+    full = math.radians(0.5) * 637.8137
+    assert east[1] == pytest.approx(-full, rel=1e-6) and east[2] == pytest.approx(-full / 2, rel=0.01) and east[3] == pytest.approx(full / 2, rel=0.01) and abs(east[4]) < 1e-3
+
+
 def test_pole_fit_recovers_a_rotation():
     import numpy as np
 

@@ -533,6 +533,36 @@ SELECT id, side, k AS nth, {XYZ} FROM ln"""
 # --- rasters and topologies ---------------------------------------------------------------------------
 
 
+_PX2 = "px AS (SELECT CAST(o_orderkey % 36 * 5 - 87.5 AS DOUBLE) AS lat, CAST(o_orderkey % 72 * 5 - 177.5 AS DOUBLE) AS lon, o_totalprice AS value, CASE WHEN o_orderkey % 5 = 0 THEN 0e0 ELSE 1e0 END AS coverage FROM orders), pv AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM px WHERE coverage > 0)"
+
+
+def _raster_sql(km: str) -> str:
+    return f"WITH {T}, {_TT}, {_PX2}, j AS (SELECT target_id, value, cos(radians(lat)) AS w FROM tt, pv WHERE {km} < 400e0) SELECT t.target_id AS seed_id, min(value) AS lo, max(value) AS hi, round(sum(w * value) / sum(w), 3) + 0e0 AS mean, count(value) AS pixels FROM t LEFT JOIN j ON j.target_id = t.target_id GROUP BY t.target_id"
+
+
+def _raster_regions(spark, d, kind: str, fill: bool) -> DataFrame:
+    from .catalog import pixels
+
+    seeds = shaped(spark, d, kind).withColumnRenamed("target_id", "seed_id")
+    got = raster.region_statistics(seeds, pixels(spark, d), 400.0, fill_polygons=fill)
+    return got.select("seed_id", F.col("min").alias("lo"), F.col("max").alias("hi"), (F.round("mean", 3) + F.lit(0.0)).alias("mean"), F.coalesce("pixels", F.lit(0).cast("long")).alias("pixels"))
+
+
+@query("raster_roi_lines", _raster_sql(_LINE_KM))
+def _(spark, d):
+    return _raster_regions(spark, d, "polyline", True)
+
+
+@query("raster_roi_filled_polygons", _raster_sql(_SOLID_KM))
+def _(spark, d):
+    return _raster_regions(spark, d, "polygon", True)
+
+
+@query("raster_roi_outlines", _raster_sql(f"least({to_arc(_PP, _TA, _TB)}, {to_arc(_PP, _TB, _TD)}, {to_arc(_PP, _TD, _TA)}) * 6378.137e0"))
+def _(spark, d):
+    return _raster_regions(spark, d, "polygon", False)
+
+
 @query("raster_bands_at_time", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 200 >= 60 AND o_orderkey % 50 <= 60")
 def _(spark, d):
     k = F.col("o_orderkey")

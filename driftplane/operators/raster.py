@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from ..functions import sphere as S
-from . import coregistration, partition
+from . import coregistration, partition, proximity
 from . import rotation_model as R
 
 
@@ -15,22 +17,68 @@ def statistics(df: DataFrame, *by: str, value: str = "value") -> DataFrame:
     return df.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std_dev"))
 
 
-def moments(value: Column, weight: Column) -> dict[str, Column]:
-    """Weighted mean and population deviation from sums that add up across tasks."""
-    s0, s1, s2 = F.sum(weight), F.sum(weight * value), F.sum(weight * value * value)
+def moments(value: Column, weight: Column, about: Column | float = 0.0) -> dict[str, Column]:
+    """Weighted mean and population deviation from sums that add up across tasks.  The sums
+    are taken ``about`` a value near the mean, or large values would cancel."""
+    x = value - about
+    s0, s1, s2 = F.sum(weight), F.sum(weight * x), F.sum(weight * x * x)
     mean = s1 / s0
-    return {"mean": F.when(s0 > 0, mean), "std_dev": F.when(s0 > 0, F.sqrt(F.greatest(s2 / s0 - mean * mean, F.lit(0.0))))}
+    return {"mean": F.when(s0 > 0, F.max(F.lit(about) if isinstance(about, float) else about) + mean), "std_dev": F.when(s0 > 0, F.sqrt(F.greatest(s2 / s0 - mean * mean, F.lit(0.0))))}
+
+
+def _regions(seeds: DataFrame, px: DataFrame, range_km: float, seed: str, fill_polygons: bool) -> DataFrame:
+    """(seed, pixel columns) of the pixels in each seed's region: a cap about a point, a band
+    about lines and outlines, and, if asked, the interior of polygons."""
+    if "rings" not in seeds.columns:
+        return coregistration.within(seeds.select(seed, "v"), px, range_km, seed=seed)
+    closed = F.transform("rings", lambda r: F.concat(r, F.slice(r, F.lit(1), F.lit(1))))
+    outline = (F.col("gtype") == "polygon") & F.lit(not fill_polygons)
+    shapes = seeds.select(seed, F.when(outline, "polyline").otherwise(F.col("gtype")).alias("gtype"), F.when(outline, closed).otherwise(F.col("rings")).alias("rings"))
+    places = px.select(F.col("v").alias("_at")).distinct().select("_at", F.lit("point").alias("gtype"), F.array(F.array("_at")).alias("rings"))
+    found = proximity.pairs_within(shapes, places, range_km, left_key=seed, right_key="_at").drop("dist_km")
+    return found.join(px, F.col("_at") == F.col("v")).drop("_at", "v")
 
 
-def region_statistics(seeds: DataFrame, pixels: DataFrame, range_km: float, *, seed: str = "seed_id", level: int | None = None) -> DataFrame:
+def region_statistics(seeds: DataFrame, pixels: DataFrame, range_km: float, *, seed: str = "seed_id", level: int | None = None, fill_polygons: bool = True) -> DataFrame:
     """Min, max, mean and deviation of the pixels in each seed's region; pixels weigh by
-    coverage and area; empty (null) where none has coverage."""
+    coverage and area; empty (null) where none has coverage.  Seeds are points (``v``) or
+    geometries (gtype, rings)."""
     px = pixels if level is None else pixels.where(F.col("level") == level)
     px = px.where(F.coalesce(F.col("coverage"), F.lit(1.0)) > 0).select(S.from_lat_lon("lat", "lon").alias("v"), "value", (F.coalesce(F.col("coverage"), F.lit(1.0)) * F.cos(F.radians("lat"))).alias("weight"))
-    pairs = coregistration.within(seeds.select(seed, "v"), px, range_km, seed=seed)
-    m = moments(F.col("value"), F.col("weight"))
+    middle = px.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("_middle"))  # one row
+    pairs = _regions(seeds, px, range_km, seed, fill_polygons).join(F.broadcast(middle))
+    m = moments(F.col("value"), F.col("weight"), F.col("_middle"))
     found = pairs.groupBy(seed).agg(F.min("value").alias("min"), F.max("value").alias("max"), m["mean"].alias("mean"), m["std_dev"].alias("std_dev"), F.count("*").alias("pixels"))
-    return seeds.select(seed).join(found, seed, "left")
+    return seeds.select(seed).distinct().join(found, seed, "left") if "rings" in seeds.columns else seeds.select(seed).join(found, seed, "left")
+
+
+@dataclass(frozen=True)
+class RasterRow:
+    """One row of a configuration over a raster band."""
+
+    reducer: str
+    range_km: float
+    level: int = 0
+    fill_polygons: bool = True
+
+    @property
+    def name(self) -> str:
+        return f"{self.reducer}_{self.range_km:g}km"
+
+
+def coregister_raster(seeds: DataFrame, pixels: DataFrame, rows: list[RasterRow], *, seed: str = "seed_id") -> DataFrame:
+    """One row a seed with a column for each configuration row.  All rows read the raster at
+    the finest level that any of them asks for; rows of one region share its join."""
+    for r in rows:
+        if r.reducer not in ("min", "max", "mean", "std_dev") or not r.range_km > 0:
+            raise ValueError(f"no result is defined for {r}")
+    out = seeds.select(seed).distinct()
+    level = min(r.level for r in rows)
+    for km, fill in dict.fromkeys((r.range_km, r.fill_polygons) for r in rows):
+        mine = [r for r in rows if (r.range_km, r.fill_polygons) == (km, fill)]
+        found = region_statistics(seeds, pixels, km, seed=seed, level=level, fill_polygons=fill)
+        out = out.join(found.select(seed, *(F.col(r.reducer).alias(r.name) for r in mine)), seed, "left")
+    return out.select(seed, *(r.name for r in rows))
 
 
 def coarser(pixels: DataFrame, rows: str = "row", cols: str = "col") -> DataFrame:

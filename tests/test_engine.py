@@ -636,6 +636,16 @@ def test_session(spark, tmp_path, rot_file):
     assert s.reconstruct(times=[0.0, 10.0]).count() == 5 and s.features("a").count() == 3
 
 
+def test_raster_rows_share_the_finest_level(spark):
+    px = spark.createDataFrame([(0, 0.0, 0.0, 1e9 + 1, 1.0), (0, 0.0, 1.0, 1e9 + 3, 1.0), (1, 0.0, 0.5, 5.0, 1.0)], "level int, lat double, lon double, value double, coverage double")
+    seeds = spark.createDataFrame([(1, 0.0, 0.5), (2, 80.0, 0.0)], "seed_id long, a double, o double").select("seed_id", S.from_lat_lon("a", "o").alias("v"))
+    rows = [raster.RasterRow("mean", 100.0, 1), raster.RasterRow("std_dev", 100.0, 0), raster.RasterRow("max", 200.0, 1)]
+    out = {r[0]: tuple(r[1:]) for r in raster.coregister_raster(seeds, px, rows).collect()}
+    assert out[1] == (pytest.approx(1e9 + 2), pytest.approx(1.0, abs=1e-6), 1e9 + 3) and out[2] == (None, None, None)
+    with pytest.raises(ValueError):
+        raster.coregister_raster(seeds, px, [raster.RasterRow("vote", 100.0)])
+
+
 def test_raster_levels(spark):
     px = spark.createDataFrame([("r", "b", 0, i, j, float(i + j), 1.0) for i in range(4) for j in range(4)], "raster_id string, band string, level int, row long, col long, value double, coverage double")
     up = raster.coarser(px)

@@ -684,4 +684,5 @@ def _(spark, d):
     return topology.shared_sections(rows).select("feature_id", F.size("topologies").cast("long").alias("topologies"))
 
 
-from . import catalog_more as _more  # noqa: E402, F401  (registers the rest)
+from . import catalog_files as _files  # noqa: E402, F401  (registers more)
+from . import catalog_more as _more  # noqa: E402, F401  (registers more)

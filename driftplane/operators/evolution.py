@@ -1,8 +1,9 @@
 """Reconstruction by topologies: points stepped through moving surfaces, and spans of times.
 
 A step is one job over all points: those in a deforming face move with its corners, others
-with the plate that holds them.  Steps follow from one another, so a run is a loop; its
-lineage is cut every few steps in the folder that ``spark.checkpoint.dir`` names.
+with the plate that holds them.  Steps follow from one another, so a run is a loop; every
+step is written once to the folder that ``spark.checkpoint.dir`` names, which cuts the
+lineage, and its rows are a part of the result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _to_outline(v, rings):
     return F.aggregate(each, F.lit(3.2), lambda acc, e: F.least(acc, S.point_to_arc(v, e["a"], e["b"])))
 
 
-def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: DataFrame, times: list[float], *, faces: DataFrame | None = None, deactivate: bool = True, velocity_change: float = VELOCITY_CHANGE, boundary_distance: float = BOUNDARY_DISTANCE, every: int = 5) -> DataFrame:
+def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: DataFrame, times: list[float], *, faces: DataFrame | None = None, deactivate: bool = True, velocity_change: float = VELOCITY_CHANGE, boundary_distance: float = BOUNDARY_DISTANCE) -> DataFrame:
     """(id, time, v, plate_id, active): points (id, v) at the first time, at all times.
 
     ``surfaces``: (time, plate_id, rings, priority) at all times but the last; ``model``:
@@ -74,14 +75,13 @@ def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: Dat
             found = found.withColumn("_live", ~(moved & near))
         else:
             found = found.withColumn("_live", F.lit(True))
-        out.append(found.select("id", F.lit(float(t)).alias("time"), "v", F.col("now").alias("plate_id"), F.col("_live").alias("active")).unionByName(state.where("not active").select("id", F.lit(float(t)).alias("time"), "v", "plate_id", "active")))
         go = found.select("id", "v", "now", "_live", F.when(F.col("now").isNull(), F.col("v")).otherwise(Q.rotate(F.col("_q"), F.col("v"))).alias("_next"))
         if faces is not None:
             go = _deformed(go, faces.where(F.abs(F.col("time") - t) < R.TIME_EPSILON))
-        after = go.select("id", F.when(F.col("_live"), S.normalise(F.col("_next"))).otherwise(F.col("v")).alias("v"), F.col("now").alias("plate_id"), F.col("_live").alias("active"))
-        state = after.unionByName(state.where("not active"))
-        if every and (i + 1) % every == 0:
-            state = settled(state)
+        gone = state.where("not active").select("id", "v", F.col("plate_id").alias("now"), F.lit(False).alias("_live"), F.col("v").alias("_next"))
+        done = settled(go.unionByName(gone))
+        out.append(done.select("id", F.lit(float(t)).alias("time"), "v", F.col("now").alias("plate_id"), F.col("_live").alias("active")))
+        state = done.select("id", F.when(F.col("_live"), S.normalise(F.col("_next"))).otherwise(F.col("v")).alias("v"), F.col("now").alias("plate_id"), F.col("_live").alias("active"))
     whole = out[0]
     for o in out[1:]:
         whole = whole.unionByName(o)

@@ -410,7 +410,7 @@ def test_reconstruction_by_topologies(spark):
     boxes = partition.with_priority(polygon(spark, [(1, "boundary", [(-10, -60), (-10, 0), (10, 0), (10, -60)]), (2, "boundary", [(-10, 0), (-10, 60), (10, 60), (10, 0)])]))
     surfaces = boxes.crossJoin(spark.createDataFrame([(t,) for t in times[:-1]], "time double"))
     pts = spark.createDataFrame([(1, 0.0, -30.0), (2, 0.0, 30.0), (3, 80.0, 0.0), (4, 0.0, 0.2)], "id long, a double, o double").select("id", S.from_lat_lon("a", "o").alias("v"))
-    out = evolution.reconstruct_by_topologies(pts, surfaces, rot, times, every=2)
+    out = evolution.reconstruct_by_topologies(pts, surfaces, rot, times)
     at = {(r.id, r.time): (round(r.lon, 6), r.plate_id, r.active) for r in out.withColumn("lon", S.lon(F.col("v"))).collect()}
     assert at[1, 7.0] == (-31.5, 1, True) and at[2, 7.0] == (31.5, 2, True) and at[3, 7.0][1:] == (None, True)
     assert at[4, 9.0] == (0.7, 2, True) and len(at) == 16

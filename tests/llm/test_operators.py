@@ -579,6 +579,42 @@ def test_archives_of_text_ids_and_clashes(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted([(i, None if first[h] == i else first[h], len(h)) for i, h in rows], key=str)
 
 
+# --- long texts, repeats and names that clash ---------------------------------------------------
+
+LONG = "the cat sat on the mat with 4111 1111 1111 1111 and you idiot write to a@b.cd now\n" * 12_000
+
+
+def odd_table(spark):
+    """A text of a megabyte, repeats, nulls, and columns named as the operators name theirs."""
+    rows = [(1, LONG), (1, LONG), (None, "short text"), (2, None), (2, ""), (3, "short text")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], TEXT)
+    names = "id key node n text_hash print start end window value before after x score predicted kept n_words lang_pred base added size rate copies target row k h _t _id _v"
+    return rows, df.select("*", *(F.lit(1).alias(c) for c in names.split()))
+
+
+def test_long_texts_repeats_and_clashes(spark):
+    from driftplane.llm import jaccard
+
+    rows, df = odd_table(spark)
+    by_id = lambda out, c, key="doc_id": sorted(((r[key], r[c]) for r in out.collect()), key=str)
+    n = LONG.count("\n")
+    model = langid.fit(["the cat sat on the mat the end", "der hund und die katze der"], ["en", "de"], least=1)
+    assert by_id(langid.identify(df, model), "lang_pred")[:2] == [(1, "en"), (1, "en")]
+    stats = quality.assess(df, gbt.fit(np.zeros((0, len(quality.RATES))), np.zeros(0)))
+    assert by_id(stats, "n_dup_lines")[:2] == [(1, n - 1)] * 2 and stats.count() == len(rows)
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.rate(df, toxicity.train(df, empty)).count() == len(rows)
+    spans = pii.detect(df).select("doc_id", F.size("base").alias("b")).collect()
+    assert sorted(r.b for r in spans) == [0, 0, 0, 0, 2 * n, 2 * n]
+    bench = spark.createDataFrame([("i", "cat sat on the mat with 4111 1111 1111 1111")], "item_id string, text string")
+    found = decontaminate.scan(df, bench)
+    assert sorted(r.n_hit for r in found.collect()) == [0, 0, 0, 0, 10 * n, 10 * n]
+    groups = sorted(((r.id, r.n_shingles, r.component_id) for r in jaccard.join(df).collect()), key=str)
+    assert len(groups) == len(rows) and (None, 1, None) in groups and (3, 1, 3) in groups
+    assert secrets.scan(df).where("doc_id = 1").count() == 0
+    assert sorted(r["size"] for r in mixing.measured(df).collect())[-2:] == [len(LONG.split())] * 2
+
+
 # --- SQL ---
 
 

@@ -28,8 +28,10 @@ hashes: among N distinct sets, N * N / 2**65 collisions are expected.
 
 Edge cases: null and empty texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; rows without an id link with nothing and have a null
-component; rows that repeat an id count as documents of the same id; an empty table gives
-an empty result.
+component; rows that repeat an id count as documents of the same id; very long texts are
+shingled whole; holders that tie in an election are told apart by hash; an empty table gives
+an empty result; other columns, whatever their names, are ignored (and kept by the stage,
+which tells rows apart by id and text).
 """
 
 from __future__ import annotations

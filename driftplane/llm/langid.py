@@ -155,7 +155,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     code = {x: k for k, x in enumerate(names)}
     few = some.select(F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("h").alias("_h"))
     same = (rows["g"] == few["_g"]) & rows["i"].eqNullSafe(few["_i"]) & (rows["h"] == few["_h"])
-    texts = rows.join(F.broadcast(few) if per_lang * len(names) <= 2_000_000 else few, same, "left_semi").select("g", "h", "t").dropDuplicates(["g", "h"])
+    texts = rows.join(F.broadcast(few) if per_lang * len(names) <= 2_000_000 else few, same, "left_semi").select("g", "h", "t").repartition(spark.sparkContext.defaultParallelism, "g", "h").dropDuplicates(["g", "h"])
 
     def run(batches):
         for batch in batches:

@@ -7,8 +7,11 @@ Monotonic limits: more symbols, duplicate lines, repeated words, capitals or pip
 raise the score.
 
 Edge cases: a null or empty text has zero statistics, fails the base rules and is not
-kept; repeated rows each get their row; with no labelled rows the model is constant and
-keeps every document that passes the base rules; an empty table gives an empty result.
+kept; very long texts are measured whole; repeated rows each get their row, and of labelled
+ids with several texts those of least hash are fitted on; an id labelled twice has its larger
+label; with no labelled rows the model is constant and keeps every document that passes the
+base rules; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

@@ -87,7 +87,9 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, *, id_col: str, text
     some = few_rows(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").cast("double").alias("label")), "id", rows)
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = got.select("id", "h").join(F.broadcast(some), "id").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(2 * rows)
-    return got.join(F.broadcast(keys), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "text", "label")
+    # as many parts as there are cores: what reads them is Python
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    return got.join(F.broadcast(keys), ["id", "h"]).repartition(parts, "id", "h").dropDuplicates(["id", "h"]).select("id", "text", "label")
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = 2_000_000, how: str = "left_semi") -> DataFrame:

@@ -11,8 +11,11 @@
 The fit uses at most ``train_rows`` labelled rows (the least hashed ids); lexicon counts
 are aggregated by Spark, so the driver sees only words that pass and feature rows.
 
-Edge cases: null and empty texts have zero features and a score like any other; repeated
-rows each get their row; with no labelled rows the score is the constant prior 0.5.
+Edge cases: null and empty texts have zero features and a score like any other; very long
+texts are measured whole; repeated rows each get their row; equal texts count once in the
+lexicon, as toxic if any of them is labelled so; words of equal odds are taken by hash; with
+no labelled rows the score is the constant prior 0.5; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

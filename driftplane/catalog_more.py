@@ -151,6 +151,15 @@ def _(spark, d):
     return c.select("id", *xyz_out(F.col("c.centre")), F.round("c.cos_radius", 9).alias("cos_radius"))
 
 
+@query("bounding_circle_relations", f"WITH {_TRI}, c AS (SELECT *, {', '.join(f'{e} / {norm(_SUM)} AS c{x}' for e, x in zip(_SUM, 'xyz', strict=True))} FROM tri), r AS (SELECT *, acos(least(1e0, least({dt(vec('c'), A)}, {dt(vec('c'), B)}, {dt(vec('c'), D)}))) AS rad FROM c) SELECT id, TRUE AS holds, {ang(vec('c'), ('1e0', '0e0', '0e0'))} <= rad + 0.5e0 AS meets, round(cos(rad + 0.1e0), 9) AS wider, round(cos(greatest(0e0, rad - 0.05e0)), 9) AS narrower FROM r")
+def _(spark, d):
+    """A triangle's circle: holds its corners; meets half a radian about (1, 0, 0); changed."""
+    other = F.struct(S.vector(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("centre"), F.lit(0.8775825618903728).alias("cos_radius"))
+    rows = triangles(spark, d).withColumn("c", S.bounding_circle(F.element_at("rings", 1))).withColumn("o", other)
+    holds = F.forall(F.element_at("rings", 1), lambda p: S.in_circle(p, F.col("c")))
+    return rows.select("id", holds.alias("holds"), S.circles_meet(F.col("c"), F.col("o")).alias("meets"), F.round(S.widened(F.col("c"), F.lit(0.1))["cos_radius"], 9).alias("wider"), F.round(S.widened(F.col("c"), F.lit(-0.05))["cos_radius"], 9).alias("narrower"))
+
+
 _OUTLINE: Vec = tuple(f"((a{c} + h{c}) / {norm(tuple(f'a{x} + h{x}' for x in 'xyz'))} * {ang(A, B)} + (h{c} + d{c}) / {norm(tuple(f'h{x} + d{x}' for x in 'xyz'))} * {ang(B, D)})" for c in "xyz")  # type: ignore[assignment]
 
 
@@ -273,6 +282,18 @@ def _(spark, d):
     return partition.split_lines(lines, octants(spark)).select("id", "hit", "nth", r6(F.col("size")).alias("size"))
 
 
+@query("intersection_graph", f"WITH {_M} SELECT id, CAST(n AS INTEGER) AS nth, CASE n WHEN 0 THEN NULL ELSE 'equator' END AS from_other, CASE n WHEN 1 THEN NULL ELSE 'equator' END AS to_other, {rnd('radians(CASE n WHEN 0 THEN 30e0 ELSE 50e0 END)')} AS size FROM m, (VALUES (0), (1)) x(n)")
+def _(spark, d):
+    """Meridians cut by the equator, which is a line of twelve arcs and one to close it."""
+    k = F.col("c_custkey")
+    lon = (k * 37 % 360 - 180).cast("double") + 0.5
+    lines = table(spark, d, "customer").select(k.alias("id"), F.array(S.from_lat_lon(F.lit(-30.0), lon), S.from_lat_lon(F.lit(10.0), lon), S.from_lat_lon(F.lit(50.0), lon)).alias("line"))
+    points = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: S.from_lat_lon(F.lit(0.0), i * 30.0))
+    equator = spark.range(1).select(F.lit("equator").alias("id"), points.alias("line"))
+    found = geometry.intersection_graph(lines, equator, cell=0.25)
+    return found.select("id", "nth", "from_other", "to_other", r6(S.length(F.col("points"))).alias("size"))
+
+
 @query("partition_polygons", f"WITH {_TRI} SELECT id, {rnd(f'{ang(A, B)} + {ang(B, D)} + {ang(D, A)}')} AS size FROM tri")
 def _(spark, d):
     """Outlines cut by the octants: the parts of each have its whole length."""
@@ -453,6 +474,19 @@ def _(spark, d):
     return got.where((F.col("reason") == "none") == F.col("velocity").isNull()).groupBy(on_edge.alias("reason")).agg(F.count("*").alias("points"))
 
 
+@query("solved_velocities", f"WITH {C} SELECT mode, count(*) AS points, count(*) FILTER (WHERE moves) AS moving FROM (SELECT 'surfaces' AS mode, {_OCT_ID} <= 105 AS moves FROM cv UNION ALL SELECT 'domain_points', plate_id <= 105 FROM cv) t GROUP BY 1")
+def _(spark, d):
+    """By the octants' plates and by the points' own; the model has plates up to 105."""
+    rows, model = customers(spark, d).withColumn("time", F.lit(60.0)), R.rotations(samples(spark), [60.0, 61.0])
+    by = {"surfaces": kinematics.solved_velocities(rows.drop("plate_id"), model, 1.0, polygons=octants(spark)), "domain_points": kinematics.solved_velocities(rows, model, 1.0, "domain_points")}
+    all_ = None
+    for mode, df in by.items():
+        # a point on its plate's own pole stands still, but its plate moves
+        one = df.select(F.lit(mode).alias("mode"), (F.col("plate_id") <= 105).alias("moves"), "velocity")
+        all_ = one if all_ is None else all_.unionByName(one)
+    return all_.groupBy("mode").agg(F.count("velocity").alias("points"), F.sum(F.col("moves").cast("long")).alias("moving"))
+
+
 _ST = "steps AS (SELECT l_orderkey AS k, l_linenumber AS n, (l_quantity - 25) / 100 AS tt, l_discount AS tp, l_tax - 0.03e0 AS pt, (l_quantity - 20) / 200 AS pp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS dt FROM lineitem)"
 
 

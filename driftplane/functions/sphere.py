@@ -260,6 +260,25 @@ def bounding_circle(ring: Column) -> Column:
     return let(lambda c: F.struct(c.alias("centre"), F.array_min(F.transform(ring, lambda p: dot(c, p))).alias("cos_radius")), centroid(ring))
 
 
+@bound
+def in_circle(v: Column, circle: Column) -> Column:
+    """Whether a point is in a bounding circle, its edge included."""
+    return dot(v, circle["centre"]) >= circle["cos_radius"] - EPSILON
+
+
+@bound
+def circles_meet(a: Column, b: Column) -> Column:
+    """Whether two bounding circles have a point in common."""
+    return angle(a["centre"], b["centre"]) <= F.acos(clamp(a["cos_radius"])) + F.acos(clamp(b["cos_radius"])) + EPSILON
+
+
+@bound
+def widened(circle: Column, by: Column) -> Column:
+    """A bounding circle with its radius changed by an angle: at least nothing, at most the
+    whole sphere.  A negative angle contracts it."""
+    return F.struct(circle["centre"].alias("centre"), F.cos(F.greatest(F.lit(0.0), F.least(F.lit(3.141592653589793), F.acos(clamp(circle["cos_radius"])) + by))).alias("cos_radius"))
+
+
 @bound
 def destination(v: Column, azimuth: Column, distance: Column) -> Column:
     """The point at an angular distance (radians) and azimuth (radians from north)."""

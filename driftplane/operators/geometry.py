@@ -80,6 +80,45 @@ def self_crossings(lines: DataFrame, key: str = "id", **options) -> DataFrame:
     return crossings(s, s, **options).where("left_id = right_id and left_seg < right_seg")
 
 
+def intersection_graph(lines: DataFrame, others: DataFrame, key: str = "id", **options) -> DataFrame:
+    """(key, nth, from_other, to_other, points): polylines (key, line) cut at every crossing with
+    other ones, in order along them, with the others that cut each end (null at a line's own
+    ends).  A line without a crossing is one piece."""
+    found = crossings(segments(lines.withColumnRenamed(key, "id")), segments(others.withColumnRenamed(key, "id")), **options)
+    cuts = found.groupBy("left_id").agg(F.collect_list(F.struct("left_seg", "right_id", "p")).alias("cuts"))
+    rows = lines.select(key, "line").join(cuts, F.col(key) == F.col("left_id"), "left").select(key, "line", "cuts")
+    kinds = dict(lines.dtypes)[key], dict(others.dtypes)[key]
+
+    def run(batches):
+        import pyarrow as pa
+
+        from . import topology
+
+        point = pa.struct([(c, pa.float64()) for c in "xyz"])
+        at = lambda p: np.array([p[c] for c in "xyz"])
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                line = np.array([at(p) for p in row["line"]])
+                places = [(0.0, None)]
+                for c in row["cuts"] or []:
+                    a, b = line[c["left_seg"]], line[c["left_seg"] + 1]
+                    whole = float(np.arccos(np.clip(a @ b, -1, 1)))
+                    places.append((c["left_seg"] + float(np.arccos(np.clip(a @ at(c["p"]), -1, 1))) / max(whole, 1e-15), c["right_id"]))
+                places = sorted([*places, (float(len(line) - 1), None)], key=lambda x: (x[0], x[1] is not None, str(x[1])))
+                for n, ((lo, x), (hi, y)) in enumerate(zip(places, places[1:], strict=False)):
+                    part = topology.part_of(line, lo, hi)
+                    out.append((row[key], n, x, y, [dict(zip("xyz", map(float, p), strict=True)) for p in part]))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [batch.schema.field(key).type, pa.int32(), other_type, other_type, pa.list_(point)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "nth", "from_other", "to_other", "points"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    other_type = to_arrow_type(others.schema[key].dataType)
+    return rows.mapInArrow(run, f"{key} {kinds[0]}, nth int, from_other {kinds[1]}, to_other {kinds[1]}, points {_POINTS}")
+
+
 def split_at_dateline(coordinates: list[tuple[float, float]], centre: float = 0.0) -> list[list[tuple[float, float]]]:
     """A (lat, lon) line cut where it passes the meridian opposite ``centre``; the cut points
     are on both sides of it."""

@@ -272,3 +272,15 @@ def surface_velocities(points: DataFrame, polygons: DataFrame, model: DataFrame,
     rows = hit.withColumn("plate_id", F.col("hit.plate_id")).withColumn("reason", F.when(F.col("hit").isNull(), "none").when(F.col("hit.kind").isin("network", "rigid_block"), "in_network").when(F.col("hit.kind") == "boundary", "in_boundary").otherwise("in_polygon"))
     out = point_velocities(rows.drop("hit"), model, delta, kind)
     return out.withColumn("velocity", F.when(F.col("reason") != "none", F.col("velocity")))
+
+
+#: Whose motion velocities show: the surfaces that hold the points, or the points' own plates.
+SOLVE = ("surfaces", "domain_points")
+
+
+def solved_velocities(points: DataFrame, model: DataFrame, delta: float, mode: str = "surfaces", *, polygons: DataFrame | None = None, kind: str = "t_plus", **options) -> DataFrame:
+    """Velocities of domain points (id, time, v) by the surfaces that hold them, or of points
+    (id, time, v, plate_id) by their own plates."""
+    if mode not in SOLVE or (mode == "surfaces") != (polygons is not None):
+        raise ValueError(f"the mode is one of {SOLVE}; surfaces need polygons, domain points none")
+    return surface_velocities(points, polygons, model, delta, kind, **options) if mode == "surfaces" else point_velocities(points, model, delta, kind)

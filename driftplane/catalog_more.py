@@ -705,3 +705,93 @@ def _(spark, d):
     rows = rows.withColumn("topology_kind", predicates.topology_kind())
     n = lambda c: F.sum(c.cast("long"))
     return rows.agg(n(predicates.is_topology("network")).alias("networks"), n(predicates.is_type("TopologicalLine")).alias("lines"), n(predicates.is_topology()).alias("topologies"), n(predicates.has_geometry("point")).alias("points"), n(predicates.is_rotation()).alias("rotations"))
+
+
+# --- rotations, valid times, rasters and streams again ------------------------------------------------
+
+
+def _slerp(a: tuple[str, ...], b: tuple[str, ...], t: str) -> tuple[str, ...]:
+    d = "(" + " + ".join(f"{p} * {q}" for p, q in zip(a, b, strict=True)) + ")"
+    w = f"acos(least(1e0, abs{d}))"
+    return tuple(f"CASE WHEN abs{d} >= 1 - 1e-12 THEN {p} ELSE (sin((1 - {t}) * {w}) * {p} + CASE WHEN {d} < 0 THEN -1 ELSE 1 END * sin({t} * {w}) * {q}) / sin({w}) END" for p, q in zip(a, b, strict=True))
+
+
+def _axis(v: Vec, degrees: str, prefix: str) -> str:
+    return f"cos(radians({degrees}) / 2) AS {prefix}w, " + ", ".join(f"sin(radians({degrees}) / 2) * {e} AS {prefix}{c}" for e, c in zip(v, "xyz", strict=True))
+
+
+_Q3 = f"q AS (SELECT id, {_axis(A, '30e0', 'p')}, {_axis(B, '50e0', 'q')}, {_axis(D, '70e0', 'r')} FROM g), pq AS (SELECT *, {', '.join(f'{e} AS m{c}' for e, c in zip(_slerp(quat('p'), quat('q'), '0.6e0'), 'wxyz', strict=True))} FROM q)"
+
+
+@query("three_way_interpolation", f"WITH {G}, {_Q3} SELECT id, {', '.join(f'{rnd(e)} AS {c}' for e, c in zip(_slerp(quat('m'), quat('r'), '0.5e0'), 'wxyz', strict=True))} FROM pq")
+def _(spark, d):
+    """Three rotations by weights of 0.2, 0.3 and 0.5."""
+    q = [Q.from_axis(F.col(v), F.radians(F.lit(t))) for v, t in (("a", 30.0), ("b", 50.0), ("d", 70.0))]
+    rows = triples(spark, d).select("id", *(x.alias(n) for x, n in zip(q, "pqr", strict=True)))
+    mixed = Q.slerp3(F.col("p"), F.col("q"), F.col("r"), F.lit(0.2), F.lit(0.3), F.lit(0.5))
+    return rows.select("id", mixed.alias("m")).select("id", *q_out(F.col("m")))
+
+
+@query("times_without_valid_time", "SELECT time, count(*) AS features FROM customer, (VALUES (0e0), (60e0)) t(time) GROUP BY 1")
+def _(spark, d):
+    t = spark.createDataFrame([(0.0,), (60.0,)], "time double")
+    return reconstruct.at_times(customers(spark, d), t, ignore_valid_time=True).groupBy("time").agg(F.count("*").alias("features"))
+
+
+@query("samples_switched_off", f"WITH RECURSIVE {rot_sql([20.0, 60.0])} SELECT CAST(seq AS BIGINT) AS seq, time, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM e")
+def _(spark, d):
+    """Samples that are switched off change nothing."""
+    off = samples(spark).withColumns({"disabled": F.lit(True), "time": F.col("time") + 7.0, "angle": F.col("angle") + 50.0})
+    t = spark.createDataFrame([(20.0,), (60.0,)], "time double")
+    return R.bracket(R.usable(samples(spark).unionByName(off)), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
+
+
+_PQ = f"pq AS (SELECT value, CAST(o_orderkey % 36 * 5 - 87.5 AS DOUBLE) AS lat, CAST(o_orderkey % 72 * 5 - 177.5 AS DOUBLE) AS lon FROM (SELECT *, o_totalprice AS value FROM orders) o), pv AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM pq), ph AS (SELECT *, {_OCT_ID} AS hit FROM pv), pm AS (SELECT value, {named(turn(tuple(f'coalesce(r.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0'), strict=True)), ('ph.x', 'ph.y', 'ph.z')), 'xyz')} FROM ph LEFT JOIN rot r ON r.plate_id = hit)"
+
+
+@query("reconstructed_raster", f"WITH RECURSIVE {rot_sql([20.0])}, {_PQ} SELECT CAST(floor({latlon()[0]} / 5) AS BIGINT) AS row, CAST(floor({latlon()[1]} / 5) AS BIGINT) AS col, round(avg(value), 3) + 0e0 AS value FROM pm GROUP BY 1, 2")
+def _(spark, d):
+    """Orders as pixels, moved with the octants to 20 and put on a grid of 5 degrees."""
+    from .catalog import pixels
+
+    px = pixels(spark, d)
+    got = raster.reconstructed(px, octants(spark), R.rotations(samples(spark), [20.0]), 20.0, 5.0)
+    return got.select("row", "col", (F.round("value", 3) + F.lit(0.0)).alias("value"))
+
+
+@query("net_rotation_areas", f"WITH {C} SELECT plate_id, round(sum(sqrt(1 - z * z)) * 510000000 / 41252, 3) + 0e0 AS area_km2 FROM cv WHERE plate_id <= 105 GROUP BY 1")
+def _(spark, d):
+    from .catalog import _net
+
+    return _net(spark, d).select("plate_id", (F.round("area_km2", 3) + F.lit(0.0)).alias("area_km2"))
+
+
+@query("stream_counts", "SELECT date_trunc('hour', ts) AS from_, user_id % 5 AS plate_id, count(*) AS points FROM events GROUP BY 1, 2")
+def _(spark, d):
+    """The windowed counts that streams give, over a table."""
+    from . import streaming
+
+    rows = table(spark, d, "events").select("ts", (F.col("user_id") % 5).alias("plate_id"))
+    return streaming.counts_by_plate(rows, "ts", "1 hour", "1 day").select(F.col("window.start").alias("from_"), "plate_id", "points")
+
+
+@query("partitioned_valid_time", f"WITH {C} SELECT id, CASE WHEN begin_ >= 60 AND end_ <= 60 THEN CAST({_OCT_ID} AS BIGINT) ELSE plate_id END AS plate_id, CASE WHEN begin_ >= 60 AND end_ <= 60 THEN 200e0 + CAST({_OCT_ID} AS BIGINT) % 8 ELSE begin_ END AS begin FROM cv")
+def _(spark, d):
+    """Points alive at 60 take the plate and the begin of their octant."""
+    rows = customers(spark, d).select("id", "plate_id", "begin", "end", F.lit(60.0).alias("time"), F.lit("point").alias("gtype"), F.array(F.array("v")).alias("rings"))
+    polygons = octants(spark).withColumn("begin", 200.0 + F.col("plate_id") % 8)
+    return partition.partition_features(rows, polygons, take=("plate_id", "begin")).select("id", "plate_id", "begin")
+
+
+@query("rejected_configurations", "SELECT * FROM (VALUES ('percentile', TRUE), ('weighted_mean', TRUE), ('min_distance', TRUE), ('presence', TRUE), ('min', FALSE)) t(reducer, rejected)")
+def _(spark, d):
+    """Reducers without a defined result are refused before any work."""
+
+    def rejected(name: str) -> bool:
+        try:
+            coregistration.check_config([coregistration.Column_("t", "x", name, 10.0)])
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(n, rejected(n)) for n in ("percentile", "weighted_mean", "min_distance", "presence", "min")], "reducer string, rejected boolean")

@@ -4,8 +4,9 @@ Training counts words and character n-grams (1 to ``MAX_N``, within words) by la
 a bounded sample of labelled rows: ``per_lang`` documents of least hashed id of every
 language found, however many.  They are found in one pass over ids and labels (each task
 keeps its best of each language before anything is shuffled); the counts are made in Spark,
-and only the model comes to the driver.  If it had more than ``max_entries`` counts, the
-number of times that a word or n-gram must be met doubles until it has not.
+and only the model comes to the driver.  If it had more than ``max_entries`` numbers (one
+for each language and each word or n-gram known), the number of times that a word or n-gram
+must be met doubles until it has not.
 
 A known word scores by its smoothed log frequency in each language.  An unseen word scores
 by its longest n-grams that any language knows: all n-grams of length MAX_N are tried, then
@@ -138,7 +139,7 @@ def score(model: Model, texts: list[str], sharp: float = 6.0) -> tuple[np.ndarra
     return np.where(n_words > 0, best, -1), np.where(n_words > 0, p[np.arange(b.n), best], 0.0)
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, least: int = 2, max_entries: int = 4_000_000) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, least: int = 2, max_entries: int = 50_000_000) -> Model:
     """Fits on the rows given, ``per_lang`` documents a language at most."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g")).where("g is not null and t is not null")
@@ -172,7 +173,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         totals[n, lang] = times
     for n, k in counts.groupBy("n").count().collect():
         distinct[n] = k
-    while (counts.where(F.col("all") >= least).agg(F.sum(F.size("by"))).first()[0] or 0) > max_entries:
+    # a key is a row of the model, with a number for every language
+    while (counts.where(F.col("all") >= least).count()) * len(names) > max_entries:
         least *= 2
     got = counts.where(F.col("all") >= least).select("n", "key", F.explode("by").alias("b")).select("n", "key", "b.lang", "b.times").toArrow()
     store.drop(counts)

@@ -45,7 +45,7 @@ _RUN = f"(?=[{_T}=]{{16}})(?=(?:[A-Z_/+.\\-]|[a-z](?![A-Z])|{_EQ})*+(?:[0-9]|[a-
 #: A match is a lead, if any, and the value (group 4); the empty groups say which lead it is.
 CANDIDATE = f"(?:{_LEAD}()|(?<![{_T}])(?<!==)()|(?<=[:=] ?[\"'])())(\\1{_TOLD}|\\2{_RUN}|\\3{_QUOTED})"
 #: Words that secrets hardly hold, words next to secrets, words next to others.
-DICTIONARY = "the and that for with from this have not are was you example sample test demo user name mail data file path index image page site home http https www com org net html json text table value default config local public static source version release build number list item type class string status result content document module package license apache your here changeme dummy placeholder".split()
+DICTIONARY = "the and that for with from this have not are was you example sample test demo user name mail data file path index image page site home http https www com org net html json text table value default config local public static source version release build number list item type class string status result content document module package license apache your here changeme dummy placeholder get set add new old code admin server client host port cache time date day year start stop first last next open close read write load save send run make create update delete remove insert select query search sort group count total title label color size width height left right main menu row column field form input output error warning info debug event handler function method object array integer float double boolean true false null world house water people work part place case week company system program question night point area money story fact month study book word business issue side kind head service friend father power hour game line member city".split()
 DENIES = "sha1 sha256 md5 checksum hash digest commit revision uuid guid etag integrity serial order invoice isbn tracking example sample".split()
 FEATURES = ("log_length", "runs_rate", "bigram_odds", "digit_rate", "upper_rate", "distinct_rate", "coverage", "slashes", "dots", "url_before", "extension", "tell", "deny", "assigned", "quoted", "mail", "hex_length", "repeats")
 _CLASSES = "vcUds"

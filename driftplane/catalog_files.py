@@ -298,3 +298,56 @@ def _(spark, d):
 
 
 
+
+
+# --- scripts ---------------------------------------------------------------------------------------------
+
+_MOVED = "SELECT {key} AS id, {extra}{q} FROM {table} p LEFT JOIN rot r ON r.plate_id = {key} % 7 + 100"
+
+
+def _layer_sql() -> str:
+    from .catalog import P, T, named, turn
+
+    q = tuple(f"coalesce(r.{c}, {v})" for c, v in zip("wxyz", ("1e0", "0e0", "0e0", "0e0"), strict=True))
+    moved = named(turn(q, ("p.x", "p.y", "p.z")), "xyz")  # type: ignore[arg-type]
+    seeds = _MOVED.format(key="p.seed_id", extra="", q=moved, table="pv")
+    targets = _MOVED.format(key="p.target_id", extra="s_acctbal, ", q=moved, table="tv")
+    km = "acos(greatest(-1e0, least(1e0, sd.x * td.x + sd.y * td.y + sd.z * td.z))) * 6378.137e0"
+    return f"""WITH RECURSIVE {rot_sql([60.0])}, {P}, {T}, sd AS ({seeds}), td AS ({targets}),
+pr AS (SELECT sd.id, {km} AS km, s_acctbal FROM sd JOIN td ON {km} < 2000e0)
+SELECT sd.id AS seed_id, 60e0 AS time, round(min(km), 2) + 0e0 AS km, count(km) AS n, max(s_acctbal) AS most FROM sd LEFT JOIN pr ON pr.id = sd.id GROUP BY sd.id"""
+
+
+@query("coreg_layer", _layer_sql())
+def _(spark, d):
+    """A co-registration layer at 60: seeds and targets where they were."""
+    from .catalog import parts
+    from .plans.scripting import CoregistrationLayer
+
+    s = Session(spark)
+    s.rotations["model"] = samples(spark)
+    seeds = parts(spark, d).select("seed_id", "v", (F.col("seed_id") % 7 + 100).alias("plate_id"))
+    targets = suppliers(spark, d).withColumn("plate_id", F.col("target_id") % 7 + 100)
+    config = [coregistration.Column_("supplier", "distance", "min", 2000.0, "distance"), coregistration.Column_("supplier", "n", "lookup", 2000.0, "number_in_region"), coregistration.Column_("supplier", "s_acctbal", "max", 2000.0)]
+    out = CoregistrationLayer(s, seeds, {"supplier": targets}, config).data(60.0).toDF("seed_id", "time", "km", "n", "most")
+    # metres near 0, where the angle's cosine is 1 to the last digits, are noise
+    return out.withColumn("km", F.round("km", 2) + F.lit(0.0))
+
+
+@query("feature_collection_fields", f"WITH {C} SELECT id, {_NAME} AS name, plate_id, begin_ AS begin_time, end_ AS end_time FROM c WHERE id % 2 = 0")
+def _(spark, d):
+    from .plans.scripting import FeatureCollection
+
+    return FeatureCollection("places", places(spark, d)).where("id % 2 = 0").features("id", "name", "plate_id", "begin_time", "end_time")
+
+
+@query("topology_sections_info", "SELECT l_orderkey AS topology_id, l_linenumber AS section_index, l_partkey % 50 AS feature_id, l_partkey % 50 % 3 > 0 AS found, CAST(CASE WHEN l_partkey % 50 % 3 > 0 THEN 2 ELSE 0 END AS INTEGER) AS points FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1) x")
+def _(spark, d):
+    from .functions import sphere as S
+    from .plans.scripting import sections_info
+
+    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    sections = one.select(F.col("l_orderkey").alias("topology_id"), F.col("l_linenumber").alias("section_index"), (F.col("p") % 50).alias("feature_id"), F.lit(False).alias("reverse"), F.lit(0.0).alias("time"))
+    line = F.array(S.from_lat_lon(F.lit(0.0), F.col("id").cast("double")), S.from_lat_lon(F.lit(1.0), F.col("id").cast("double")))
+    geo = spark.range(50).where("id % 3 > 0").select(F.lit(0.0).alias("time"), F.col("id").alias("feature_id"), line.alias("line"))
+    return sections_info(sections, geo).select("topology_id", "section_index", "feature_id", "found", "points")

@@ -37,7 +37,7 @@ from . import text as tx
 
 MAX_N = 5
 WORD_SMOOTHING, GRAM_SMOOTHING = 0.5, 0.5
-SALTS = 32
+SALTS = 8
 
 
 @dataclass

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, checks, decontaminate, jaccard, langid, mixing, pii, quality, secrets, toxicity, warc
+from . import chat, checks, decontaminate, jaccard, langid, mixing, pieces, pii, quality, secrets, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_toxicity": toxicity.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_warc": warc.op10,
+        "op11_sentencepiece": pieces.op11,
         "pii_base_spans": checks.pii_base_spans,
         "quality_statistics": checks.quality_statistics,
         "mixing_targets": mixing.target_rows,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, checks, decontaminate, jaccard, langid, mixing, pieces, pii, quality, secrets, toxicity, warc
+from . import chat, checks, decontaminate, divergence, jaccard, langid, mixing, pieces, pii, quality, search, secrets, toxicity, warc
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_decontamination": decontaminate.op9,
         "op10_warc": warc.op10,
         "op11_sentencepiece": pieces.op11,
+        "op12_ranked_search": search.op12,
+        "op13_source_divergence": divergence.op13,
         "pii_base_spans": checks.pii_base_spans,
         "quality_statistics": checks.quality_statistics,
         "mixing_targets": mixing.target_rows,
@@ -30,6 +32,8 @@ def oracle_sql():
         "op5_chat_format": chat.ORACLE,
         "op9_decontamination": checks.DECONTAMINATION,
         "op10_warc": warc.ORACLE,
+        "op12_ranked_search": search.ORACLE,
+        "op13_source_divergence": divergence.ORACLE,
         "pii_base_spans": checks.PII_BASE,
         "quality_statistics": checks.QUALITY,
         "mixing_targets": mixing.TARGETS_SQL,

@@ -8,8 +8,6 @@ lineage, and its rows are a part of the result.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +15,12 @@ from ..functions import quaternion as Q
 from ..functions import sphere as S
 from . import kinematics, partition, topology
 from . import rotation_model as R
+from .shared import settled
 
 #: cm/yr by which a point's velocity may change, km/My from a boundary.
 VELOCITY_CHANGE, BOUNDARY_DISTANCE = 0.7, 10.0
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed; without a folder only where driver and executors are one process."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="driftplane-")
-        sc.setCheckpointDir(found)
-    return df.checkpoint()
-
-
 def _to_outline(v, rings):
     """Angular distance of a point to the outlines of a polygon."""
     each = F.flatten(F.transform(rings, S._edges))

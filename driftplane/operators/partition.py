@@ -1,7 +1,8 @@
 """Partitioning by polygons and plate assignment.
 
-Points meet polygons in cubes of the sphere: a polygon is in every cube that its bounding
-circle can touch, which is a small table of cubes and polygon numbers.  It, and the polygons
+Points meet polygons in cells of space: a polygon is in the cells that its bounding circle
+can touch, of about the circle's own size, so small faces and whole plates are found by one
+equi-join each level.  It, and the polygons
 themselves, are broadcast when their corners are counted to be few, otherwise joined by
 shuffle.  A bounding circle rejects most pairs before the exact test.  Of the polygons that
 hold a point, the one of highest priority takes it.  Lines and polygons are cut exactly where
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from ..functions import sphere as S
+from . import mesh
 from . import rotation_model as R
 
 #: Kinds of partitioning geometry, first served first.
@@ -31,26 +33,31 @@ def with_priority(polygons: DataFrame, by: str = "plate_id") -> DataFrame:
     return polygons.withColumn("priority", F.struct(kind.alias("kind"), size.alias("size"), F.col("input_order").cast("long").alias("nth")))
 
 
-#: Corners of polygons that are broadcast at most, and the edge of a cube.
-FEW_CORNERS, CUBE = 2_000_000, 0.25
+#: Edge of the cubes in which arcs are cut.
+CUBE = 0.25
+#: Corners of polygons that are broadcast at most, and levels of cells that are kept apart.
+FEW_CORNERS, LEVELS = 2_000_000, 6
 
 
-def _in_cubes(polygons: DataFrame, cell: float) -> DataFrame:
-    """Polygons (hit, priority, rings, centre, cos), a row for each cube ``c`` that they touch."""
+def _in_cells(polygons: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Polygons (hit, priority, _rings, _centre, _cos), a row for each cell (_level, _cell) that
+    they touch, eight at most: cells are as large as the polygon's bounding circle.  And the
+    levels in use; beyond LEVELS of them, small polygons go to the next larger one."""
     circle = S.bounding_circle(F.element_at("rings", 1))
-    p = polygons.select(F.col("plate_id").alias("hit"), "priority", "rings", circle.alias("_b")).select("hit", "priority", F.col("rings").alias("_rings"), F.col("_b.centre").alias("_centre"), F.col("_b.cos_radius").alias("_cos"))
-    n = int(math.ceil(1 / cell))
-    steps = F.sequence(F.lit(-n), F.lit(n))  # a coordinate of 1 is in the last cube
-    reach = cell * math.sqrt(3) / 2
-    cubes = F.flatten(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.transform(steps, lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
-    middle = lambda x: (x + 0.5) * cell
-    square = lambda c, v: sum((middle(c[k]) - v[a]) ** 2 for k, a in zip("ijk", "xyz", strict=True))
+    p = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings"), circle.alias("_b")).withColumns({"_centre": F.col("_b.centre"), "_cos": F.col("_b.cos_radius")}).drop("_b")
     # a circle of over a quarter turn says nothing of the edges: everywhere
-    chord = F.when(F.col("_cos") < 0, 3.0).otherwise(F.sqrt(F.greatest(2 - 2 * F.col("_cos"), F.lit(0.0))))
-    skin = F.filter(cubes, lambda c: F.abs(F.sqrt(sum(middle(c[k]) ** 2 for k in "ijk")) - 1) <= reach)
-    spark = polygons.sparkSession
-    grid = spark.range(1).select(F.explode(skin).alias("_cube"))  # a few hundred cubes, whatever the input
-    return p.join(F.broadcast(grid), F.sqrt(square(F.col("_cube"), F.col("_centre"))) <= chord + reach + 1e-9)
+    chord = F.when(F.col("_cos") < 0, 3.0).otherwise(F.sqrt(F.greatest(2 - 2 * F.col("_cos"), F.lit(0.0)))) + 1e-9
+    p = p.withColumn("_chord", chord).withColumn("_level", mesh.level(2 * F.col("_chord")))
+    used = mesh.levels(p)
+    if len(used) > LEVELS:
+        used = used[::-1][:: -(-len(used) // LEVELS)][::-1]
+        p = p.withColumn("_level", F.array_min(F.filter(F.array(*map(F.lit, used)), lambda x: x >= F.col("_level"))))
+    low, high = ([F.col("_centre")[c] + s * F.col("_chord") for c in "xyz"] for s in (-1, 1))
+    return p.withColumn("_cell", F.explode(mesh.cells(low, high, F.col("_level")))).drop("_chord"), used
+
+
+def _cell(at: int | Column) -> Column:
+    return mesh.cell([F.col("v")[c] for c in "xyz"], F.lit(at) if isinstance(at, int) else at)
 
 
 def _corners(polygons: DataFrame, rings: str = "rings") -> int:
@@ -61,33 +68,41 @@ def _near() -> Column:
     return (F.col("_cos") < 0) | (S.dot(F.col("v"), F.col("_centre")) >= F.col("_cos") - 1e-9)
 
 
-def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS, cell: float = CUBE) -> DataFrame:
+def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS) -> DataFrame:
     """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon."""
     side = F.broadcast if _corners(polygons) <= few else (lambda x: x)
-    cubes = _in_cubes(polygons, cell).select(F.xxhash64("hit", "priority", "_rings").alias("_k"), "_cube", "_centre", "_cos")
+    indexed, used = _in_cells(polygons)
+    index = indexed.select(F.xxhash64("hit", "priority", "_rings").alias("_k"), F.col("_level").alias("_l"), "_cell", "_centre", "_cos")
     shapes = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings")).withColumn("_k2", F.xxhash64("hit", "priority", "_rings"))
-    near = points.withColumn("_c", S.cell(F.col("v"), cell)).join(side(cubes), F.col("_c") == F.col("_cube")).where(_near()).drop("_c", "_cube", "_centre", "_cos")
+    rows = points.withColumn("_at", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_c", _cell(F.col("_at")))
+    near = rows.join(side(index), (F.col("_at") == F.col("_l")) & (F.col("_c") == F.col("_cell"))).where(_near()).drop("_at", "_c", "_l", "_cell", "_centre", "_cos")
     found = near.join(side(shapes), F.col("_k") == F.col("_k2")).where(S.point_in_polygon(F.col("v"), F.col("_rings")))
     return found.drop("_k", "_k2", "_rings")
 
 
-def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", few: int = FEW_CORNERS, cell: float = CUBE) -> DataFrame:
+def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", few: int = FEW_CORNERS) -> DataFrame:
     """Each point with the plate of the first polygon that holds it; null if none does.
 
-    Where the polygons of all cubes are few, each cube's are one broadcast list, and points
-    are not shuffled at all."""
-    cubes = _in_cubes(polygons, cell)
-    if _corners(cubes, "_rings") <= few:
+    Where the polygons of all cells are few, each cell's are one broadcast list a level, and
+    points are not shuffled at all."""
+    indexed, used = _in_cells(polygons)
+    if _corners(indexed, "_rings") <= few:
         one = F.struct("priority", "hit", "_rings", "_centre", "_cos")
-        lists = cubes.groupBy("_cube").agg(F.array_sort(F.collect_list(one)).alias("_list"))
-        rows = points.withColumn("_c", S.cell(F.col("v"), cell)).join(F.broadcast(lists), F.col("_c") == F.col("_cube"), "left")
+        lists = indexed.groupBy("_level", "_cell").agg(F.array_sort(F.collect_list(one)).alias("_list"))
         test = lambda x: ((x["_cos"] < 0) | (S.dot(F.col("v"), x["_centre"]) >= x["_cos"] - 1e-9)) & S.point_in_polygon(F.col("v"), x["_rings"])
-        # the first that holds: later ones are not tested once one is found
-        kind = polygons.schema["plate_id"].dataType
-        none = F.struct(F.lit(False).alias("found"), F.lit(None).cast(kind).alias("hit"))
-        step = lambda acc, x: F.when(acc["found"], acc).when(test(x), F.struct(F.lit(True).alias("found"), x["hit"].alias("hit"))).otherwise(acc)
-        return rows.withColumn("hit", F.aggregate(F.coalesce("_list", F.slice("_list", 1, 0)), none, step)["hit"]).drop("_c", "_cube", "_list")
-    best = hits(points, polygons, few=few, cell=cell).groupBy(key).agg(F.min_by("hit", "priority").alias("hit"))
+        # the first of a cell that holds: later ones are not tested once one is found
+        kinds = dict(indexed.dtypes)
+        none = F.lit(None).cast(f"struct<priority: {kinds['priority']}, hit: {kinds['hit']}>")
+        step = lambda acc, x: F.when(acc.isNotNull(), acc).when(test(x), F.struct(x["priority"].alias("priority"), x["hit"].alias("hit")))
+        rows, names = points, []
+        for at in used:
+            of = lists.where(F.col("_level") == at).select(F.col("_cell").alias("_k"), "_list")
+            rows = rows.withColumn("_c", _cell(at)).join(F.broadcast(of), F.col("_c") == F.col("_k"), "left")
+            names.append(f"_h{len(names)}")
+            rows = rows.withColumn(names[-1], F.aggregate(F.coalesce("_list", F.slice("_list", 1, 0)), none, step)).drop("_c", "_k", "_list")
+        best = F.array_min(F.array(*names))["hit"] if names else F.lit(None).cast(kinds["hit"])
+        return rows.withColumn("hit", best).drop(*names)
+    best = hits(points, polygons, few=few).groupBy(key).agg(F.min_by("hit", "priority").alias("hit"))
     return points.join(best, key, "left")
 
 
@@ -135,6 +150,24 @@ def assign_poles(poles: DataFrame, polygons: DataFrame, rot: DataFrame, *, key:
 _RINGS = "array<array<struct<x: double, y: double, z: double>>>"
 
 
+def _in_cubes(polygons: DataFrame, cell: float) -> DataFrame:
+    """Polygons (hit, priority, rings, centre, cos), a row for each cube ``c`` that they touch."""
+    circle = S.bounding_circle(F.element_at("rings", 1))
+    p = polygons.select(F.col("plate_id").alias("hit"), "priority", "rings", circle.alias("_b")).select("hit", "priority", F.col("rings").alias("_rings"), F.col("_b.centre").alias("_centre"), F.col("_b.cos_radius").alias("_cos"))
+    n = int(math.ceil(1 / cell))
+    steps = F.sequence(F.lit(-n), F.lit(n))  # a coordinate of 1 is in the last cube
+    reach = cell * math.sqrt(3) / 2
+    cubes = F.flatten(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.transform(steps, lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
+    middle = lambda x: (x + 0.5) * cell
+    square = lambda c, v: sum((middle(c[k]) - v[a]) ** 2 for k, a in zip("ijk", "xyz", strict=True))
+    # a circle of over a quarter turn says nothing of the edges: everywhere
+    chord = F.when(F.col("_cos") < 0, 3.0).otherwise(F.sqrt(F.greatest(2 - 2 * F.col("_cos"), F.lit(0.0))))
+    skin = F.filter(cubes, lambda c: F.abs(F.sqrt(sum(middle(c[k]) ** 2 for k in "ijk")) - 1) <= reach)
+    spark = polygons.sparkSession
+    grid = spark.range(1).select(F.explode(skin).alias("_cube"))  # a few hundred cubes, whatever the input
+    return p.join(F.broadcast(grid), F.sqrt(square(F.col("_cube"), F.col("_centre"))) <= chord + reach + 1e-9)
+
+
 def _overlaps(features: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
     """(key, polygons): the polygons, in order of priority, that may touch each feature."""
     from . import proximity

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
-from . import cutting
+from . import cutting, mesh, shared
 
 _POINTS = "array<struct<x: double, y: double, z: double>>"
 
@@ -220,81 +220,44 @@ def shared_sections(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("time", "feature_id").agg(F.array_sort(F.collect_set("topology_id")).alias("topologies"))
 
 
-def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (k, 3) of points in a plane, by incremental insertion."""
-    lo, hi = points.min(0), points.max(0)
-    span = max(float((hi - lo).max()), 1e-9) * 20
-    mid = (lo + hi) / 2
-    p = np.vstack([points, mid + [-span, -span], mid + [span, -span], mid + [0, span]])
-    n = len(points)
-    live = [(n, n + 1, n + 2)]
-
-    def holds(t: tuple, q: np.ndarray) -> bool:
-        a, b, c = (p[i] - q for i in t)
-        m = np.array([[*v, v @ v] for v in (a, b, c)])
-        turn = (p[t[1]] - p[t[0]])[0] * (p[t[2]] - p[t[0]])[1] - (p[t[1]] - p[t[0]])[1] * (p[t[2]] - p[t[0]])[0]
-        return np.linalg.det(m) * np.sign(turn) > 1e-18
-
-    for i in range(n):
-        bad = [t for t in live if holds(t, p[i])]
-        edges: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                k = (min(a, b), max(a, b))
-                edges[k] = edges.get(k, 0) + 1
-        gone = set(bad)
-        live = [t for t in live if t not in gone] + [(a, b, i) for (a, b), c in edges.items() if c == 1]
-    return np.array([t for t in live if max(t) < n], int).reshape(-1, 3)
-
-
-def networks(resolved: DataFrame) -> DataFrame:
-    """(time, topology_id, face, vertices): triangles of boundary and interior points, those
-    whose middle is inside the boundary.  Points are projected about their mean."""
-
-    def build(key, frame):
-        import pandas as pd
-
-        edge = frame[~frame["is_interior"].fillna(False).astype(bool)]
-        ring = assemble(*_arrays(edge)) if len(edge) else np.zeros((0, 3))
-        inner = frame[frame["is_interior"].fillna(False).astype(bool)]
-        extra = [np.array([[p["x"], p["y"], p["z"]] for p in line]) for line in inner["line"]]
-        pts = np.unique(np.round(np.vstack([ring, *extra]), 12), axis=0) if len(ring) or extra else ring
-        if len(pts) < 3:
-            return pd.DataFrame([], columns=["time", "topology_id", "face", "vertices"])
-        flat, back = _flatten(pts)
-        outline = back(ring)
-        rows = []
-        for t in delaunay(flat):
-            if len(outline) < 3 or _inside(flat[t].mean(0), outline):
-                rows.append((key[0], key[1], len(rows), _rows(pts[t])))
-        return pd.DataFrame(rows, columns=["time", "topology_id", "face", "vertices"])
-
-    kind = dict(resolved.dtypes)["topology_id"]
-    return resolved.groupBy("time", "topology_id").applyInPandas(build, f"time double, topology_id {kind}, face int, vertices {_POINTS}")
-
-
-def _flatten(pts: np.ndarray):
-    """Equal-area plane coordinates about the mean of points, and the same map for others."""
-    c = pts.sum(0)
-    c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-12 else np.array([0.0, 0.0, 1.0])
-    east = np.cross([0.0, 0.0, 1.0], c)
-    east = east / np.linalg.norm(east) if np.linalg.norm(east) > 1e-9 else np.array([1.0, 0.0, 0.0])
-    north = np.cross(c, east)
-
-    def to(q: np.ndarray) -> np.ndarray:
-        k = np.sqrt(2 / np.maximum(1 + q @ c, 1e-12))
-        return np.stack([k * (q @ east), k * (q @ north)], 1)
-
-    return to(pts), to
-
-
-def _inside(q: np.ndarray, ring: np.ndarray) -> bool:
-    x, y = ring[:, 0], ring[:, 1]
-    x2, y2 = np.roll(x, -1), np.roll(y, -1)
-    over = (y > q[1]) != (y2 > q[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = x + (q[1] - y) * (x2 - x) / (y2 - y)
-    return bool((over & (q[0] < at)).sum() % 2)
+def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STRIP) -> DataFrame:
+    """(time, topology_id, face, vertices, region, block, centre): the Delaunay faces of boundary
+    and interior points, in an equal-area plane about the boundary's middle.
+
+    A face is in the network if its middle is inside the boundary.  It is ``rigid`` and names
+    its ``block`` if its middle is inside an interior section marked ``is_block`` (a polygon:
+    of several, the least feature), else ``deforming``.  With ``forced``, edges of the boundary
+    and of blocks are edges of faces: those that are not are halved until they are.  Boundaries
+    of fewer than three points make no network."""
+    keys = list(mesh.KEYS)
+    rings = boundaries(resolved).withColumn("centre", S.centroid(F.col("ring")))
+    rings = shared.settled(rings)
+    nets = rings.select(*keys, "centre")
+    inner = resolved.where(F.coalesce("is_interior", F.lit(False)))
+    flagged = F.coalesce("is_block", F.lit(False)) if "is_block" in resolved.columns else F.lit(False)
+    blocks = inner.where(flagged & (F.size("line") > 2)).select(*keys, F.col("feature_id").cast("string").alias("name"), F.col("line").alias("ring"))
+    outlines = rings.select(*keys, F.lit(None).cast("string").alias("name"), "ring").unionByName(blocks)
+    spots = rings.select(*keys, F.explode("ring").alias("v")).unionByName(inner.select(*keys, F.explode("line").alias("v"))).join(nets, keys)
+    placed = lambda df, v: df.withColumn("_p", mesh.in_plane(F.col(v), F.col("centre")))
+    points = placed(spots, "v").select(*keys, "v.x", "v.y", "v.z", "_p.u", "_p.w")
+    edges = outlines.join(nets, keys).select(*keys, "name", "centre", F.explode(mesh.ring_edges(F.col("ring"))).alias("e"))
+    if forced:
+        full = lambda c: F.struct(*(F.col(f"e.{c}.{k}").alias(k) for k in "xyz"), *(mesh.in_plane(F.col(f"e.{c}"), F.col("centre"))[k].alias(k) for k in "uw"))
+        pairs = edges.select(*keys, full("a").alias("a"), full("b").alias("b")).where("a <> b")
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        faces = mesh.conforming(points, pairs.select(*keys, *ends).distinct(), nets, strip=strip)
+    else:
+        faces = mesh.triangulated(points, strip=strip)
+    corners = F.array(*(F.struct(*(F.col(f"{k}{i}").alias(k) for k in "xyz")) for i in range(3)))
+    number = Window.partitionBy(*keys).orderBy("vertices")
+    faces = shared.settled(faces.select(*keys, corners.alias("vertices")).withColumn("face", F.row_number().over(number) - 1).join(nets, keys))
+    middle = lambda v: S.normalise(S.add(S.add(v[0], v[1]), v[2]))
+    at = faces.withColumn("_s", mesh.straight(middle([F.element_at("vertices", i) for i in (1, 2, 3)]), F.col("centre"))).select(*keys, "face", "_s.u", "_s.w").where("u is not null")
+    flat = edges.withColumns({f"_{c}": mesh.straight(F.col(f"e.{c}"), F.col("centre")) for c in "ab"})
+    flat = flat.select(*keys, F.coalesce("name", F.lit("")).alias("name"), *(F.col(f"_{c}.{k}").alias(f"{k}{i}") for i, c in enumerate("ab") for k in "uw"))
+    held = mesh.held(at, flat, point="face").groupBy(*keys, "face").agg(F.max(F.col("name") == "").alias("inside"), F.min(F.when(F.col("name") != "", F.col("name"))).alias("block")).where("inside")
+    region = F.when(F.col("block").isNotNull(), "rigid").otherwise("deforming")
+    return faces.join(held, [*keys, "face"]).select(*keys, "face", "vertices", region.alias("region"), "block", "centre")
 
 
 def barycentric(p, a, b, c):
@@ -312,70 +275,18 @@ def located(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFrame:
     return partition.first_hit(points, f.select("plate_id", "rings", "priority"), key=key)
 
 
-def natural_weights(points: np.ndarray, p: np.ndarray, triangles: np.ndarray | None = None) -> np.ndarray:
-    """Natural-neighbour weights of the points of a plane at p: the part of each one's Voronoi
-    cell that p's own cell would take.  They sum to one, and give p as their mean; all zero
-    outside the hull."""
-    tri = delaunay(points) if triangles is None else triangles
-    out = np.zeros(len(points))
-    if (near := np.abs(points - p).sum(1) < 1e-12).any():
-        out[int(np.argmax(near))] = 1
-        return out
-    centre = np.array([_circumcentre(*points[t]) for t in tri]).reshape(-1, 2)
-    reach = np.linalg.norm(centre - points[tri[:, 0]], axis=1) if len(tri) else np.zeros(0)
-    cavity = [k for k in range(len(tri)) if np.linalg.norm(centre[k] - p) < reach[k] - 1e-15]
-    if not any(_holds_flat(points[tri[k]], p) for k in range(len(tri))):
-        return out
-    sides: dict[tuple[int, int], int] = {}
-    for k in cavity:
-        for i in range(3):
-            e = tuple(sorted((int(tri[k][i]), int(tri[k][(i + 1) % 3]))))
-            sides[e] = sides.get(e, 0) + 1
-    corners: dict[int, list[np.ndarray]] = {}
-    for (i, j), count in sides.items():
-        if count == 1:  # an edge of the cavity: p makes a triangle with it
-            c = _circumcentre(points[i], points[j], p)
-            corners.setdefault(i, []).append(c)
-            corners.setdefault(j, []).append(c)
-    for k in cavity:
-        for i in tri[k].tolist():
-            corners.setdefault(i, []).append(centre[k])
-    for i, c in corners.items():
-        out[i] = _hull_area(np.array(c))
-    return out / out.sum() if out.sum() > 0 else out
-
-
-def _circumcentre(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    u, v = b - a, c - a
-    d = 2 * (u[0] * v[1] - u[1] * v[0])
-    if abs(d) < 1e-300:
-        return np.array([np.inf, np.inf])
-    return a + np.array([v[1] * (u @ u) - u[1] * (v @ v), u[0] * (v @ v) - v[0] * (u @ u)]) / d
-
-
-def _holds_flat(t: np.ndarray, p: np.ndarray) -> bool:
-    side = [(t[(i + 1) % 3] - t[i])[0] * (p - t[i])[1] - (t[(i + 1) % 3] - t[i])[1] * (p - t[i])[0] for i in range(3)]
-    return all(x >= -1e-12 for x in side) or all(x <= 1e-12 for x in side)
-
-
-def _hull_area(pts: np.ndarray) -> float:
-    """Area of the convex hull of points (a part of a Voronoi cell is convex)."""
-    pts = pts[np.isfinite(pts).all(1)]
-    if len(pts) < 3:
-        return 0.0
-    pts = pts[np.lexsort((pts[:, 1], pts[:, 0]))]
-
-    def half(rows) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for q in rows:
-            while len(out) > 1 and (out[-1] - out[-2])[0] * (q - out[-1])[1] - (out[-1] - out[-2])[1] * (q - out[-1])[0] <= 0:
-                out.pop()
-            out.append(q)
-        return out
-
-    ring = half(pts)[:-1] + half(pts[::-1])[:-1]
-    x, y = np.array(ring).T if len(ring) > 2 else (np.zeros(1), np.zeros(1))
-    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
+def locate(points: DataFrame, outlines: DataFrame, blocks: DataFrame, key: str = "id") -> DataFrame:
+    """Points with ``topology_id``, ``region`` and ``block``: the first network (topology_id, ring)
+    by its id that holds them, ``rigid`` with the least block (topology_id, block, ring) of
+    that network that holds them, else ``deforming``; ``outside`` where no network does."""
+    from . import partition
+
+    shape = lambda df, hit: df.select(hit.alias("plate_id"), F.array("ring").alias("rings"), hit.alias("priority"))
+    net = partition.first_hit(points, shape(outlines, F.col("topology_id")), key=key).withColumnRenamed("hit", "topology_id")
+    within = partition.hits(net.where("topology_id is not null").select(key, "v", F.col("topology_id").alias("_t")), shape(blocks, F.struct("topology_id", "block")))
+    rigid = within.where("hit.topology_id = _t").groupBy(key).agg(F.min("hit.block").alias("block"))
+    region = F.when(F.col("topology_id").isNull(), "outside").when(F.col("block").isNotNull(), "rigid").otherwise("deforming")
+    return net.join(rigid, key, "left").withColumn("region", region)
 
 
 #: How strain rates vary over a network: constant in faces, or smoothed from its vertices.
@@ -392,6 +303,12 @@ def vertex_gradients(faces: DataFrame) -> DataFrame:
     return rows.groupBy("topology_id", "vertex").agg(mean.alias("g"))
 
 
+def _centres(faces: DataFrame) -> DataFrame:
+    """(topology_id, centre): the mean of each network's vertices."""
+    each = faces.select("topology_id", F.explode("vertices").alias("p")).distinct()
+    return each.groupBy("topology_id").agg(S.normalise(F.struct(*(F.avg(f"p.{c}").alias(c) for c in "xyz"))).alias("centre"))
+
+
 def strain_at(points: DataFrame, faces: DataFrame, smoothing: str = "natural_neighbour", key: str = "id") -> DataFrame:
     """Points (id, v) in a network's faces (topology_id, face, vertices, g) with the gradient
     there: the face's, or that of vertices by barycentric or natural-neighbour weights."""
@@ -409,36 +326,6 @@ def strain_at(points: DataFrame, faces: DataFrame, smoothing: str = "natural_nei
         rows = w.select(key, "v", "topology_id", F.explode(F.array(*(F.struct(c.alias("vertex"), F.col(f"_w.{n}").alias("w")) for c, n in zip(corner, "abc", strict=True)))).alias("e"))
         rows = rows.select(key, "v", "topology_id", "e.vertex", "e.w")
     else:
-        rows = _natural_rows(inside, faces, key)
+        rows = mesh.natural_rows(inside, faces if "centre" in faces.columns else faces.join(_centres(faces), "topology_id"), key)
     joined = rows.join(at, ["topology_id", "vertex"])
     return joined.groupBy(key, "v").agg(F.struct(*(F.sum(F.col("w") * F.col(f"g.{c}")).alias(c) for c in fields)).alias("g"))
-
-
-def _natural_rows(inside: DataFrame, faces: DataFrame, key: str) -> DataFrame:
-    """(key, v, topology_id, vertex, w): natural-neighbour weights; a network is one task, its
-    vertices being of bounded number, its points in batches."""
-    kinds = dict(inside.dtypes)
-    nets = faces.select("topology_id", F.explode("vertices").alias("p")).groupBy("topology_id").agg(F.collect_set("p").alias("net"))
-    rows = inside.select(key, "v", "topology_id").join(nets, "topology_id")
-
-    def run(batches):
-        import pyarrow as pa
-
-        point = pa.struct([(c, pa.float64()) for c in "xyz"])
-        for batch in batches:
-            cache, out = {}, []
-            for row in batch.to_pylist():
-                name = row["topology_id"]
-                if name not in cache:
-                    pts = np.array(sorted([p["x"], p["y"], p["z"]] for p in row["net"]))
-                    flat, to = _flatten(pts)
-                    cache[name] = (pts, flat, to, delaunay(flat))
-                pts, flat, to, tri = cache[name]
-                w = natural_weights(flat, to(np.array([[row["v"][c] for c in "xyz"]]))[0], tri)
-                out += [(row[key], row["v"], name, dict(zip("xyz", map(float, pts[i]), strict=True)), float(w[i])) for i in np.flatnonzero(w).tolist()]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = [batch.schema.field(key).type, point, batch.schema.field("topology_id").type, point, pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "v", "topology_id", "vertex", "w"])
-
-    struct = "struct<x: double, y: double, z: double>"
-    return rows.mapInArrow(run, f"{key} {kinds[key]}, v {struct}, topology_id {kinds['topology_id']}, vertex {struct}, w double")

@@ -378,18 +378,6 @@ def test_topologies_resolve_in_three_passes(spark):
     assert (50, (100, 200)) in shared and (1, (100,)) in shared and (1, (200,)) in shared and shared[50, (100, 200)] == [200]
 
 
-def test_natural_weights():
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    pts = np.vstack([[[0, 0], [1, 0], [1, 1], [0, 1.0]], r.random((25, 2))])
-    for _ in range(60):
-        p = 0.05 + 0.9 * r.random(2)
-        w = topology.natural_weights(pts, p)
-        assert w.sum() == pytest.approx(1) and np.allclose(w @ pts, p, atol=1e-7) and (w >= 0).all()
-    assert topology.natural_weights(pts, pts[7])[7] == 1 and topology.natural_weights(pts, np.array([3.0, 3.0])).sum() == 0
-
-
 def test_smoothed_strain(spark):
     tri = [(1, 0, [(0, 0), (0, 10), (10, 5)], 1.0), (1, 1, [(0, 10), (10, 15), (10, 5)], 3.0)]
     df = shapes(spark, [(f, "polygon", g) for _, f, g, _ in tri]).join(spark.createDataFrame([(f, x) for _, f, _, x in tri], "id long, x double"), "id")

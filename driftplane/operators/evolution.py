@@ -1,4 +1,4 @@
-"""Reconstruction by topologies: points stepped through moving surfaces, and spans of times.
+"""Reconstruction by topologies: points, lines and polygons stepped through moving surfaces.
 
 A step is one job over all points: those in a deforming face move with its corners, others
 with the plate that holds them.  Steps follow from one another, so a run is a loop; every
@@ -8,12 +8,12 @@ lineage, and its rows are a part of the result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from ..functions import sphere as S
-from . import kinematics, partition, topology
+from . import kinematics, mesh, partition, proximity, topology
 from . import rotation_model as R
 from .shared import settled
 
@@ -21,10 +21,14 @@ from .shared import settled
 VELOCITY_CHANGE, BOUNDARY_DISTANCE = 0.7, 10.0
 
 
-def _to_outline(v, rings):
-    """Angular distance of a point to the outlines of a polygon."""
-    each = F.flatten(F.transform(rings, S._edges))
-    return F.aggregate(each, F.lit(3.2), lambda acc, e: F.least(acc, S.point_to_arc(v, e["a"], e["b"])))
+def _lost(moved: DataFrame, here: DataFrame) -> DataFrame:
+    """Ids of points (id, v, left, reach) that are nearer than their reach to the outline of the
+    plate that they left, or whose plate has no outline any more.  Outlines are met edge by
+    edge."""
+    ring = F.explode("rings").alias("_ring")
+    edges = here.select(F.col("plate_id").cast("long").alias("left"), ring).select("left", F.explode(S._edges(F.col("_ring"))).alias("e")).select("left", "e.a", "e.b")
+    near = proximity.in_reach(moved, edges, by="left").select("id")
+    return near.unionByName(moved.join(edges.select("left").distinct(), "left", "left_anti").select("id")).distinct()
 
 
 def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: DataFrame, times: list[float], *, faces: DataFrame | None = None, deactivate: bool = True, velocity_change: float = VELOCITY_CHANGE, boundary_distance: float = BOUNDARY_DISTANCE) -> DataFrame:
@@ -53,12 +57,12 @@ def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: Dat
         if deactivate:
             fast = lambda q: kinematics.velocity(F.col("v"), F.col(q), F.lit(step))
             change = S.norm(S.add(fast("_q"), S.scale(fast("_p"), F.lit(-1.0))))
-            left = here.groupBy("plate_id").agg(F.flatten(F.collect_list("rings")).alias("_outline")).select(F.col("plate_id").cast("long").alias("_left"), "_outline")
-            found = found.withColumn("_change", change).join(left, F.col("plate_id") == F.col("_left"), "left")
-            moved = F.col("plate_id").isNotNull() & (F.col("plate_id") != F.col("now")) & (F.col("_change") > velocity_change)
+            found = settled(found.withColumn("_change", change))
+            moved = found.where(F.col("plate_id").isNotNull() & (F.col("plate_id") != F.col("now")) & (F.col("_change") > velocity_change))
             # cm/yr are 10 km/My
-            near = F.coalesce(_to_outline(F.col("v"), F.col("_outline")) * S.EQUATORIAL_RADIUS < (boundary_distance + 10 * F.col("_change")) * step, F.lit(True))
-            found = found.withColumn("_live", ~(moved & near))
+            reach = (boundary_distance + 10 * F.col("_change")) * step / S.EQUATORIAL_RADIUS
+            lost = _lost(settled(moved.select("id", "v", F.col("plate_id").alias("left"), reach.alias("reach"))), here)
+            found = found.join(lost.select("id", F.lit(False).alias("_gone")), "id", "left").withColumn("_live", F.coalesce("_gone", F.lit(True)))
         else:
             found = found.withColumn("_live", F.lit(True))
         go = found.select("id", "v", "now", "_live", F.when(F.col("now").isNull(), F.col("v")).otherwise(Q.rotate(F.col("_q"), F.col("v"))).alias("_next"))
@@ -85,6 +89,63 @@ def _deformed(rows: DataFrame, faces: DataFrame) -> DataFrame:
     return hit.withColumn("_next", F.when(F.col("hit").isNotNull(), mixed).otherwise(F.col("_next"))).drop("hit", "_w")
 
 
+#: Radians between neighbouring vertices of geometries that are stepped through topologies.
+SPACING = 0.01
+
+
+def vertices(features: DataFrame, spacing: float = SPACING, *, key: str = "id") -> DataFrame:
+    """(id, v) of the vertices of features (key, gtype, rings), at most ``spacing`` radians apart.
+    ``id`` tells feature, part, kind, place in the part from 0, and the part's number of
+    vertices, which all times share."""
+    part = features.select(F.col(key).alias("feature"), "gtype", F.posexplode("rings").alias("part", "ring")).where(F.size("ring") > 0)
+    closed, spots = F.col("gtype") == "polygon", F.col("gtype").isin("point", "multipoint")
+    edges = S._edges(F.col("ring"))
+    edges = F.when(closed, edges).otherwise(F.slice(edges, 1, F.greatest(F.size("ring") - 1, F.lit(0))))
+    along = F.flatten(F.transform(edges, lambda e: F.when(e["a"] == e["b"], F.array(e["a"])).otherwise(S.let(lambda t: F.slice(t, 1, F.size(t) - 1), S.tessellate(e["a"], e["b"], spacing)))))
+    path = F.when(spots, F.col("ring")).when(closed, along).otherwise(F.concat(along, F.array(F.element_at("ring", -1))))
+    rows = part.withColumn("path", path).select("feature", "part", "gtype", F.size("path").alias("n"), F.posexplode("path").alias("nth", "v"))
+    return rows.select(F.struct("feature", "part", "gtype", "nth", "n").alias("id"), "v")
+
+
+def reassembled(span: DataFrame, *, key: str = "id") -> DataFrame:
+    """(key, part, time, piece, gtype, line) of vertices (id of :func:`vertices`, time, v, active):
+    the geometries of the vertices that are still active.
+
+    A polygon all of whose vertices are is one; of others, runs of neighbours are lines, where
+    a polygon's last run goes on with its first; a run of one vertex is a point, and points
+    stay together.  ``piece`` is the place of a run's first vertex."""
+    rows = span.where("active").select("id.*", "time", "v")
+    by = Window.partitionBy("time", "feature", "part")
+    spots = F.col("gtype").isin("point", "multipoint")
+    rows = rows.withColumn("run", F.when(spots, 0).otherwise(F.col("nth") - F.row_number().over(by.orderBy("nth"))))
+    rows = rows.withColumns({"left": F.count("*").over(by), "least": F.min("nth").over(by), "most": F.max("nth").over(by), "last": F.max("run").over(by)})
+    whole = (F.col("gtype") == "polygon") & (F.col("left") == F.col("n"))
+    wraps = (F.col("gtype") == "polygon") & ~whole & (F.col("least") == 0) & (F.col("most") == F.col("n") - 1) & (F.col("run") == F.col("last"))
+    rows = rows.select("feature", "part", "time", "gtype", "v", whole.alias("whole"), F.when(wraps, -1).otherwise(F.col("run")).alias("run"), F.when(wraps, F.col("nth") - F.col("n")).otherwise(F.col("nth")).alias("nth"))
+    runs = rows.groupBy("feature", "part", "time", "gtype", "whole", "run").agg(F.array_sort(F.collect_list(F.struct("nth", "v"))).alias("r"))
+    kind = F.when(F.col("gtype").isin("point", "multipoint") | F.col("whole"), F.col("gtype")).when(F.size("r") == 1, "point").otherwise("polyline")
+    return runs.select(F.col("feature").alias(key), "part", "time", F.element_at("r", 1)["nth"].alias("piece"), kind.alias("gtype"), F.transform("r", lambda x: x["v"]).alias("line"))
+
+
+def evolve(features: DataFrame, surfaces: DataFrame, model: DataFrame, times: list[float], begin: float, *, spacing: float = SPACING, key: str = "id", **options) -> DataFrame:
+    """(id, time, v, plate_id, active) of the vertices of features (key, gtype, rings) given at the
+    time ``begin``, at ``begin`` and all ``times`` before and after it: they are stepped from
+    there to older times and to younger ones, each way by :func:`reconstruct_by_topologies`
+    (which has the other options).  ``surfaces`` and ``model`` are at all these times."""
+    start = settled(vertices(features, spacing, key=key))
+    younger = [float(begin), *sorted((float(t) for t in times if t < begin), reverse=True)]
+    older = [float(begin), *sorted(float(t) for t in times if t > begin)]
+    span = reconstruct_by_topologies(start, surfaces, model, younger, **options)
+    if len(older) > 1:
+        span = span.unionByName(reconstruct_by_topologies(start, surfaces, model, older, **options).where(F.col("time") > begin))
+    return span
+
+
+def geometries_at(span: DataFrame, time: float, begin: float, increment: float, slots: int, *, key: str = "id") -> DataFrame:
+    """The geometries (as :func:`reassembled`) of a span of vertices at any time inside it."""
+    return reassembled(span_at(span, time, begin, increment, slots).withColumn("time", F.lit(float(time))), key=key)
+
+
 def span_at(span: DataFrame, time: float, begin: float, increment: float, slots: int, *, values: tuple[str, ...] = ()) -> DataFrame:
     """(id, v, values, active) of a span (id, time, v, active, values) at any time inside it: at a
     slot its row; between slots the arc between the two, and values in proportion; from the

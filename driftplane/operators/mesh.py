@@ -352,11 +352,6 @@ def conforming(points: DataFrame, edges: DataFrame, nets: DataFrame, keys: tuple
 # --- outlines -----------------------------------------------------------------------------------
 
 
-def ring_edges(ring: Column) -> Column:
-    """(a, b) of the edges of a closed ring."""
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.element_at(ring, F.when(i + 1 < F.size(ring), i + 2).otherwise(1).cast("int")).alias("b")))
-
-
 def held(points: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, *, point: str = "id", name: str = "name") -> DataFrame:
     """(keys, point, name) of points (keys, point, u, w) in outlines (keys, name, u0, w0, u1, w1:
     edges).  Edges are joined with points by bands as high as the edge, so an outline of any

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
-from . import partition
+from . import mesh, partition
 
 #: The least length of the pieces that arcs are cut to, in radians.
 LEAST_PIECE = 1e-4
@@ -87,3 +87,25 @@ def distance_km(left: Column, right: Column, radius: float = S.EQUATORIAL_RADIUS
     far = F.lit(math.pi)
     least = F.aggregate(arcs(left["gtype"], left["rings"]), far, lambda acc, e: F.aggregate(arcs(right["gtype"], right["rings"]), acc, lambda acc2, f: F.least(acc2, arc_to_arc(e["a"], e["b"], f["a"], f["b"]))))
     return F.when(ins(left, right) | ins(right, left), F.lit(0.0)).otherwise(least) * radius
+
+
+def in_reach(points: DataFrame, edges: DataFrame, *, by: str) -> DataFrame:
+    """Points (``by``, v, reach and other columns) with the edges (``by``, a, b) of their ``by``
+    that are nearer than their reach in radians, and the ``angle``.  Points and edges meet in
+    cells as large as the edge and the widest reach."""
+    widest = points.agg(F.max("reach")).first()[0]
+    e = edges.withColumnsRenamed({"a": "_a", "b": "_b"})
+    if widest is None:
+        return points.join(e, by).withColumn("angle", F.lit(0.0)).where("false")
+    across = lambda c: F.abs(F.col(f"_a.{c}") - F.col(f"_b.{c}"))
+    # an arc swells out from its chord
+    swell = 1 - F.sqrt(F.greatest(F.lit(0.0), (1 + S.dot(F.col("_a"), F.col("_b"))) / 2))
+    e = e.withColumn("_pad", swell + float(widest) + 1e-9)
+    e = e.withColumn("_level", mesh.level(F.greatest(*map(across, "xyz")) + 2 * F.col("_pad")))
+    low = [F.least(f"_a.{c}", f"_b.{c}") - F.col("_pad") for c in "xyz"]
+    high = [F.greatest(f"_a.{c}", f"_b.{c}") + F.col("_pad") for c in "xyz"]
+    used = mesh.levels(e)
+    index = e.withColumn("_cell", F.explode(mesh.cells(low, high, F.col("_level")))).drop("_pad")
+    rows = points.withColumn("_level", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_cell", mesh.cell([F.col("v")[c] for c in "xyz"], F.col("_level")))
+    met = rows.join(index, [by, "_level", "_cell"]).drop("_level", "_cell")
+    return met.withColumn("angle", S.point_to_arc(F.col("v"), F.col("_a"), F.col("_b"))).where(F.col("angle") < F.col("reach")).withColumnsRenamed({"_a": "a", "_b": "b"})

@@ -240,7 +240,7 @@ def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STR
     spots = rings.select(*keys, F.explode("ring").alias("v")).unionByName(inner.select(*keys, F.explode("line").alias("v"))).join(nets, keys)
     placed = lambda df, v: df.withColumn("_p", mesh.in_plane(F.col(v), F.col("centre")))
     points = placed(spots, "v").select(*keys, "v.x", "v.y", "v.z", "_p.u", "_p.w")
-    edges = outlines.join(nets, keys).select(*keys, "name", "centre", F.explode(mesh.ring_edges(F.col("ring"))).alias("e"))
+    edges = outlines.join(nets, keys).select(*keys, "name", "centre", F.explode(S._edges(F.col("ring"))).alias("e"))
     if forced:
         full = lambda c: F.struct(*(F.col(f"e.{c}.{k}").alias(k) for k in "xyz"), *(mesh.in_plane(F.col(f"e.{c}"), F.col("centre"))[k].alias(k) for k in "uw"))
         pairs = edges.select(*keys, full("a").alias("a"), full("b").alias("b")).where("a <> b")

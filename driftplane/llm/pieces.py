@@ -7,7 +7,8 @@ become byte pieces.
 
 No join crosses two neighbouring characters that are neighbours in no piece of the
 vocabulary, so the text is cut there first, for whole blocks at once, and each distinct run
-goes through the agenda once a task (a cache of bounded size; long runs are not cached).
+goes through the agenda once a task (a cache of bounded size; long runs are not cached, and
+keep their agenda in a heap; those of many short runs are worked off together in numpy).
 Every Arrow batch is then encoded by the sentencepiece library too, and a row that differs
 ends the job: results are never silently others than the library's.
 
@@ -30,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,11 @@ from . import text as tx
 #: The sign that stands for a space in pieces (a fixed value of the file format).
 SPACE = "▁"
 #: Runs in a task's cache, and the longest run that is cached.
-CACHE_RUNS, CACHE_CHARS = 200_000, 48
+CACHE_RUNS, CACHE_CHARS = 400_000, 48
+#: Bytes of text that are encoded together: runs that repeat in them are looked up once.
+SLICE = 1 << 20
+#: The place of a pair that is no piece.
+NONE = 1 << 30
 #: Kinds of pieces in the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -108,6 +114,8 @@ class Codec:
         self.to_byte = {i: bytes([b]) for b, i in enumerate(self.bytes)}
         #: text of each id; control pieces have none, the unknown one its sign
         self.shown = [n.replace(SPACE, " ") if k == NORMAL else " ⁇ " if k == UNKNOWN else "" for n, k in zip(names, kinds, strict=True)]
+        self.texts = pa.array(self.shown, pa.string())
+        self.is_byte = np.array([k == BYTE for k in kinds])
         self.spaced = {i for n, i in self.ids.items() if n.startswith(SPACE)}
         # characters of pieces, numbered from 1, and which of them are neighbours in a piece
         chars = sorted({c for n in self.ids for c in n})
@@ -119,10 +127,20 @@ class Codec:
         if near:
             left, right = (self.number[[ord(p[i]) for p in near]].astype(np.int64) for i in (0, 1))
             self.near[left * self.width + right] = True
+        # every way to make a piece of two: the pair, its place and its joint
+        self.size = len(names)
+        self.char_id = np.full(0x110000, -1, np.int64)
+        self.char_id[[ord(c) for c in chars]] = [self.ids.get(c, -1) for c in chars]
+        made = {(self.ids[n[:k]], self.ids[n[k:]]): n for n in self.ids for k in range(1, len(n)) if n[:k] in self.ids and n[k:] in self.ids}
+        keys = np.array([a * self.size + b for a, b in made], np.int64)
+        by = np.argsort(keys)
+        self.pairs = keys[by]
+        self.pair_place = np.append(np.array([self.order[n] for n in made.values()], np.int64)[by], NONE)
+        self.pair_joint = np.append(np.array([self.ids[n] for n in made.values()], np.int64)[by], -1)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge(self, run: str) -> tuple[int, ...]:
-        """Ids of one run, by the agenda."""
+        """Ids of one run; its agenda is a heap of (place, start, end) of symbol pairs."""
         n, order = len(run), self.order
         after = list(range(1, n + 1))  # start of the symbol behind the one that starts here
         before = list(range(-1, n - 1))
@@ -154,34 +172,97 @@ class Codec:
             a = after[a]
         return tuple(out)
 
-    def run(self, run: str) -> tuple[int, ...]:
-        got = self.cache.get(run)
-        if got is None:
-            got = self.merge(run)
-            if len(run) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_RUNS:
-                    self.cache.clear()
-                self.cache[run] = got
-        return got
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, the end id last."""
-        lead, look = SPACE if self.lead else "", self.cache.get
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the order of scores and joint piece of symbol pairs; NONE without a joint."""
+        at = tx.member(self.pairs, left.astype(np.int64) * self.size + right)
+        on = (at >= 0) & (left >= 0) & (right >= 0)
+        return np.where(on, self.pair_place[at], NONE), self.pair_joint[at]
+
+    def merge_all(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """:meth:`merge` of many short runs at once.  Each step takes the head of every run's
+        agenda: the pair of the best place, the leftmost of equals."""
+        lens = np.fromiter(map(len, runs), np.int64, len(runs))
+        cp = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4")
+        run = np.repeat(np.arange(len(runs)), lens)
+        symbol = self.char_id[cp]
+        place = np.full(len(cp), NONE)
+        joint = np.zeros(len(cp), np.int64)
+        if len(cp) > 1:
+            place[:-1], joint[:-1] = self._offers(symbol[:-1], symbol[1:])
+            place[:-1][run[1:] != run[:-1]] = NONE
+        done = []
+        while len(run):
+            first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            head = np.minimum.reduceat((place << 32) | np.arange(len(run)), first)
+            go = (head >> 32) < NONE
+            keep = np.repeat(go, np.diff(np.append(first, len(run))))
+            done.append((run[~keep], symbol[~keep], cp[~keep]))
+            at = head[go] & 0xFFFFFFFF
+            symbol[at] = joint[at]
+            keep[at + 1] = False
+            # where the joined symbols come to stand
+            at = np.cumsum(keep)[at] - 1
+            run, symbol, cp, place, joint = (x[keep] for x in (run, symbol, cp, place, joint))
+            for w in (at, at[at > 0] - 1):
+                place[w] = NONE
+                w = w[w < len(run) - 1]
+                w = w[run[w] == run[w + 1]]
+                place[w], joint[w] = self._offers(symbol[w], symbol[w + 1])
+        run, symbol, cp = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (run, symbol, cp)
+        order = np.argsort(run, kind="stable")
+        run, symbol, cp = run[order], symbol[order], cp[order]
+        upto = np.searchsorted(run, np.arange(len(runs) + 1)).tolist()
+        plain = np.ones(len(runs), bool)
+        plain[run[symbol < 0]] = False
+        flat, chars = symbol.tolist(), cp.tolist()
+        out = []
+        for k, (i, j) in enumerate(zip(upto, upto[1:], strict=False)):
+            if plain[k]:
+                out.append(tuple(flat[i:j]))
+            else:
+                out.append(tuple(x for n in range(i, j) for x in ([flat[n]] if flat[n] >= 0 else [self.bytes[b] for b in chr(chars[n]).encode()])))
+        return out
+
+    def _known(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """Ids of runs, from the cache or through the agenda."""
+        new = [r for r in runs if r not in self.cache]
+        short = [r for r in new if len(r) <= CACHE_CHARS]
+        if len(self.cache) + len(short) > CACHE_RUNS:
+            self.cache.clear()
+            short = [r for r in runs if len(r) <= CACHE_CHARS]
+        for lo in range(0, len(short), 50_000):
+            some = short[lo : lo + 50_000]
+            self.cache.update(zip(some, self.merge_all(some), strict=True))
+        return [got if (got := self.cache.get(r)) is not None else self.merge(r) for r in runs]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of each text's), the end id last in each."""
+        lead = SPACE if self.lead else ""
         texts = [lead + t.replace(" ", SPACE) if t else "" for t in texts]
         b = tx.Block(texts)
         at = self.number[b.cp].astype(np.int64)
-        cut = np.flatnonzero(~self.near[at[:-1] * self.width + at[1:]]) + 1
-        first, last = np.searchsorted(cut, b.start, "right"), np.searchsorted(cut, b.end, "left")
-        out = []
-        for t, s, lo, hi in zip(texts, b.start.tolist(), first.tolist(), last.tolist(), strict=True):
-            if not t:
-                out.append([self.end])
-                continue
-            places = (cut[lo:hi] - s).tolist()
-            parts = [t[i:j] for i, j in zip([0, *places], [*places, len(t)], strict=True)]
-            ids = [look(p) or self.run(p) for p in parts]
-            out.append([*chain.from_iterable(ids), self.end])
-        return out
+        cut = np.ones(len(b.cp), bool)
+        cut[1:] = ~self.near[at[:-1] * self.width + at[1:]]
+        cut[b.start] = cut[b.end] = True
+        s = np.flatnonzero(cut)
+        e = np.append(s[1:], len(b.cp))
+        texted = np.ones(len(b.cp), bool)
+        texted[b.end] = False
+        s, e = s[texted[s]], e[texted[s]]
+        # different runs once, by a hash; the library's ids are the proof
+        _, first, which = np.unique(tx.Hasher(b.cp).spans(s, e), return_index=True, return_inverse=True)
+        whole = "\n".join(texts)
+        ids = self._known([whole[i:j] for i, j in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())
+        n = sizes[which]
+        upto = np.cumsum(n)
+        from_ = (np.cumsum(sizes) - sizes)[which]
+        total = int(upto[-1]) if len(upto) else 0
+        doc = np.repeat(b.doc(s), n)
+        out = np.full(total + b.n, self.end, np.int32)
+        out[np.arange(total) + doc] = flat[np.repeat(from_ - upto + n, n) + np.arange(total)]
+        return out, np.bincount(doc, minlength=b.n) + 1
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces in a row are UTF-8, what is no UTF-8 becomes U+FFFD, and
@@ -200,7 +281,18 @@ class Codec:
                         held = b""
                     out.append(shown[i])
             text = "".join([*out, _utf8(held)])
-        first = next((i for i in ids if i in to_byte or shown[i]), None)
+        return self._bare(ids, text)
+
+    def decode_all(self, ids: list[list[int]], flat: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """:meth:`decode` of many rows, given as lists and in a row: rows without byte pieces are
+        joined at once."""
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), self.texts.take(pa.array(flat))), "").to_pylist()
+        odd = np.zeros(len(ids), bool)
+        odd[np.repeat(np.arange(len(ids)), sizes)[self.is_byte[flat]]] = True
+        return [self.decode(x) if o else self._bare(x, t) for x, o, t in zip(ids, odd.tolist(), out, strict=True)]
+
+    def _bare(self, ids: list[int], text: str) -> str:
+        first = next((i for i in ids if i in self.to_byte or self.shown[i]), None)
         return text[1:] if self.lead and first in self.spaced else text
 
 
@@ -242,11 +334,13 @@ def _differs(what: str, got: list, want: list) -> None:
         raise ValueError(f"{what} differs from the library's in row {bad} of a batch: {str(got[bad])[:200]} and {str(want[bad])[:200]}")
 
 
-def _ids(rows: list[list[int]]) -> pa.Array:
-    sizes = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=sizes[1:])
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, sizes[-1])
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
+def _split(flat: list, sizes: np.ndarray) -> list[list]:
+    upto = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    return [flat[i:j] for i, j in zip(upto, upto[1:], strict=False)]
+
+
+def _encoded(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
 
 
 def _model(spark: SparkSession, path: str | None) -> bytes:
@@ -282,13 +376,16 @@ def encode(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_id",
     def run(batches):
         codec = _codec(raw.value)
         for batch in batches:
-            for lo, hi in tx.slices(batch.column(1)):
+            for lo, hi in tx.slices(batch.column(1), SLICE):
                 part = batch.slice(lo, hi - lo)
                 texts = tx.texts_of(part.column(1))
-                got = codec.encode(texts)
+                flat, sizes = codec.encode(texts)
                 if check:
-                    _differs("encoding", got, _library(raw.value).encode(texts, add_eos=True, num_threads=1))
-                yield pa.RecordBatch.from_arrays([part.column(0), _ids(got)], names=["id", "ids"])
+                    want = _library(raw.value).encode(texts, add_eos=True, num_threads=1)
+                    same = np.array_equal(sizes, np.fromiter(map(len, want), np.int64, len(want))) and np.array_equal(flat, np.fromiter(chain.from_iterable(want), np.int32))
+                    if not same:
+                        _differs("encoding", _split(flat.tolist(), sizes), want)
+                yield pa.RecordBatch.from_arrays([part.column(0), _encoded(flat, sizes)], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -307,8 +404,10 @@ def decode(encoded: DataFrame, model: str | None = None, *, id_col: str = "doc_i
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
-                ids = [x or [] for x in part.column(1).to_pylist()]
-                got = [codec.decode(x) for x in ids]
+                col = part.column(1)
+                flat, sizes = col.flatten().to_numpy(zero_copy_only=False), np.asarray(pc.fill_null(pc.list_value_length(col), 0))
+                ids = _split(flat.tolist(), sizes)
+                got = codec.decode_all(ids, flat, sizes)
                 if check:
                     _differs("decoding", got, _library(raw.value).decode(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.string())], names=["id", "ids", "text"])

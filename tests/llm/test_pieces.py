@@ -21,10 +21,15 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=PATH)
 
 
+def encoded(codec, texts):
+    flat, sizes = codec.encode(texts)
+    return pieces._split(flat.tolist(), sizes)
+
+
 def test_agenda_equals_the_library():
     codec, lib, r = pieces.Codec(RAW), library(), random.Random(5)
     texts = ODD + ["".join(r.choice([*ODD, "the", "ing", "    ", "0", "00", ".\n"]) for _ in range(r.randint(1, 12))) for _ in range(2000)]
-    got = codec.encode(texts)
+    got = encoded(codec, texts)
     assert got == lib.encode(texts, add_eos=True)
     assert [codec.decode(x) for x in got] == lib.decode(got)
 
@@ -41,9 +46,10 @@ def test_runs_are_joined_best_score_first_and_leftmost():
     codec = pieces.Codec(RAW)
     assert codec.merge("") == ()
     assert len(codec.merge("▁" * 33)) == len(library().encode(" " * 32))
-    codec.cache.clear()
+    runs = [t.replace(" ", "▁") for t in ODD if t] + ["▁the", "ab", "aaaaaaa", "\U0001f600a", "x"]
+    assert codec.merge_all(runs) == [codec.merge(t) for t in runs] and codec.merge_all([]) == []
     long = "ab" * 100_000
-    assert codec.encode([long])[0] == library().encode(long, add_eos=True)
+    assert encoded(codec, [long])[0] == library().encode(long, add_eos=True)
     assert not any(len(k) > pieces.CACHE_CHARS for k in codec.cache)
 
 

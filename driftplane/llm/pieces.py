@@ -7,8 +7,8 @@ become byte pieces.
 
 No join crosses two neighbouring characters that are neighbours in no piece of the
 vocabulary, so the text is cut there first, for whole blocks at once, and each distinct run
-goes through the agenda once a task (a cache of bounded size; long runs are not cached, and
-keep their agenda in a heap; those of many short runs are worked off together in numpy).
+goes through the agenda once a task (a cache of bounded size; long runs keep
+their agenda in a heap, those of many short runs are worked off together in numpy).
 Every Arrow batch is then encoded by the sentencepiece library too, and a row that differs
 ends the job: results are never silently others than the library's.
 
@@ -40,8 +40,9 @@ from . import text as tx
 
 #: The sign that stands for a space in pieces (a fixed value of the file format).
 SPACE = "▁"
-#: Runs in a task's cache, and the longest run that is cached.
-CACHE_RUNS, CACHE_CHARS = 400_000, 48
+#: Runs and ids in a task's cache, beyond which it is emptied, and the longest run whose agenda
+#: is worked off together with those of others.
+CACHE_RUNS, CACHE_IDS, SHORT = 400_000, 4_000_000, 64
 #: Bytes of text that are encoded together: runs that repeat in them are looked up once.
 SLICE = 1 << 20
 #: The place of a pair that is no piece.
@@ -116,6 +117,8 @@ class Codec:
         self.shown = [n.replace(SPACE, " ") if k == NORMAL else " ⁇ " if k == UNKNOWN else "" for n, k in zip(names, kinds, strict=True)]
         self.texts = pa.array(self.shown, pa.string())
         self.is_byte = np.array([k == BYTE for k in kinds])
+        self.is_text = np.array([k in (NORMAL, UNKNOWN) for k in kinds])
+        self.is_spaced = np.array([k == NORMAL and n.startswith(SPACE) for n, k in zip(names, kinds, strict=True)])
         self.spaced = {i for n, i in self.ids.items() if n.startswith(SPACE)}
         # characters of pieces, numbered from 1, and which of them are neighbours in a piece
         chars = sorted({c for n in self.ids for c in n})
@@ -137,7 +140,7 @@ class Codec:
         self.pairs = keys[by]
         self.pair_place = np.append(np.array([self.order[n] for n in made.values()], np.int64)[by], NONE)
         self.pair_joint = np.append(np.array([self.ids[n] for n in made.values()], np.int64)[by], -1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     def merge(self, run: str) -> tuple[int, ...]:
         """Ids of one run; its agenda is a heap of (place, start, end) of symbol pairs."""
@@ -178,19 +181,18 @@ class Codec:
         on = (at >= 0) & (left >= 0) & (right >= 0)
         return np.where(on, self.pair_place[at], NONE), self.pair_joint[at]
 
-    def merge_all(self, runs: list[str]) -> list[tuple[int, ...]]:
-        """:meth:`merge` of many short runs at once.  Each step takes the head of every run's
-        agenda: the pair of the best place, the leftmost of equals."""
-        lens = np.fromiter(map(len, runs), np.int64, len(runs))
-        cp = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4")
-        run = np.repeat(np.arange(len(runs)), lens)
+    def merge_all(self, cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`merge` of many short runs at once: their code points in a row and lengths; ids in
+        a row and their numbers.  Each step takes the head of every run's agenda: the pair of
+        the best place, the leftmost of equals."""
+        run = np.repeat(np.arange(len(lens)), lens)
         symbol = self.char_id[cp]
         place = np.full(len(cp), NONE)
         joint = np.zeros(len(cp), np.int64)
         if len(cp) > 1:
             place[:-1], joint[:-1] = self._offers(symbol[:-1], symbol[1:])
             place[:-1][run[1:] != run[:-1]] = NONE
-        done = []
+        done = [(run[:0], symbol[:0], cp[:0])]
         while len(run):
             first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             head = np.minimum.reduceat((place << 32) | np.arange(len(run)), first)
@@ -208,38 +210,44 @@ class Codec:
                 w = w[w < len(run) - 1]
                 w = w[run[w] == run[w + 1]]
                 place[w], joint[w] = self._offers(symbol[w], symbol[w + 1])
-        run, symbol, cp = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (run, symbol, cp)
+        run, symbol, cp = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(run, kind="stable")
         run, symbol, cp = run[order], symbol[order], cp[order]
-        upto = np.searchsorted(run, np.arange(len(runs) + 1)).tolist()
-        plain = np.ones(len(runs), bool)
-        plain[run[symbol < 0]] = False
-        flat, chars = symbol.tolist(), cp.tolist()
-        out = []
-        for k, (i, j) in enumerate(zip(upto, upto[1:], strict=False)):
-            if plain[k]:
-                out.append(tuple(flat[i:j]))
-            else:
-                out.append(tuple(x for n in range(i, j) for x in ([flat[n]] if flat[n] >= 0 else [self.bytes[b] for b in chr(chars[n]).encode()])))
-        return out
-
-    def _known(self, runs: list[str]) -> list[tuple[int, ...]]:
-        """Ids of runs, from the cache or through the agenda."""
-        new = [r for r in runs if r not in self.cache]
-        short = [r for r in new if len(r) <= CACHE_CHARS]
-        if len(self.cache) + len(short) > CACHE_RUNS:
-            self.cache.clear()
-            short = [r for r in runs if len(r) <= CACHE_CHARS]
-        for lo in range(0, len(short), 50_000):
-            some = short[lo : lo + 50_000]
-            self.cache.update(zip(some, self.merge_all(some), strict=True))
-        return [got if (got := self.cache.get(r)) is not None else self.merge(r) for r in runs]
+        odd = np.flatnonzero(symbol < 0)
+        if len(odd):  # characters without a piece: their bytes
+            each = [[self.bytes[b] for b in chr(c).encode()] for c in cp[odd].tolist()]
+            times = np.ones(len(symbol), np.int64)
+            times[odd] = [len(x) for x in each]
+            unknown = np.repeat(symbol < 0, times)
+            run, symbol = np.repeat(run, times), np.repeat(symbol, times)
+            symbol[unknown] = list(chain.from_iterable(each))
+        return symbol.astype(np.int32), np.bincount(run, minlength=len(lens))
+
+    def _forget(self) -> None:
+        """Empties the cache: sorted hashes of runs, and where in ``pool`` each one's ids are."""
+        self.keys, self.from_, self.number_of = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """Puts the runs of code points from s to e through the agenda and into the cache."""
+        lens = e - s
+        short = lens <= SHORT
+        n = lens[short]
+        at = np.repeat(s[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        flat, sizes = self.merge_all(cp[at], n)
+        long = [self.merge(cp[i:j].tobytes().decode("utf-32-le")) for i, j in zip(s[~short].tolist(), e[~short].tolist(), strict=True)]
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(long), np.int32)])
+        sizes = np.concatenate([sizes, np.array([len(x) for x in long], np.int64)])
+        keys = np.concatenate([self.keys, keys[short], keys[~short]])
+        from_ = np.concatenate([self.from_, len(self.pool) + np.cumsum(sizes) - sizes])
+        by = np.argsort(keys)
+        self.keys, self.from_, self.number_of = keys[by], from_[by], np.concatenate([self.number_of, sizes])[by]
+        self.pool = np.concatenate([self.pool, flat])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of each text's), the end id last in each."""
         lead = SPACE if self.lead else ""
-        texts = [lead + t.replace(" ", SPACE) if t else "" for t in texts]
-        b = tx.Block(texts)
+        b = tx.Block([lead + t.replace(" ", SPACE) if t else "" for t in texts])
         at = self.number[b.cp].astype(np.int64)
         cut = np.ones(len(b.cp), bool)
         cut[1:] = ~self.near[at[:-1] * self.width + at[1:]]
@@ -250,18 +258,19 @@ class Codec:
         texted[b.end] = False
         s, e = s[texted[s]], e[texted[s]]
         # different runs once, by a hash; the library's ids are the proof
-        _, first, which = np.unique(tx.Hasher(b.cp).spans(s, e), return_index=True, return_inverse=True)
-        whole = "\n".join(texts)
-        ids = self._known([whole[i:j] for i, j in zip(s[first].tolist(), e[first].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())
-        n = sizes[which]
-        upto = np.cumsum(n)
-        from_ = (np.cumsum(sizes) - sizes)[which]
-        total = int(upto[-1]) if len(upto) else 0
+        keys, first, which = np.unique(tx.Hasher(b.cp).spans(s, e), return_index=True, return_inverse=True)
+        new = tx.member(self.keys, keys) < 0
+        if len(self.keys) + new.sum() > CACHE_RUNS or len(self.pool) > CACHE_IDS:
+            self._forget()
+            new[:] = True
+        if new.any():
+            self._learn(keys[new], b.cp, s[first[new]], e[first[new]])
+        of = tx.member(self.keys, keys)[which]
+        n = self.number_of[of]
+        total = int(n.sum())
         doc = np.repeat(b.doc(s), n)
         out = np.full(total + b.n, self.end, np.int32)
-        out[np.arange(total) + doc] = flat[np.repeat(from_ - upto + n, n) + np.arange(total)]
+        out[np.arange(total) + doc] = self.pool[np.repeat(self.from_[of] - np.cumsum(n) + n, n) + np.arange(total)]
         return out, np.bincount(doc, minlength=b.n) + 1
 
     def decode(self, ids: list[int]) -> str:
@@ -283,13 +292,22 @@ class Codec:
             text = "".join([*out, _utf8(held)])
         return self._bare(ids, text)
 
-    def decode_all(self, ids: list[list[int]], flat: np.ndarray, sizes: np.ndarray) -> list[str]:
-        """:meth:`decode` of many rows, given as lists and in a row: rows without byte pieces are
-        joined at once."""
-        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), self.texts.take(pa.array(flat))), "").to_pylist()
-        odd = np.zeros(len(ids), bool)
+    def decode_all(self, ids: list[list[int]], flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """:meth:`decode` of many rows, given as lists and in a row: rows without byte pieces that
+        begin with a piece of text are joined at once."""
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), self.texts.take(pa.array(flat))), "")
+        first = np.append(flat, self.end)[upto[:-1]]
+        if self.lead:
+            text = pc.if_else(pa.array(self.is_spaced[first] & (sizes > 0)), pc.utf8_slice_codeunits(text, 1), text)
+        odd = (sizes > 0) & ~self.is_text[first]
         odd[np.repeat(np.arange(len(ids)), sizes)[self.is_byte[flat]]] = True
-        return [self.decode(x) if o else self._bare(x, t) for x, o, t in zip(ids, odd.tolist(), out, strict=True)]
+        if odd.any():
+            rows = text.to_pylist()
+            for i in np.flatnonzero(odd).tolist():
+                rows[i] = self.decode(ids[i])
+            text = pa.array(rows, pa.string())
+        return text
 
     def _bare(self, ids: list[int], text: str) -> str:
         first = next((i for i in ids if i in self.to_byte or self.shown[i]), None)
@@ -409,8 +427,10 @@ def decode(encoded: DataFrame, model: str | None = None, *, id_col: str = "doc_i
                 ids = _split(flat.tolist(), sizes)
                 got = codec.decode_all(ids, flat, sizes)
                 if check:
-                    _differs("decoding", got, _library(raw.value).decode(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.string())], names=["id", "ids", "text"])
+                    want = _library(raw.value).decode(ids)
+                    if not got.equals(pa.array(want, pa.string())):
+                        _differs("decoding", got.to_pylist(), want)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), got], names=["id", "ids", "text"])
             tx.release()
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")

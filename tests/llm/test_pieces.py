@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ def test_agenda_equals_the_library():
 def test_decoding_of_any_ids():
     codec, lib, r = pieces.Codec(RAW), library(), random.Random(6)
     draw = lambda: r.choice([0, 1, 2, r.randint(3, 258), r.randint(131, 194), r.randint(195, 258), 259, r.randint(259, 31999)])
-    for _ in range(20000):
-        ids = [draw() for _ in range(r.randint(0, 8))]
+    rows = [[draw() for _ in range(r.randint(0, 8))] for _ in range(20000)]
+    for ids in rows:
         assert codec.decode(ids) == lib.decode(ids), ids
+    flat, sizes = np.array([i for ids in rows for i in ids], np.int32), np.array([len(ids) for ids in rows])
+    assert codec.decode_all(rows, flat, sizes).to_pylist() == lib.decode(rows)
 
 
 def test_runs_are_joined_best_score_first_and_leftmost():
@@ -47,10 +50,20 @@ def test_runs_are_joined_best_score_first_and_leftmost():
     assert codec.merge("") == ()
     assert len(codec.merge("▁" * 33)) == len(library().encode(" " * 32))
     runs = [t.replace(" ", "▁") for t in ODD if t] + ["▁the", "ab", "aaaaaaa", "\U0001f600a", "x"]
-    assert codec.merge_all(runs) == [codec.merge(t) for t in runs] and codec.merge_all([]) == []
+    cp = np.frombuffer("".join(runs).encode("utf-32-le"), "<u4")
+    flat, sizes = codec.merge_all(cp, np.array([len(t) for t in runs]))
+    assert [tuple(x) for x in pieces._split(flat.tolist(), sizes)] == [codec.merge(t) for t in runs]
     long = "ab" * 100_000
     assert encoded(codec, [long])[0] == library().encode(long, add_eos=True)
-    assert not any(len(k) > pieces.CACHE_CHARS for k in codec.cache)
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_RUNS", 50)
+    codec, lib, r = pieces.Codec(RAW), library(), random.Random(7)
+    for _ in range(30):
+        texts = [" ".join(str(r.randint(0, 10**6)) for _ in range(9)) + r.choice(ODD) for _ in range(3)]
+        assert encoded(codec, texts) == lib.encode(texts, add_eos=True)
+        assert len(codec.keys) <= 200
 
 
 def test_what_is_not_covered_is_refused():

@@ -686,3 +686,4 @@ def _(spark, d):
 
 from . import catalog_files as _files  # noqa: E402, F401  (registers more)
 from . import catalog_more as _more  # noqa: E402, F401  (registers more)
+from . import catalog_mesh as _mesh  # noqa: E402, F401  (registers more; its networks need the two above)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .catalog import MODEL, C, customers, query, r6, rnd, rot_sql, samples, suppliers, table
 from .functions import palettes
-from .operators import coregistration, hellinger
+from .operators import coregistration
 from .operators import rotation_model as R
 from .plans.session import Session
 from .sources import features as X
@@ -276,30 +276,6 @@ def _(spark, d):
     return spark.createDataFrame([(x,) for x in found], "line string")
 
 
-@query("fitted_poles", "SELECT k AS key, 8 AS picks, TRUE AS fits FROM (VALUES ('0'), ('1'), ('2')) t(k)")
-def _(spark, d):
-    """Picks of two plates that a known rotation brings together, in three groups: the misfit
-    of the pole found vanishes."""
-    import numpy as np
-
-    turned = hellinger._matrix(40.0, -30.0, 12.0)
-    rows = []
-    for key in range(3):
-        for s, (a, o) in enumerate(((10, 10), (20 + key, 40))):
-            for k in range(2):
-                x = np.radians([a + 4 * k, o + (5 * k if s else -5 * k)])
-                v = np.array([np.cos(x[0]) * np.cos(x[1]), np.cos(x[0]) * np.sin(x[1]), np.sin(x[0])])
-                for m in (False, True):
-                    w = turned.T @ v if m else v
-                    rows.append((key, float(np.degrees(np.arcsin(w[2]))), float(np.degrees(np.arctan2(w[1], w[0]))), m, s, 1.0))
-    picks = spark.createDataFrame(rows, "key int, lat double, lon double, moving boolean, segment int, sigma double")
-    found = hellinger.fit_poles(picks, (38.0, -28.0, 11.0))
-    return found.select("key", F.col("picks").cast("int").alias("picks"), (F.col("misfit") < 1e-3).alias("fits"))
-
-
-
-
-
 # --- scripts ---------------------------------------------------------------------------------------------
 
 _MOVED = "SELECT {key} AS id, {extra}{q} FROM {table} p LEFT JOIN rot r ON r.plate_id = {key} % 7 + 100"

@@ -633,20 +633,10 @@ def _(spark, d):
     return rows.select("id", w.alias("w")).select("id", *(F.round(f"w.{x}", 5).alias(x) for x in "abc"))
 
 
-@query("network_locations", f"WITH {_TRI} SELECT id, id AS topology_id FROM tri WHERE id % 97 = 1")
-def _(spark, d):
-    """The middle of every 97th triangle is located in a network of these triangles."""
-    some = triangles(spark, d).where("id % 97 = 1")
-    faces = some.select(F.col("id").alias("topology_id"), F.lit(0).alias("face"), F.element_at("rings", 1).alias("vertices"))
-    points = some.select("id", S.centroid(F.element_at("rings", 1)).alias("v"))
-    hit = partition.hits(points, faces.select(F.struct("topology_id", "face").alias("plate_id"), F.array("vertices").alias("rings"), F.struct("topology_id", "face").alias("priority")))
-    return hit.where("hit.topology_id = id").select("id", F.col("hit.topology_id").alias("topology_id"))
-
-
 _BOX = [((-5, -8), (-5, 0), (-5, 8)), ((-8, 5), (0, 5), (8, 5)), ((5, 8), (5, 0), (5, -8)), ((8, -5), (0, -5), (-8, -5))]
 
 
-def _box_sql() -> str:
+def _box_sql(shown=rnd) -> str:
     """Corners and middles of the four lines' ring, in order, and its area."""
     at = {}
     cols = []
@@ -661,7 +651,7 @@ def _box_sql() -> str:
     mid = tuple("(" + " + ".join(p[k] for p in ring) + ")" for k in range(3))
     total = " + ".join(area(vec("m"), ring[k], ring[(k + 1) % 8]) for k in range(8))
     middle = ", ".join(f"{e} / {norm(mid)} AS m{c}" for e, c in zip(mid, "xyz", strict=True))  # type: ignore[arg-type]
-    return f"n AS (SELECT CAST(n_nationkey AS BIGINT) AS topology_id, CAST(n_nationkey * 5 - 60 AS DOUBLE) AS lat, CAST(n_nationkey * 13 - 150 AS DOUBLE) AS lon FROM nation), p AS (SELECT *, {', '.join(cols)} FROM n), x AS (SELECT *, {raw} FROM p), u AS (SELECT *, {unit} FROM x), v AS (SELECT *, {middle} FROM u) SELECT topology_id, 8 AS points, {rnd(f'abs({total})')} AS area FROM v"
+    return f"n AS (SELECT CAST(n_nationkey AS BIGINT) AS topology_id, CAST(n_nationkey * 5 - 60 AS DOUBLE) AS lat, CAST(n_nationkey * 13 - 150 AS DOUBLE) AS lon FROM nation), p AS (SELECT *, {', '.join(cols)} FROM n), x AS (SELECT *, {raw} FROM p), u AS (SELECT *, {unit} FROM x), v AS (SELECT *, {middle} FROM u) SELECT topology_id, 8 AS points, {shown(f'abs({total})')} AS area FROM v"
 
 
 ORACLES["topology_boundaries"] = f"WITH {_box_sql()}"

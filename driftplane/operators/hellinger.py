@@ -133,8 +133,8 @@ def fit(lat, lon, moving, segment, sigma, guess: Pole, radius: float = 5.0, grid
 def scatter(picks: DataFrame, *, key: str = "key") -> DataFrame:
     """(key, segment, plate, picks, xx ... zz) of picks (key, segment, plate, lat, lon, sigma):
     sums over rows, wherever they are.  Picks without a place or a positive sigma do not count."""
-    v = S.from_lat_lon("lat", "lon")
-    rows = picks.where("lat is not null and lon is not null and sigma > 0").withColumn("_v", v)
+    # the explode of one keeps the optimiser from working a place out anew for each sum
+    rows = picks.select(key, "segment", "plate", "sigma", F.explode(F.array(S.from_lat_lon("lat", "lon"))).alias("_v")).where("_v.x is not null and _v.z is not null and sigma > 0")
     return rows.groupBy(key, "segment", "plate").agg(F.count("*").alias("picks"), *(F.sum(F.col(f"_v.{s[0]}") * F.col(f"_v.{s[1]}") / (F.col("sigma") * F.col("sigma"))).alias(s) for s in _SUMS))
 
 

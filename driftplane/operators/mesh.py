@@ -245,6 +245,14 @@ def _behind(t: np.ndarray, done: set[tuple[int, int]]) -> np.ndarray:
     return keep
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: an explode of one row keeps the optimiser
+    from writing their formulas into everything that uses them."""
+    for name, c in columns.items():
+        df = df.withColumn(name, F.explode(F.array(c)))
+    return df
+
+
 # --- planes -------------------------------------------------------------------------------------
 
 
@@ -398,20 +406,20 @@ def natural_rows(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFr
     faces by cells of the circles' size, and weights are one sum by point and vertex.  Points
     are moved by 1e-9 of a radian, since on a line through two vertices circles are endless."""
     flat = lambda i: in_plane(F.element_at("vertices", i), F.col("centre"))
-    f = faces.select("topology_id", "vertices", "centre", *(flat(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"))))
-    f = f.withColumn("_c", _circle(F.col("a"), F.col("b"), F.col("c"))).where("_c.u is not null")
-    f = f.withColumn("_r", F.hypot(F.col("_c.u") - F.col("a.u"), F.col("_c.w") - F.col("a.w"))).withColumn("_level", level(2 * F.col("_r")))
+    f = once(faces.select("topology_id", "vertices", "centre"), _t=F.struct(*(flat(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c")))))
+    f = once(f, _c=_circle(F.col("_t.a"), F.col("_t.b"), F.col("_t.c")))
+    f = once(f, _r=F.hypot(F.col("_c.u") - F.col("_t.a.u"), F.col("_c.w") - F.col("_t.a.w"))).where("_r is not null").withColumn("_level", level(2 * F.col("_r"))).drop("centre")
     used = levels(f)
     low, high = ([F.col(f"_c.{c}") + s * F.col("_r") for c in "uw"] for s in (-1, 1))
     index = f.withColumn("_cell", F.explode(cells(low, high, F.col("_level"))))
     nets = faces.groupBy("topology_id").agg(F.first("centre").alias("centre"))
     p = points.select(key, "v", "topology_id").join(nets, "topology_id").withColumn("_p", in_plane(F.col("v"), F.col("centre")))
-    p = p.select(key, "v", "topology_id", F.struct((F.col("_p.u") + 1e-9).alias("u"), (F.col("_p.w") + 7e-10).alias("w")).alias("_p"))
+    p = once(p, _p=F.struct((F.col("_p.u") + 1e-9).alias("u"), (F.col("_p.w") + 7e-10).alias("w"))).select(key, "v", "topology_id", "_p")
     p = p.withColumn("_level", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_cell", cell([F.col("_p.u"), F.col("_p.w")], F.col("_level")))
     met = p.join(index, ["topology_id", "_level", "_cell"]).where(F.hypot(F.col("_p.u") - F.col("_c.u"), F.col("_p.w") - F.col("_c.w")) < F.col("_r"))
-    q, a, b, c, o = (F.col(n) for n in ("_p", "a", "b", "c", "_c"))
-    met = met.withColumns({"_1": _circle(q, b, c), "_2": _circle(a, q, c), "_3": _circle(a, b, q)})
-    shares = [_twice(F.col(f"_{i}"), F.col(f"_{j}"), o) for i, j in ((2, 3), (3, 1), (1, 2))]
+    q, a, b, c, o = (F.col(n) for n in ("_p", "_t.a", "_t.b", "_t.c", "_c"))
+    met = once(met, _o=F.struct(_circle(q, b, c).alias("_1"), _circle(a, q, c).alias("_2"), _circle(a, b, q).alias("_3")))
+    shares = [_twice(F.col(f"_o._{i}"), F.col(f"_o._{j}"), o) for i, j in ((2, 3), (3, 1), (1, 2))]
     turned = F.when(_twice(a, b, c) < 0, -1).otherwise(1)
     each = F.array(*(F.struct(F.element_at("vertices", i + 1).alias("vertex"), (turned * s).alias("w")) for i, s in enumerate(shares)))
     rows = met.select(key, "v", "topology_id", F.explode(each).alias("e")).groupBy(key, "v", "topology_id", "e.vertex").agg(F.sum("e.w").alias("w"))

@@ -44,10 +44,10 @@ def _in_cells(polygons: DataFrame) -> tuple[DataFrame, list[int]]:
     they touch, eight at most: cells are as large as the polygon's bounding circle.  And the
     levels in use; beyond LEVELS of them, small polygons go to the next larger one."""
     circle = S.bounding_circle(F.element_at("rings", 1))
-    p = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings"), circle.alias("_b")).withColumns({"_centre": F.col("_b.centre"), "_cos": F.col("_b.cos_radius")}).drop("_b")
+    p = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings"), F.explode(F.array(circle)).alias("_b")).withColumns({"_centre": F.col("_b.centre"), "_cos": F.col("_b.cos_radius")}).drop("_b")
     # a circle of over a quarter turn says nothing of the edges: everywhere
     chord = F.when(F.col("_cos") < 0, 3.0).otherwise(F.sqrt(F.greatest(2 - 2 * F.col("_cos"), F.lit(0.0)))) + 1e-9
-    p = p.withColumn("_chord", chord).withColumn("_level", mesh.level(2 * F.col("_chord")))
+    p = mesh.once(p, _chord=chord).withColumn("_level", mesh.level(2 * F.col("_chord")))
     used = mesh.levels(p)
     if len(used) > LEVELS:
         used = used[::-1][:: -(-len(used) // LEVELS)][::-1]

@@ -238,8 +238,7 @@ def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STR
     blocks = inner.where(flagged & (F.size("line") > 2)).select(*keys, F.col("feature_id").cast("string").alias("name"), F.col("line").alias("ring"))
     outlines = rings.select(*keys, F.lit(None).cast("string").alias("name"), "ring").unionByName(blocks)
     spots = rings.select(*keys, F.explode("ring").alias("v")).unionByName(inner.select(*keys, F.explode("line").alias("v"))).join(nets, keys)
-    placed = lambda df, v: df.withColumn("_p", mesh.in_plane(F.col(v), F.col("centre")))
-    points = placed(spots, "v").select(*keys, "v.x", "v.y", "v.z", "_p.u", "_p.w")
+    points = mesh.once(spots, _p=mesh.in_plane(F.col("v"), F.col("centre"))).select(*keys, "v.x", "v.y", "v.z", "_p.u", "_p.w")
     edges = outlines.join(nets, keys).select(*keys, "name", "centre", F.explode(S._edges(F.col("ring"))).alias("e"))
     if forced:
         full = lambda c: F.struct(*(F.col(f"e.{c}.{k}").alias(k) for k in "xyz"), *(mesh.in_plane(F.col(f"e.{c}"), F.col("centre"))[k].alias(k) for k in "uw"))
@@ -252,8 +251,8 @@ def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STR
     number = Window.partitionBy(*keys).orderBy("vertices")
     faces = shared.settled(faces.select(*keys, corners.alias("vertices")).withColumn("face", F.row_number().over(number) - 1).join(nets, keys))
     middle = lambda v: S.normalise(S.add(S.add(v[0], v[1]), v[2]))
-    at = faces.withColumn("_s", mesh.straight(middle([F.element_at("vertices", i) for i in (1, 2, 3)]), F.col("centre"))).select(*keys, "face", "_s.u", "_s.w").where("u is not null")
-    flat = edges.withColumns({f"_{c}": mesh.straight(F.col(f"e.{c}"), F.col("centre")) for c in "ab"})
+    at = mesh.once(faces, _s=mesh.straight(middle([F.element_at("vertices", i) for i in (1, 2, 3)]), F.col("centre"))).select(*keys, "face", "_s.u", "_s.w").where("u is not null")
+    flat = mesh.once(edges, **{f"_{c}": mesh.straight(F.col(f"e.{c}"), F.col("centre")) for c in "ab"})
     flat = flat.select(*keys, F.coalesce("name", F.lit("")).alias("name"), *(F.col(f"_{c}.{k}").alias(f"{k}{i}") for i, c in enumerate("ab") for k in "uw"))
     held = mesh.held(at, flat, point="face").groupBy(*keys, "face").agg(F.max(F.col("name") == "").alias("inside"), F.min(F.when(F.col("name") != "", F.col("name"))).alias("block")).where("inside")
     region = F.when(F.col("block").isNotNull(), "rigid").otherwise("deforming")

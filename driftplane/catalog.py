@@ -21,15 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "reconstruct_points"
 
-#: (seq, moving, fixed, time, lat, lon, angle); plate 106 is in no sequence.
-MODEL = [
-    (1, 100, 0, 0.0, 90.0, 0.0, 0.0), (1, 100, 0, 50.0, 40.0, -30.0, 10.0), (1, 100, 0, 200.0, 45.0, -25.0, 35.0),
-    (2, 101, 100, 0.0, 90.0, 0.0, 0.0), (2, 101, 100, 100.0, 60.0, 120.0, -20.0), (2, 101, 100, 200.0, 65.0, 110.0, -40.0),
-    (3, 102, 101, 0.0, 90.0, 0.0, 0.0), (3, 102, 101, 200.0, -10.0, 30.0, 25.0),
-    (4, 103, 100, 0.0, 90.0, 0.0, 0.0), (4, 103, 100, 80.0, 20.0, 50.0, 15.0), (4, 103, 100, 200.0, 25.0, 60.0, 45.0),
-    (5, 104, 103, 0.0, 90.0, 0.0, 0.0), (5, 104, 103, 200.0, 5.0, -140.0, -30.0),
-    (6, 105, 0, 0.0, 90.0, 0.0, 0.0), (6, 105, 0, 200.0, -70.0, 10.0, 60.0),
-]
+#: The rotation model, made of the first 18 nations: six sequences of three samples each, of the
+#: plates 100 to 105; plate 106 is in no sequence.
+MODEL_SQL = """SELECT CAST(p + 1 AS INTEGER) AS seq, CAST(100 + p AS INTEGER) AS moving, CAST(CASE WHEN p IN (0, 5) THEN 0 ELSE 100 + p // 2 END AS INTEGER) AS fixed,
+CAST(CASE i WHEN 0 THEN 0 WHEN 1 THEN 50 + 10 * p ELSE 200 END AS DOUBLE) AS t, CAST(CASE i WHEN 0 THEN 90 ELSE k * 37 % 120 - 60 END AS DOUBLE) AS lat,
+CAST(CASE i WHEN 0 THEN 0 ELSE k * 53 % 300 - 150 END AS DOUBLE) AS lon, CAST(CASE i WHEN 0 THEN 0 ELSE k * 7 % 25 + 5 * i - 12 END AS DOUBLE) AS angle
+FROM (SELECT n_nationkey AS k, n_nationkey // 3 AS p, n_nationkey % 3 AS i FROM nation WHERE n_nationkey < 18)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -50,8 +47,17 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*m, False) for m in MODEL], "seq long, moving long, fixed long, time double, lat double, lon double, angle double, disabled boolean")
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """Rotation samples: see MODEL_SQL."""
+    k = F.col("n_nationkey").cast("long")
+    p, i = F.floor(k / 3), k % 3
+    first = lambda none, c: F.when(i == 0, none).otherwise(c).cast("double")
+    fixed = F.when(p.isin(0, 5), 0).otherwise(100 + F.floor(p / 2))
+    return table(spark, d, "nation").where("n_nationkey < 18").select(
+        (p + 1).alias("seq"), (100 + p).alias("moving"), fixed.cast("long").alias("fixed"),
+        F.when(i == 0, 0).when(i == 1, 50 + 10 * p).otherwise(200).cast("double").alias("time"),
+        first(90, k * 37 % 120 - 60).alias("lat"), first(0, k * 53 % 300 - 150).alias("lon"), first(0, k * 7 % 25 + 5 * i - 12).alias("angle"), F.lit(False).alias("disabled"),
+    )
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
@@ -114,11 +120,10 @@ def named(q, names="wxyz", prefix: str = "") -> str:
 
 def rot_sql(times: list[float]) -> str:
     """CTEs up to rot(time, plate_id, parent, w, x, y, z): the literal model at times."""
-    rows = ", ".join(f"({s}, {m}, {f}, {t!r}e0, {la!r}e0, {lo!r}e0, {a!r}e0)" for s, m, f, t, la, lo, a in MODEL)
     lead = ", ".join(f"lead({c}) OVER o AS {c}1" for c in "twxyz")
     mix = ", ".join(f"CASE WHEN abs(d) >= 1 - 1e-12 THEN {c} ELSE (sin((1 - u) * th) * {c} + sg * sin(u * th) * {c}1) / sin(th) END AS {c}" for c in "wxyz")
     total = mul(quat("r."), quat("e."))
-    return f"""m(seq, moving, fixed, t, lat, lon, angle) AS (VALUES {rows}),
+    return f"""m AS ({MODEL_SQL}),
 s AS (SELECT seq, moving, fixed, t, cos(radians(angle) / 2) AS w, sin(radians(angle) / 2) * cos(radians(lat)) * cos(radians(lon)) AS x, sin(radians(angle) / 2) * cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(angle) / 2) * sin(radians(lat)) AS z FROM m),
 b AS (SELECT *, {lead} FROM s WINDOW o AS (PARTITION BY seq ORDER BY t)),
 times(time) AS (VALUES {', '.join(f'({x!r}e0)' for x in times)}),
@@ -215,11 +220,6 @@ _OCT = "oct(hit, sx, sy, sz) AS (SELECT CAST(100 + range AS BIGINT), CASE WHEN r
 _HOLDS = "x * sx >= -1e-9 AND y * sy >= -1e-9 AND z * sz >= -1e-9"
 
 
-@query("polygon_area", f"SELECT CAST(100 + range AS BIGINT) AS plate_id, {rnd('pi() / 2')} AS area FROM range(8)")
-def _(spark, d):
-    return octants(spark).select("plate_id", r6(S.polygon_area(F.col("rings"))).alias("area"))
-
-
 @query("assign_plate_first_hit", f"WITH {C} SELECT id, CAST({_OCT_ID} AS BIGINT) AS hit FROM cv")
 def _(spark, d):
     return partition.first_hit(customers(spark, d).select("id", "v"), octants(spark)).select("id", "hit")
@@ -255,27 +255,27 @@ def _(spark, d):
 _AS_OF = [5.0, 20.0, 60.0, 100.0, 137.5, 199.0]
 
 
-@query("pole_bracket_asof", "WITH m(seq, moving, fixed, t) AS (VALUES " + ", ".join(f"({s}, {m}, {f}, {t!r}e0)" for s, m, f, t, *_ in MODEL) + "), times(time) AS (VALUES " + ", ".join(f"({t!r}e0)" for t in _AS_OF) + "), b AS (SELECT *, lead(t) OVER (PARTITION BY seq ORDER BY t) AS t1 FROM m) SELECT CAST(seq AS BIGINT) AS seq, CAST(moving AS BIGINT) AS moving, CAST(fixed AS BIGINT) AS fixed, time FROM b JOIN times ON time >= t AND time < t1")
+@query("pole_bracket_asof", f"WITH m AS ({MODEL_SQL})" + ", times(time) AS (VALUES " + ", ".join(f"({t!r}e0)" for t in _AS_OF) + "), b AS (SELECT *, lead(t) OVER (PARTITION BY seq ORDER BY t) AS t1 FROM m) SELECT CAST(seq AS BIGINT) AS seq, CAST(moving AS BIGINT) AS moving, CAST(fixed AS BIGINT) AS fixed, time FROM b JOIN times ON time >= t AND time < t1")
 def _(spark, d):
     """Which samples bracket each time, by the operator that the rotation model uses."""
     t = spark.createDataFrame([(x,) for x in _AS_OF], "time double")
-    return R.bracket(R.usable(samples(spark)), t).select("seq", "moving", "fixed", "time")
+    return R.bracket(R.usable(samples(spark, d)), t).select("seq", "moving", "fixed", "time")
 
 
 @query("pole_slerp", f"WITH RECURSIVE {rot_sql(TIMES)} SELECT CAST(seq AS BIGINT) AS seq, time, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM e")
 def _(spark, d):
     t = spark.createDataFrame([(x,) for x in TIMES], "time double")
-    return R.bracket(R.usable(samples(spark)), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
+    return R.bracket(R.usable(samples(spark, d)), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
 
 
 @query("plate_circuit_compose", f"WITH RECURSIVE {rot_sql(TIMES)} SELECT time, CAST(plate_id AS BIGINT) AS plate_id, CAST(parent AS BIGINT) AS parent, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM rot")
 def _(spark, d):
-    return R.rotations(samples(spark), TIMES).select("time", "plate_id", "parent", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
+    return R.rotations(samples(spark, d), TIMES).select("time", "plate_id", "parent", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
 
 
 @query("plate_circuit_paths", f"WITH RECURSIVE {rot_sql([20.0])}, up AS (SELECT plate_id, parent, CAST(plate_id AS VARCHAR) AS path FROM rot UNION ALL SELECT u.plate_id, r.parent, u.path || '/' || u.parent FROM up u JOIN rot r ON r.plate_id = u.parent) SELECT CAST(plate_id AS BIGINT) AS plate_id, path FROM up WHERE parent IS NULL")
 def _(spark, d):
-    return R.circuit_paths(R.rotations(samples(spark), [20.0])).select("plate_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    return R.circuit_paths(R.rotations(samples(spark, d), [20.0])).select("plate_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 _Q0 = tuple(f"coalesce(r.{c}, {v})" for c, v in zip("wxyz", ("1e0", "0e0", "0e0", "0e0"), strict=True))
@@ -284,13 +284,13 @@ _RP = f"SELECT id, f.time, {named(turn(_Q0, ('f.x', 'f.y', 'f.z')), 'xyz')} FROM
 
 @query("reconstruct_points", f"WITH RECURSIVE {rot_sql(TIMES)}, {C}, g AS ({_RP}) SELECT id, time, {rnd(latlon()[0])} AS lat, {XYZ} FROM g")
 def _(spark, d):
-    out = reconstruct.reconstruct(customers(spark, d), samples(spark), TIMES)
+    out = reconstruct.reconstruct(customers(spark, d), samples(spark, d), TIMES)
     return out.select("id", "time", r6(S.lat(F.col("v"))).alias("lat"), *xyz_out(F.col("v")))
 
 
 @query("reverse_reconstruct", f"WITH RECURSIVE {rot_sql([60.0])}, {C}, g AS (SELECT id, {named(turn(conj(_Q0), ('cv.x', 'cv.y', 'cv.z')), 'xyz')} FROM cv LEFT JOIN rot r ON r.plate_id = cv.plate_id) SELECT id, {XYZ} FROM g")
 def _(spark, d):
-    return reconstruct.reverse_reconstruct(customers(spark, d), samples(spark), 60.0).select("id", *xyz_out(F.col("v")))
+    return reconstruct.reverse_reconstruct(customers(spark, d), samples(spark, d), 60.0).select("id", *xyz_out(F.col("v")))
 
 
 def _shown(q: Quat) -> str:
@@ -308,12 +308,12 @@ _SHORT = f"sh AS (SELECT plate_id, {', '.join(f'CASE WHEN w < 0 THEN -{c} ELSE {
 
 @query("relative_rotation", f"WITH RECURSIVE {rot_sql(TIMES)}, {_REL} SELECT time, CAST(plate_id AS BIGINT) AS plate_id, {_shown(quat(''))} FROM rel")
 def _(spark, d):
-    return R.relative(R.rotations(samples(spark), TIMES), 101).select("time", "plate_id", *q_out(F.col("q")))
+    return R.relative(R.rotations(samples(spark, d), TIMES), 101).select("time", "plate_id", *q_out(F.col("q")))
 
 
 @query("stage_rotation", f"WITH RECURSIVE {rot_sql(TIMES)}, {_REL}, {_STAGE} SELECT CAST(plate_id AS BIGINT) AS plate_id, {_shown(quat(''))} FROM st")
 def _(spark, d):
-    return R.stage(R.rotations(samples(spark), TIMES), None, 101, 20.0, 60.0).select("plate_id", *q_out(F.col("q")))
+    return R.stage(R.rotations(samples(spark, d), TIMES), None, 101, 20.0, 60.0).select("plate_id", *q_out(F.col("q")))
 
 
 def _scaled(f: str) -> str:
@@ -323,7 +323,7 @@ def _scaled(f: str) -> str:
 
 @query("asymmetric_stage", f"WITH RECURSIVE {rot_sql(TIMES)}, {_REL}, {_STAGE}, {_SHORT} SELECT CAST(plate_id AS BIGINT) AS plate_id, {_scaled('0.7e0')} FROM an")
 def _(spark, d):
-    return R.stage(R.rotations(samples(spark), TIMES), None, 101, 20.0, 60.0, 0.4).select("plate_id", *q_out(F.col("q")))
+    return R.stage(R.rotations(samples(spark, d), TIMES), None, 101, 20.0, 60.0, 0.4).select("plate_id", *q_out(F.col("q")))
 
 
 _HS = f"""l AS (SELECT * FROM rot WHERE plate_id = 101), st AS (SELECT r.plate_id, r.time, {named(mul(conj(quat('l.')), quat('r.')))}, l.w AS lw, l.x AS lx, l.y AS ly, l.z AS lz FROM rot r JOIN l ON l.time = r.time),
@@ -333,7 +333,7 @@ hf AS (SELECT plate_id, time, lw, lx, ly, lz, CASE WHEN w >= 1 - 1e-12 THEN 1e0
 
 @query("half_stage_v1", f"WITH RECURSIVE {rot_sql(TIMES)}, {_HS} SELECT time, CAST(plate_id AS BIGINT) AS plate_id, {_shown(mul(quat('l'), quat('')))} FROM hf")
 def _(spark, d):
-    rot = R.rotations(samples(spark), TIMES)
+    rot = R.rotations(samples(spark, d), TIMES)
     left = rot.where("plate_id = 101").select("time", F.col("q").alias("l"))
     return rot.join(F.broadcast(left), "time").select("time", "plate_id", R.half_stage(F.col("l"), F.col("q")).alias("h")).select("time", "plate_id", *q_out(F.col("h")))
 
@@ -341,7 +341,7 @@ def _(spark, d):
 @query("half_stage_multi")
 def _(spark, d):
     times = [25.0, 60.0]
-    model = R.rotations(samples(spark), R.stage_times(times))
+    model = R.rotations(samples(spark, d), R.stage_times(times))
     k = F.col("id")
     rows = customers(spark, d).select("id", "v", F.lit(101).cast("long").alias("left"), (k % 3 + 102).alias("right"), F.when(k % 2 == 0, 25.0).otherwise(60.0).alias("time"))
     return reconstruct.by_half_stage(rows, model).select("id", "time", *xyz_out(F.col("v")))
@@ -349,7 +349,7 @@ def _(spark, d):
 
 @query("flowline")
 def _(spark, d):
-    model = R.rotations(samples(spark), [0.0, 10.0, 20.0, 40.0, 60.0])
+    model = R.rotations(samples(spark, d), [0.0, 10.0, 20.0, 40.0, 60.0])
     rows = customers(spark, d).select("id", "v", F.lit(101).cast("long").alias("left"), F.lit(103).cast("long").alias("right"), F.lit(0.0).alias("time"))
     lines = reconstruct.flowlines(rows, model, [0.0, 10.0, 20.0, 40.0, 60.0])
     return lines.select("id", "side", F.posexplode("points").alias("nth", "v")).select("id", "side", "nth", *xyz_out(F.col("v")))
@@ -362,7 +362,7 @@ FROM cv CROSS JOIN times s LEFT JOIN rot p ON p.plate_id = cv.plate_id AND p.tim
 
 @query("motion_path", f"WITH RECURSIVE {rot_sql(_MPT)}, {C}, {_MP}, h AS (SELECT id, t, {named(turn(quat(''), ('vx', 'vy', 'vz')), 'xyz')} FROM g) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY t DESC) - 1 AS INTEGER) AS nth, {XYZ} FROM h")
 def _(spark, d):
-    model = R.rotations(samples(spark), _MPT)
+    model = R.rotations(samples(spark, d), _MPT)
     rows = customers(spark, d).select("id", "v", "plate_id", F.lit(105).cast("long").alias("reference"), F.lit(0.0).alias("time"))
     paths = reconstruct.motion_paths(rows, model, _MPT)
     return paths.select("id", F.posexplode("points").alias("nth", "v")).select("id", "nth", *xyz_out(F.col("v")))
@@ -370,7 +370,7 @@ def _(spark, d):
 
 @query("rotation_table", f"WITH RECURSIVE {rot_sql(TIMES)}, an AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM rot) SELECT time, CAST(plate_id AS BIGINT) AS plate_id, {rnd('CASE WHEN abs(w) >= 1 - 1e-12 THEN 90e0 ELSE degrees(asin(z / n)) END')} AS lat, {rnd('CASE WHEN abs(w) >= 1 - 1e-12 THEN 0e0 ELSE degrees(2 * atan2(n, w)) END')} AS angle FROM an")
 def _(spark, d):
-    return R.pole_table(R.rotations(samples(spark), TIMES)).select("time", "plate_id", r6(F.col("lat")).alias("lat"), r6(F.col("angle")).alias("angle"))
+    return R.pole_table(R.rotations(samples(spark, d), TIMES)).select("time", "plate_id", r6(F.col("lat")).alias("lat"), r6(F.col("angle")).alias("angle"))
 
 
 @query("rotation_sequence_islands", "WITH x AS (SELECT user_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh, ts, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM x) SELECT user_id, CAST(max(island) AS BIGINT) AS islands, count(*) AS n FROM y GROUP BY user_id")
@@ -379,9 +379,9 @@ def _(spark, d):
     return x.groupBy("user_id").agg(F.max("island").alias("islands"), F.count("*").alias("n"))
 
 
-@query("sequence_summary", "WITH m(seq, moving, fixed, t) AS (VALUES " + ", ".join(f"({s}, {m}, {f}, {t!r}e0)" for s, m, f, t, *_ in MODEL) + ") SELECT CAST(seq AS BIGINT) AS seq, CAST(moving AS BIGINT) AS moving, min(t) AS youngest, max(t) AS oldest, count(*) AS samples FROM m GROUP BY 1, 2")
+@query("sequence_summary", f"WITH m AS ({MODEL_SQL})" + " SELECT CAST(seq AS BIGINT) AS seq, CAST(moving AS BIGINT) AS moving, min(t) AS youngest, max(t) AS oldest, count(*) AS samples FROM m GROUP BY 1, 2")
 def _(spark, d):
-    return R.sequence_summary(samples(spark)).select("seq", "moving", "youngest", "oldest", "samples")
+    return R.sequence_summary(samples(spark, d)).select("seq", "moving", "youngest", "oldest", "samples")
 
 
 # --- co-registration ------------------------------------------------------------------------
@@ -428,7 +428,7 @@ def _(spark, d):
     """Seeds and targets at the seed's own birth time: a time column joins the rotations."""
     seeds = customers(spark, d).withColumn("time", F.col("begin"))
     times = [float(x) for x in range(200)]
-    rot = R.rotations(samples(spark), times)
+    rot = R.rotations(samples(spark, d), times)
     s = reconstruct.by_plate(seeds, rot).select(F.col("id").alias("seed_id"), "v", "time")
     t = suppliers(spark, d).withColumn("plate_id", F.col("target_id") % 7 + 100).select("target_id", "plate_id", "v")
     t = reconstruct.by_plate(t.crossJoin(F.broadcast(s.select("time").distinct())), rot).select("target_id", "v", F.col("time").alias("t2"))
@@ -454,7 +454,7 @@ ne AS (SELECT id, vx, vy, vz, -sin(radians(lat)) * cos(radians(lon)) * vx - sin(
 
 
 def _velocities(spark, d) -> DataFrame:
-    model = R.rotations(samples(spark), [60.0, 61.0])
+    model = R.rotations(samples(spark, d), [60.0, 61.0])
     return kinematics.point_velocities(customers(spark, d).withColumn("time", F.lit(60.0)), model, 1.0)
 
 
@@ -479,7 +479,7 @@ def _(spark, d):
 @query("kinematic_series")
 def _(spark, d):
     times = [0.0, 20.0, 40.0, 60.0]
-    model = R.rotations(samples(spark), sorted({*times, *(t + 1 for t in times)}))
+    model = R.rotations(samples(spark, d), sorted({*times, *(t + 1 for t in times)}))
     out = kinematics.kinematic_series(customers(spark, d).select("id", "plate_id", "v"), model, times)
     lon = r6(F.col("lon"))
     # a point that stands still has no azimuth
@@ -495,7 +495,7 @@ nr AS (SELECT plate_id, sum((sx - dt * x) * c) AS x, sum((sy - dt * y) * c) AS y
 
 
 def _net(spark, d) -> DataFrame:
-    rot = R.rotations(samples(spark), [50.0, 60.0])
+    rot = R.rotations(samples(spark, d), [50.0, 60.0])
     a = rot.where("time = 60").select("plate_id", F.col("q").alias("a"))
     b = rot.where("time = 50").select("plate_id", F.col("q").alias("b"))
     stages = a.join(b, "plate_id").select("plate_id", kinematics.stage_quaternion(F.col("a"), F.col("b")).alias("q")).where(~Q.is_identity(F.col("q")))
@@ -671,7 +671,7 @@ def _(spark, d):
     for i, (a, b) in enumerate(sides):
         one = n.select((F.col("k") * 4 + i).alias("feature_id"), (F.col("k") % 7 + 100).alias("plate_id"), F.array(F.array(point(*a), point(0.5 * (a[0] + b[0]), 0.5 * (a[1] + b[1])), point(*b))).alias("rings"))
         lines = one if lines is None else lines.unionByName(one)
-    moved = reconstruct.by_plate(lines.withColumn("time", F.lit(60.0)), R.rotations(samples(spark), [60.0]), point=None, rings="rings")
+    moved = reconstruct.by_plate(lines.withColumn("time", F.lit(60.0)), R.rotations(samples(spark, d), [60.0]), point=None, rings="rings")
     geo = moved.select("time", "feature_id", F.element_at("rings", 1).alias("line"))
     sections = n.select(F.col("k").alias("topology_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("section_index")).select("topology_id", "section_index", (F.col("topology_id") * 4 + F.col("section_index")).alias("feature_id"), F.lit(False).alias("reverse"), F.lit(False).alias("is_interior"), F.lit(60.0).alias("time"))
     rings = topology.boundaries(topology.resolve_sections(sections, geo))

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import MODEL, C, customers, query, r6, rnd, rot_sql, samples, suppliers, table
+from .catalog import MODEL_SQL, C, customers, query, r6, rnd, rot_sql, samples, suppliers, table
 from .functions import palettes
 from .operators import coregistration
 from .operators import rotation_model as R
@@ -60,35 +60,41 @@ def _boxes(df: DataFrame, key, balance) -> DataFrame:
 
 # --- rotations ------------------------------------------------------------------------------------
 
-_ROWS = ", ".join(f"({s}, {m}, {f}, {t!r}e0, {la!r}e0, {lo!r}e0, {a!r}e0)" for s, m, f, t, la, lo, a in MODEL)
 
 
-@query("rotation_file_round_trip", f"SELECT CAST(moving AS BIGINT) AS moving, CAST(fixed AS BIGINT) AS fixed, time, lat, lon, angle, CAST(seq AS BIGINT) AS seq FROM (VALUES {_ROWS}) t(seq, moving, fixed, time, lat, lon, angle)")
+@query("rotation_file_round_trip", f"SELECT CAST(moving AS BIGINT) AS moving, CAST(fixed AS BIGINT) AS fixed, time, lat, lon, angle, CAST(seq AS BIGINT) AS seq FROM (SELECT *, t AS time FROM ({MODEL_SQL}) x) y")
 def _(spark, d):
     path = scratch(spark) + "/model.rot"
-    rows = samples(spark).withColumns({"line": F.monotonically_increasing_id(), "comment": F.lit(" a sample")})
+    rows = samples(spark, d).withColumns({"line": F.monotonically_increasing_id(), "comment": F.lit(" a sample")})
     registry.write(rows, path)
     return registry.read(spark, path).select("moving", "fixed", "time", "lat", "lon", "angle", "seq")
 
 
-_LINES = ["101  0.0  90.0 0.0 0.0 000 ! kept", "101 50.0 91.0 0.0 5.0 000 ! no such latitude", "102 10.0 0.0 0.0 1.0 102 ! about itself", "999 10.0 0.0 0.0 1.0 999 ! off", "not a pole", "", "103 5.0 10.0 20.0 3.0 101"]
-
-
-@query("rotation_read_errors", "SELECT * FROM (VALUES ('bad', 3), ('good', 3)) t(kind, lines)")
+@query("rotation_read_errors", "SELECT CASE WHEN c_custkey % 5 IN (1, 2, 3) THEN 'bad' ELSE 'good' END AS kind, CAST(count(*) AS INTEGER) AS lines FROM customer WHERE c_custkey % 7 > 0 GROUP BY 1")
 def _(spark, d):
-    """Lines that are no poles are kept apart, with their numbers."""
+    """Lines that are no poles are kept apart: latitudes that are none, plates about themselves,
+    words; empty lines are passed over, and switched-off ones are good."""
     path = scratch(spark) + "/lines"
-    spark.createDataFrame([(x, i) for i, x in enumerate(_LINES)], "value string, n int").orderBy("n").select("value").coalesce(1).write.text(path)
+    k = F.col("c_custkey")
+    made = lambda *c: F.concat_ws(" ", *c)
+    plate, time = (k % 900 + 1).cast("string"), (k % 200).cast("string")
+    line = F.when(k % 7 == 0, "").when(k % 5 == 1, made(plate, time, F.lit("91.0 0.0 5.0 000"))).when(k % 5 == 2, made(plate, time, F.lit("0.0 0.0 1.0"), plate)).when(k % 5 == 3, "not a pole").when(k % 5 == 4, made(F.lit("999"), time, F.lit("0.0 0.0 1.0 999"))).otherwise(made(plate, time, F.lit("10.0 20.0 3.0 000 ! kept")))
+    table(spark, d, "customer").select(line.alias("value")).write.text(path)
     good, bad = text.poles(spark, path)
     both = good.select(F.lit("good").alias("kind")).unionByName(bad.select(F.lit("bad").alias("kind")))
     return both.groupBy("kind").agg(F.count("*").cast("int").alias("lines"))
 
 
-@query("rotation_metadata_file", "SELECT * FROM (VALUES (0e0, 101, 0, 'A', 'x'), (10e0, 101, 0, 'A', 'y')) t(time, moving, fixed, author, note)")
+@query("rotation_metadata_file", "SELECT CAST(n_nationkey % 5 * 10 AS DOUBLE) AS time, CAST(101 + n_nationkey // 5 AS INTEGER) AS moving, 0 AS fixed, 'A' AS author, 'n' || n_nationkey AS note FROM nation")
 def _(spark, d):
+    """Five sequences of nations with their headers and notes, in lines of one file."""
     path = scratch(spark) + "/meta"
-    lines = ['@AUTHOR"A"', '> @MPRS:pid"101"', '101 0.0 90.0 0.0 0.0 000 @NOTE"x"', '101 10.0 40.0 30.0 5.0 000 @NOTE"y"']
-    spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, n int").orderBy("n").select("value").coalesce(1).write.text(path)
+    k = F.col("n_nationkey").cast("long")
+    plate = (101 + F.floor(k / 5)).cast("string")
+    pole = F.concat_ws(" ", plate, (k % 5 * 10).cast("double").cast("string"), F.lit("40.0 30.0"), (k % 5).cast("double").cast("string"), F.lit("000"), F.concat(F.lit('@NOTE"n'), k.cast("string"), F.lit('"')))
+    head = F.concat(F.lit('> @MPRS:pid"'), plate, F.lit('"'))
+    lines = F.when(k == 0, F.array(F.lit('@AUTHOR"A"'), head, pole)).when(k % 5 == 0, F.array(head, pole)).otherwise(F.array(pole))
+    table(spark, d, "nation").select(k.alias("k"), F.explode(lines).alias("value")).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
     rows = text.read_metadata_rotations(spark, path)
     return rows.select("time", F.col("moving").cast("int").alias("moving"), F.col("fixed").cast("int").alias("fixed"), F.col("attributes")["AUTHOR"].alias("author"), F.col("attributes")["NOTE"].alias("note"))
 
@@ -96,7 +102,7 @@ def _(spark, d):
 @query("inserted_rotation", f"WITH RECURSIVE {rot_sql([20.0, 60.0])} SELECT CAST(seq AS BIGINT) AS seq, time, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM e WHERE seq = 2")
 def _(spark, d):
     """A sample put in at 20 with no adjustment leaves the sequence as it was."""
-    more = R.with_adjustment(samples(spark), 101, 100, 20.0, 90.0, 0.0, 0.0, 2).where("seq = 2")
+    more = R.with_adjustment(samples(spark, d), 101, 100, 20.0, 90.0, 0.0, 0.0, 2).where("seq = 2")
     t = spark.createDataFrame([(20.0,), (60.0,)], "time double")
     return R.bracket(R.usable(more), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
 
@@ -105,7 +111,7 @@ def _(spark, d):
 def _(spark, d):
     """A model and features from files, through a session."""
     folder = scratch(spark)
-    registry.write(samples(spark).withColumns({"line": F.monotonically_increasing_id(), "comment": F.lit("")}), f"{folder}/model.rot")
+    registry.write(samples(spark, d).withColumns({"line": F.monotonically_increasing_id(), "comment": F.lit("")}), f"{folder}/model.rot")
     s = Session(spark)
     s.load(f"{folder}/model.rot")
     s.add("places", places(spark, d))
@@ -227,9 +233,16 @@ def _(spark, d):
     return rows.join(F.broadcast(ages.select("chron", "age")), "chron", "left").select("o_orderkey", "age")
 
 
-@query("pole_file", "SELECT * FROM (VALUES (55e0, 10e0, 20e0, 80e0, 150e0), (60e0, -10e0, 30e0, 70e0, 100e0)) t(age, site_lat, site_lon, lat, lon)")
+_VGP = "c_custkey % 60 + 1 AS age, c_custkey * 53 % 179 - 89 AS site_lat, c_custkey * 37 % 360 - 180 AS site_lon, c_custkey * 29 % 171 - 85 AS lat, c_custkey * 41 % 360 - 180 AS lon"
+
+
+@query("pole_file", f"SELECT CAST(age AS DOUBLE) AS age, CAST(site_lat AS DOUBLE) AS site_lat, CAST(site_lon AS DOUBLE) AS site_lon, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM (SELECT c_custkey, {_VGP} FROM customer) x WHERE c_custkey % 10 > 0")
 def _(spark, d):
-    path = _file(spark, ["a title", "9 30.0 5.0 55 10 20 350.0 40.0 3.0 4.0 80 150", "words and no pole", "8 20.0 6.0 60 -10 30 10.0 -20.0 2.0 3.0 70 100"])
+    """A pole a customer, in lines among which every tenth is none."""
+    path = scratch(spark) + "/poles"
+    c = table(spark, d, "customer").selectExpr("c_custkey", *_VGP.split(", "))
+    line = F.when(F.col("c_custkey") % 10 > 0, F.concat_ws(" ", F.lit("9 30.0 5.0"), "age", "site_lat", "site_lon", F.lit("350.0 40.0 3.0 4.0"), "lat", "lon")).otherwise(F.lit("words and no pole"))
+    c.select(line.alias("value")).write.text(path)
     return text.read_poles_file(spark, path).select("age", "site_lat", "site_lon", "lat", "lon")
 
 
@@ -301,7 +314,7 @@ def _(spark, d):
     from .plans.scripting import CoregistrationLayer
 
     s = Session(spark)
-    s.rotations["model"] = samples(spark)
+    s.rotations["model"] = samples(spark, d)
     seeds = parts(spark, d).select("seed_id", "v", (F.col("seed_id") % 7 + 100).alias("plate_id"))
     targets = suppliers(spark, d).withColumn("plate_id", F.col("target_id") % 7 + 100)
     config = [coregistration.Column_("supplier", "distance", "min", 2000.0, "distance"), coregistration.Column_("supplier", "n", "lookup", 2000.0, "number_in_region"), coregistration.Column_("supplier", "s_acctbal", "max", 2000.0)]

@@ -104,6 +104,13 @@ def _(spark, d):
     return topology.locate(customers(spark, d).select("id", "v"), outlines, blocks).select("id", "topology_id", "region")
 
 
+@query("polygon_area", f"WITH {_N}, g AS (SELECT *, {_QW}, {_QB} FROM n) SELECT topology_id, {rnd(f'abs({area(_WV[0], _WV[1], _WV[2])} + {area(_WV[0], _WV[2], _WV[3])}) - {_BLOCK_AREA}')} AS area FROM g")
+def _(spark, d):
+    """A box about each nation, less a hole."""
+    rings = F.array(*(F.array(*(_at(*p) for p in r)) for r in (_WIDE, _BLOCK)))
+    return nations(spark, d).select("topology_id", r6(S.polygon_area(rings)).alias("area"))
+
+
 _MID = ", ".join(f"(a{c} + h{c} + d{c}) / {norm(tuple(f'(a{k} + h{k} + d{k})' for k in 'xyz'))} AS {c}" for c in "xyz")  # type: ignore[arg-type]
 _HOLDS = " AND ".join(f"s * {dt(cr(vec(p), vec(q)), ('m.x', 'm.y', 'm.z'))} > 0" for p, q in (("a", "h"), ("h", "d"), ("d", "a")))
 
@@ -204,7 +211,7 @@ def _(spark, d):
     go where they change octants near an outline with another velocity."""
     lines = customers(spark, d).select("id", F.lit("polyline").alias("gtype"), F.array(F.array("v", S.from_lat_lon(F.col("lat"), F.col("lon") + 3))).alias("rings"))
     times = spark.createDataFrame([(t,) for t in _STEPS], "time double")
-    span = evolution.evolve(lines, octants(spark).crossJoin(times), R.rotations(samples(spark), _STEPS), _STEPS, 60.0, spacing=1.0)
+    span = evolution.evolve(lines, octants(spark).crossJoin(times), R.rotations(samples(spark, d), _STEPS), _STEPS, 60.0, spacing=1.0)
     got = evolution.reassembled(span.where("time in (40, 70)"))
     a, b = F.element_at("line", 1), F.element_at("line", -1)
     chord = F.sqrt(sum((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"))

@@ -314,7 +314,7 @@ _AS = f"hh AS (SELECT *, {_OCT_ID} AS hit FROM cv), asg AS (SELECT hh.id, CASE W
 @query("assign_plate_ids", f"WITH RECURSIVE {rot_sql([60.0])}, {C}, {_AS} SELECT id, CAST(plate AS BIGINT) AS plate_id, {', '.join(rnd(f'CASE WHEN alive THEN {e} ELSE v{c} END') + f' AS {c}' for e, c in zip(turn(conj(('w', 'x', 'y', 'z')), vec('v')), 'xyz', strict=True))} FROM asg")
 def _(spark, d):
     rows = customers(spark, d).withColumn("time", F.lit(60.0))
-    found = partition.assign_plates(rows, octants(spark), R.rotations(samples(spark), [60.0]))
+    found = partition.assign_plates(rows, octants(spark), R.rotations(samples(spark, d), [60.0]))
     return found.select("id", "plate_id", *xyz_out(F.col("v")))
 
 
@@ -322,7 +322,7 @@ def _(spark, d):
 def _(spark, d):
     """The site is the customer's point, the pole 30 degrees to its east."""
     rows = customers(spark, d).withColumns({"time": F.lit(60.0), "site": F.col("v"), "v": S.from_lat_lon(F.col("lat"), F.col("lon") + 30)})
-    found = partition.assign_poles(rows, octants(spark), R.rotations(samples(spark), [60.0]))
+    found = partition.assign_poles(rows, octants(spark), R.rotations(samples(spark, d), [60.0]))
     return found.select("id", "plate_id", *xyz_out(F.col("v")))
 
 
@@ -409,13 +409,13 @@ SELECT sd.id AS seed_id, any_value(sd.time) AS time, {rnd('min(km)')} AS km, cou
 @query("reconstruct_polygons", f"WITH RECURSIVE {rot_sql([60.0])}, {_TRI} SELECT id, {out(turn(tuple(f'coalesce(r.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0'), strict=True)), D))}, round({area(A, B, D)}, 9) + 0e0 AS area FROM tri LEFT JOIN rot r ON r.plate_id = id % 7 + 100")
 def _(spark, d):
     rows = triangles(spark, d).withColumns({"plate_id": F.col("id") % 7 + 100, "time": F.lit(60.0)})
-    moved = reconstruct.by_plate(rows, R.rotations(samples(spark), [60.0]), point=None, rings="rings")
+    moved = reconstruct.by_plate(rows, R.rotations(samples(spark, d), [60.0]), point=None, rings="rings")
     return moved.select("id", *xyz_out(F.element_at(F.element_at("rings", 1), 3)), (F.round(S.ring_area(F.element_at("rings", 1)), 9) + F.lit(0.0)).alias("area"))
 
 
 @query("geomagnetic_pole_visibility", f"WITH {C} SELECT kind, count(*) AS poles, sum(id)::BIGINT AS ids FROM (SELECT 'always' AS kind, id FROM c UNION ALL SELECT 'time_window', id FROM c WHERE begin_ BETWEEN 30 AND 120 UNION ALL SELECT 'about_age', id FROM c WHERE abs(begin_ - 60) <= 5) x GROUP BY kind")
 def _(spark, d):
-    rot = R.rotations(samples(spark), [60.0])
+    rot = R.rotations(samples(spark, d), [60.0])
     poles = customers(spark, d).withColumns({"time": F.lit(60.0), "age": F.col("begin"), "site": F.col("v")})
     all_ = None
     for kind in (reconstruct.ALWAYS, reconstruct.TIME_WINDOW, reconstruct.ABOUT_AGE):
@@ -434,13 +434,13 @@ def _(spark, d):
 @query("small_circle_centres", f"WITH RECURSIVE {rot_sql([60.0])}, {C} SELECT id, {out(turn(tuple(f'coalesce(r.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0'), strict=True)), ('cv.x', 'cv.y', 'cv.z')))}, 64 AS points FROM cv LEFT JOIN rot r ON r.plate_id = cv.plate_id")
 def _(spark, d):
     rows = customers(spark, d).withColumns({"time": F.lit(60.0), "radius": F.lit(10.0)})
-    made = reconstruct.small_circles(rows, R.rotations(samples(spark), [60.0]))
+    made = reconstruct.small_circles(rows, R.rotations(samples(spark, d), [60.0]))
     return made.select("id", *xyz_out(F.col("v")), F.size("ring").alias("points"))
 
 
 @query("stage_about_anchor", f"WITH RECURSIVE {rot_sql([20.0, 60.0])}, rel AS (SELECT a.time, a.plate_id, {named(mul(conj(quat('b.')), quat('a.')))} FROM rot a JOIN rot b ON b.time = a.time AND b.plate_id = 101), st AS (SELECT a.plate_id, {named(mul(quat('b.'), conj(quat('a.'))))} FROM rel a JOIN rel b ON b.plate_id = a.plate_id WHERE a.time = 20 AND b.time = 60), an AS (SELECT st.plate_id, {named(mul(quat('f.'), quat('st.')))}, e.w AS ew, e.x AS ex, e.y AS ey, e.z AS ez FROM st, (SELECT * FROM rot WHERE time = 60 AND plate_id = 101) f, (SELECT * FROM rot WHERE time = 20 AND plate_id = 101) e) SELECT CAST(plate_id AS BIGINT) AS plate_id, {_shown(mul(quat(''), conj(quat('e'))))} FROM an")
 def _(spark, d):
-    rot = R.rotations(samples(spark), [20.0, 60.0])
+    rot = R.rotations(samples(spark, d), [20.0, 60.0])
     at = lambda t, name: F.broadcast(rot.where(f"time = {t} and plate_id = 101").select(F.col("q").alias(name)))
     rows = R.stage(rot, None, 101, 20.0, 60.0).join(at(20, "_s")).join(at(60, "_e"))
     return rows.select("plate_id", R.about_anchor(F.col("q"), F.col("_s"), F.col("_e")).alias("q")).select("plate_id", *q_out(F.col("q")))
@@ -469,7 +469,7 @@ ORACLES["kinematic_series"] = f"WITH RECURSIVE {rot_sql([0.0, 1.0, 20.0, 21.0, 4
 def _(spark, d):
     """Velocities on half of the octants; the points of the others have none."""
     rows = customers(spark, d).withColumn("time", F.lit(60.0)).drop("plate_id")
-    got = kinematics.surface_velocities(rows, octants(spark).where("plate_id < 104"), R.rotations(samples(spark), [60.0, 61.0]), 1.0)
+    got = kinematics.surface_velocities(rows, octants(spark).where("plate_id < 104"), R.rotations(samples(spark, d), [60.0, 61.0]), 1.0)
     on_edge = F.when((F.col("v.x") <= 1e-9), "none").otherwise(F.col("reason"))
     return got.where((F.col("reason") == "none") == F.col("velocity").isNull()).groupBy(on_edge.alias("reason")).agg(F.count("*").alias("points"))
 
@@ -477,7 +477,7 @@ def _(spark, d):
 @query("solved_velocities", f"WITH {C} SELECT mode, count(*) AS points, count(*) FILTER (WHERE moves) AS moving FROM (SELECT 'surfaces' AS mode, {_OCT_ID} <= 105 AS moves FROM cv UNION ALL SELECT 'domain_points', plate_id <= 105 FROM cv) t GROUP BY 1")
 def _(spark, d):
     """By the octants' plates and by the points' own; the model has plates up to 105."""
-    rows, model = customers(spark, d).withColumn("time", F.lit(60.0)), R.rotations(samples(spark), [60.0, 61.0])
+    rows, model = customers(spark, d).withColumn("time", F.lit(60.0)), R.rotations(samples(spark, d), [60.0, 61.0])
     by = {"surfaces": kinematics.solved_velocities(rows.drop("plate_id"), model, 1.0, polygons=octants(spark)), "domain_points": kinematics.solved_velocities(rows, model, 1.0, "domain_points")}
     all_ = None
     for mode, df in by.items():
@@ -673,7 +673,7 @@ _STEP = f"hh AS (SELECT *, {_OCT_ID} AS hit FROM cv), sg AS (SELECT a.plate_id,
 def _(spark, d):
     """Points carried from 60 to 50 by the octants that hold them."""
     surfaces = octants(spark).withColumn("time", F.lit(60.0))
-    span = evolution.reconstruct_by_topologies(customers(spark, d).select("id", "v"), surfaces, R.rotations(samples(spark), [60.0, 50.0]), [60.0, 50.0])
+    span = evolution.reconstruct_by_topologies(customers(spark, d).select("id", "v"), surfaces, R.rotations(samples(spark, d), [60.0, 50.0]), [60.0, 50.0])
     return span.where("time = 50").select("id", "plate_id", *xyz_out(F.col("v")))
 
 
@@ -731,9 +731,9 @@ def _(spark, d):
 @query("samples_switched_off", f"WITH RECURSIVE {rot_sql([20.0, 60.0])} SELECT CAST(seq AS BIGINT) AS seq, time, {', '.join(f'{rnd(c)} AS {c}' for c in 'wxyz')} FROM e")
 def _(spark, d):
     """Samples that are switched off change nothing."""
-    off = samples(spark).withColumns({"disabled": F.lit(True), "time": F.col("time") + 7.0, "angle": F.col("angle") + 50.0})
+    off = samples(spark, d).withColumns({"disabled": F.lit(True), "time": F.col("time") + 7.0, "angle": F.col("angle") + 50.0})
     t = spark.createDataFrame([(20.0,), (60.0,)], "time double")
-    return R.bracket(R.usable(samples(spark).unionByName(off)), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
+    return R.bracket(R.usable(samples(spark, d).unionByName(off)), t).select("seq", "time", *(r6(F.col(f"q.{c}")).alias(c) for c in "wxyz"))
 
 
 _PQ = f"pq AS (SELECT value, CAST(o_orderkey % 36 * 5 - 87.5 AS DOUBLE) AS lat, CAST(o_orderkey % 72 * 5 - 177.5 AS DOUBLE) AS lon FROM (SELECT *, o_totalprice AS value FROM orders) o), pv AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM pq), ph AS (SELECT *, {_OCT_ID} AS hit FROM pv), pm AS (SELECT value, {named(turn(tuple(f'coalesce(r.{c}, {v})' for c, v in zip('wxyz', ('1e0', '0e0', '0e0', '0e0'), strict=True)), ('ph.x', 'ph.y', 'ph.z')), 'xyz')} FROM ph LEFT JOIN rot r ON r.plate_id = hit)"
@@ -745,7 +745,7 @@ def _(spark, d):
     from .catalog import pixels
 
     px = pixels(spark, d)
-    got = raster.reconstructed(px, octants(spark), R.rotations(samples(spark), [20.0]), 20.0, 5.0)
+    got = raster.reconstructed(px, octants(spark), R.rotations(samples(spark, d), [20.0]), 20.0, 5.0)
     # sums of cents over few pixels: more digits than these are noise, fewer are ties
     return got.select("row", "col", (F.round("value", 7) + F.lit(0.0)).alias("value"))
 

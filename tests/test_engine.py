@@ -11,7 +11,7 @@ from driftplane.functions import palettes
 from driftplane.functions import quaternion as Q
 from driftplane.functions import sphere as S
 from driftplane.operators import coregistration as C
-from driftplane.operators import evolution, hellinger, kinematics, partition, proximity, raster, reconstruct, topology
+from driftplane.operators import evolution, hellinger, kinematics, mesh, partition, proximity, raster, reconstruct, topology
 from driftplane.operators import rotation_model as R
 from driftplane.plans import cli
 from driftplane.plans.session import Session, time_series
@@ -329,7 +329,7 @@ def test_topology_is_closed_by_crossings(spark):
     sides = [np.array([p(-5, -8), p(-5, 0), p(-5, 8)]), np.array([p(-8, 5), p(0, 5), p(8, 5)]), np.array([p(5, 8), p(5, 0), p(5, -8)]), np.array([p(8, -5), p(0, -5), p(-8, -5)])]
     ring = topology.assemble(sides, [False] * 4)
     assert len(ring) == 8
-    tri = topology.delaunay(np.array([[0.0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.4]]))
+    tri = mesh.delaunay(np.array([[0.0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.4]]))
     area = lambda t: abs(np.linalg.det(np.array([[*x, 1] for x in np.array([[0.0, 0], [1, 0], [1, 1], [0, 1], [0.5, 0.4]])[t]]))) / 2
     assert len(tri) == 4 and sum(map(area, tri)) == pytest.approx(1)
 

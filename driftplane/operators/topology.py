@@ -228,10 +228,13 @@ def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STR
     its ``block`` if its middle is inside an interior section marked ``is_block`` (a polygon:
     of several, the least feature), else ``deforming``.  With ``forced``, edges of the boundary
     and of blocks are edges of faces: those that are not are halved until they are.  Boundaries
-    of fewer than three points make no network."""
+    of fewer than three points make no network; one that reaches a quarter turn from its middle
+    is refused."""
     keys = list(mesh.KEYS)
     rings = boundaries(resolved).withColumn("centre", S.centroid(F.col("ring")))
     rings = shared.settled(rings)
+    if not rings.where(F.exists("ring", lambda p: S.dot(p, F.col("centre")) < 1e-6)).isEmpty():
+        raise ValueError("a network that reaches a quarter turn from its middle")
     nets = rings.select(*keys, "centre")
     inner = resolved.where(F.coalesce("is_interior", F.lit(False)))
     flagged = F.coalesce("is_block", F.lit(False)) if "is_block" in resolved.columns else F.lit(False)

@@ -117,6 +117,15 @@ def test_network_with_a_block(spark):
     assert sum(plain.values()) == pytest.approx(ring(BOX), rel=1e-2) and network(spark, False).count() == 2 * 44 + 4 - 2
 
 
+def test_networks_without_rows_and_too_wide(spark):
+    none = sections(spark, [("n", 0, 0, BOX, False, False)]).limit(0)
+    assert topology.networks(none).count() == 0 and topology.networks(none, forced=True).count() == 0
+    assert mesh.triangulated(frame(spark, {"a": [(0, 0)]}).limit(0)).count() == 0
+    wide = [("n", i, i, [p, p], False, False) for i, p in enumerate([(80, 0), (-60, 120), (-60, -120)])]
+    with pytest.raises(ValueError, match="quarter turn"):
+        topology.networks(sections(spark, wide))
+
+
 def test_location_has_three_answers(spark):
     shape = lambda name, pts: spark.createDataFrame([(name, [{"a": float(a), "o": float(o)} for a, o in pts])], "topology_id string, p array<struct<a: double, o: double>>").withColumn("ring", F.transform("p", lambda q: S.from_lat_lon(q["a"], q["o"]))).drop("p")
     outlines = shape("n", BOX).unionByName(shape("m", [(20, 20), (20, 30), (30, 30), (30, 20)]))

@@ -72,10 +72,10 @@ def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS) -> D
     """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon."""
     side = F.broadcast if _corners(polygons) <= few else (lambda x: x)
     indexed, used = _in_cells(polygons)
-    index = indexed.select(F.xxhash64("hit", "priority", "_rings").alias("_k"), F.col("_level").alias("_l"), "_cell", "_centre", "_cos")
+    index = indexed.select(F.xxhash64("hit", "priority", "_rings").alias("_k"), F.col("_level").alias("_in_level"), F.col("_cell").alias("_in_cell"), "_centre", "_cos")
     shapes = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings")).withColumn("_k2", F.xxhash64("hit", "priority", "_rings"))
-    rows = points.withColumn("_at", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_c", _cell(F.col("_at")))
-    near = rows.join(side(index), (F.col("_at") == F.col("_l")) & (F.col("_c") == F.col("_cell"))).where(_near()).drop("_at", "_c", "_l", "_cell", "_centre", "_cos")
+    rows = points.withColumn("_of_level", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_of_cell", _cell(F.col("_of_level")))
+    near = rows.join(side(index), (F.col("_of_level") == F.col("_in_level")) & (F.col("_of_cell") == F.col("_in_cell"))).where(_near()).drop("_of_level", "_of_cell", "_in_level", "_in_cell", "_centre", "_cos")
     found = near.join(side(shapes), F.col("_k") == F.col("_k2")).where(S.point_in_polygon(F.col("v"), F.col("_rings")))
     return found.drop("_k", "_k2", "_rings")
 
@@ -96,10 +96,10 @@ def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", few: i
         step = lambda acc, x: F.when(acc.isNotNull(), acc).when(test(x), F.struct(x["priority"].alias("priority"), x["hit"].alias("hit")))
         rows, names = points, []
         for at in used:
-            of = lists.where(F.col("_level") == at).select(F.col("_cell").alias("_k"), "_list")
-            rows = rows.withColumn("_c", _cell(at)).join(F.broadcast(of), F.col("_c") == F.col("_k"), "left")
+            of = lists.where(F.col("_level") == at).select(F.col("_cell").alias("_in_cell"), "_list")
+            rows = rows.withColumn("_of_cell", _cell(at)).join(F.broadcast(of), F.col("_of_cell") == F.col("_in_cell"), "left")
             names.append(f"_h{len(names)}")
-            rows = rows.withColumn(names[-1], F.aggregate(F.coalesce("_list", F.slice("_list", 1, 0)), none, step)).drop("_c", "_k", "_list")
+            rows = rows.withColumn(names[-1], F.aggregate(F.coalesce("_list", F.slice("_list", 1, 0)), none, step)).drop("_of_cell", "_in_cell", "_list")
         best = F.array_min(F.array(*names))["hit"] if names else F.lit(None).cast(kinds["hit"])
         return rows.withColumn("hit", best).drop(*names)
     best = hits(points, polygons, few=few).groupBy(key).agg(F.min_by("hit", "priority").alias("hit"))

@@ -312,10 +312,11 @@ def small_circle_great_circle(centre: Column, radius: Column, pole: Column) -> C
     an array of no, one or two points."""
 
     def meet(d: Column) -> Column:
-        base = scale(add(centre, scale(pole, -d)), F.cos(radius) / (1 - d * d))
+        # null where the circle's centre is a pole of the plane: they are parallel
+        base = scale(add(centre, scale(pole, -d)), F.cos(radius) / F.nullif(1 - d * d, F.lit(0.0)))
 
         def from_base(base: Column, left: Column, along: Column) -> Column:
-            step = F.sqrt(F.greatest(left, F.lit(0.0))) / norm(along)
+            step = F.sqrt(F.greatest(left, F.lit(0.0))) / F.nullif(norm(along), F.lit(0.0))
             two = F.array(add(base, scale(along, step)), add(base, scale(along, -step)))
             none = F.slice(two, F.lit(1), F.lit(0))
             return F.when((1 - d * d < EPSILON) | (left < -EPSILON), none).when(F.abs(left) <= EPSILON, F.slice(two, F.lit(1), F.lit(1))).otherwise(two)

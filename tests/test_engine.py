@@ -692,3 +692,10 @@ def test_surface_velocities(spark):
     pts = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (2, 40.0, 0.0, 1.0)], "id long, lat double, lon double, time double").withColumn("v", S.from_lat_lon("lat", "lon"))
     out = {r.id: r for r in kinematics.surface_velocities(pts, polys, R.rotations(m, [1.0, 2.0]), 1.0).collect()}
     assert out[1].reason == "in_boundary" and out[1].velocity is not None and out[2].reason == "none" and out[2].velocity is None
+
+
+def test_small_circle_about_the_planes_pole(spark):
+    v = lambda a, o: S.from_lat_lon(F.lit(float(a)), F.lit(float(o)))
+    n = lambda c, p: F.size(S.small_circle_great_circle(c, F.lit(0.6), p))
+    same, opposite, across = v(0, 0), v(0, 180), v(20, 90)
+    assert tuple(spark.range(1).select(n(same, same).alias("a"), n(same, v(0, 180)).alias("b"), n(v(90, 0), v(-90, 0)).alias("c"), n(opposite, across).alias("d")).first()) == (0, 0, 0, 2)

@@ -372,13 +372,9 @@ _J = f"{P}, {T}, j AS (SELECT seed_id, target_id, s_acctbal, s_nationkey, acos(g
 
 @query("coreg_weighted_mean", f"WITH {_J} SELECT p.seed_id, {rnd('sum(s_acctbal * km) / sum(km)')} AS r0 FROM p LEFT JOIN j ON j.seed_id = p.seed_id GROUP BY p.seed_id")
 def _(spark, d):
-    """Balances weighed by distance from the seed: the weight is a column of the pairs."""
-    t = suppliers(spark, d)
-    pairs = coregistration.within(parts(spark, d).select("seed_id", "v"), t.select("target_id", "v", "s_acctbal"), 3000.0)
-    one = coregistration.Column_("t", "s_acctbal", "weighted_mean", 3000.0, weight="dist_km")
-    agg = coregistration.reduced(one, "s_acctbal", "double", F.lit(True), F.lit(True))
-    found = pairs.withColumn("_w_s_acctbal", F.col("dist_km")).groupBy("seed_id").agg(r6(agg).alias("r0"))
-    return parts(spark, d).select("seed_id").join(found, "seed_id", "left")
+    """Balances weighed by distance from the seed."""
+    got = _coreg(spark, d, suppliers(spark, d), ("property", "s_acctbal", "weighted_mean", 3000.0, {"weight": "dist_km"}))
+    return got.withColumn("r0", r6(F.col("r0")))
 
 
 @query("coreg_percentile", f"WITH {_J}, w AS (SELECT seed_id, s_acctbal, row_number() OVER (PARTITION BY seed_id ORDER BY s_acctbal) AS o, count(*) OVER (PARTITION BY seed_id) AS n FROM j WHERE s_acctbal IS NOT NULL) SELECT p.seed_id, s_acctbal AS r0 FROM p LEFT JOIN w ON w.seed_id = p.seed_id AND o = greatest(1, CAST(ceil(n * 90e0 / 100) AS BIGINT))")

@@ -699,3 +699,31 @@ def test_small_circle_about_the_planes_pole(spark):
     n = lambda c, p: F.size(S.small_circle_great_circle(c, F.lit(0.6), p))
     same, opposite, across = v(0, 0), v(0, 180), v(20, 90)
     assert tuple(spark.range(1).select(n(same, same).alias("a"), n(same, v(0, 180)).alias("b"), n(v(90, 0), v(-90, 0)).alias("c"), n(opposite, across).alias("d")).first()) == (0, 0, 0, 2)
+
+
+def test_seeds_and_targets_of_one_place_are_a_site(spark):
+    seeds = spark.createDataFrame([(i, 0.0, 10.0 * (i % 2), True) for i in range(40)], SEEDS).withColumn("v", S.from_lat_lon("lat", "lon"))
+    # target 99 is at two places, and is one target
+    rows = [(i, 1.0 * (i % 2), float(i), "ab"[i % 3 == 0]) for i in range(60)] + [(99, 0.0, 7.0, "b"), (99, 1.0, 7.0, "b")]
+    t = spark.createDataFrame(rows, "target_id long, lat double, x double, s string").withColumn("v", S.from_lat_lon("lat", F.lit(0.0)))
+    named, sites = C.seed_sites(seeds, "seed_id")
+    assert sites.count() == 2 and {(r.seed_id, r._s) for r in named.collect()} == {(i, i % 2) for i in range(40)}
+    config = [C.Column_("t", "x", "lookup", 500.0), C.Column_("t", "n", "lookup", 500.0, "number_in_region"), C.Column_("t", "x", "percentile", 500.0, percent=10.0), C.Column_("t", "s", "vote", 500.0), C.Column_("t", "x", "mean", 500.0)]
+    out = {r[0]: tuple(r[1:]) for r in C.coregister(seeds, {"t": t.withColumn("input_order", -F.col("target_id"))}, config).collect()}
+    assert all(out[i] == (7.0, 61, 6.0, "a", pytest.approx((sum(range(60)) + 14) / 62)) for i in range(0, 40, 2))
+    assert all(out[i][:2] == (None, 0) for i in range(1, 40, 2))
+
+
+def test_lookup_of_equal_distances_takes_the_first(spark):
+    seeds = spark.createDataFrame([(1, 0.0, 0.0, True)], SEEDS).withColumn("v", S.from_lat_lon("lat", "lon"))
+    t = spark.createDataFrame([(1, 1.0, 5.0), (2, 1.0 - 1e-9, 6.0)], "target_id long, lat double, x double").withColumn("v", S.from_lat_lon("lat", F.lit(0.0)))
+    found = lambda **k: C.coregister(seeds, {"t": t}, [C.Column_("t", "x", "lookup", 500.0, **k)]).first()[1]
+    assert found() == 6.0 and found(tie_km=1e-6) == 5.0
+
+
+def test_pixels_of_one_place_are_summed_first(spark):
+    px = spark.createDataFrame([(0.0, 0.0, float(i), 1.0) for i in range(9)] + [(0.0, 60.0, 5.0, 1.0)], "lat double, lon double, value double, coverage double")
+    assert raster._places(px.select(S.from_lat_lon("lat", "lon").alias("v"), "value", F.col("coverage").alias("weight"))).count() == 2
+    seeds = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 120.0)], "seed_id long, lon double").withColumn("v", S.from_lat_lon(F.lit(0.0), "lon"))
+    out = {r.seed_id: (r.min, r.max, r.mean, r.pixels) for r in raster.region_statistics(seeds, px, 500.0).collect()}
+    assert out == {1: (0.0, 8.0, 4.0, 9), 2: (0.0, 8.0, 4.0, 9), 3: (None, None, None, None)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from ..functions import sphere as S
-from . import coregistration, partition, proximity
+from . import coregistration, partition, proximity, shared
 from . import rotation_model as R
 
 
@@ -26,30 +26,39 @@ def moments(value: Column, weight: Column, about: Column | float = 0.0) -> dict[
     return {"mean": F.when(s0 > 0, F.max(F.lit(about) if isinstance(about, float) else about) + mean), "std_dev": F.when(s0 > 0, F.sqrt(F.greatest(s2 / s0 - mean * mean, F.lit(0.0))))}
 
 
-def _regions(seeds: DataFrame, px: DataFrame, range_km: float, seed: str, fill_polygons: bool) -> DataFrame:
-    """(seed, pixel columns) of the pixels in each seed's region: a cap about a point, a band
+def _places(px: DataFrame) -> DataFrame:
+    """Pixels (v, value, weight) as sums of each place: what :func:`region_statistics` needs."""
+    middle = px.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("_middle"))  # one row
+    x, w = F.col("value") - F.col("_middle"), F.col("weight")
+    return px.join(F.broadcast(middle)).groupBy("v").agg(F.min("value").alias("_min"), F.max("value").alias("_max"), F.sum("weight").alias("_s0"), F.sum(w * x).alias("_s1"), F.sum(w * x * x).alias("_s2"), F.count("*").alias("_n"), F.max("_middle").alias("_middle"))
+
+
+def _regions(sites: DataFrame, places: DataFrame, range_km: float, fill_polygons: bool) -> DataFrame:
+    """(_s, columns of places) of the places in each site's region: a cap about a point, a band
     about lines and outlines, and, if asked, the interior of polygons."""
-    if "rings" not in seeds.columns:
-        return coregistration.within(seeds.select(seed, "v"), px, range_km, seed=seed)
+    if "rings" not in sites.columns:
+        return coregistration.within(sites, places, range_km, seed="_s")
     closed = F.transform("rings", lambda r: F.concat(r, F.slice(r, F.lit(1), F.lit(1))))
     outline = (F.col("gtype") == "polygon") & F.lit(not fill_polygons)
-    shapes = seeds.select(seed, F.when(outline, "polyline").otherwise(F.col("gtype")).alias("gtype"), F.when(outline, closed).otherwise(F.col("rings")).alias("rings"))
-    places = px.select(F.col("v").alias("_at")).distinct().select("_at", F.lit("point").alias("gtype"), F.array(F.array("_at")).alias("rings"))
-    found = proximity.pairs_within(shapes, places, range_km, left_key=seed, right_key="_at").drop("dist_km")
-    return found.join(px, F.col("_at") == F.col("v")).drop("_at", "v")
+    shapes = sites.select("_s", F.when(outline, "polyline").otherwise(F.col("gtype")).alias("gtype"), F.when(outline, closed).otherwise(F.col("rings")).alias("rings"))
+    spots = places.select(F.col("v").alias("_at"), F.lit("point").alias("gtype"), F.array(F.array("v")).alias("rings"))
+    found = proximity.pairs_within(shapes, spots, range_km, left_key="_s", right_key="_at").drop("dist_km")
+    return found.join(places, F.col("_at") == F.col("v")).drop("_at", "v")
 
 
 def region_statistics(seeds: DataFrame, pixels: DataFrame, range_km: float, *, seed: str = "seed_id", level: int | None = None, fill_polygons: bool = True) -> DataFrame:
     """Min, max, mean and deviation of the pixels in each seed's region; pixels weigh by
     coverage and area; empty (null) where none has coverage.  Seeds are points (``v``) or
-    geometries (gtype, rings)."""
+    geometries (gtype, rings).  Pixels of one place are summed first, and seeds of one place
+    or shape are a site."""
     px = pixels if level is None else pixels.where(F.col("level") == level)
     px = px.where(F.coalesce(F.col("coverage"), F.lit(1.0)) > 0).select(S.from_lat_lon("lat", "lon").alias("v"), "value", (F.coalesce(F.col("coverage"), F.lit(1.0)) * F.cos(F.radians("lat"))).alias("weight"))
-    middle = px.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("_middle"))  # one row
-    pairs = _regions(seeds, px, range_km, seed, fill_polygons).join(F.broadcast(middle))
-    m = moments(F.col("value"), F.col("weight"), F.col("_middle"))
-    found = pairs.groupBy(seed).agg(F.min("value").alias("min"), F.max("value").alias("max"), m["mean"].alias("mean"), m["std_dev"].alias("std_dev"), F.count("*").alias("pixels"))
-    return seeds.select(seed).distinct().join(found, seed, "left") if "rings" in seeds.columns else seeds.select(seed).join(found, seed, "left")
+    named, sites = coregistration.seed_sites(seeds, seed)
+    pairs = _regions(sites, shared.settled(_places(px)), range_km, fill_polygons)
+    mean = F.sum("_s1") / F.nullif(F.sum("_s0"), F.lit(0.0))
+    std_dev = F.sqrt(F.greatest(F.sum("_s2") / F.nullif(F.sum("_s0"), F.lit(0.0)) - mean * mean, F.lit(0.0)))
+    found = pairs.groupBy("_s").agg(F.min("_min").alias("min"), F.max("_max").alias("max"), (F.max("_middle") + mean).alias("mean"), std_dev.alias("std_dev"), F.sum("_n").alias("pixels"))
+    return named.join(found, "_s", "left").drop("_s")
 
 
 @dataclass(frozen=True)

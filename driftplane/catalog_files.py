@@ -250,7 +250,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark) + "/picks"
     rows = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("line"), (F.col("l_suppkey") % 2 == 1).alias("moving"), F.col("l_linenumber").cast("int").alias("segment"), F.col("l_quantity").cast("double").alias("lat"), F.lit(1.5).alias("lon"), F.lit(5.0).alias("sigma"), F.lit(True).alias("enabled"))
-    text.write_lines(vectors.pick_lines(rows), path)
+    text.write_lines(vectors.pick_lines(rows), path, parts=True)
     return text.read_picks(spark, path).groupBy("segment", "moving", "lat").agg(F.count("*").alias("picks"))
 
 

@@ -19,6 +19,17 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", (F.col("line") + 1).alias("line"), "value")
 
 
+def part_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`file_lines`, for formats whose lines tell all by themselves: large files are
+    read in parts, by many tasks, and no task holds a file."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"), "value")
+    # a row a part: its first number, and how many lines its file has before it
+    parts = rows.groupBy("file", "_block").agg(F.min("_n").alias("_first"), F.count("*").alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("file").orderBy("_block")) - F.col("_lines")
+    parts = parts.select("file", "_block", (before - F.col("_first") + 1).alias("_from"))
+    return rows.join(F.broadcast(parts), ["file", "_block"]).select("file", (F.col("_n") + F.col("_from")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
 def per_file(lines: DataFrame, parse: Callable[[list[tuple[int, str]]], Iterable[tuple]], schema: str) -> DataFrame:
     """Applies a parser of (line, value) pairs to each file."""
     names = [c.split(":")[0].strip().split()[0] for c in _fields(schema)]
@@ -87,9 +98,12 @@ def rotation_lines(samples: DataFrame) -> DataFrame:
     return samples.select("line", value.alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str, order: str = "line") -> None:
-    """Lines in one text file (these formats are ordered); for files of bounded size."""
-    lines.orderBy(order).select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, order: str = "line", parts: bool = False) -> None:
+    """Lines in one text file (these formats are ordered); for files of bounded size.
+    ``parts``: in as many files as there are tasks, each with the lines that follow those of
+    the one before, for formats whose lines tell all by themselves."""
+    rows = lines.orderBy(order).select("value")
+    (rows if parts else rows.coalesce(1)).write.mode("overwrite").text(path)
 
 
 def read_metadata_rotations(spark: SparkSession, path: str) -> DataFrame:
@@ -238,7 +252,7 @@ def read_age_model(spark: SparkSession, path: str) -> DataFrame:
 def read_picks(spark: SparkSession, path: str) -> DataFrame:
     """Pole-fit picks: ``plate segment latitude longitude sigma`` a line, plate 1 or 2 (31 and
     32 are picks switched off); the second plate moves."""
-    lines = file_lines(spark, path)
+    lines = part_lines(spark, path)
     p = F.split(F.trim("value"), r"[\s,]+")
     rows = lines.where(F.size(p) >= 5).select("file", "line", F.get(p, 0).try_cast("int").alias("_c"), F.get(p, 1).try_cast("int").alias("segment"), *(F.get(p, i).try_cast("double").alias(n) for i, n in ((2, "lat"), (3, "lon"), (4, "sigma"))))
     return rows.where("_c in (1, 2, 31, 32)").select("file", "line", ((F.col("_c") % 10) == 2).alias("moving"), "segment", "lat", "lon", "sigma", (F.col("_c") < 10).alias("enabled"))

@@ -122,7 +122,7 @@ def _(spark, d):
     corner = [F.col("rings")[0][i] for i in range(3)]
     points = tri.select("id", S.normalise(S.add(S.add(corner[0], corner[1]), corner[2])).alias("v"))
     faces = tri.select(F.col("id").alias("plate_id"), "rings", F.struct("id").alias("priority"))
-    return partition.hits(points, faces).select("id", F.col("hit").alias("topology_id"))
+    return partition.hits(points, faces, copies=True).select("id", F.col("hit").alias("topology_id"))
 
 
 def _mesh(spark, d) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from ..functions import sphere as S
-from . import mesh
+from . import mesh, shared
 from . import rotation_model as R
 
 #: Kinds of partitioning geometry, first served first.
@@ -68,8 +68,17 @@ def _near() -> Column:
     return (F.col("_cos") < 0) | (S.dot(F.col("v"), F.col("_centre")) >= F.col("_cos") - 1e-9)
 
 
-def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS) -> DataFrame:
-    """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon."""
+def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS, copies: bool = False) -> DataFrame:
+    """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon.
+
+    ``copies``: many points have one place, or polygons one shape; places and shapes are tested
+    once, and their points and polygons joined to what is found."""
+    if copies:
+        shape = F.xxhash64("rings")
+        shapes = polygons.select(shape.alias("plate_id"), "rings").dropDuplicates(["plate_id"]).withColumn("priority", F.lit(0))
+        met = shared.settled(hits(shared.settled(points.select("v").distinct()), shared.settled(shapes), few=few).select("v", F.col("hit").alias("_shape")))
+        named = polygons.select(F.col("plate_id").alias("hit"), "priority", shape.alias("_shape"))
+        return points.join(met, "v").join(named, "_shape").select(*points.columns, "hit", "priority")
     side = F.broadcast if _corners(polygons) <= few else (lambda x: x)
     indexed, used = _in_cells(polygons)
     index = indexed.select(F.xxhash64("hit", "priority", "_rings").alias("_k"), F.col("_level").alias("_in_level"), F.col("_cell").alias("_in_cell"), "_centre", "_cos")

@@ -404,7 +404,9 @@ def natural_rows(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFr
     a sum over the faces whose circles hold the point, of the signed areas between the
     circle's middle and those of the circles through the point and two corners; so points meet
     faces by cells of the circles' size, and weights are one sum by point and vertex.  Points
-    are moved by 1e-9 of a radian, since on a line through two vertices circles are endless."""
+    of one place are weighed once.  Points are moved by 1e-9 of a radian, since on a line
+    through two vertices circles are endless."""
+    named, points = points.select(key, "v", "topology_id"), points.select("v", "topology_id").distinct().withColumn(key, F.xxhash64("v"))
     flat = lambda i: in_plane(F.element_at("vertices", i), F.col("centre"))
     f = once(faces.select("topology_id", "vertices", "centre"), _t=F.struct(*(flat(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c")))))
     f = once(f, _c=_circle(F.col("_t.a"), F.col("_t.b"), F.col("_t.c")))
@@ -424,4 +426,5 @@ def natural_rows(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFr
     each = F.array(*(F.struct(F.element_at("vertices", i + 1).alias("vertex"), (turned * s).alias("w")) for i, s in enumerate(shares)))
     rows = met.select(key, "v", "topology_id", F.explode(each).alias("e")).groupBy(key, "v", "topology_id", "e.vertex").agg(F.sum("e.w").alias("w"))
     total = rows.groupBy(key, "topology_id").agg(F.sum("w").alias("_all"))
-    return rows.join(total, [key, "topology_id"]).where("_all <> 0").select(key, "v", "topology_id", "vertex", (F.col("w") / F.col("_all")).alias("w"))
+    weights = rows.join(total, [key, "topology_id"]).where("_all <> 0").select("v", "topology_id", "vertex", (F.col("w") / F.col("_all")).alias("w"))
+    return named.join(weights, ["v", "topology_id"]).select(key, "v", "topology_id", "vertex", "w")

@@ -313,9 +313,15 @@ def _centres(faces: DataFrame) -> DataFrame:
 
 def strain_at(points: DataFrame, faces: DataFrame, smoothing: str = "natural_neighbour", key: str = "id") -> DataFrame:
     """Points (id, v) in a network's faces (topology_id, face, vertices, g) with the gradient
-    there: the face's, or that of vertices by barycentric or natural-neighbour weights."""
+    there: the face's, or that of vertices by barycentric or natural-neighbour weights.  Points
+    of one place are worked out once."""
     if smoothing not in SMOOTHING:
         raise ValueError(f"smoothing is one of {SMOOTHING}")
+    places = points.select("v").distinct().withColumn(key, F.xxhash64("v"))
+    return points.select(key, "v").join(_strain_of(places, faces, smoothing, key).select("v", "g"), "v").select(key, "v", "g")
+
+
+def _strain_of(points: DataFrame, faces: DataFrame, smoothing: str, key: str) -> DataFrame:
     hit = located(points, faces, key=key).where("hit is not null").select(key, "v", "hit.topology_id", "hit.face")
     inside = hit.join(faces.select("topology_id", "face", "vertices", F.col("g").alias("_face_g")), ["topology_id", "face"])
     if smoothing == "none":

@@ -6,6 +6,7 @@ All functions build Catalyst expressions; nothing here runs Python on executors.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -289,9 +290,17 @@ def destination(v: Column, azimuth: Column, distance: Column) -> Column:
     return add(scale(v, F.cos(distance)), scale(d, F.sin(distance)))
 
 
+@bound
 def small_circle(centre: Column, radius: Column, n: int) -> Column:
-    """n points of a small circle (radius in radians)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: destination(centre, 2 * 3.141592653589793 * i / n, radius))
+    """n points of a small circle (radius in radians), as :func:`destination` gives them; what all
+    points share is computed once."""
+    turns = [2 * math.pi * i / n for i in range(n)]
+    steps = F.array(*(F.struct(F.lit(math.cos(t)).alias("c"), F.lit(math.sin(t)).alias("s")) for t in turns))
+    p, m = F.asin(clamp(centre["z"])), F.atan2(centre["y"], centre["x"])
+    north = vector(-F.sin(p) * F.cos(m), -F.sin(p) * F.sin(m), F.cos(p))
+    east = vector(-F.sin(m), F.cos(m), F.lit(0.0))
+    point = lambda a, u, w, t: vector(*(a[c] + u[c] * t["c"] + w[c] * t["s"] for c in "xyz"))
+    return let(lambda a, u, w: F.transform(steps, lambda t: point(a, u, w, t)), scale(centre, F.cos(radius)), scale(north, F.sin(radius)), scale(east, F.sin(radius)))
 
 
 @bound

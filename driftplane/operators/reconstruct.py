@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import quaternion as Q
 from ..functions import sphere as S
 from . import rotation_model as R
+from . import shared
 
 
 def valid_at(time: Column | float, begin: Column, end: Column) -> Column:
@@ -63,7 +64,7 @@ def by_half_stage(features: DataFrame, model: DataFrame, begin: float = 0.0, ste
 
 def small_circles(features: DataFrame, rot: DataFrame, n: int = 64) -> DataFrame:
     """Rotates the centre ``v``, keeps the radius (degrees), and adds the circle's points."""
-    return by_plate(features, rot).withColumn("ring", S.small_circle(F.col("v"), F.radians("radius"), n))
+    return by_plate(shared.spread(features), rot).withColumn("ring", S.small_circle(F.col("v"), F.radians("radius"), n))
 
 
 #: When a geomagnetic pole is shown.

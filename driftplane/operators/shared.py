@@ -30,3 +30,9 @@ def settled(df: DataFrame) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(to)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to as many tasks as shuffles have, for work that is dear for each row: a
+    small file is one task, however much there is to do for its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -93,7 +93,7 @@ def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", few: i
     """Each point with the plate of the first polygon that holds it; null if none does.
 
     Where the polygons of all cells are few, each cell's are one broadcast list a level, and
-    points are not shuffled at all."""
+    points are only spread over all tasks."""
     indexed, used = _in_cells(polygons)
     if _corners(indexed, "_rings") <= few:
         one = F.struct("priority", "hit", "_rings", "_centre", "_cos")
@@ -103,7 +103,7 @@ def first_hit(points: DataFrame, polygons: DataFrame, *, key: str = "id", few: i
         kinds = dict(indexed.dtypes)
         none = F.lit(None).cast(f"struct<priority: {kinds['priority']}, hit: {kinds['hit']}>")
         step = lambda acc, x: F.when(acc.isNotNull(), acc).when(test(x), F.struct(x["priority"].alias("priority"), x["hit"].alias("hit")))
-        rows, names = points, []
+        rows, names = shared.spread(points), []
         for at in used:
             of = lists.where(F.col("_level") == at).select(F.col("_cell").alias("_in_cell"), "_list")
             rows = rows.withColumn("_of_cell", _cell(at)).join(F.broadcast(of), F.col("_of_cell") == F.col("_in_cell"), "left")

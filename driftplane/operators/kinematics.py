@@ -9,6 +9,7 @@ from ..functions import projections as P
 from ..functions import quaternion as Q
 from ..functions import sphere as S
 from . import rotation_model as R
+from . import shared
 
 #: Kilometres per million years to centimetres a year; area of the sphere as
 #: published tables state it, over the sum of cos(latitude) of a whole-degree grid.
@@ -65,7 +66,7 @@ def point_velocities(points: DataFrame, model: DataFrame, delta: float, kind: st
 def kinematic_series(points: DataFrame, model: DataFrame, times: list[float], delta: float = 1.0, kind: str = "t_plus") -> DataFrame:
     """Latitude, longitude, speed, azimuth and components of points through time."""
     t = F.explode(F.array(*[F.lit(float(x)) for x in times]))
-    rows = R.lookup(points.withColumn("time", t), model, out="_q").withColumn("v", Q.rotate(F.col("_q"), F.col("v"))).drop("_q")
+    rows = R.lookup(shared.spread(points).withColumn("time", t), model, out="_q").withColumn("v", Q.rotate(F.col("_q"), F.col("v"))).drop("_q")
     rows = point_velocities(rows, model, delta, kind).withColumn("lat", S.lat(F.col("v"))).withColumn("lon", S.lon(F.col("v")))
     out = rows.withColumn("_m", magnitude_azimuth(F.col("velocity"), F.col("lat"), F.col("lon"))).withColumn("_c", colatitude_longitude(F.col("velocity"), F.col("lat"), F.col("lon")))
     return out.withColumns({"speed": F.col("_m.magnitude"), "azimuth": F.degrees("_m.azimuth"), "vel_colat": F.col("_c.colat"), "vel_lon": F.col("_c.lon")}).drop("_m", "_c")

@@ -41,6 +41,15 @@ def _tasks(df):
     return df.rdd.getNumPartitions()
 
 
+def test_points_of_one_task_are_spread(spark):
+    points = _one_task(spark)
+    assert _tasks(points) == 1
+    assert _tasks(partition.first_hit(points, _quarters(spark))) > 1
+    plates = points.withColumn("plate_id", F.lit(1).cast("long"))
+    assert _tasks(kinematics.kinematic_series(plates, _model(spark), [0.0, 60.0])) > 1
+    assert _tasks(reconstruct.small_circles(plates.withColumns({"time": F.lit(60.0), "radius": F.lit(10.0)}), _model(spark))) > 1
+
+
 def test_small_circles_are_as_destinations(spark):
     n = 12
     rows = _one_task(spark).withColumn("r", F.radians(F.col("id") % 80 + 1.0))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
+from . import shared
 
 _POINTS = "array<struct<x: double, y: double, z: double>>"
 
@@ -64,11 +65,17 @@ def _in_cells(segs: DataFrame, size: float) -> DataFrame:
     return segs.withColumn("_home", home).withColumn("_grown", grown)
 
 
-def crossings(left: DataFrame, right: DataFrame, *, cell: float = 0.05) -> DataFrame:
+#: Arcs of the second table that are broadcast at most.
+FEW_ARCS = 50_000
+
+
+def crossings(left: DataFrame, right: DataFrame, *, cell: float = 0.05, few: int = FEW_ARCS) -> DataFrame:
     """(left_id, left_seg, right_id, right_seg, p): where arcs of two tables of segments (id,
     seg, a, b) cross.  Arcs meet in cubes, by equi-join; each pair is reported once."""
-    a = _in_cells(left, cell).select(F.col("id").alias("left_id"), F.col("seg").alias("left_seg"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.explode("_home").alias("_c")).distinct()
-    b = _in_cells(right, cell).select(F.col("id").alias("right_id"), F.col("seg").alias("right_seg"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode("_grown").alias("_d")).distinct()
+    a = _in_cells(left, cell).select(F.col("id").alias("left_id"), F.col("seg").alias("left_seg"), F.col("a").alias("a1"), F.col("b").alias("b1"), F.explode("_home").alias("_c"))
+    b = _in_cells(right, cell).select(F.col("id").alias("right_id"), F.col("seg").alias("right_seg"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode("_grown").alias("_d"))
+    # few arcs are broadcast: else all that pass one cell of theirs would be one task
+    b = F.broadcast(b) if right.count() <= few else b
     pairs = a.join(b, F.col("_c") == F.col("_d")).where(S.arcs_cross(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")))
     found = pairs.withColumn("p", S.arc_intersection(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")))
     return found.select("left_id", "left_seg", "right_id", "right_seg", "p").distinct()
@@ -84,9 +91,11 @@ def intersection_graph(lines: DataFrame, others: DataFrame, key: str = "id", **o
     """(key, nth, from_other, to_other, points): polylines (key, line) cut at every crossing with
     other ones, in order along them, with the others that cut each end (null at a line's own
     ends).  A line without a crossing is one piece."""
+    lines = shared.spread(lines)
     found = crossings(segments(lines.withColumnRenamed(key, "id")), segments(others.withColumnRenamed(key, "id")), **options)
     cuts = found.groupBy("left_id").agg(F.collect_list(F.struct("left_seg", "right_id", "p")).alias("cuts"))
-    rows = lines.select(key, "line").join(cuts, F.col(key) == F.col("left_id"), "left").select(key, "line", "cuts")
+    # what a line and its cuts hold is little, what is done with them is not: no task takes them all
+    rows = shared.spread(lines.select(key, "line").join(cuts, F.col(key) == F.col("left_id"), "left").select(key, "line", "cuts"))
     kinds = dict(lines.dtypes)[key], dict(others.dtypes)[key]
 
     def run(batches):

@@ -56,3 +56,15 @@ def test_small_circles_are_as_destinations(spark):
     plain = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: S.destination(F.col("v"), 2 * math.pi * i / n, F.col("r")))
     off = F.array_max(F.zip_with(S.small_circle(F.col("v"), F.col("r"), n), plain, lambda a, b: sum(F.abs(a[c] - b[c]) for c in "xyz")))
     assert rows.select(F.size(S.small_circle(F.col("v"), F.col("r"), n)).alias("n"), off.alias("off")).agg(F.min("n"), F.max("n"), F.max("off") < 1e-14).first()[:] == (n, n, True)
+
+
+def test_crossings_with_few_arcs_are_a_broadcast(spark):
+    lines = spark.range(6).coalesce(1).select("id", F.array(S.from_lat_lon(F.lit(-30.0), F.col("id") * 10.0 + 3), S.from_lat_lon(F.lit(30.0), F.col("id") * 10.0 + 3)).alias("line"))
+    other = spark.range(1).select(F.lit("o").alias("id"), F.array(S.from_lat_lon(F.lit(0.0), F.lit(-10.0)), S.from_lat_lon(F.lit(0.0), F.lit(80.0))).alias("line"))
+    found = geometry.crossings(geometry.segments(lines), geometry.segments(other), cell=0.25)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    whole = geometry.crossings(geometry.segments(lines), geometry.segments(other), cell=0.25, few=0)
+    key = lambda df: sorted((r["left_id"], r["left_seg"], r["right_seg"]) for r in df.collect())
+    assert key(found) == key(whole) and len(key(found)) == 6
+    graph = geometry.intersection_graph(lines, other, cell=0.25)
+    assert _tasks(graph) > 1 and graph.count() == 12

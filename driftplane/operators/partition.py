@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
@@ -200,8 +200,42 @@ def partition_geometries(features: DataFrame, polygons: DataFrame, *, key: str =
     """(key, nth, hit, gtype, rings, size): the parts, in order along them, of geometries (key, gtype, rings) that the
     polygons (plate_id, priority, rings) take in turn, and what none takes (hit null).  Lines
     and outlines are cut at the very crossings; a polygon that is cut becomes lines.  ``size``
-    is arc length for lines, the number of points for points."""
-    rows = features.select(key, "gtype", "rings").join(_overlaps(features, polygons, key, cell), key, "left")
+    is arc length for lines, the number of points for points.
+
+    Geometries of one shape are cut once, and the parts joined to all of them.  Points are met a
+    row each, and are put together again, so a large multipoint is no task."""
+    spots = F.coalesce(F.col("gtype").isin("point", "multipoint"), F.lit(False))
+    found = {r[0] for r in features.select(spots).distinct().collect()}  # two values at most
+    out = None
+    if True in found:
+        points = features.where(spots).select(key, "gtype", F.posexplode(F.flatten("rings")).alias("_nth", "v"))
+        one = points.select(F.struct(key, "gtype", "_nth", "v").alias("_of"), F.lit("point").alias("gtype"), F.array(F.array("v")).alias("rings"))
+        # a polygon is told by its priority too: plates may have several
+        named = polygons.withColumn("plate_id", F.struct("plate_id", "priority"))
+        taken = _shared_parts(one, named, "_of", cell).select("_of.*", F.col("hit").alias("_by"))
+        sets = taken.groupBy(key, "gtype", "_by").agg(F.array_sort(F.collect_list(F.struct("_nth", "v"))).alias("_p"))
+        order = Window.partitionBy(key, "gtype").orderBy(F.col("_by").isNull(), "_by.priority")
+        ring = F.transform("_p", lambda x: x["v"])
+        out = sets.select(key, (F.row_number().over(order) - 1).alias("nth"), F.col("_by.plate_id").alias("hit"), "gtype", F.array(ring).alias("rings"), F.size("_p").cast("double").alias("size"))
+    if False in found or out is None:
+        rest = _shared_parts(features.where(~spots), polygons, key, cell)
+        out = rest if out is None else out.unionByName(rest)
+    return out
+
+
+def _shared_parts(features: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
+    """:func:`partition_geometries` of each shape, and joined to the features that have it."""
+    shape = F.struct(F.xxhash64("gtype", "rings").alias("a"), F.xxhash64(F.lit(1), "rings", "gtype").alias("b"))
+    named = shared.spread(features.select(key, "gtype", "rings")).withColumn("_shape", shape)
+    shapes = shared.settled(named.select("_shape", "gtype", "rings").dropDuplicates(["_shape"]))
+    parts = shared.settled(_parts(shapes, polygons, "_shape", cell))
+    return named.select(key, "_shape").join(parts, "_shape").select(key, "nth", "hit", "gtype", "rings", "size")
+
+
+def _parts(features: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
+    """:func:`partition_geometries` of geometries that all differ."""
+    near = _overlaps(shared.spread(features), polygons, key, cell)
+    rows = shared.spread(features.select(key, "gtype", "rings").join(near, key, "left"))
     kinds = {key: features.select(F.col(key)).schema[0].dataType.simpleString(), "hit": polygons.schema["plate_id"].dataType.simpleString()}
 
     def run(batches):

@@ -73,6 +73,23 @@ def test_nearest_distances_make_no_rows_of_pairs(spark, monkeypatch):
         assert (least is None) == (not near) and (not near or abs(least - min(near)[0]) < 1e-3)
 
 
+def test_shapes_are_cut_once_and_multipoints_by_point(spark, monkeypatch):
+    seen = []
+    inner = partition._parts
+    monkeypatch.setattr(partition, "_parts", lambda f, *a: seen.append(sorted(r[0] for r in f.select(F.size(F.flatten("rings"))).collect())) or inner(f, *a))
+    line = lambda k: F.array(*(S.from_lat_lon(F.lit(la), k * 100.0 + 7) for la in (-50.0, 10.0, 70.0)))
+    lines = spark.range(12).select("id", line((F.col("id") % 2).cast("double")).alias("line"))
+    got = partition.split_lines(lines, _quarters(spark)).groupBy("id").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    assert len(got) == 12 and all(r["n"] == 2 and abs(r["size"] - math.radians(120)) < 1e-9 for r in got)
+    assert seen == [[3, 3]]
+    seen.clear()
+    spots = F.array(*(S.from_lat_lon(F.lit(float(la)), F.lit(float(lo))) for la, lo in ((0, -170), (5, -80), (0, -170), (80, 0), (3, -79), (1, 190))))
+    sets = spark.range(2).select("id", F.lit("multipoint").alias("gtype"), F.array(spots).alias("rings"))
+    parts = partition.partition_geometries(sets, _quarters(spark)).orderBy("id", "nth").collect()
+    assert [(r["id"], r["nth"], r["hit"], r["gtype"], r["size"], len(r["rings"][0])) for r in parts] == [(i, *x) for i in (0, 1) for x in ((0, 1, "multipoint", 2.0, 2), (1, 0, "multipoint", 3.0, 3), (2, None, "multipoint", 1.0, 1))]
+    assert seen == [[1] * 5]
+
+
 def test_crossings_with_few_arcs_are_a_broadcast(spark):
     lines = spark.range(6).coalesce(1).select("id", F.array(S.from_lat_lon(F.lit(-30.0), F.col("id") * 10.0 + 3), S.from_lat_lon(F.lit(30.0), F.col("id") * 10.0 + 3)).alias("line"))
     other = spark.range(1).select(F.lit("o").alias("id"), F.array(S.from_lat_lon(F.lit(0.0), F.lit(-10.0)), S.from_lat_lon(F.lit(0.0), F.lit(80.0))).alias("line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,35 @@ def _pairs(values: list[float]) -> list[dict]:
 
 def parse_collection(text: str) -> list[dict]:
     """Features of one XML feature collection."""
+    import io
+
+    return list(features_of(io.BytesIO(text.encode("utf-8"))))
+
+
+def features_of(source) -> Iterator[dict]:
+    """Features of an XML feature collection (a file of bytes in UTF-8), as they are read: what is
+    held is one feature, not the collection."""
     import xml.etree.ElementTree as ET
 
+    above, inside = [], 0
+    for event, e in ET.iterparse(source, ("start", "end"), parser=ET.XMLParser(encoding="utf-8")):
+        member = _local(e.tag) == "featureMember"
+        if event == "start":
+            above.append(e)
+            inside += member
+            continue
+        above.pop()
+        inside -= member
+        if member and not inside:
+            yield from _features(e)
+            if above:
+                above[-1].remove(e)
+
+
+def _features(top) -> list[dict]:
+    """Features of a featureMember element."""
     out = []
-    for member in ET.fromstring(text).iter():
+    for member in top.iter():
         if _local(member.tag) != "featureMember":
             continue
         for f in member:
@@ -86,37 +113,50 @@ def read_xml_errors(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, permissive=True)[1]
 
 
+#: Features of one batch that leave a task.
+BATCH = 4096
+
+
 def _per_file(spark: SparkSession, path: str, permissive: bool = False) -> tuple[DataFrame, DataFrame | None]:
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    columns = ["file", *(c.split()[0] for c in ("feature_id s", "feature_type s", "name s", "plate_id l", "left_plate l", "right_plate l", "begin d", "end d", "gtype s", "rings a"))]
 
-    def text_of(content: bytes) -> str:
+    def opened(batches):
+        """(file, its bytes as a stream): nothing is copied or unpacked as a whole."""
         import gzip
 
-        return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode("utf-8")
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                buffer = content.as_buffer()
+                stream = pa.BufferReader(buffer)
+                yield file.as_py(), gzip.GzipFile(fileobj=stream) if buffer[:2].to_pybytes() == b"\x1f\x8b" else stream
+
+    def run(batches):
+        import itertools
 
-    def run(frames):
-        import pandas as pd
+        import pyarrow as pa
 
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"], strict=True):
-                rows = [{"file": file, **r} for r in parse_collection(text_of(bytes(content)))]
-                yield pd.DataFrame(rows, columns=columns).astype(object)
+        text, number = pa.string(), pa.float64()
+        point = pa.struct([("lat", number), ("lon", number)])
+        plates = [(c, pa.int64()) for c in ("plate_id", "left_plate", "right_plate")]
+        schema = pa.schema([*((c, text) for c in ("file", "feature_id", "feature_type", "name")), *plates, ("begin", number), ("end", number), ("gtype", text), ("rings", pa.list_(pa.list_(point)))])
+        for file, stream in opened(batches):
+            for rows in itertools.batched(features_of(stream), BATCH):
+                yield pa.RecordBatch.from_pylist([{"file": file, **r} for r in rows], schema)
 
-    def failed(frames):
-        import pandas as pd
+    def failed(batches):
+        import pyarrow as pa
 
-        for frame in frames:
-            rows = []
-            for file, content in zip(frame["file"], frame["content"], strict=True):
-                try:
-                    parse_collection(text_of(bytes(content)))
-                except Exception as e:  # noqa: BLE001  any broken file is reported
-                    rows.append((file, str(e)))
-            yield pd.DataFrame(rows, columns=["file", "error"])
+        for file, stream in opened(batches):
+            try:
+                for _ in features_of(stream):
+                    pass
+            except Exception as e:  # noqa: BLE001  any broken file is reported
+                yield pa.RecordBatch.from_pylist([{"file": file, "error": str(e)}], pa.schema([("file", pa.string()), ("error", pa.string())]))
 
-    good = files.mapInPandas(run, f"file string, {SCHEMA}")
-    return good, files.mapInPandas(failed, "file string, error string") if permissive else None
+    good = files.mapInArrow(run, f"file string, {SCHEMA}")
+    return good, files.mapInArrow(failed, "file string, error string") if permissive else None
 
 
 def to_xml(features: DataFrame, times: str = "urn:times/") -> DataFrame:

@@ -1,9 +1,9 @@
 """Reconstruction by topologies: points, lines and polygons stepped through moving surfaces.
 
 A step is one job over all points: those in a deforming face move with its corners, others
-with the plate that holds them.  Steps follow from one another, so a run is a loop; every
-step is written once to the folder that ``spark.checkpoint.dir`` names, which cuts the
-lineage, and its rows are a part of the result.
+with the plate that holds them.  Points of one place go the same way and are stepped once.  Steps
+follow from one another, so a run is a loop; every step is written once to the folder that
+``spark.checkpoint.dir`` names, which cuts the lineage, and its rows are a part of the result.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ..functions import quaternion as Q
 from ..functions import sphere as S
 from . import kinematics, mesh, partition, proximity, topology
 from . import rotation_model as R
-from .shared import settled
+from .shared import settled, spread
 
 #: cm/yr by which a point's velocity may change, km/My from a boundary.
 VELOCITY_CHANGE, BOUNDARY_DISTANCE = 0.7, 10.0
@@ -31,6 +31,29 @@ def _lost(moved: DataFrame, here: DataFrame) -> DataFrame:
     return near.unionByName(moved.join(edges.select("left").distinct(), "left", "left_anti").select("id")).distinct()
 
 
+def _places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of the different places of points (id, v), and (id, _place) of every point."""
+    points = points.select("id", "v")
+    places = settled(points.select("v").distinct().select(F.monotonically_increasing_id().alias("id"), "v"))
+    return places, settled(points.join(places.select(F.col("id").alias("_place"), "v"), "v").select("id", "_place"))
+
+
+def _named(span: DataFrame, names: DataFrame) -> DataFrame:
+    """A span of places as one of the points there."""
+    rest = [c for c in span.columns if c != "id"]
+    return names.join(span.withColumnRenamed("id", "_place"), "_place").select("id", *rest)
+
+
+def _stages(model: DataFrame, t: float, u: float) -> DataFrame:
+    """(plate, stage): every plate's rotation from ``t`` to ``u``, as ``q``, its ``axis``, and the
+    cm/yr ``rate`` a quarter turn from it; plates that stand still have no rate."""
+    at = lambda time, name: model.where(F.col("time") == float(time)).select(F.col("plate_id").cast("long").alias("plate"), F.col("q").alias(name))
+    both = at(t, "a").join(at(u, "b"), "plate", "full")
+    both = both.select("plate", kinematics.stage_quaternion(F.coalesce("a", Q.identity()), F.coalesce("b", Q.identity())).alias("q"))
+    rate = F.when(~Q.is_identity(F.col("q")), kinematics.speed(F.col("q"), F.lit(abs(t - u))))
+    return both.select("plate", F.struct("q", Q.axis(F.col("q")).alias("axis"), rate.alias("rate")).alias("stage"))
+
+
 def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: DataFrame, times: list[float], *, faces: DataFrame | None = None, deactivate: bool = True, velocity_change: float = VELOCITY_CHANGE, boundary_distance: float = BOUNDARY_DISTANCE) -> DataFrame:
     """(id, time, v, plate_id, active): points (id, v) at the first time, at all times.
 
@@ -40,6 +63,13 @@ def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: Dat
     plate, or stays.  One that changes plates is deactivated if its velocity changes by more
     than ``velocity_change`` and it is nearer to the outline of the plate it left than
     ``boundary_distance`` and the change of velocity would carry it."""
+    places, names = _places(points)
+    options = {"faces": faces, "deactivate": deactivate, "velocity_change": velocity_change, "boundary_distance": boundary_distance}
+    return _named(_stepped(places, surfaces, settled(model), times, **options), names)
+
+
+def _stepped(points: DataFrame, surfaces: DataFrame, model: DataFrame, times: list[float], *, faces: DataFrame | None = None, deactivate: bool = True, velocity_change: float = VELOCITY_CHANGE, boundary_distance: float = BOUNDARY_DISTANCE) -> DataFrame:
+    """:func:`reconstruct_by_topologies` of points of different places."""
     state = points.select("id", "v", F.lit(None).cast("long").alias("plate_id"), F.lit(True).alias("active"))
     out = []
     for i, t in enumerate(times):
@@ -50,13 +80,13 @@ def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: Dat
         u = times[i + 1]
         step = abs(t - u)
         found = partition.first_hit(state.where("active"), here.select("plate_id", "rings", "priority")).withColumn("now", F.coalesce("hit", "plate_id").cast("long"))
-        for name, plate in (("new", "now"), ("old", "plate_id")):
-            for end, at in (("a", t), ("b", u)):
-                found = R.lookup(found.withColumn("_t", F.lit(float(at))), model, plate, "_t", f"_{name}_{end}").drop("_t")
-        found = found.withColumn("_q", kinematics.stage_quaternion(F.col("_new_a"), F.col("_new_b"))).withColumn("_p", kinematics.stage_quaternion(F.col("_old_a"), F.col("_old_b")))
+        stages = settled(_stages(model, t, u))
+        for name, plate in (("_new", "now"), ("_old", "plate_id")):
+            found = found.join(F.broadcast(stages.select(F.col("plate").alias("_p"), F.col("stage").alias(name))), F.col(plate) == F.col("_p"), "left").drop("_p")
         if deactivate:
-            fast = lambda q: kinematics.velocity(F.col("v"), F.col(q), F.lit(step))
-            change = S.norm(S.add(fast("_q"), S.scale(fast("_p"), F.lit(-1.0))))
+            zero = S.vector(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+            fast = lambda s: F.when(F.col(f"{s}.rate").isNull(), zero).otherwise(S.scale(S.cross(F.col(f"{s}.axis"), F.col("v")), F.col(f"{s}.rate")))
+            change = S.norm(S.add(fast("_new"), S.scale(fast("_old"), F.lit(-1.0))))
             found = settled(found.withColumn("_change", change))
             moved = found.where(F.col("plate_id").isNotNull() & (F.col("plate_id") != F.col("now")) & (F.col("_change") > velocity_change))
             # cm/yr are 10 km/My
@@ -65,7 +95,7 @@ def reconstruct_by_topologies(points: DataFrame, surfaces: DataFrame, model: Dat
             found = found.join(lost.select("id", F.lit(False).alias("_gone")), "id", "left").withColumn("_live", F.coalesce("_gone", F.lit(True)))
         else:
             found = found.withColumn("_live", F.lit(True))
-        go = found.select("id", "v", "now", "_live", F.when(F.col("now").isNull(), F.col("v")).otherwise(Q.rotate(F.col("_q"), F.col("v"))).alias("_next"))
+        go = found.select("id", "v", "now", "_live", F.when(F.col("_new").isNull(), F.col("v")).otherwise(Q.rotate(F.col("_new.q"), F.col("v"))).alias("_next"))
         if faces is not None:
             go = _deformed(go, faces.where(F.abs(F.col("time") - t) < R.TIME_EPSILON))
         gone = state.where("not active").select("id", "v", F.col("plate_id").alias("now"), F.lit(False).alias("_live"), F.col("v").alias("_next"))
@@ -132,13 +162,14 @@ def evolve(features: DataFrame, surfaces: DataFrame, model: DataFrame, times: li
     time ``begin``, at ``begin`` and all ``times`` before and after it: they are stepped from
     there to older times and to younger ones, each way by :func:`reconstruct_by_topologies`
     (which has the other options).  ``surfaces`` and ``model`` are at all these times."""
-    start = settled(vertices(features, spacing, key=key))
+    places, names = _places(settled(vertices(spread(features), spacing, key=key)))
+    model = settled(model)
     younger = [float(begin), *sorted((float(t) for t in times if t < begin), reverse=True)]
     older = [float(begin), *sorted(float(t) for t in times if t > begin)]
-    span = reconstruct_by_topologies(start, surfaces, model, younger, **options)
+    span = _stepped(places, surfaces, model, younger, **options)
     if len(older) > 1:
-        span = span.unionByName(reconstruct_by_topologies(start, surfaces, model, older, **options).where(F.col("time") > begin))
-    return span
+        span = span.unionByName(_stepped(places, surfaces, model, older, **options).where(F.col("time") > begin))
+    return _named(span, names)
 
 
 def geometries_at(span: DataFrame, time: float, begin: float, increment: float, slots: int, *, key: str = "id") -> DataFrame:

@@ -30,10 +30,15 @@ def stage_quaternion(older: Column, younger: Column) -> Column:
     return Q.shortest(Q.multiply(younger, Q.conjugate(older)))
 
 
+def speed(stage: Column, delta: Column) -> Column:
+    """Speed in cm/yr a quarter turn from the axis of a stage rotation over ``delta`` My."""
+    return Q.angle(stage) / delta * S.EQUATORIAL_RADIUS * KM_MY_TO_CM_YR
+
+
 @S.bound
 def velocity(v: Column, stage: Column, delta: Column) -> Column:
     """Cartesian velocity in cm/yr of a point under a stage rotation over ``delta`` My."""
-    k = Q.angle(stage) / delta * S.EQUATORIAL_RADIUS * KM_MY_TO_CM_YR
+    k = speed(stage, delta)
     zero = S.vector(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     return F.when(Q.is_identity(stage), zero).otherwise(S.scale(S.cross(Q.axis(stage), v), k))
 

@@ -94,3 +94,23 @@ def test_edges_in_reach(spark):
     pts = spark.createDataFrame([(1, 1, 1.0, 40.0, 2.0), (2, 1, 1.0, 40.0, 0.5), (3, 2, 10.5, 0.0, 1.0), (4, 2, 0.1, 40.0, 1.0), (5, 1, 0.0, 81.0, 1.5)], "id long, k long, a double, o double, r double").select("id", "k", S.from_lat_lon("a", "o").alias("v"), F.radians("r").alias("reach"))
     assert sorted(r.id for r in proximity.in_reach(pts, edges, by="k").collect()) == [1, 3, 5]
     assert proximity.in_reach(pts.limit(0), edges, by="k").count() == 0
+
+
+def test_places_are_stepped_once(spark, monkeypatch):
+    """Lines of one shape share their steps, and all of them are in the span."""
+    from driftplane.operators import partition
+
+    times = [10.0, 9.0]
+    surfaces, model = world(spark, times)
+    features = shapes(spark, [(i, "polyline", [(0, -7), (0, 7)] if i % 2 else [(2, -7), (2, 9)]) for i in range(40)]).coalesce(1)
+    asked, first_hit = [], partition.first_hit
+
+    def counted(points, *args, **more):
+        asked.append(points.count())
+        return first_hit(points, *args, **more)
+
+    monkeypatch.setattr(partition, "first_hit", counted)
+    span = evolution.evolve(features, surfaces, model, times, 10.0, spacing=1.0)
+    assert asked == [4]
+    rows = span.where("time = 9").select("id.feature", "id.nth", "v.x", "v.y", "v.z").collect()
+    assert len(rows) == 80 and len({(r.feature % 2, r.nth, r.x, r.y, r.z) for r in rows}) == 4

@@ -323,38 +323,139 @@ def corner(i: int) -> Column:
     return F.struct(*(F.col(f"{c}{i}").alias(c) for c in _POINT))
 
 
-def _sides(faces: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, a, b): the edges of faces by their places in the plane, the lesser end first."""
-    at = [F.struct(F.col(f"u{i}").alias("u"), F.col(f"w{i}").alias("w")) for i in range(3)]
-    pairs = F.array(*(F.struct(F.least(at[i], at[(i + 1) % 3]).alias("a"), F.greatest(at[i], at[(i + 1) % 3]).alias("b")) for i in range(3)))
-    return faces.select(*keys, F.explode(pairs).alias("e")).select(*keys, "e.a", "e.b").distinct()
+#: Pieces that an edge is cut to at most, to find the circles it meets; pieces broadcast at most.
+PIECES, FEW_PIECES = 4096, 500_000
+
+
+def _about(faces: DataFrame, edges: DataFrame, nets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(_face) of the faces whose circles an edge (keys, a, b) meets, and some more: points on
+    the edge change no others.  Edges are cut to pieces as long as the circles' cells; faces so
+    flat that their circles are unsure are all taken."""
+    f = once(faces.select(*keys, "_face", *(corner(i).alias(f"_{i}") for i in range(3))), _c=_circle(F.col("_0"), F.col("_1"), F.col("_2")))
+    side = lambda i, j: F.hypot(F.col(f"_{i}.u") - F.col(f"_{j}.u"), F.col(f"_{i}.w") - F.col(f"_{j}.w"))
+    height = F.abs(_twice(F.col("_0"), F.col("_1"), F.col("_2"))) / F.greatest(side(0, 1), side(1, 2), side(2, 0))
+    r = F.hypot(F.col("_c.u") - F.col("_0.u"), F.col("_c.w") - F.col("_0.w"))
+    f = f.select(*keys, "_face", F.col("_c.u").alias("_u"), F.col("_c.w").alias("_w"), (r * 1.001 + 1e-9).alias("_r"), height.alias("_height"))
+    flat = F.col("_r").isNull() | (F.col("_height") < 1e-7)
+    e = edges.join(nets.select(*keys, "centre"), list(keys)).withColumn("_long", S.angle(F.col("a"), F.col("b")))
+    longest = e.agg(F.max("_long")).first()[0] or 0.0
+    round_ = f.where(~flat).withColumn("_level", level(F.greatest(2 * F.col("_r"), F.lit(longest / PIECES))))
+    used = levels(round_)
+    e = e.withColumn("_level", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_long") / F.pow(F.lit(2.0), F.col("_level")))).cast("int"))
+    e = e.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    v = [S.vector(*(F.col(f"{c}.{k}") for k in "xyz")) for c in "ab"]
+    at = lambda i: in_plane(S.normalise(S.arc_point(*v, i / F.col("_n"))), F.col("centre"))
+    e = once(e, _p=at(F.col("_i")), _q=at(F.col("_i") + 1))
+    # a piece swells out from its chord
+    e = e.withColumn("_pad", F.pow(F.col("_long") / F.col("_n"), 2) / 2 + 1e-9)
+    low, high = ([of(f"_p.{c}", f"_q.{c}") + s * F.col("_pad") for c in "uw"] for of, s in ((F.least, -1), (F.greatest, 1)))
+    pieces = shared.settled(e.select(*keys, "_level", F.explode(cells(low, high, F.col("_level"))).alias("_cell"), "_p", "_q", "_pad"))
+    low, high = ([F.col(f"_{c}") + s * F.col("_r") for c in "uw"] for s in (-1, 1))
+    round_ = round_.withColumn("_cell", F.explode(cells(low, high, F.col("_level"))))
+    met = round_.join(F.broadcast(pieces) if pieces.count() <= FEW_PIECES else pieces, [*keys, "_level", "_cell"])
+    du, dw, pu, pw = F.col("_q.u") - F.col("_p.u"), F.col("_q.w") - F.col("_p.w"), F.col("_u") - F.col("_p.u"), F.col("_w") - F.col("_p.w")
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(du * pu + dw * pw, du * du + dw * dw), F.lit(0.0))))
+    met = met.where(F.hypot(pu - part * du, pw - part * dw) <= F.col("_r") + F.col("_pad"))
+    return met.select("_face").unionByName(f.where(flat).select("_face")).distinct()
+
+
+def _flat(v: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """(u, w) as :func:`in_plane`, of one point."""
+    east = np.array([1.0, 0.0, 0.0]) if abs(centre[2]) > 1 - 1e-12 else np.array([-centre[1], centre[0], 0.0])
+    east = east / np.linalg.norm(east)
+    k = math.sqrt(2 / max(1 + float(v @ centre), 1e-12))
+    return np.array([k * float(v @ east), k * float(v @ np.cross(centre, east))])
+
+
+def _thick(at: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Triangles that are not thinner than THIN."""
+    p = at[:, 3:][t]
+    u, v = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    side = np.maximum(np.hypot(*u.T), np.maximum(np.hypot(*v.T), np.hypot(*(v - u).T)))
+    return t[np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) > THIN * side]
+
+
+def _forced(faces: np.ndarray, want: np.ndarray, hull: np.ndarray, alone: np.ndarray, centre: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Points, triangles and whether edges are missing: the faces (n, 3, 5) of a part of a network
+    made again with the edges ``want`` (n, 2, 5), of which those that are missing are halved.
+    The part ends at its own border, but is open where the border is the ``hull`` (n, 2, 2)."""
+    number: dict[tuple[float, float], int] = {}
+    at: list[np.ndarray] = []
+
+    def of(p: np.ndarray) -> int:
+        i = number.setdefault((float(p[3]) + 0.0, float(p[4]) + 0.0), len(at))
+        if i == len(at):
+            at.append(p)
+        return i
+
+    have = [[of(p) for p in f] for f in faces]
+    edges = {tuple(sorted((of(a), of(b)))) for a, b in want}
+    for p in alone:
+        of(p)
+    ways = {(f[i], f[(i + 1) % 3]) for f in have for i in range(3)}
+    ends = [[number.get((float(u) + 0.0, float(w) + 0.0)) for u, w in e] for e in hull]
+    rim = {frozenset(e) for e in ends if None not in e}
+    done = {(b, a) for a, b in ways if (b, a) not in ways and frozenset((a, b)) not in rim}
+    for _ in range(rounds):
+        points = np.array(at)
+        t = delaunay(points[:, 3:])
+        t = _thick(points, t[_behind(t, done)]) if len(t) else t
+        sides = {tuple(sorted((f[i], f[(i + 1) % 3]))) for f in t.tolist() for i in range(3)}
+        miss = [e for e in edges if e not in sides]
+        if not miss:
+            return points, t, False
+        for a, b in miss:
+            m = at[a][:3] + at[b][:3]
+            m = m / np.linalg.norm(m)
+            i = of(np.concatenate([m, _flat(m, centre)]))
+            edges.remove((a, b))
+            edges |= {tuple(sorted(e)) for e in ((a, i), (i, b)) if e[0] != e[1]}
+    return points, t, True
 
 
 def conforming(points: DataFrame, edges: DataFrame, nets: DataFrame, keys: tuple[str, ...] = KEYS, *, rounds: int = 25, strip: int = STRIP) -> DataFrame:
     """The faces of :func:`triangulated`, with every one of ``edges`` (keys, a, b: points) a row
     of edges of faces: an edge that is none gets its middle as a new point, until all are.
-    ``nets``: (keys, centre).  Only networks that change are triangulated again."""
+    ``nets``: (keys, centre).
+
+    A network is triangulated once: new points are on the edges, so only faces whose circles
+    an edge meets (and the hull's, beyond which an edge may swell) can change.  These few, a
+    network's along its edges, are one task, and are made again until all edges are there."""
+    import pyarrow as pa
+
     on = list(keys)
-    have, want, made = points.select(*keys, *_POINT), shared.settled(edges.select(*keys, "a", "b")), None
-    for _ in range(rounds):
-        faces = triangulated(have, keys, strip)
-        place = lambda c: F.struct(F.col(f"{c}.u").alias("u"), F.col(f"{c}.w").alias("w"))
-        named = want.withColumns({"_a": F.least(place("a"), place("b")), "_b": F.greatest(place("a"), place("b"))})
-        sides = _sides(faces, keys).withColumnsRenamed({"a": "_a", "b": "_b"})
-        miss = shared.settled(named.join(sides, [*on, "_a", "_b"], "left_anti").select(*keys, "a", "b"))
-        again = shared.settled(miss.select(*keys).distinct())
-        done = faces.join(again, on, "left_anti")
-        made = done if made is None else made.unionByName(done)
-        if again.isEmpty():
-            return made
-        middle = S.normalise(S.add(F.col("a"), F.col("b")))
-        new = miss.join(nets.select(*keys, "centre"), on).withColumn("_m", middle).withColumn("_p", in_plane(F.col("_m"), F.col("centre")))
-        m = F.struct(*(F.col(f"_m.{c}").alias(c) for c in "xyz"), F.col("_p.u").alias("u"), F.col("_p.w").alias("w"))
-        new = shared.settled(new.select(*keys, "a", "b", m.alias("m")))
-        have = shared.settled(have.join(again, on, "left_semi").unionByName(new.select(*keys, *(F.col(f"m.{c}").alias(c) for c in _POINT))))
-        halves = new.select(*keys, F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select(*keys, "e.a", "e.b")
-        want = shared.settled(want.join(again, on, "left_semi").join(miss, [*on, "a", "b"], "left_anti").unionByName(halves))
-    raise ValueError(f"edges that are not part of the network after {rounds} rounds")
+    edges = shared.settled(edges.select(*keys, "a", "b"))
+    faces = shared.settled(triangulated(points, keys, strip).withColumn("_face", F.monotonically_increasing_id()))
+    asked = F.broadcast(edges.select(*keys).distinct())
+    mine = faces.join(asked, on, "left_semi")
+    ends = [F.struct(F.col(f"u{i}").alias("u"), F.col(f"w{i}").alias("w")) for i in range(3)]
+    sides = mine.select(*keys, "_face", F.explode(F.array(*(F.struct(F.least(ends[i], ends[(i + 1) % 3]).alias("a"), F.greatest(ends[i], ends[(i + 1) % 3]).alias("b")) for i in range(3)))).alias("e"))
+    hull = shared.settled(sides.groupBy(*keys, "e").agg(F.count("*").alias("n"), F.min("_face").alias("_face")).where("n = 1").select(*keys, "_face", "e.a", "e.b"))
+    near = shared.settled(_about(mine, edges, nets, keys).unionByName(hull.select("_face")).distinct())
+    far = faces.join(near, "_face", "left_anti").drop("_face")
+    used = mine.select(*keys, F.explode(F.array(*ends)).alias("p")).select(*keys, "p.u", "p.w").distinct()
+    alone = points.select(*keys, *_POINT).join(asked, on, "left_semi").join(used, [*on, "u", "w"], "left_anti").select(*keys, F.struct(*_POINT).alias("a"))
+    none = F.lit(0.0)
+    full = lambda c: F.struct(*(none.alias(k) for k in "xyz"), F.col(f"{c}.u").alias("u"), F.col(f"{c}.w").alias("w"))
+    rows = edges.withColumn("_kind", F.lit(0)).unionByName(hull.select(*keys, full("a").alias("a"), full("b").alias("b"), F.lit(1).alias("_kind"))).unionByName(alone.select(*keys, "a", F.col("a").alias("b"), F.lit(2).alias("_kind")))
+    names = [[f"{s}{c}" for c in _POINT] for s in "ab"]
+    rows = rows.join(F.broadcast(nets.select(*keys, "centre")), on).select(*keys, "_kind", *(F.col(f"{s}.{c}").cast("double").alias(f"{s}{c}") for s in "ab" for c in _POINT), *(F.col(f"centre.{c}").alias(f"c{c}") for c in "xyz"))
+
+    def again(left, right):
+        corners = _array(left, _corner_columns()).reshape(-1, 3, 5)
+        pairs, kind = np.stack([_array(right, n) for n in names], 1), right.column("_kind").to_numpy()
+        centre = _array(right.slice(0, 1), ["cx", "cy", "cz"])[0]
+        at, t, missing = _forced(corners, pairs[kind == 0], pairs[kind == 1][:, :, 3:], pairs[kind == 2][:, 0], centre, rounds)
+        made = _faces(right, keys, at, t)
+        if missing and not len(t):
+            made = _faces(right, keys, at, np.zeros((1, 3), int))
+        return made.append_column("_missing", pa.array([missing] * made.num_rows, pa.bool_()))
+
+    kept = faces.join(near, "_face", "left_semi").drop("_face")
+    made = shared.settled(kept.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(again, _schema(points, keys) + ", _missing boolean"))
+    if not made.where("_missing").isEmpty():
+        raise ValueError(f"edges that are not part of the network after {rounds} rounds")
+    return far.unionByName(made.drop("_missing"))
 
 
 # --- outlines -----------------------------------------------------------------------------------

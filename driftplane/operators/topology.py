@@ -240,7 +240,8 @@ def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STR
     flagged = F.coalesce("is_block", F.lit(False)) if "is_block" in resolved.columns else F.lit(False)
     blocks = inner.where(flagged & (F.size("line") > 2)).select(*keys, F.col("feature_id").cast("string").alias("name"), F.col("line").alias("ring"))
     outlines = rings.select(*keys, F.lit(None).cast("string").alias("name"), "ring").unionByName(blocks)
-    spots = rings.select(*keys, F.explode("ring").alias("v")).unionByName(inner.select(*keys, F.explode("line").alias("v"))).join(nets, keys)
+    spots = rings.select(*keys, F.explode("ring").alias("v")).unionByName(inner.select(*keys, F.explode("line").alias("v")))
+    spots = shared.spread(spots).join(nets, keys)
     points = mesh.once(spots, _p=mesh.in_plane(F.col("v"), F.col("centre"))).select(*keys, "v.x", "v.y", "v.z", "_p.u", "_p.w")
     edges = outlines.join(nets, keys).select(*keys, "name", "centre", F.explode(S._edges(F.col("ring"))).alias("e"))
     if forced:

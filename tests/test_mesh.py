@@ -180,3 +180,23 @@ def test_natural_weights(spark):
     for row in one:
         k = int(np.linalg.norm(sites - np.array([row.q.u, row.q.w]), axis=1).argmin())
         assert (owner == k).mean() == pytest.approx(row.w, abs=0.02)
+
+
+def test_forced_networks_are_triangulated_once(spark, monkeypatch):
+    """Forced edges across many strips: only what is about them is made again, and the faces are
+    those of all points together."""
+    p = np.concatenate([np.random.default_rng(8).uniform(-0.2, 0.2, (900, 2)), [(-0.19, -0.17), (0.18, 0.19), (-0.21, -0.21), (0.21, -0.21), (0.21, 0.21), (-0.21, 0.21)]])
+    r = (p * p).sum(1)
+    full = np.column_stack([p * np.sqrt(1 - r / 4)[:, None], 1 - r / 2, p]).tolist()
+    points = spark.createDataFrame([(0.0, "n", *row) for row in full], POINTS)
+    ends = [(-6, -5), (-4, -3), (-3, -2), (-2, -1), (-1, -4)]
+    five = "struct<x: double, y: double, z: double, u: double, w: double>"
+    edges = spark.createDataFrame([(0.0, "n", tuple(full[i]), tuple(full[j])) for i, j in ends], f"time double, topology_id string, a {five}, b {five}")
+    nets = spark.createDataFrame([(0.0, "n", (0.0, 0.0, 1.0))], "time double, topology_id string, centre struct<x: double, y: double, z: double>")
+    calls, whole = [], mesh.triangulated
+    monkeypatch.setattr(mesh, "triangulated", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    got = faces(mesh.conforming(points, edges, nets, strip=150))
+    assert len(calls) == 1
+    spots = {q for _, t in got for q in t}
+    assert len(spots) > len(p) and {tuple(q) for q in p.tolist()} <= spots
+    assert got == faces(whole(frame(spark, {"n": sorted(spots)}), strip=100_000))

@@ -121,12 +121,15 @@ def point_to_arc(p: Column, a: Column, b: Column) -> Column:
 
 
 @bound
-def closest_on_arc(p: Column, a: Column, b: Column) -> Column:
+def closest_on_arc(p: Column, a: Column, b: Column, first: Column | None = None) -> Column:
+    """The arc's point nearest to ``p``; of equally near ends the first.  ``first``: whether the
+    first end is the nearer one, where that is known better than from the cosines."""
 
     def with_normal(n: Column) -> Column:
         inside = (dot(cross(n, a), p) >= 0) & (dot(cross(b, n), p) >= 0) & (norm(n) > EPSILON)
         flat = add(p, scale(n, -dot(n, p) / dot(n, n)))
-        return F.when(inside, normalise(flat)).when(angle(p, a) <= angle(p, b), a).otherwise(b)
+        # by the cosines, which tell apart what acos makes equal
+        return F.when(inside, normalise(flat)).when(dot(p, a) >= dot(p, b) if first is None else first, a).otherwise(b)
 
     return let(with_normal, cross(a, b))
 

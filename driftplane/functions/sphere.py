@@ -192,8 +192,10 @@ def centroid(ring: Column) -> Column:
 
 @bound
 def ring_area(ring: Column) -> Column:
-    """Signed area of a ring: the triangles of its edges and its centroid."""
-    return let(lambda middle: F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + triangle_area(middle, e["a"], e["b"])), centroid(ring))
+    """Signed area of a ring: the triangles of its edges and its centroid; of three points, their
+    triangle alone."""
+    fan = let(lambda middle: F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + triangle_area(middle, e["a"], e["b"])), centroid(ring))
+    return F.when(F.size(ring) == 3, triangle_area(*(F.get(ring, F.lit(i)) for i in range(3)))).otherwise(fan)
 
 
 @bound
@@ -252,6 +254,13 @@ def point_in_ring(p: Column, ring: Column) -> Column:
     return near | let(within, normalise(add(scale(centroid(ring), F.lit(-1.0)), aside)))
 
 
+@bound
+def in_triangle(p: Column, ring: Column) -> Column:
+    """Whether a point is on no outer side of the three edges of a triangle, to the last bit."""
+    sides = F.transform(_edges(ring), lambda e: dot(cross(e["a"], e["b"]), p))
+    return F.forall(sides, lambda s: s >= 0) | F.forall(sides, lambda s: s <= 0)
+
+
 def point_in_polygon(p: Column, rings: Column) -> Column:
     holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
     return point_in_ring(p, F.element_at(rings, 1)) & ~F.exists(holes, lambda h: point_in_ring(p, h))

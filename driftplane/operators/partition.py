@@ -68,15 +68,16 @@ def _near() -> Column:
     return (F.col("_cos") < 0) | (S.dot(F.col("v"), F.col("_centre")) >= F.col("_cos") - 1e-9)
 
 
-def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS, copies: bool = False) -> DataFrame:
+def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS, copies: bool = False, test=S.point_in_polygon) -> DataFrame:
     """(point columns, polygon plate_id as ``hit``, priority) of every point in a polygon.
 
     ``copies``: many points have one place, or polygons one shape; places and shapes are tested
-    once, and their points and polygons joined to what is found."""
+    once, and their points and polygons joined to what is found.  ``test``: whether a point is in
+    rings, of those whose bounding circle holds it."""
     if copies:
         shape = F.xxhash64("rings")
         shapes = polygons.select(shape.alias("plate_id"), "rings").dropDuplicates(["plate_id"]).withColumn("priority", F.lit(0))
-        met = shared.settled(hits(shared.settled(points.select("v").distinct()), shared.settled(shapes), few=few).select("v", F.col("hit").alias("_shape")))
+        met = shared.settled(hits(shared.settled(points.select("v").distinct()), shared.settled(shapes), few=few, test=test).select("v", F.col("hit").alias("_shape")))
         named = polygons.select(F.col("plate_id").alias("hit"), "priority", shape.alias("_shape"))
         return points.join(met, "v").join(named, "_shape").select(*points.columns, "hit", "priority")
     side = F.broadcast if _corners(polygons) <= few else (lambda x: x)
@@ -85,7 +86,7 @@ def hits(points: DataFrame, polygons: DataFrame, *, few: int = FEW_CORNERS, copi
     shapes = polygons.select(F.col("plate_id").alias("hit"), "priority", F.col("rings").alias("_rings")).withColumn("_k2", F.xxhash64("hit", "priority", "_rings"))
     rows = points.withColumn("_of_level", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_of_cell", _cell(F.col("_of_level")))
     near = rows.join(side(index), (F.col("_of_level") == F.col("_in_level")) & (F.col("_of_cell") == F.col("_in_cell"))).where(_near()).drop("_of_level", "_of_cell", "_in_level", "_in_cell", "_centre", "_cos")
-    found = near.join(side(shapes), F.col("_k") == F.col("_k2")).where(S.point_in_polygon(F.col("v"), F.col("_rings")))
+    found = near.join(side(shapes), F.col("_k") == F.col("_k2")).where(test(F.col("v"), F.col("_rings")))
     return found.drop("_k", "_k2", "_rings")
 
 

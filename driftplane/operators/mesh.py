@@ -1,8 +1,8 @@
 """Triangulated networks: Delaunay faces, forced edges, rigid blocks, location, weights.
 
 A network's points lie in a plane (equal-area, about the network's middle).  They are dealt
-to strips of about ``STRIP`` points, each with its neighbours, and every strip is triangulated
-by itself.  A face is final if the circle through its corners lies within what its strip
+to slices of about ``STRIP`` points; ``OWN`` slices are a strip, which also knows the slice on
+either side, and every strip is triangulated by itself.  A face is final if the circle through its corners lies within what its strip
 knows, for then no other point is in it.  What is left open are the surroundings of wide
 circles, at the hull and across gaps; it is bounded by edges of one final face, and a second
 pass triangulates the points of these edges and keeps the faces on their open side.  So a
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ..functions import sphere as S
 from . import shared
 
-#: Points that a strip holds of its own, about; strips of a network at most.
-STRIP, STRIPS = 2000, 256
+#: Points of a slice, about; slices of a network at most; slices that a strip has of its own.
+STRIP, STRIPS, OWN = 2000, 256, 8
 #: What lies within so little of a line is no face, and the greatest move of a point.
 THIN, MOVE = 1e-10, 1e-11
 KEYS = ("time", "topology_id")
@@ -167,10 +167,11 @@ def triangulated(points: DataFrame, keys: tuple[str, ...] = KEYS, strip: int = S
     nets = nets.withColumn("_parts", parts).select(*keys, F.when(F.col("_parts") > 1, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
     dealt = points.join(nets, list(keys)).withColumn("_own", F.size(F.filter("_cuts", lambda c: c <= F.col("u"))))
     last = F.size("_cuts")
-    dealt = dealt.withColumn("_strip", F.explode(F.sequence(F.greatest(F.col("_own") - 1, F.lit(0)), F.least(F.col("_own") + 1, last))))
-    bound = lambda at, none: F.when((at >= 1) & (at <= last), F.element_at("_cuts", F.greatest(at, F.lit(1)).cast("int"))).otherwise(F.lit(none))
-    s, inf = F.col("_strip"), float("inf")
-    dealt = dealt.select(*keys, *_POINT, "_strip", bound(s, -inf).alias("_lo"), bound(s + 1, inf).alias("_hi"), bound(s - 1, -inf).alias("_from"), bound(s + 2, inf).alias("_to"), (last > 0).alias("_many"))
+    group = lambda at: F.floor(at / OWN).cast("int")
+    dealt = dealt.withColumn("_strip", F.explode(F.sequence(group(F.greatest(F.col("_own") - 1, F.lit(0))), group(F.least(F.col("_own") + 1, last)))))
+    bound = lambda at, none: F.when((at >= 1) & (at <= last), F.element_at("_cuts", F.greatest(F.least(at, last), F.lit(1)).cast("int"))).otherwise(F.lit(none))
+    s, inf = F.col("_strip") * OWN, float("inf")
+    dealt = dealt.select(*keys, *_POINT, "_strip", bound(s, -inf).alias("_lo"), bound(s + OWN, inf).alias("_hi"), bound(s - 1, -inf).alias("_from"), bound(s + OWN + 1, inf).alias("_to"), (last >= OWN).alias("_many"))
 
     def one(table):
         at = _array(table, _POINT)
@@ -185,11 +186,35 @@ def triangulated(points: DataFrame, keys: tuple[str, ...] = KEYS, strip: int = S
             centre, reach = _circles(p, rank[t])
             x = centre[:, 0]
             t = t[(x >= lo) & (x < hi) & (x - reach > known_from) & (x + reach < known_to)]
-        return _faces(table, keys, at, t)
+            mine = (at[:, 3] >= lo) & (at[:, 3] < hi)
+            return _marked(table, keys, at, t, mine)
+        return _marked(table, keys, at, t, None)
 
     schema = _schema(points, keys)
-    first = shared.settled(dealt.groupBy(*keys, "_strip").applyInArrow(one, schema))
-    return _whole(first.unionByName(_open(points, nets, first, keys, schema)))
+    first = shared.settled(dealt.groupBy(*keys, "_strip").applyInArrow(one, f"{schema}, _alone boolean, _sides int, _foreign int"))
+    return _whole(first.where("not _alone").drop("_alone", "_sides", "_foreign").unionByName(_open(first, keys, schema)))
+
+
+def _marked(table, keys: tuple[str, ...], at: np.ndarray, t: np.ndarray, mine: np.ndarray | None):
+    """Triangles of a strip with what the second pass needs of them: bits of the sides that no
+    other triangle of the strip has (``_sides``) and of the corners that are not the strip's
+    own (``_foreign``).  The strip's own points (``mine``) that are no corners are rows of one
+    point, ``_alone``.  A network of one strip (``mine`` is none) has nothing open."""
+    import pyarrow as pa
+
+    sides = foreign = np.zeros(len(t), np.int32)
+    alone = np.zeros(0, int)
+    if mine is not None:
+        alone = np.setdiff1d(np.flatnonzero(mine), t)
+    if mine is not None and len(t):
+        ends = np.sort(np.stack([t, np.roll(t, -1, 1)], 2), 2).astype(np.int64)
+        _, at_, n = np.unique(ends[:, :, 0] * len(at) + ends[:, :, 1], return_inverse=True, return_counts=True)
+        bits = np.array([1, 2, 4])
+        sides = ((n[at_].reshape(-1, 3) == 1) @ bits).astype(np.int32)
+        foreign = (~mine[t] @ bits).astype(np.int32)
+    zero = np.zeros(len(alone), np.int32)
+    rows = np.concatenate([t, np.repeat(alone[:, None], 3, 1)]).astype(int)
+    return _faces(table, keys, at, rows).append_column("_alone", pa.array(np.repeat([False, True], [len(t), len(alone)]))).append_column("_sides", pa.array(np.concatenate([sides, zero]), pa.int32())).append_column("_foreign", pa.array(np.concatenate([foreign, zero]), pa.int32()))
 
 
 def _whole(faces: DataFrame) -> DataFrame:
@@ -199,16 +224,18 @@ def _whole(faces: DataFrame) -> DataFrame:
     return faces.where(F.abs(twice) > THIN * F.greatest(side(0, 1), side(1, 2), side(2, 0)))
 
 
-def _open(points: DataFrame, nets: DataFrame, first: DataFrame, keys: tuple[str, ...], schema: str) -> DataFrame:
-    """The faces that no strip could be sure of."""
+def _open(first: DataFrame, keys: tuple[str, ...], schema: str) -> DataFrame:
+    """The faces that no strip could be sure of.  Only sides that are single in their strip, and
+    corners in another's, are shuffled: what is inside of a strip is settled there."""
     corner = lambda i: F.struct(*(F.col(f"{c}{i}").alias(c) for c in _POINT))
-    many = nets.where(F.size("_cuts") > 0).select(*keys)
-    sides = first.join(F.broadcast(many), list(keys), "left_semi").select(*keys, F.explode(F.array(*(F.struct(corner(i).alias("a"), corner((i + 1) % 3).alias("b")) for i in range(3)))).alias("e"))
+    has = lambda c, i: F.col(c).bitwiseAND(1 << i) != 0
+    of = lambda c, each: F.explode(F.filter(F.array(*(F.when(has(c, i), each(i)) for i in range(3))), lambda x: x.isNotNull()))
+    sides = first.where("_sides > 0").select(*keys, of("_sides", lambda i: F.struct(corner(i).alias("a"), corner((i + 1) % 3).alias("b"))).alias("e"))
     ends = [F.col("e.a"), F.col("e.b")]
     edges = sides.groupBy(*keys, F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).agg(F.count("*").alias("n"), F.first(F.col("e.a") < F.col("e.b")).alias("ahead"))
     edges = shared.settled(edges.where("n = 1").select(*keys, F.when(F.col("ahead"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("ahead"), F.col("b")).otherwise(F.col("a")).alias("b")))
-    used = sides.select(*keys, F.col("e.a.u").alias("u"), F.col("e.a.w").alias("w")).distinct()
-    alone = points.join(F.broadcast(many), list(keys), "left_semi").join(used, [*keys, "u", "w"], "left_anti").select(*keys, *_POINT)
+    used = first.where("_foreign > 0").select(*keys, of("_foreign", corner).alias("p")).select(*keys, "p.u", "p.w").distinct()
+    alone = first.where("_alone").select(*keys, *(F.col(f"{c}0").alias(c) for c in _POINT)).join(used, [*keys, "u", "w"], "left_anti").select(*keys, *_POINT)
     rim = edges.select(*keys, F.explode(F.array("a", "b")).alias("p")).select(*keys, *(F.col(f"p.{c}").alias(c) for c in _POINT))
     left = shared.settled(rim.unionByName(alone).distinct())
     ways = edges.select(*keys, *(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in "uw"))
@@ -461,6 +488,22 @@ def conforming(points: DataFrame, edges: DataFrame, nets: DataFrame, keys: tuple
 # --- outlines -----------------------------------------------------------------------------------
 
 
+#: Edges of all outlines of one network that its points carry at most.
+FEW_EDGES = 64
+
+
+def held_by_few(points: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, *, name: str = "name") -> DataFrame:
+    """Points (keys, u, w and other columns) with ``_names``: the outlines that hold them, as
+    :func:`held`, where a network's outlines have so few edges that each point tests them all."""
+    lists = edges.groupBy(*keys).agg(F.collect_list(F.struct(F.col(name).alias("n"), "u0", "w0", "u1", "w1")).alias("_edges"))
+    over = lambda e: (e["w0"] > F.col("w")) != (e["w1"] > F.col("w"))
+    right = lambda e: e["u0"] + (F.col("w") - e["w0"]) * (e["u1"] - e["u0"]) / (e["w1"] - e["w0"]) > F.col("u")
+    crossed = F.transform(F.filter("_edges", lambda e: F.when(over(e), right(e)).otherwise(False)), lambda e: e["n"])
+    odd = lambda all_: F.filter(F.array_distinct(all_), lambda n: F.size(F.filter(all_, lambda m: m == n)) % 2 == 1)
+    rows = points.join(F.broadcast(lists), list(keys)).withColumn("_crossed", crossed)
+    return rows.withColumn("_names", odd(F.col("_crossed"))).drop("_edges", "_crossed")
+
+
 def held(points: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, *, point: str = "id", name: str = "name") -> DataFrame:
     """(keys, point, name) of points (keys, point, u, w) in outlines (keys, name, u0, w0, u1, w1:
     edges).  Edges are joined with points by bands as high as the edge, so an outline of any

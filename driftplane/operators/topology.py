@@ -220,7 +220,7 @@ def shared_sections(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("time", "feature_id").agg(F.array_sort(F.collect_set("topology_id")).alias("topologies"))
 
 
-def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STRIP) -> DataFrame:
+def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STRIP, few: int = mesh.FEW_EDGES) -> DataFrame:
     """(time, topology_id, face, vertices, region, block, centre): the Delaunay faces of boundary
     and interior points, in an equal-area plane about the boundary's middle.
 
@@ -253,14 +253,22 @@ def networks(resolved: DataFrame, *, forced: bool = False, strip: int = mesh.STR
         faces = mesh.triangulated(points, strip=strip)
     corners = F.array(*(F.struct(*(F.col(f"{k}{i}").alias(k) for k in "xyz")) for i in range(3)))
     number = Window.partitionBy(*keys).orderBy("vertices")
-    faces = shared.settled(faces.select(*keys, corners.alias("vertices")).withColumn("face", F.row_number().over(number) - 1).join(nets, keys))
+    # numbered when read: a number that nobody asks for costs no sort
+    faces = shared.settled(faces.select(*keys, corners.alias("vertices")).join(nets, keys)).withColumn("face", F.row_number().over(number) - 1)
     middle = lambda v: S.normalise(S.add(S.add(v[0], v[1]), v[2]))
-    at = mesh.once(faces, _s=mesh.straight(middle([F.element_at("vertices", i) for i in (1, 2, 3)]), F.col("centre"))).select(*keys, "face", "_s.u", "_s.w").where("u is not null")
     flat = mesh.once(edges, **{f"_{c}": mesh.straight(F.col(f"e.{c}"), F.col("centre")) for c in "ab"})
-    flat = flat.select(*keys, F.coalesce("name", F.lit("")).alias("name"), *(F.col(f"_{c}.{k}").alias(f"{k}{i}") for i, c in enumerate("ab") for k in "uw"))
-    held = mesh.held(at, flat, point="face").groupBy(*keys, "face").agg(F.max(F.col("name") == "").alias("inside"), F.min(F.when(F.col("name") != "", F.col("name"))).alias("block")).where("inside")
+    flat = shared.settled(flat.select(*keys, F.coalesce("name", F.lit("")).alias("name"), *(F.col(f"_{c}.{k}").alias(f"{k}{i}") for i, c in enumerate("ab") for k in "uw")))
     region = F.when(F.col("block").isNotNull(), "rigid").otherwise("deforming")
-    return faces.join(held, [*keys, "face"]).select(*keys, "face", "vertices", region.alias("region"), "block", "centre")
+    shown = [*keys, "face", "vertices", region.alias("region"), "block", "centre"]
+    if (flat.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= few:
+        at = mesh.once(faces, _s=mesh.straight(middle([F.element_at("vertices", i) for i in (1, 2, 3)]), F.col("centre"))).select(*faces.columns, "_s.u", "_s.w").where("u is not null")
+        found = mesh.held_by_few(at, flat)
+        block = F.array_min(F.filter("_names", lambda n: n != ""))
+        return found.where(F.array_contains("_names", "")).withColumn("block", block).select(*shown)
+    faces = shared.settled(faces)
+    at = mesh.once(faces, _s=mesh.straight(middle([F.element_at("vertices", i) for i in (1, 2, 3)]), F.col("centre"))).select(*keys, "face", "_s.u", "_s.w").where("u is not null")
+    held = mesh.held(at, flat, point="face").groupBy(*keys, "face").agg(F.max(F.col("name") == "").alias("inside"), F.min(F.when(F.col("name") != "", F.col("name"))).alias("block")).where("inside")
+    return faces.join(held, [*keys, "face"]).select(*shown)
 
 
 def barycentric(p, a, b, c):

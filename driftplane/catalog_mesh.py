@@ -10,7 +10,7 @@ from .catalog import _OCT_ID, C, customers, named, octants, query, quat, mul, co
 from .catalog_more import _BOX, _TRI, _box_sql, ang, area, cr, dt, norm, to_arc, triangles, vec, xyz
 from .functions import sphere as S
 from .functions import quaternion as Q
-from .operators import evolution, hellinger, kinematics, mesh, partition, topology
+from .operators import evolution, hellinger, kinematics, mesh, partition, shared, topology
 from .operators import rotation_model as R
 
 #: A nation's middle in degrees; orders and customers lie about it.
@@ -131,7 +131,7 @@ def _mesh(spark, d) -> DataFrame:
     points = o.select(F.lit(0.0).alias("time"), "topology_id", "v.x", "v.y", "v.z", "p.u", "p.w")
     corners = F.array(*(F.struct(*(F.col(f"{k}{i}").alias(k) for k in "xyz")) for i in range(3)))
     centres = nations(spark, d).select("topology_id", S.from_lat_lon("lat", "lon").alias("centre"))
-    return mesh.triangulated(points).select("topology_id", corners.alias("vertices")).join(centres, "topology_id")
+    return shared.settled(mesh.triangulated(points).select("topology_id", corners.alias("vertices")).join(centres, "topology_id"))
 
 
 def _probes(spark, d) -> DataFrame:

@@ -555,12 +555,17 @@ def natural_rows(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFr
     f = once(faces.select("topology_id", "vertices", "centre"), _t=F.struct(*(flat(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c")))))
     f = once(f, _c=_circle(F.col("_t.a"), F.col("_t.b"), F.col("_t.c")))
     f = once(f, _r=F.hypot(F.col("_c.u") - F.col("_t.a.u"), F.col("_c.w") - F.col("_t.a.w"))).where("_r is not null").withColumn("_level", level(2 * F.col("_r"))).drop("centre")
-    used = levels(f)
-    low, high = ([F.col(f"_c.{c}") + s * F.col("_r") for c in "uw"] for s in (-1, 1))
-    index = f.withColumn("_cell", F.explode(cells(low, high, F.col("_level"))))
     nets = faces.groupBy("topology_id").agg(F.first("centre").alias("centre"))
     p = points.select(key, "v", "topology_id").join(nets, "topology_id").withColumn("_p", in_plane(F.col("v"), F.col("centre")))
     p = once(p, _p=F.struct((F.col("_p.u") + 1e-9).alias("u"), (F.col("_p.w") + 7e-10).alias("w"))).select(key, "v", "topology_id", "_p")
+    p = shared.settled(p)
+    # a network's faces that are away from all of its points hold none
+    reach = p.groupBy("topology_id").agg(*(of(f"_p.{c}").alias(f"_{n}{c}") for n, of in (("least", F.min), ("most", F.max)) for c in "uw"))
+    low, high = ([F.col(f"_c.{c}") + s * F.col("_r") for c in "uw"] for s in (-1, 1))
+    meets = [(a <= F.col(f"_most{c}")) & (b >= F.col(f"_least{c}")) for a, b, c in zip(low, high, "uw", strict=True)]
+    f = shared.settled(f.join(reach, "topology_id").where(meets[0] & meets[1]).drop(*(f"_{n}{c}" for n in ("least", "most") for c in "uw")))
+    used = levels(f)
+    index = f.withColumn("_cell", F.explode(cells(low, high, F.col("_level"))))
     p = p.withColumn("_level", F.explode(F.array(*map(F.lit, used or [0])))).withColumn("_cell", cell([F.col("_p.u"), F.col("_p.w")], F.col("_level")))
     met = p.join(index, ["topology_id", "_level", "_cell"]).where(F.hypot(F.col("_p.u") - F.col("_c.u"), F.col("_p.w") - F.col("_c.w")) < F.col("_r"))
     q, a, b, c, o = (F.col(n) for n in ("_p", "_t.a", "_t.b", "_t.c", "_c"))

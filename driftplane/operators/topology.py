@@ -282,10 +282,30 @@ def located(points: DataFrame, faces: DataFrame, key: str = "id") -> DataFrame:
     """Points with the network face that holds them (the first by topology and face)."""
     from . import partition
 
-    f = faces.withColumn("plate_id", F.struct("topology_id", "face")).withColumn("rings", F.array("vertices")).withColumn("priority", F.struct("topology_id", "face"))
+    f = _about(points, faces).withColumn("plate_id", F.struct("topology_id", "face")).withColumn("rings", F.array("vertices")).withColumn("priority", F.struct("topology_id", "face"))
     return partition.first_hit(points, f.select("plate_id", "rings", "priority"), key=key)
 
 
+#: Level of the cells (two to the level, of the unit sphere) by which faces without points go.
+COARSE = -7
+
+
+def _about(points: DataFrame, faces: DataFrame) -> DataFrame:
+    """The faces in whose cells there are points, and all that are larger than a cell.  The sphere
+    has a few hundred thousand cells, whatever the points and faces."""
+    at = F.lit(COARSE)
+    held = points.select(mesh.cell([F.col("v")[c] for c in "xyz"], at).alias("_cell")).distinct()
+    axis = lambda of, c: of(*(F.element_at("vertices", i)[c] for i in (1, 2, 3)))
+    size = F.greatest(*(axis(F.greatest, c) - axis(F.least, c) for c in "xyz"))
+    f = faces.withColumn("_large", size > 2.0**COARSE / 4)
+    # an edge swells out from its chord by less than a tenth of so small a face
+    pad = size / 10 + 1e-9
+    low, high = ([axis(of, c) + s * pad for c in "xyz"] for of, s in ((F.least, -1), (F.greatest, 1)))
+    near = f.where("not _large").withColumn("_cell", F.explode(mesh.cells(low, high, at))).join(F.broadcast(held), "_cell", "left_semi").drop("_cell")
+    near = near.dropDuplicates(["topology_id", "face"])
+    return shared.settled(near.unionByName(f.where("_large")).drop("_large"))
+
+
 def locate(points: DataFrame, outlines: DataFrame, blocks: DataFrame, key: str = "id") -> DataFrame:
     """Points with ``topology_id``, ``region`` and ``block``: the first network (topology_id, ring)
     by its id that holds them, ``rigid`` with the least block (topology_id, block, ring) of

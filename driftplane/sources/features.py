@@ -103,7 +103,8 @@ def _features(top) -> list[dict]:
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Features of native XML files (also gzipped); one task a file.  A file that is no XML
+    """Features of native XML files (also gzipped); one task a file, files of over WHOLE bytes
+    read as a stream.  A file that is no XML
     fails the read; see :func:`read_xml_errors`."""
     return _per_file(spark, path)[0]
 
@@ -115,22 +116,36 @@ def read_xml_errors(spark: SparkSession, path: str) -> DataFrame:
 
 #: Features of one batch that leave a task.
 BATCH = 4096
+#: Bytes of a file that is handed over whole; Spark cannot hand over two GiB.
+WHOLE = 1 << 28
+#: Features that a written file has at most.
+FILE_FEATURES = 200_000
 
 
 def _per_file(spark: SparkSession, path: str, permissive: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    found = spark.read.format("binaryFile").load(path)
+    files = found.where(F.col("length") <= WHOLE).select(F.col("path").alias("file"), "content")
+    # the content of these is not read by Spark, but by the task, from the path
+    large = found.where(F.col("length") > WHOLE).select(F.col("path").alias("file"), F.lit(None).cast("binary").alias("content"))
+    files = files.unionByName(large)
 
     def opened(batches):
         """(file, its bytes as a stream): nothing is copied or unpacked as a whole."""
         import gzip
 
         import pyarrow as pa
+        from pyarrow import fs
 
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
-                buffer = content.as_buffer()
-                stream = pa.BufferReader(buffer)
-                yield file.as_py(), gzip.GzipFile(fileobj=stream) if buffer[:2].to_pybytes() == b"\x1f\x8b" else stream
+                if content.is_valid:
+                    stream = pa.BufferReader(content.as_buffer())
+                else:
+                    system, name = fs.FileSystem.from_uri(file.as_py().replace("file:///", "/", 1))
+                    stream = system.open_input_file(name)
+                packed = stream.read(2) == b"\x1f\x8b"
+                stream.seek(0)
+                yield file.as_py(), gzip.GzipFile(fileobj=stream) if packed else stream
 
     def run(batches):
         import itertools
@@ -182,13 +197,21 @@ def to_xml(features: DataFrame, times: str = "urn:times/") -> DataFrame:
 
 
 def write_xml(features: DataFrame, path: str, namespace: str = "urn:features", times: str = "urn:times/", compression: str = "none") -> None:
-    """One collection in one file; collections to be one file are of bounded size.  The
-    namespace is the address of whatever reader it is written for."""
+    """A folder of files of at most about FILE_FEATURES features, each a whole collection (few
+    features are one file).  The namespace is the address of whatever reader it is written for."""
     spark = features.sparkSession
     head = f'<f:FeatureCollection xmlns:f="{namespace}" xmlns:gml="http://www.opengis.net/gml">'
-    rows = to_xml(features, times).withColumn("k", F.lit(1))
-    ends = spark.createDataFrame([(head, 0), ("</f:FeatureCollection>", 2)], "value string, k int")
-    rows.unionByName(ends).orderBy("k", "value").select("value").coalesce(1).write.mode("overwrite").option("compression", compression).text(path)
+    files = max(1, -(-features.count() // FILE_FEATURES))
+    deal = F.pmod(F.xxhash64("value"), F.lit(files)).cast("int")
+    rows = to_xml(features, times).select("value", F.lit(1).alias("k"), deal.alias("f"))
+    ends = spark.createDataFrame([(head, 0), ("</f:FeatureCollection>", 2)], "value string, k int").crossJoin(spark.range(files).select(F.col("id").cast("int").alias("f")))
+    # in order of k within a file, so that each begins and ends as a collection
+    one = rows.unionByName(ends)
+    if files == 1:
+        out = one.coalesce(1).sortWithinPartitions("k", "value").select("value").write
+    else:
+        out = one.repartition(files, "f").sortWithinPartitions("f", "k", "value").select("value", "f").write.partitionBy("f")
+    out.mode("overwrite").option("compression", compression).text(path)
 
 
 _GEOJSON = "type string, features array<struct<type: string, id: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
